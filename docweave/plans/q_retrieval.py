@@ -1 +1,129 @@
-"""Queries (filled in below)."""
+"""Retrieval queries: T3 embedder, F10 guard, J1-J5, J11."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from docweave import constants as C
+from docweave.operators import embedding, retrieval
+from docweave.plans import common
+from docweave.plans.catalog import query
+from docweave.sources.tables import read_table
+
+EMB_K = C.TOP_K
+IVF_CELLS = 8
+
+
+def _embeddings(spark, sf_dir):
+    return read_table(spark, sf_dir, "embeddings").select(
+        "vec_id", "label", F.col("embedding").cast("array<double>").alias("vector"))
+
+
+def _self_queries(e):
+    return e.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query_vector"))
+
+
+KNN_EMB_SQL = f"""
+WITH pairs AS (
+  SELECT q.vec_id AS query_id, i.vec_id AS neighbor_id,
+         round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])), 6) AS score
+  FROM embeddings q JOIN embeddings i ON q.vec_id <> i.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbor_id) AS rank
+           FROM pairs)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbor_id, score FROM ranked WHERE rank <= {EMB_K}"""
+
+
+def _knn_emb(spark, sf_dir, method):
+    e = _embeddings(spark, sf_dir)
+    hits = retrieval.knn_search(_self_queries(e), e.select("vec_id", "vector"), EMB_K,
+                                index_id="vec_id", exclude_self=True, method=method)
+    return hits.select("query_id", "rank", F.col("vec_id").alias("neighbor_id"), "score")
+
+
+@query("knn_exact", oracle=KNN_EMB_SQL)
+def knn_exact(spark, sf_dir):
+    """Every vector's 3 nearest other vectors (broadcast query block, index
+    scanned in place)."""
+    return _knn_emb(spark, sf_dir, "auto")
+
+
+@query("knn_exact_tiled", oracle=KNN_EMB_SQL)
+def knn_exact_tiled(spark, sf_dir):
+    """The same search through the tiled block-matrix path (cogroup on tile ids),
+    the plan used when the query set is beyond the broadcast bound."""
+    e = _embeddings(spark, sf_dir)
+    hits = retrieval.knn_search(_self_queries(e), e.select("vec_id", "vector"), EMB_K,
+                                index_id="vec_id", exclude_self=True, method="tiled",
+                                index_tile_rows=128, query_tile_rows=128)
+    return hits.select("query_id", "rank", F.col("vec_id").alias("neighbor_id"), "score")
+
+
+def _ivf(spark, sf_dir, nprobe):
+    e = _embeddings(spark, sf_dir)
+    cents, _ = retrieval.train_ivf(e, IVF_CELLS, "vector")
+    hits = retrieval.knn_ivf(_self_queries(e), e.select("vec_id", "vector"), cents, EMB_K, nprobe,
+                             index_id="vec_id", exclude_self=True, cell_tile_rows=64)
+    return hits.select("query_id", "rank", F.col("vec_id").alias("neighbor_id"), "score")
+
+
+@query("knn_ivf_full_probe", oracle=KNN_EMB_SQL)
+def knn_ivf_full_probe(spark, sf_dir):
+    """J3 with every cell probed: must equal the exact search (cells salted above 64 rows)."""
+    return _ivf(spark, sf_dir, IVF_CELLS)
+
+
+@query("knn_ivf")
+def knn_ivf(spark, sf_dir):
+    """Approximate search probing 2 of 8 cosine k-means cells."""
+    return _ivf(spark, sf_dir, 2)
+
+
+@query("knn_recall")
+def knn_recall(spark, sf_dir):
+    """recall@3 of the 2-probe IVF search against the exact search, per query."""
+    exact = _knn_emb(spark, sf_dir, "auto")
+    approx = _ivf(spark, sf_dir, 2)
+    return retrieval.recall_at_k(approx, exact, "neighbor_id")
+
+
+@query("knn_label_agreement", oracle=f"""
+WITH h AS ({KNN_EMB_SQL}),
+j AS (SELECT h.query_id, ql.label AS label, CASE WHEN nl.label = ql.label THEN 1.0 ELSE 0.0 END AS agree
+      FROM h JOIN embeddings ql ON ql.vec_id = h.query_id JOIN embeddings nl ON nl.vec_id = h.neighbor_id)
+SELECT label, CAST(count(DISTINCT query_id) AS BIGINT) AS queries, round(avg(agree), 6) AS agreement
+FROM j GROUP BY label""")
+def knn_label_agreement(spark, sf_dir):
+    """Share of retrieved neighbours carrying the query's label, per label."""
+    e = _embeddings(spark, sf_dir)
+    hits = _knn_emb(spark, sf_dir, "auto")
+    lab = e.select("vec_id", "label")
+    j = (hits.join(lab.withColumnRenamed("vec_id", "query_id"), "query_id")
+             .join(lab.select(F.col("vec_id").alias("neighbor_id"), F.col("label").alias("nlabel")),
+                   "neighbor_id"))
+    return j.groupBy("label").agg(
+        F.countDistinct("query_id").cast("bigint").alias("queries"),
+        F.round(F.avg(F.when(F.col("nlabel") == F.col("label"), 1.0).otherwise(0.0)), 6)
+         .alias("agreement"))
+
+
+@query("hash_embed", oracle=f"""
+WITH {common.chunk_rows_sql()},
+{common.weights_sql('chunk_rows', 'chunk_key', 'text_chunk', 'cw')}
+SELECT chunk_key, CAST(bucket AS BIGINT) AS bucket, round(weight, 6) AS weight FROM cw""")
+def hash_embed(spark, sf_dir):
+    """Hashing-embedder vector of every indexed chunk, in sparse long form."""
+    idx = common.chunk_index(spark, sf_dir).select("chunk_key", "vector")
+    return embedding.sparse_weights(idx, "vector", ["chunk_key"])
+
+
+@query("embedding_dim_guard", oracle="""
+SELECT vec_id, CASE WHEN embedding IS NULL THEN 'MISSING' WHEN len(embedding) <> 64 THEN 'BAD_DIM'
+                    ELSE 'OK' END AS embed_status,
+       round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 4) AS norm
+FROM embeddings""")
+def embedding_dim_guard(spark, sf_dir):
+    """per-vector dimension check (64 expected) and norm, for routing bad vectors."""
+    e = _embeddings(spark, sf_dir)
+    g = embedding.dimension_guard(e, "vector", 64)
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
+    return g.select("vec_id", "embed_status", F.round(norm, 4).alias("norm"))
