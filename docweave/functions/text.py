@@ -15,12 +15,14 @@ from docweave import constants as C
 # U+0009-U+000D, U+001C-U+001F, U+0020, U+0085, U+00A0, U+1680, U+2000-U+200A,
 # U+2028, U+2029, U+202F, U+205F, U+3000. Java's ``\S`` is ASCII-only, so the class
 # is spelled out.
-TOKEN_PATTERN = (
-    r"[^\t\n\x0B\f\r \x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-)
+_WS_CHARS = (r"\t\n\x0B\f\r \x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+             r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
+WS_CLASS = f"[{_WS_CHARS}]"
+TOKEN_PATTERN = f"[^{_WS_CHARS}]+"
 # Same class, inverted: "text has at least one non-whitespace character".
-NON_BLANK_PATTERN = TOKEN_PATTERN[:-1]
+NON_BLANK_PATTERN = f"[^{_WS_CHARS}]"
+# Leading or trailing whitespace run (Python ``str.strip()``).
+STRIP_PATTERN = f"^{WS_CLASS}+|{WS_CLASS}+$"
 
 
 def tokens(text: Column | str) -> Column:
@@ -29,6 +31,12 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(t, F.lit(TOKEN_PATTERN), 0)
 
 
+def strip(text: Column | str) -> Column:
+    """Python ``str.strip()``: remove leading/trailing whitespace of all 29 kinds."""
+    t = F.col(text) if isinstance(text, str) else text
+    return F.regexp_replace(t, STRIP_PATTERN, "")
+
+
 def is_blank(text: Column | str) -> Column:
     """true when the text has no non-whitespace character (or is null)."""
     t = F.col(text) if isinstance(text, str) else text

@@ -44,7 +44,7 @@ def chunk_index(spark: SparkSession, sf_dir: str, dim: int = TEXT_DIM) -> DataFr
 def questions(spark: SparkSession, sf_dir: str, dim: int = TEXT_DIM) -> DataFrame:
     """Every benchmark text is a question: ``query_id, question, query_vector``."""
     b = read_table(spark, sf_dir, "benchmark")
-    q = b.select(F.col("item_id").alias("query_id"), F.trim("text").alias("question"))
+    q = b.select(F.col("item_id").alias("query_id"), T.strip("text").alias("question"))
     return embedding.embed(q, "question", "query_vector", dim)
 
 
@@ -75,7 +75,7 @@ def weights_sql(rel: str, id_col: str, text_col: str, out: str, dim: int = TEXT_
 
 
 def questions_sql() -> str:
-    return "qtext AS (SELECT item_id AS query_id, trim(text) AS question FROM benchmark)"
+    return f"qtext AS (SELECT item_id AS query_id, {S.strip_sql('text')} AS question FROM benchmark)"
 
 
 def text_scores_sql(k: int = C.TOP_K, index_rel: str = "chunk_rows") -> str:

@@ -1 +1,184 @@
-"""Queries (filled in below)."""
+"""Question-answering queries: J7, J11, A15, A16, P13-P15, U3, K6 and E2 (batch RAG)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from docweave import constants as C
+from docweave.operators import rag, retrieval
+from docweave.plans import common
+from docweave.plans import sqltext as S
+from docweave.plans.catalog import query
+
+q = S.q
+NL = "chr(10)"
+MIN_SCORE = 0.0
+
+
+def _retrieve(spark, sf_dir, lang: str | None = None):
+    """Questions, top-k hits with metadata (J1 + J7), optionally filtered by language."""
+    index = common.chunk_index(spark, sf_dir)
+    rows = common.chunk_rows(spark, sf_dir)
+    if lang is not None:
+        # metadata filter applied before the search; the scan/projection prunes the rest
+        index = index.where(F.col("lang") == lang)
+    qs = common.questions(spark, sf_dir)
+    hits = retrieval.knn_search(qs.select("query_id", "query_vector"),
+                                index.select("chunk_key", "vector"), C.TOP_K)
+    # hits hold at most (#questions x k) rows and the question set passed the broadcast
+    # bound inside knn_search, so the hit list is the broadcast side of this join.
+    meta = rows.select("chunk_key", *rag.HIT_META).join(F.broadcast(hits), "chunk_key")
+    return qs.select("query_id", "question"), meta
+
+
+def _answers(spark, sf_dir):
+    qs, hits = _retrieve(spark, sf_dir)
+    ctx = rag.format_context(qs, hits)
+    prompted = rag.build_prompt(ctx)
+    gen = rag.extractive_generate(prompted, MIN_SCORE)
+    return rag.parse_model_response(gen)
+
+
+def _index_sql(lang: str | None = None) -> str:
+    flt = f" WHERE lang = {q(lang)}" if lang else ""
+    return f"""{common.chunk_rows_sql()},
+search_index AS (SELECT * FROM chunk_rows{flt}),
+{common.text_scores_sql(C.TOP_K, "search_index")}"""
+
+
+HITS_SQL_SELECT = """
+SELECT h.query_id, h.rank, h.score, h.chunk_key, c.source_document, c.chunk_id, c.pii_masked_flag
+FROM hits h JOIN chunk_rows c USING (chunk_key)"""
+
+CTX_SQL = f"""ctx AS (
+  SELECT qt.query_id, qt.question,
+    COALESCE(string_agg('[' || CAST(h.rank AS VARCHAR) || '] (source: ' ||
+               COALESCE(NULLIF(c.source_document, ''), {q(C.UNKNOWN_SOURCE)}) || ')' || {NL} ||
+               COALESCE(c.text_chunk, ''), {NL} || {NL} ORDER BY h.rank), {q(C.NO_CONTEXT_TEXT)}) AS context,
+    CAST(count(h.rank) AS INTEGER) AS retrieved_count,
+    max(h.score) FILTER (WHERE h.rank = 1) AS top_score,
+    max(c.text_chunk) FILTER (WHERE h.rank = 1) AS first_passage
+  FROM qtext qt LEFT JOIN hits h USING (query_id) LEFT JOIN chunk_rows c USING (chunk_key)
+  GROUP BY qt.query_id, qt.question),
+prompted AS (SELECT *, {q(C.SYSTEM_PROMPT_PREFIX)} || context AS system_prompt FROM ctx),
+answered AS (SELECT *, CASE WHEN top_score > {MIN_SCORE} THEN first_passage
+                          ELSE {q(C.REFUSAL_SENTENCE)} END AS answer0 FROM prompted),
+final AS (SELECT *, NULLIF({S.strip_sql('answer0')}, '') AS answer,
+    CAST(len({S.tokens_sql('system_prompt')}) + len({S.tokens_sql('question')}) AS INTEGER) AS input_tokens,
+    CAST(len({S.tokens_sql('answer0')}) AS INTEGER) AS output_tokens FROM answered)"""
+
+
+@query("retrieve_sources", oracle=f"WITH {_index_sql()} {HITS_SQL_SELECT}")
+def retrieve_sources(spark, sf_dir):
+    """J1 + J7: top-3 chunks per benchmark question, joined late to their metadata."""
+    _, hits = _retrieve(spark, sf_dir)
+    return hits.select("query_id", "rank", "score", "chunk_key", "source_document", "chunk_id",
+                       "pii_masked_flag")
+
+
+@query("knn_filtered", oracle=f"WITH {_index_sql('en')} {HITS_SQL_SELECT}")
+def knn_filtered(spark, sf_dir):
+    """The same search restricted to English chunks (filter before the search)."""
+    _, hits = _retrieve(spark, sf_dir, lang="en")
+    return hits.select("query_id", "rank", "score", "chunk_key", "source_document", "chunk_id",
+                       "pii_masked_flag")
+
+
+@query("context_format", oracle=f"""WITH {_index_sql()}, {CTX_SQL}
+SELECT query_id, retrieved_count, context FROM ctx""")
+def context_format(spark, sf_dir):
+    """Numbered, attributed context block per question."""
+    qs, hits = _retrieve(spark, sf_dir)
+    return rag.format_context(qs, hits).select("query_id", "retrieved_count", "context")
+
+
+@query("prompt_assembly", oracle=f"""WITH {_index_sql()}, {CTX_SQL}
+SELECT query_id, system_prompt, question, {C.MAX_TOKENS} AS max_tokens,
+       CAST({C.TEMPERATURE} AS DOUBLE) AS temperature FROM prompted""")
+def prompt_assembly(spark, sf_dir):
+    """System prompt (instructions + context) and generation parameters."""
+    qs, hits = _retrieve(spark, sf_dir)
+    p = rag.build_prompt(rag.format_context(qs, hits))
+    r = F.from_json("request_json", "max_tokens int, temperature double")
+    return p.select("query_id", "system_prompt", "question",
+                    r["max_tokens"].alias("max_tokens"), r["temperature"].alias("temperature"))
+
+
+@query("citation_counts", oracle=f"""WITH {_index_sql()}
+SELECT c.source_document, CAST(count(*) AS BIGINT) AS citations,
+       CAST(count(DISTINCT h.query_id) AS BIGINT) AS questions
+FROM hits h JOIN chunk_rows c USING (chunk_key) GROUP BY c.source_document""")
+def citation_counts(spark, sf_dir):
+    """Citations per source document over all answered questions."""
+    _, hits = _retrieve(spark, sf_dir)
+    return rag.citation_counts(hits)
+
+
+@query("batch_rag", oracle=f"""WITH {_index_sql()}, {CTX_SQL}
+SELECT query_id, CASE WHEN answer IS NULL THEN 500 ELSE 200 END AS status_code, answer,
+       retrieved_count, input_tokens, output_tokens,
+       COALESCE(trim(answer) = {q(C.REFUSAL_SENTENCE)}, false) AS refused FROM final""")
+def batch_rag(spark, sf_dir):
+    """Questions -> vectors -> top-k -> context -> prompt -> generator -> parsed answer."""
+    a = _answers(spark, sf_dir)
+    return a.select("query_id", "status_code", "answer", "retrieved_count", "input_tokens",
+                    "output_tokens", rag.is_refusal(F.col("answer")).alias("refused"))
+
+
+@query("answer_records", oracle=f"""WITH {_index_sql()}, {CTX_SQL}
+SELECT query_id, CASE WHEN answer IS NULL THEN 500 ELSE 200 END AS status_code, answer,
+       retrieved_count, {q(C.GEN_MODEL_ID)} AS model_id, {q(C.EMBED_MODEL_ID)} AS embed_model_id,
+       input_tokens, output_tokens FROM final""")
+def answer_records(spark, sf_dir):
+    """K6: answer record per question (flattened; ``sinks.answers`` writes it as JSON)."""
+    rec = rag.answer_records(_answers(spark, sf_dir))
+    return rec.select("query_id", "status_code", "answer", "retrieved_count", "model_id",
+                      "embed_model_id", F.col("usage.input_tokens").alias("input_tokens"),
+                      F.col("usage.output_tokens").alias("output_tokens"))
+
+
+@query("refusal_rate", oracle=f"""WITH {_index_sql()}, {CTX_SQL}
+SELECT CAST(count(*) AS BIGINT) AS questions,
+       CAST(count(*) FILTER (WHERE trim(answer) = {q(C.REFUSAL_SENTENCE)}) AS BIGINT) AS refusals,
+       round(count(*) FILTER (WHERE trim(answer) = {q(C.REFUSAL_SENTENCE)}) / count(*), 6) AS refusal_rate
+FROM final""")
+def refusal_rate(spark, sf_dir):
+    """Share of answers that are the refusal sentence."""
+    a = _answers(spark, sf_dir).withColumn("_ref", rag.is_refusal(F.col("answer")))
+    return a.agg(F.count(F.lit(1)).cast("bigint").alias("questions"),
+                 F.count_if("_ref").cast("bigint").alias("refusals"),
+                 F.round(F.count_if("_ref") / F.count(F.lit(1)), 6).alias("refusal_rate"))
+
+
+@query("parse_model_response", oracle=f"""
+WITH blocks AS (
+  SELECT conv_id, turn, role, text FROM conversations),
+agg AS (
+  SELECT conv_id,
+         string_agg(text, {NL} ORDER BY turn) FILTER (WHERE role = 'assistant' AND COALESCE(text, '') <> '') AS joined,
+         CAST(sum(len({S.tokens_sql('text')})) FILTER (WHERE role <> 'assistant') AS BIGINT) AS in_tok,
+         CAST(sum(len({S.tokens_sql('text')})) FILTER (WHERE role = 'assistant') AS BIGINT) AS out_tok
+  FROM blocks GROUP BY conv_id)
+SELECT conv_id, NULLIF({S.strip_sql('joined')}, '') AS answer,
+       CAST(COALESCE(in_tok, 0) AS INTEGER) AS input_tokens,
+       CAST(COALESCE(out_tok, 0) AS INTEGER) AS output_tokens,
+       CASE WHEN NULLIF({S.strip_sql('joined')}, '') IS NULL THEN 500 ELSE 200 END AS status_code
+FROM agg""")
+def parse_model_response(spark, sf_dir):
+    """Model responses built from conversations (assistant turns = text blocks, other
+    turns = non-text blocks) flattened into answer + usage."""
+    from docweave.functions import text as T
+    from docweave.sources.tables import read_table
+    c = read_table(spark, sf_dir, "conversations")
+    blocks = c.select("conv_id", "turn", F.struct(
+        F.when(F.col("role") == "assistant", F.lit("text")).otherwise(F.lit("tool_result")).alias("type"),
+        F.col("text").alias("text")).alias("b"),
+        F.when(F.col("role") != "assistant", F.size(T.tokens("text"))).alias("in_t"),
+        F.when(F.col("role") == "assistant", F.size(T.tokens("text"))).alias("out_t"))
+    resp = blocks.groupBy("conv_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("turn", "b"))), lambda x: x["b"]).alias("content"),
+        F.sum("in_t").alias("input_tokens"), F.sum("out_t").alias("output_tokens"))
+    resp = resp.select("conv_id", F.to_json(F.struct(
+        "content", F.struct("input_tokens", "output_tokens").alias("usage"))).alias("response_json"))
+    parsed = rag.parse_model_response(resp)
+    return parsed.select("conv_id", "answer", "input_tokens", "output_tokens", "status_code")

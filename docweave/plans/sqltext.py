@@ -17,6 +17,15 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def strip_sql(expr: str) -> str:
+    """Python ``str.strip()`` in DuckDB."""
+    return f"regexp_replace({expr}, {q(T.STRIP_PATTERN)}, '', 'g')"
+
+
+def tokens_sql(expr: str) -> str:
+    return f"regexp_extract_all({expr}, {q(TOKEN_RE)})"
+
+
 def redaction_ctes(src: str = "src_docs", text_col: str = "text") -> str:
     """CTE chain r0..r4 applying the four patterns in order, counting before each step.
 
