@@ -37,19 +37,23 @@ def chunk_starts(n_tokens: Column, size: int, step: int) -> Column:
         F.sequence(F.lit(0), last))
 
 
-def chunk_struct_array(tokens_col: Column, size: int, step: int) -> Column:
+def chunk_struct_array(tokens_col: str, size: int, step: int) -> Column:
     """ARRAY<STRUCT<chunk_id, text_chunk, token_count, start_token, end_token>> in one row.
 
-    Used where the nested per-document record is wanted (K1) without any grouping.
+    ``tokens_col`` must name an already projected ARRAY<STRING> column: a lambda body
+    re-evaluates any expression it captures once per element, so the tokenizer must not
+    be inlined here. Used where the nested per-document record is wanted (K1) without
+    any grouping.
     """
-    n = F.size(tokens_col)
+    toks = F.col(tokens_col)
+    n = F.size(toks)
 
     def one(i: Column) -> Column:
         start = i * F.lit(step)
         end = F.least(start + F.lit(size), n)
         return F.struct(
             i.alias("chunk_id"),
-            F.array_join(F.slice(tokens_col, start + 1, F.lit(size)), " ").alias("text_chunk"),
+            F.array_join(F.slice(toks, start + 1, F.lit(size)), " ").alias("text_chunk"),
             (end - start).alias("token_count"),
             start.alias("start_token"),
             end.alias("end_token"),
@@ -59,12 +63,15 @@ def chunk_struct_array(tokens_col: Column, size: int, step: int) -> Column:
 
 
 def chunk_documents(df: DataFrame, text_col: str = "text", size: int = C.CHUNK_SIZE_TOKENS,
-                    overlap: int = C.CHUNK_OVERLAP_TOKENS, keep: list[str] | None = None) -> DataFrame:
+                    overlap: int = C.CHUNK_OVERLAP_TOKENS, keep: list[str] | None = None,
+                    pre_tokenized: bool = False) -> DataFrame:
     """One row per chunk: ``keep`` columns + chunk_id, token_count, start_token, end_token,
-    text_chunk. Narrow: tokenize, index, explode -- no exchange."""
+    text_chunk. Narrow: tokenize, index, explode -- no exchange. With ``pre_tokenized``
+    ``text_col`` already holds the token array."""
     step = validate_chunk_params(size, overlap)
     keep = [c for c in (keep if keep is not None else df.columns) if c != text_col]
-    tok = df.select(*keep, T.tokens(text_col).alias("_tokens"))
+    toks = F.col(text_col) if pre_tokenized else T.tokens(text_col)
+    tok = df.select(*keep, toks.alias("_tokens"))
     tok = tok.select(*keep, "_tokens", F.size("_tokens").alias("_n"))
     exploded = tok.select(*keep, "_tokens", "_n",
                           F.explode(chunk_starts(F.col("_n"), size, step)).alias("chunk_id"))

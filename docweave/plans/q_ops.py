@@ -1 +1,496 @@
-"""Queries (filled in below)."""
+"""Ingestion operations queries: routing, manifests, keys, sources, sinks, dead letters.
+
+The object listing stands for a bucket: every document as ``uploads/<source>/<id>.txt``,
+every web page as ``crawl/<host><path>`` (no .pdf/.txt suffix -> rejected), and the
+processed output object of every document (under ``processed/`` -> skipped).
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from docweave import constants as C
+from docweave.functions import text as T
+from docweave.operators import (deadletters, ingest, redaction, routing, segmentation)
+from docweave.plans import common
+from docweave.plans import sqltext as S
+from docweave.plans.catalog import query
+from docweave.session import scratch_path
+from docweave.sinks import tables as sinks
+from docweave.sources import events as ev
+from docweave.sources import objects as obj
+from docweave.sources.tables import read_table, source_documents
+
+q = S.q
+RUN_TS = "2024-02-01 00:00:00"
+PAGE_KEY_RE = r"^https?://|[?#].*$"
+EXT_RE = r"\.(pdf|txt)$"
+
+
+def listing(spark, sf_dir):
+    docs = source_documents(spark, sf_dir).select("bucket", "source_key", "text")
+    pages = read_table(spark, sf_dir, "pages").select(
+        F.lit(C.DEFAULT_BUCKET).alias("bucket"),
+        F.concat(F.lit("crawl/"), F.regexp_replace("url", PAGE_KEY_RE, "")).alias("source_key"),
+        F.col("html").alias("text"))
+    processed = docs.select("bucket", T.processed_key("source_key").alias("source_key"),
+                            F.lit("{}").alias("text"))
+    return docs.unionByName(pages).unionByName(processed)
+
+
+def processed(spark, sf_dir):
+    return ingest.process_objects(listing(spark, sf_dir), processed_at=RUN_TS)
+
+
+def _pkey_sql(col: str) -> str:
+    return (f"'processed/' || regexp_replace(replace({col}, '/', '_'), '(?i)\\.(pdf|txt)$', '') "
+            f"|| '/chunks.json'")
+
+
+LISTING_SQL = f"""{S.SRC_DOCS_CTE},
+listing AS (
+  SELECT bucket, source_key, text FROM src_docs
+  UNION ALL SELECT '{C.DEFAULT_BUCKET}', 'crawl/' || regexp_replace(url, {q(PAGE_KEY_RE)}, '', 'g'), html FROM pages
+  UNION ALL SELECT bucket, {_pkey_sql('source_key')}, '{{}}' FROM src_docs),
+routed AS (
+  SELECT bucket, source_key,
+    CASE WHEN starts_with(source_key, 'processed/') THEN 'SKIPPED'
+         WHEN NOT regexp_matches(lower(source_key), {q(EXT_RE)}) THEN 'FAILED'
+         WHEN text IS NULL OR NOT regexp_matches(text, {q(T.NON_BLANK_PATTERN)}) THEN 'FAILED'
+         ELSE 'SUCCESS' END AS status,
+    CASE WHEN starts_with(source_key, 'processed/') THEN 'object_under_processed_prefix' END AS reason,
+    CASE WHEN starts_with(source_key, 'processed/') THEN NULL
+         WHEN NOT regexp_matches(lower(source_key), {q(EXT_RE)}) THEN 'ValueError'
+         WHEN text IS NULL OR NOT regexp_matches(text, {q(T.NON_BLANK_PATTERN)}) THEN 'ValueError' END AS error_type,
+    CASE WHEN starts_with(source_key, 'processed/') THEN NULL
+         WHEN NOT regexp_matches(lower(source_key), {q(EXT_RE)}) THEN 'Unsupported object key extension: ' || source_key
+         WHEN text IS NULL OR NOT regexp_matches(text, {q(T.NON_BLANK_PATTERN)}) THEN 'Extracted text is empty' END AS error_message,
+    text
+  FROM listing),
+ok_docs AS (SELECT * FROM routed WHERE status = 'SUCCESS'),
+{S.redaction_ctes('ok_docs', 'text')},
+counted AS (SELECT *, len({S.tokens_sql('redacted_text')}) AS _ntok FROM redacted),
+ok_man AS (SELECT source_key, CAST(CASE WHEN _ntok = 0 THEN 0 WHEN _ntok <= {S.SIZE} THEN 1
+              ELSE 1 + CAST(ceil((_ntok - {S.SIZE}) / {S.STEP}.0) AS BIGINT) END AS INTEGER) AS chunk_count,
+              pii_masked_flag,
+              NULLIF(concat_ws(',', CASE WHEN n_credit_card > 0 THEN 'CREDIT_CARD' END,
+                               CASE WHEN n_email > 0 THEN 'EMAIL' END,
+                               CASE WHEN n_phone > 0 THEN 'PHONE' END,
+                               CASE WHEN n_ssn > 0 THEN 'SSN' END), '') AS pii_labels
+           FROM counted),
+manifest AS (
+  SELECT r.status, r.bucket, r.source_key,
+         CASE WHEN r.status = 'SUCCESS' THEN {_pkey_sql('r.source_key')} END AS processed_key,
+         m.chunk_count, m.pii_masked_flag,
+         CASE WHEN r.status = 'SUCCESS' THEN COALESCE(m.pii_labels, '') END AS pii_labels,
+         r.reason, r.error_type, r.error_message
+  FROM routed r LEFT JOIN ok_man m ON r.status = 'SUCCESS' AND m.source_key = r.source_key)"""
+
+
+def _manifest_flat(spark, sf_dir):
+    man = ingest.ingest_manifest(processed(spark, sf_dir))
+    labels = F.array_join(F.array_sort(F.map_keys("pii_entity_counts")), ",")
+    return man.select("status", "bucket", "source_key", "processed_key", "chunk_count",
+                      "pii_masked_flag", labels.alias("pii_labels"), "reason", "error_type",
+                      "error_message")
+
+
+@query("ingest_manifest", oracle=f"WITH {LISTING_SQL} SELECT * FROM manifest")
+def ingest_manifest(spark, sf_dir):
+    """A4 + F1/F2/F3: one status row per listed object."""
+    return _manifest_flat(spark, sf_dir)
+
+
+@query("status_router", oracle=f"""WITH {LISTING_SQL}
+SELECT CASE WHEN status = 'SUCCESS' THEN 'NEXT' WHEN status = 'SKIPPED' THEN 'END' ELSE 'DLQ' END AS route,
+       status, CAST(count(*) AS BIGINT) AS objects
+FROM manifest GROUP BY ALL""")
+def status_router(spark, sf_dir):
+    """objects per route (next stage / end / dead letters)."""
+    man = _manifest_flat(spark, sf_dir)
+    return man.groupBy(routing.route_of(F.col("status")).alias("route"), "status") \
+              .agg(F.count(F.lit(1)).cast("bigint").alias("objects"))
+
+
+@query("vectorize_gate", oracle=f"""WITH {LISTING_SQL}
+SELECT source_key, CASE WHEN status = 'SUCCESS' AND COALESCE(chunk_count, 0) > 0 THEN 'VECTORIZE'
+                        ELSE 'DLQ' END AS gate FROM manifest""")
+def vectorize_gate(spark, sf_dir):
+    """which manifest rows go on to the embedder."""
+    return routing.vectorize_gate(_manifest_flat(spark, sf_dir)).select("source_key", "gate")
+
+
+@query("filter_extension", oracle=f"""WITH {LISTING_SQL}
+SELECT source_key, regexp_matches(lower(source_key), {q(EXT_RE)}) AS allowed FROM listing""")
+def filter_extension(spark, sf_dir):
+    """case-insensitive .pdf/.txt allowlist over the listing."""
+    return listing(spark, sf_dir).select("source_key", T.has_allowed_extension("source_key").alias("allowed"))
+
+
+@query("filter_recursion_guard", oracle=f"""WITH {LISTING_SQL}
+SELECT source_key, starts_with(source_key, 'processed/') AS skipped FROM listing""")
+def filter_recursion_guard(spark, sf_dir):
+    """objects under processed/ are skipped."""
+    return listing(spark, sf_dir).select("source_key", T.is_processed_key("source_key").alias("skipped"))
+
+
+@query("filter_empty_text", oracle=f"""
+SELECT doc_id, (text IS NULL OR NOT regexp_matches(text, {q(T.NON_BLANK_PATTERN)})) AS blank FROM documents""")
+def filter_empty_text(spark, sf_dir):
+    """documents whose text has no non-whitespace character."""
+    d = read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", T.is_blank("text").alias("blank"))
+
+
+@query("processed_key", oracle=f"""WITH {S.SRC_DOCS_CTE}
+SELECT source_key, {_pkey_sql('source_key')} AS processed_key FROM src_docs""")
+def processed_key(spark, sf_dir):
+    """Output key derived from each document's source key."""
+    d = source_documents(spark, sf_dir)
+    return d.select("source_key", T.processed_key("source_key").alias("processed_key"))
+
+
+def _sanitize_sql(col: str) -> str:
+    base = f"regexp_extract({col}, '[^/\\\\]*$')"
+    ext = f"regexp_extract({base}, '(\\.[A-Za-z0-9]+)$', 1)"
+    stem = f"left({base}, length({base}) - length({ext}))"
+    stem = f"regexp_replace(regexp_replace({stem}, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g')"
+    stem = f"left(CASE WHEN {stem} = '' THEN 'document' ELSE {stem} END, {C.FILENAME_STEM_MAX})"
+    return f"{stem} || lower({ext})", f"lower({ext})"
+
+
+_SAN, _EXT = _sanitize_sql("url")
+
+
+@query("sanitize_filename", oracle=f"""
+SELECT page_id, {_SAN} AS safe_name, {_EXT} AS extension,
+       {_EXT} IN ('.pdf', '.txt') AS accepted FROM pages""")
+def sanitize_filename(spark, sf_dir):
+    """P5: safe upload name and extension of every page URL taken as a file name."""
+    p = read_table(spark, sf_dir, "pages")
+    ext = T.filename_extension("url")
+    return p.select("page_id", T.sanitize_filename("url").alias("safe_name"), ext.alias("extension"),
+                    ext.isin(".pdf", ".txt").alias("accepted"))
+
+
+@query("object_key", oracle=f"""
+SELECT page_id, 'uploads/20240201T000000Z-' || left(sha256(CAST(page_id AS VARCHAR)), 8) || '-' || {_SAN} AS object_key,
+       CASE WHEN {_EXT} = '.pdf' THEN 'application/pdf' ELSE 'text/plain' END AS content_type
+FROM pages""")
+def object_key(spark, sf_dir):
+    """P6 + P7: upload key (stamp, 8 hex from the row id, safe name) and default type."""
+    p = read_table(spark, sf_dir, "pages")
+    safe = T.sanitize_filename("url")
+    return p.select("page_id",
+                    T.object_key(safe, F.to_timestamp(F.lit(RUN_TS)), F.col("page_id")).alias("object_key"),
+                    T.default_content_type(F.lit(None).cast("string"), T.filename_extension("url"))
+                     .alias("content_type"))
+
+
+@query("processed_documents", oracle=f"""WITH {common.chunk_rows_sql()}
+SELECT source_document, CAST(count(*) AS INTEGER) AS chunk_count, bool_or(pii_masked_flag) AS pii_masked_flag,
+       md5(string_agg(text_chunk, chr(1) ORDER BY chunk_id)) AS chunks_md5
+FROM chunk_rows GROUP BY source_document""")
+def processed_documents(spark, sf_dir):
+    """K1: nested processed record per source (chunks built in-row, no grouping)."""
+    docs = ingest.processed_documents(processed(spark, sf_dir))
+    return docs.select("source_document", "chunk_count", "pii_masked_flag",
+                       F.md5(F.array_join(F.transform("chunks", lambda c: c["text_chunk"]), "\u0001"))
+                        .alias("chunks_md5"))
+
+
+@query("ingest_end_to_end", oracle=f"""WITH {common.chunk_rows_sql()}
+SELECT chunk_key, source_document, chunk_id, token_count, pii_masked_flag, processed_key, text_chunk
+FROM chunk_rows""")
+def ingest_end_to_end(spark, sf_dir):
+    """Listing -> route -> redact -> chunk -> keyed chunk rows ready to embed."""
+    rows = ingest.chunk_rows(processed(spark, sf_dir))
+    return rows.select("chunk_key", "source_document", "chunk_id", "token_count",
+                       "pii_masked_flag", "processed_key", "text_chunk")
+
+
+@query("chunks_explode_roundtrip", oracle=f"""WITH {common.chunk_rows_sql()}
+SELECT source_document, chunk_id, token_count, text_chunk FROM chunk_rows""")
+def chunks_explode_roundtrip(spark, sf_dir):
+    """K1 write + S3 read: processed JSON written, read back with the declared schema and
+    exploded to one row per chunk."""
+    path = scratch_path(spark, f"processed-{uuid.uuid4().hex}")
+    sinks.write_processed_documents(ingest.processed_documents(processed(spark, sf_dir)), path)
+    back = sinks.read_processed_documents(spark, path)
+    rows = back.select("source_document", F.explode("chunks").alias("c"))
+    return rows.select("source_document", F.col("c.chunk_id").alias("chunk_id"),
+                       F.col("c.token_count").alias("token_count"),
+                       F.col("c.text_chunk").alias("text_chunk"))
+
+
+def _embedded(spark, sf_dir):
+    rows = ingest.chunk_rows(processed(spark, sf_dir))
+    return ingest.embed_chunks(rows, common.TEXT_DIM)
+
+
+@query("index_manifest", oracle=f"""WITH {common.chunk_rows_sql()},
+{common.weights_sql('chunk_rows', 'chunk_key', 'text_chunk', 'cw')},
+j AS (SELECT c.source_document, c.processed_key, c.pii_masked_flag,
+             c.chunk_key IN (SELECT chunk_key FROM cw) AS ok FROM chunk_rows c)
+SELECT CASE WHEN count(*) FILTER (WHERE ok) = 0 THEN 'FAILED'
+            WHEN count(*) FILTER (WHERE NOT ok) > 0 THEN 'PARTIAL' ELSE 'SUCCESS' END AS status,
+       source_document, processed_key,
+       CAST(count(*) FILTER (WHERE ok) AS INTEGER) AS indexed_count,
+       CAST(count(*) FILTER (WHERE NOT ok) AS INTEGER) AS failed_count,
+       {common.TEXT_DIM} AS embed_dimensions
+FROM j GROUP BY source_document, processed_key""")
+def index_manifest(spark, sf_dir):
+    """A5 (+PARTIAL): indexed / failed chunk counts per processed document."""
+    m = ingest.index_manifest(_embedded(spark, sf_dir), common.TEXT_DIM)
+    return m.select("status", "source_document", "processed_key", "indexed_count", "failed_count",
+                    "embed_dimensions")
+
+
+@query("index_reconcile", oracle=f"""WITH {common.chunk_rows_sql()}
+SELECT source_document, CAST(count(*) AS INTEGER) AS chunks_written, CAST(count(*) AS INTEGER) AS chunks_indexed,
+       0 AS missing, 'OK' AS reconcile_status FROM chunk_rows GROUP BY source_document""")
+def index_reconcile(spark, sf_dir):
+    """Chunks written by ingestion vs chunks indexed, per source document."""
+    p = processed(spark, sf_dir)
+    man = ingest.ingest_manifest(p)
+    idx = ingest.index_manifest(ingest.embed_chunks(ingest.chunk_rows(p), common.TEXT_DIM),
+                                common.TEXT_DIM)
+    return ingest.reconcile(man, idx)
+
+
+@query("incremental_new_objects", oracle=f"""WITH {LISTING_SQL}
+SELECT source_key FROM listing
+WHERE source_key NOT IN (SELECT source_key FROM src_docs)""")
+def incremental_new_objects(spark, sf_dir):
+    """Listed objects absent from the previous manifest (the documents already ingested)."""
+    prev = ingest.ingest_manifest(ingest.process_objects(
+        source_documents(spark, sf_dir).select("bucket", "source_key", "text"), processed_at=RUN_TS))
+    return ingest.new_objects(listing(spark, sf_dir), prev).select("source_key")
+
+
+def _index_two_runs(spark, sf_dir, mode):
+    base = scratch_path(spark, f"index-{uuid.uuid4().hex}")
+    emb = _embedded(spark, sf_dir)
+    sinks.write_index(ingest.index_rows(emb, "2024-02-01 00:00:00"), base, mode, common.TEXT_DIM)
+    sinks.write_index(ingest.index_rows(emb, "2024-02-02 00:00:00"), base, mode, common.TEXT_DIM)
+    return sinks.read_index(spark, base)
+
+
+@query("index_upsert", oracle=f"""WITH {common.chunk_rows_sql()}
+SELECT chunk_key, source_document, chunk_id, '2024-02-02 00:00:00' AS ts FROM chunk_rows""")
+def index_upsert(spark, sf_dir):
+    """K2 upsert: the same chunks indexed twice keep one (the latest) row per chunk key."""
+    idx = _index_two_runs(spark, sf_dir, "upsert")
+    return idx.select("chunk_key", "source_document", "chunk_id",
+                      F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+@query("index_append", oracle=f"""WITH {common.chunk_rows_sql()}
+SELECT chunk_key, source_document, chunk_id, '2024-02-01 00:00:00' AS ts FROM chunk_rows
+UNION ALL SELECT chunk_key, source_document, chunk_id, '2024-02-02 00:00:00' FROM chunk_rows""")
+def index_append(spark, sf_dir):
+    """K2 append (reference behaviour): indexing twice duplicates every chunk."""
+    idx = _index_two_runs(spark, sf_dir, "append")
+    return idx.select("chunk_key", "source_document", "chunk_id",
+                      F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+@query("dead_letter_rows", oracle=f"""WITH {LISTING_SQL}
+SELECT '{RUN_TS}' AS failed_at, 'ingest' AS stage, error_type, error_message, 1 AS attempt,
+       source_key AS payload_key FROM manifest WHERE status NOT IN ('SUCCESS', 'SKIPPED')""")
+def dead_letter_rows(spark, sf_dir):
+    """K4: failed ingestion rows as dead letters (whole row as JSON payload)."""
+    man = ingest.ingest_manifest(processed(spark, sf_dir)).where(
+        routing.route_of(F.col("status")) == "DLQ")
+    d = deadletters.to_dead_letters(man, "ingest", F.to_timestamp(F.lit(RUN_TS)),
+                                    ["status", "bucket", "source_key", "reason"])
+    return d.select(F.date_format("failed_at", "yyyy-MM-dd HH:mm:ss").alias("failed_at"), "stage",
+                    "error_type", "error_message", "attempt",
+                    F.get_json_object("payload", "$.source_key").alias("payload_key"))
+
+
+# ---------------------------------------------------------------- dead letters from the log
+
+ERR_TYPE_SQL = ("CASE WHEN CAST(json_extract(props, '$.k') AS INTEGER) < 34 THEN 'ThrottlingException' "
+                "WHEN CAST(json_extract(props, '$.k') AS INTEGER) < 67 THEN 'ValidationException' "
+                "ELSE 'ModelTimeoutException' END")
+ATTEMPT_SQL = "CAST(1 + floor(CAST(json_extract(props, '$.k') AS INTEGER) / 34) AS INTEGER)"
+DLQ_SQL = f"""dlq AS (SELECT ts AS failed_at, 'query' AS stage, {ERR_TYPE_SQL} AS error_type,
+                      {ATTEMPT_SQL} AS attempt, event_id FROM events WHERE event_type = 'error')"""
+
+
+def query_dead_letters(spark, sf_dir):
+    """Dead letters of the question API: every 'error' request of the log."""
+    e = read_table(spark, sf_dir, "events").where(F.col("event_type") == "error")
+    k = F.get_json_object("props", "$.k").cast("int")
+    etype = (F.when(k < 34, "ThrottlingException").when(k < 67, "ValidationException")
+             .otherwise("ModelTimeoutException"))
+    failed = e.select("event_id", "user_id", "value", "props", F.col("ts").cast("timestamp").alias("ts"),
+                      etype.alias("error_type"), F.lit("RAG query failed").alias("error_message"),
+                      (1 + F.floor(k / 34)).cast("int").alias("attempt"))
+    return deadletters.to_dead_letters(failed, "query", F.col("ts"),
+                                       ["event_id", "user_id", "value", "props"], F.col("attempt"))
+
+
+@query("dlq_depth", oracle=f"""WITH {DLQ_SQL}
+SELECT stage, error_type, CAST(failed_at AS DATE) AS day, CAST(count(*) AS BIGINT) AS depth
+FROM dlq GROUP BY ALL""")
+def dlq_depth(spark, sf_dir):
+    """Dead-letter depth per stage, error type and day."""
+    return deadletters.depth(query_dead_letters(spark, sf_dir))
+
+
+@query("dlq_retention", oracle=f"""WITH {DLQ_SQL}
+SELECT event_id, strftime(failed_at, '%Y-%m-%d %H:%M:%S.%f') AS failed_at FROM dlq
+WHERE failed_at > (SELECT max(failed_at) FROM dlq) - INTERVAL 14 DAY""")
+def dlq_retention(spark, sf_dir):
+    """Dead letters kept by the 14-day retention rule."""
+    kept = deadletters.retain(query_dead_letters(spark, sf_dir))
+    return kept.select(F.get_json_object("payload", "$.event_id").cast("bigint").alias("event_id"),
+                       F.date_format("failed_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("failed_at"))
+
+
+@query("dlq_replay", oracle=f"""WITH {DLQ_SQL}
+SELECT event_id, attempt + 1 AS next_attempt,
+       CASE WHEN attempt + 1 <= {C.MAX_ATTEMPTS} THEN 'RETRY' ELSE 'GIVE_UP' END AS replay_action FROM dlq""")
+def dlq_replay(spark, sf_dir):
+    """Payload parsed back, attempt counted up, retry until the third attempt."""
+    r = deadletters.replay(query_dead_letters(spark, sf_dir))
+    payload = F.from_json("payload", "event_id bigint, user_id bigint, value double, props string")
+    return r.select(payload["event_id"].alias("event_id"), "next_attempt", "replay_action")
+
+
+# ---------------------------------------------------------------- event / request sources
+
+EVENT_KEY_SQL = ("'uploads/u' || CAST(user_id AS VARCHAR) || '/' || event_type || '+report%20' || "
+                 "CAST(event_id AS VARCHAR) || '.txt'")
+
+
+def event_records(spark, sf_dir):
+    """Object-created records in the three shapes, built from the request log."""
+    e = read_table(spark, sf_dir, "events")
+    key = F.concat(F.lit("uploads/u"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_type"),
+                   F.lit("+report%20"), F.col("event_id").cast("string"), F.lit(".txt"))
+    b = F.lit(C.DEFAULT_BUCKET)
+    shape = F.pmod(F.col("event_id"), F.lit(3))
+    flat = F.to_json(F.struct(b.alias("bucket"), key.alias("key")))
+    detail = F.to_json(F.struct(F.struct(F.struct(b.alias("name")).alias("bucket"),
+                                         F.struct(key.alias("key")).alias("object")).alias("detail")))
+    records = F.to_json(F.struct(F.array(F.struct(F.struct(
+        F.struct(b.alias("name")).alias("bucket"), F.struct(key.alias("key")).alias("object"))
+        .alias("s3"))).alias("Records")))
+    js = F.when(shape == 0, flat).when(shape == 1, detail).otherwise(records)
+    return e.select("event_id", js.alias("event_json"))
+
+
+@query("resolve_event_location", oracle=f"""
+SELECT event_id, '{C.DEFAULT_BUCKET}' AS bucket, url_decode(replace({EVENT_KEY_SQL}, '+', ' ')) AS key,
+       CASE event_id % 3 WHEN 0 THEN 'flat' WHEN 1 THEN 'detail' ELSE 'records' END AS event_shape,
+       'RESOLVED' AS resolve_status FROM events""")
+def resolve_event_location(spark, sf_dir):
+    """S2 + P3: bucket and decoded key from flat, detail and Records event shapes."""
+    r = ev.resolve_event_location(event_records(spark, sf_dir))
+    return r.select("event_id", "bucket", "key", "event_shape", "resolve_status")
+
+
+@query("parse_question_requests", oracle=f"""
+SELECT item_id AS request_id, NULLIF({S.strip_sql('text')}, '') AS question,
+       CASE WHEN {S.strip_sql('text')} = '' THEN 400 ELSE 200 END AS status_code,
+       '***' AS api_key_header, 'application/json' AS content_type_header
+FROM benchmark""")
+def parse_question_requests(spark, sf_dir):
+    """S4 + F8 + P11: question requests (every third body base64-encoded) parsed, with
+    credential headers masked."""
+    b = read_table(spark, sf_dir, "benchmark")
+    body = F.to_json(F.struct(F.col("text").alias("question")))
+    enc = F.pmod(F.col("item_id"), F.lit(3)) == 0
+    req = b.select(F.col("item_id").alias("request_id"),
+                   F.when(enc, F.base64(F.encode(body, "UTF-8"))).otherwise(body).alias("body"),
+                   enc.alias("is_base64"),
+                   F.create_map(F.lit("X-Api-Key"), F.concat(F.lit("key-"), F.col("item_id").cast("string")),
+                                F.lit("Content-Type"), F.lit("application/json")).alias("headers"))
+    p = ev.parse_question_requests(req)
+    return p.select("request_id", F.when(F.col("status_code") == 200, F.col("question")).alias("question"),
+                    "status_code", F.col("headers_masked")["X-Api-Key"].alias("api_key_header"),
+                    F.col("headers_masked")["Content-Type"].alias("content_type_header"))
+
+
+@query("page_assembly", oracle=f"""
+SELECT conv_id AS doc_id, string_agg(COALESCE(text, ''), chr(10) ORDER BY turn) AS text,
+       CAST(count(*) AS INTEGER) AS page_count
+FROM conversations WHERE role <> 'system' GROUP BY conv_id""")
+def page_assembly(spark, sf_dir):
+    """Document text from its pages in order (conversation turns stand in for pages;
+    system turns play the pages whose extraction failed and are left out)."""
+    c = read_table(spark, sf_dir, "conversations")
+    pages = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), "text",
+                     (F.col("role") == "system").alias("failed"))
+    return obj.assemble_pages(pages, failed_col="failed")
+
+
+@query("byte_segments", oracle="""
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5, true AS within_limit
+FROM documents""")
+def byte_segments(spark, sf_dir):
+    """P10: every document cut into <= 4 KB UTF-8 segments at code-point (preferably
+    whitespace) boundaries; concatenation restores the text exactly."""
+    d = read_table(spark, sf_dir, "documents")
+    limit = 4096
+    s = d.select("doc_id", segmentation.byte_segments(F.col("text"), limit).alias("seg"))
+    return s.select(
+        "doc_id", F.aggregate("seg", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)).alias("n_chars"),
+        F.md5(F.array_join("seg", "")).alias("text_md5"),
+        F.aggregate("seg", F.lit(True), lambda a, x: a & (F.octet_length(x) <= limit)).alias("within_limit"))
+
+
+@query("pii_redact_spans", oracle=f"""
+SELECT doc_id, regexp_replace(text, {q(dict(__import__('docweave.functions.pii', fromlist=['P']).PII_PATTERNS)['EMAIL'])},
+                              '[REDACTED_EMAIL]', 'g') AS redacted_text FROM documents""")
+def pii_redact_spans(spark, sf_dir):
+    """P9 + U1: detector spans (default regex detector, e-mail type) spliced right to left
+    by code-point offsets."""
+    d = read_table(spark, sf_dir, "documents")
+    spans = segmentation.detect_spans(F.col("text"), segmentation.regex_detector(["EMAIL"]))
+    return d.select("doc_id", redaction.splice_spans(F.col("text"), spans).alias("redacted_text"))
+
+
+@query("pii_type_filter", oracle="""
+WITH e AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'EMAIL' WHEN 'view' THEN 'NAME'
+             WHEN 'purchase' THEN 'CREDIT_DEBIT_NUMBER' WHEN 'signup' THEN 'ADDRESS' ELSE 'SSN' END AS type
+           FROM events)
+SELECT event_id, type, CASE type WHEN 'CREDIT_DEBIT_NUMBER' THEN 'CREDIT_CARD' ELSE type END AS label
+FROM e WHERE type IN ('SSN', 'EMAIL', 'NAME', 'PHONE', 'CREDIT_DEBIT_NUMBER')""")
+def pii_type_filter(spark, sf_dir):
+    """detector entity types filtered to the accepted five and mapped to labels (event
+    types of the log stand in for detector entity types)."""
+    e = read_table(spark, sf_dir, "events")
+    t = (F.when(F.col("event_type") == "click", "EMAIL").when(F.col("event_type") == "view", "NAME")
+         .when(F.col("event_type") == "purchase", "CREDIT_DEBIT_NUMBER")
+         .when(F.col("event_type") == "signup", "ADDRESS").otherwise("SSN"))
+    return routing.pii_type_filter(e.select("event_id", t.alias("type")))
+
+
+# FIXED VALUES: a small gazetteer for the NAME detector (one- and two-word names).
+GAZETTEER = ["Alice", "Bob", "Maria", "Jean", "Hans", "Carlos", "John Smith", "Anna Müller",
+             "Marie Curie", "José García"]
+
+
+@query("pii_name_gazetteer", oracle=f"""
+WITH tok AS (SELECT doc_id, {S.tokens_sql('text')} AS t FROM documents),
+g AS (SELECT doc_id, unnest(t) AS w1, unnest(list_concat(t[2:], [NULL])) AS w2 FROM tok),
+names(name) AS (VALUES {", ".join("(" + q(n) + ")" for n in GAZETTEER)}),
+grams AS (SELECT doc_id, regexp_replace(w1, '[^\\p{{L}}\\p{{N}}]+$', '') AS ngram FROM g
+          UNION ALL SELECT doc_id, w1 || ' ' || regexp_replace(w2, '[^\\p{{L}}\\p{{N}}]+$', '') FROM g WHERE w2 IS NOT NULL),
+hits AS (SELECT doc_id, count(*) AS n FROM grams JOIN names ON grams.ngram = names.name GROUP BY doc_id)
+SELECT d.doc_id, CAST(COALESCE(h.n, 0) AS BIGINT) AS name_hits FROM documents d LEFT JOIN hits h USING (doc_id)""")
+def pii_name_gazetteer(spark, sf_dir):
+    """NAME mentions found by joining token uni/bi-grams to a gazetteer (broadcast:
+    the name list is a fixed, small dimension)."""
+    d = read_table(spark, sf_dir, "documents")
+    names = spark.createDataFrame([(n,) for n in GAZETTEER], "name string")
+    hits = redaction.gazetteer_spans(d, names, "text", "doc_id")
+    per = hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return d.select("doc_id").join(per, "doc_id", "left").select(
+        "doc_id", F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("name_hits"))

@@ -22,7 +22,8 @@ BASE_CONF = {
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "docweave", extra: dict | None = None) -> SparkSession:
+                app_name: str = "docweave", extra: dict | None = None,
+                driver_memory: str | None = None) -> SparkSession:
     """Build (or reuse) a session with the docweave defaults.
 
     On a cluster pass ``master=None`` and let spark-submit decide; tests use ``local[*]``.
@@ -31,6 +32,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     if master:
         b = b.master(master)
     conf = dict(BASE_CONF)
+    if driver_memory:
+        # only effective when this call starts the JVM (local runs)
+        conf["spark.driver.memory"] = driver_memory
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if extra:
