@@ -164,9 +164,17 @@ def round_robin(requests: DataFrame, id_col: str, questions: list[str] = C.DEFAU
                                                 .cast("int")).alias("question"))
 
 
+def _event_time(df: DataFrame, ts_col: str):
+    """The event-time column as TIMESTAMP (a cast only for TIMESTAMP_NTZ input, so a
+    watermarked streaming column is used as is)."""
+    if df.schema[ts_col].dataType.typeName() == "timestamp":
+        return F.col(ts_col)
+    return F.col(ts_col).cast("timestamp")
+
+
 def quota_daily(log: DataFrame, key_col: str, ts_col: str, limit: int = C.DAILY_QUOTA) -> DataFrame:
     """Requests per key and UTC day against the daily quota (partial aggregation)."""
-    w = F.window(F.col(ts_col).cast("timestamp"), "1 day")
+    w = F.window(_event_time(log, ts_col), "1 day")
     g = log.groupBy(key_col, w.alias("w")).agg(F.count(F.lit(1)).cast("bigint").alias("requests"))
     return g.select(key_col, F.col("w.start").alias("day_start"), "requests",
                     (F.col("requests") > limit).alias("over_quota"))
@@ -174,7 +182,7 @@ def quota_daily(log: DataFrame, key_col: str, ts_col: str, limit: int = C.DAILY_
 
 def rate_windows(log: DataFrame, ts_col: str, length: str, slide: str | None, limit: int) -> DataFrame:
     """Request count per tumbling (or sliding) window against a limit."""
-    t = F.col(ts_col).cast("timestamp")
+    t = _event_time(log, ts_col)
     w = F.window(t, length, slide) if slide else F.window(t, length)
     g = log.groupBy(w.alias("w")).agg(F.count(F.lit(1)).cast("bigint").alias("requests"))
     return g.select(F.col("w.start").alias("window_start"), "requests",
@@ -183,7 +191,7 @@ def rate_windows(log: DataFrame, ts_col: str, length: str, slide: str | None, li
 
 def sessions(log: DataFrame, key_col: str, ts_col: str, gap: str = "30 minutes") -> DataFrame:
     """Sessions of activity per key (a new session after ``gap`` of silence)."""
-    s = F.session_window(F.col(ts_col).cast("timestamp"), gap)
+    s = F.session_window(_event_time(log, ts_col), gap)
     g = log.groupBy(key_col, s.alias("s")).agg(F.count(F.lit(1)).cast("bigint").alias("requests"))
     return g.select(key_col, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"),
                     "requests")

@@ -1 +1,90 @@
-"""Queries (filled in below)."""
+"""Streaming queries (R2, R3, R9): each runs a Structured Streaming job to completion
+(``availableNow``) over files derived from the supplied tables, then returns the sink
+contents as a DataFrame."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from docweave.plans import common
+from docweave.plans.catalog import query
+from docweave.session import scratch_path
+from docweave.sources.tables import read_table
+from docweave.streaming import jobs
+
+EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
+def _events_stream(spark, sf_dir, copies: int = 1):
+    """The log file as a file stream; ``copies`` > 1 replays it (duplicate deliveries)."""
+    def one():
+        return (spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet")
+                .parquet(sf_dir.rstrip("/")))
+    out = one()
+    for _ in range(copies - 1):
+        out = out.unionByName(one())
+    return out
+
+
+def _run_to_parquet(stream_df, spark, name: str, mode: str = "append"):
+    base = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    q = (stream_df.writeStream.format("parquet").outputMode(mode)
+         .option("checkpointLocation", f"{base}/_checkpoint").option("path", f"{base}/data")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(stream_df.schema).parquet(f"{base}/data")
+
+
+@query("stream_dedup", oracle="""
+SELECT DISTINCT event_id, user_id, event_type, value FROM events""")
+def stream_dedup(spark, sf_dir):
+    """The log delivered twice, de-duplicated by event id within a 60-day watermark;
+    equals the batch distinct set."""
+    s = jobs.dedupe(_events_stream(spark, sf_dir, copies=2), ["event_id"], "ts", "60 days")
+    out = _run_to_parquet(s.select("event_id", "user_id", "event_type", "value", "ts"), spark, "dedup")
+    return out.select("event_id", "user_id", "event_type", "value")
+
+
+@query("stream_latency_dashboard")
+def stream_latency_dashboard(spark, sf_dir):
+    """Hourly approximate latency percentiles per stage from the log stream (closed
+    windows only, append mode)."""
+    from docweave.operators import metrics as M
+    s = _events_stream(spark, sf_dir).where(F.col("event_type") != "error") \
+        .withColumn("stage", M.stage_of(F.col("event_type")))
+    d = jobs.latency_dashboard(s, "ts", "stage", "value", "1 hour", "1 hour")
+    return _run_to_parquet(d, spark, "dashboard")
+
+
+@query("stream_quota_daily")
+def stream_quota_daily(spark, sf_dir):
+    """R4 (streaming): daily request counts per key, emitted for closed days."""
+    d = jobs.quota_stream(_events_stream(spark, sf_dir), "user_id", "ts", "1 hour")
+    return _run_to_parquet(d, spark, "quota")
+
+
+def _object_files(spark, sf_dir):
+    """Write every document as one text object ``doc_id=<id>/part-*.txt`` (Spark text sink)."""
+    base = scratch_path(spark, f"objects-{uuid.uuid4().hex}")
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    d.write.partitionBy("doc_id").text(f"{base}/uploads")
+    return f"{base}/uploads"
+
+
+@query("stream_ingest", oracle=f"""WITH {common.chunk_rows_sql()}
+SELECT doc_id, chunk_id, token_count, text_chunk FROM chunk_rows""")
+def stream_ingest(spark, sf_dir):
+    """R1 + R2: documents landed as text objects, ingested by a file stream with
+    foreachBatch (route, redact, chunk, embed, upsert); the indexed chunks read back."""
+    root = _object_files(spark, sf_dir)
+    out = scratch_path(spark, f"stream-ingest-{uuid.uuid4().hex}")
+    q = jobs.start_ingest_stream(spark, root, out, f"{out}/_checkpoint", dim=common.TEXT_DIM,
+                                 max_files_per_trigger=400)
+    q.awaitTermination()
+    from docweave.sinks import tables as sinks
+    idx = sinks.read_index_latest(spark, f"{out}/index")
+    doc_id = F.regexp_extract("source_document", r"doc_id=(\d+)/", 1).cast("bigint")
+    return idx.select(doc_id.alias("doc_id"), "chunk_id",
+                      F.size(F.split("text_chunk", " ")).alias("token_count"), "text_chunk")

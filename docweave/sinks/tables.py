@@ -111,6 +111,24 @@ def write_index(rows: DataFrame, base: str, mode: str = "upsert",
     return version
 
 
+def append_index_batch(rows: DataFrame, base: str, batch_id: int,
+                       dim: int = C.EMBED_DIMENSIONS) -> None:
+    """K2 for streams: write one micro-batch's rows under ``batch_id=<n>`` (overwrite, so
+    a replayed batch replaces itself). Cost is proportional to the batch, not the index;
+    :func:`read_index_latest` resolves repeated keys and :func:`write_index` compacts."""
+    rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in schemas.INDEX_ROW.fields])
+    rows.where(F.size("vector") == dim).write.mode("overwrite") \
+        .parquet(f"{base.rstrip('/')}/batches/batch_id={int(batch_id)}")
+
+
+def read_index_latest(spark: SparkSession, base: str) -> DataFrame:
+    """Merge on read: latest row per ``chunk_key`` over all appended batches."""
+    df = spark.read.parquet(f"{base.rstrip('/')}/batches")
+    w = Window.partitionBy("chunk_key").orderBy(F.col("timestamp").desc_nulls_last(),
+                                                F.col("batch_id").desc())
+    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "batch_id")
+
+
 # ------------------------------------------------------------------ K4 / K5 / K6
 
 def append_dead_letters(dlq: DataFrame, path: str) -> None:
