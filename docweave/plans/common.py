@@ -36,6 +36,13 @@ def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         T.processed_key("source_key").alias("processed_key"))
 
 
+def chunk_rows_checkpointed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`chunk_rows` materialised once (reliable checkpoint in the shared checkpoint
+    folder) for plans that read the chunks twice -- vectors for the search, text and
+    metadata for the hits -- instead of redacting and cutting the corpus twice."""
+    return chunk_rows(spark, sf_dir).checkpoint(eager=True)
+
+
 def chunk_index(spark: SparkSession, sf_dir: str, dim: int = TEXT_DIM) -> DataFrame:
     """Chunk rows plus their hashing-embedder vector (ARRAY<DOUBLE>)."""
     return embedding.embed(chunk_rows(spark, sf_dir), "text_chunk", "vector", dim)

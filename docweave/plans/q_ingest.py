@@ -9,7 +9,7 @@ from docweave.functions import text as T
 from docweave.operators import chunking, redaction
 from docweave.plans import sqltext as S
 from docweave.plans.catalog import query
-from docweave.sources.tables import read_table, source_documents
+from docweave.sources.tables import read_documents, source_documents
 
 q = S.q
 
@@ -19,7 +19,7 @@ WITH {S.chunk_ctes('documents', 'text', 'doc_id')}
 SELECT doc_id, chunk_id, token_count, start_token, end_token, text_chunk FROM chunks""")
 def chunk_documents(spark, sf_dir):
     """T2 (flagship): every document cut into 500-token chunks with 50-token overlap."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read_documents(spark, sf_dir, ["doc_id", "text"])
     return chunking.chunk_documents(docs, "text", keep=["doc_id"])
 
 
@@ -29,7 +29,7 @@ SELECT doc_id, CAST(len(regexp_extract_all(text, {q(S.TOKEN_RE)})) AS BIGINT) AS
 FROM documents""")
 def tokenize_documents(spark, sf_dir):
     """Token count and a digest of the token sequence per document."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", T.tokens("text").alias("tok"))
+    d = read_documents(spark, sf_dir, ["doc_id", "text"]).select("doc_id", T.tokens("text").alias("tok"))
     return d.select("doc_id", F.size("tok").cast("bigint").alias("n_tokens"),
                     F.md5(F.array_join("tok", " ")).alias("tokens_md5"))
 

@@ -21,7 +21,7 @@ from docweave.session import scratch_path
 from docweave.sinks import tables as sinks
 from docweave.sources import events as ev
 from docweave.sources import objects as obj
-from docweave.sources.tables import read_table, source_documents
+from docweave.sources.tables import read_documents, read_table, source_documents
 
 q = S.q
 RUN_TS = "2024-02-01 00:00:00"
@@ -58,15 +58,15 @@ routed AS (
   SELECT bucket, source_key,
     CASE WHEN starts_with(source_key, 'processed/') THEN 'SKIPPED'
          WHEN NOT regexp_matches(lower(source_key), {q(EXT_RE)}) THEN 'FAILED'
-         WHEN text IS NULL OR NOT regexp_matches(text, {q(T.NON_BLANK_PATTERN)}) THEN 'FAILED'
+         WHEN text IS NULL OR NOT regexp_matches(text, {q(T.RE2_NON_BLANK_PATTERN)}) THEN 'FAILED'
          ELSE 'SUCCESS' END AS status,
     CASE WHEN starts_with(source_key, 'processed/') THEN 'object_under_processed_prefix' END AS reason,
     CASE WHEN starts_with(source_key, 'processed/') THEN NULL
          WHEN NOT regexp_matches(lower(source_key), {q(EXT_RE)}) THEN 'ValueError'
-         WHEN text IS NULL OR NOT regexp_matches(text, {q(T.NON_BLANK_PATTERN)}) THEN 'ValueError' END AS error_type,
+         WHEN text IS NULL OR NOT regexp_matches(text, {q(T.RE2_NON_BLANK_PATTERN)}) THEN 'ValueError' END AS error_type,
     CASE WHEN starts_with(source_key, 'processed/') THEN NULL
          WHEN NOT regexp_matches(lower(source_key), {q(EXT_RE)}) THEN 'Unsupported object key extension: ' || source_key
-         WHEN text IS NULL OR NOT regexp_matches(text, {q(T.NON_BLANK_PATTERN)}) THEN 'Extracted text is empty' END AS error_message,
+         WHEN text IS NULL OR NOT regexp_matches(text, {q(T.RE2_NON_BLANK_PATTERN)}) THEN 'Extracted text is empty' END AS error_message,
     text
   FROM listing),
 ok_docs AS (SELECT * FROM routed WHERE status = 'SUCCESS'),
@@ -137,10 +137,10 @@ def filter_recursion_guard(spark, sf_dir):
 
 
 @query("filter_empty_text", oracle=f"""
-SELECT doc_id, (text IS NULL OR NOT regexp_matches(text, {q(T.NON_BLANK_PATTERN)})) AS blank FROM documents""")
+SELECT doc_id, (text IS NULL OR NOT regexp_matches(text, {q(T.RE2_NON_BLANK_PATTERN)})) AS blank FROM documents""")
 def filter_empty_text(spark, sf_dir):
     """documents whose text has no non-whitespace character."""
-    d = read_table(spark, sf_dir, "documents")
+    d = read_documents(spark, sf_dir, ["doc_id", "text"])
     return d.select("doc_id", T.is_blank("text").alias("blank"))
 
 
@@ -436,7 +436,7 @@ FROM documents""")
 def byte_segments(spark, sf_dir):
     """P10: every document cut into <= 4 KB UTF-8 segments at code-point (preferably
     whitespace) boundaries; concatenation restores the text exactly."""
-    d = read_table(spark, sf_dir, "documents")
+    d = read_documents(spark, sf_dir, ["doc_id", "text"])
     limit = 4096
     s = d.select("doc_id", segmentation.byte_segments(F.col("text"), limit).alias("seg"))
     return s.select(
@@ -451,7 +451,7 @@ SELECT doc_id, regexp_replace(text, {q(dict(__import__('docweave.functions.pii',
 def pii_redact_spans(spark, sf_dir):
     """P9 + U1: detector spans (default regex detector, e-mail type) spliced right to left
     by code-point offsets."""
-    d = read_table(spark, sf_dir, "documents")
+    d = read_documents(spark, sf_dir, ["doc_id", "text"])
     spans = segmentation.detect_spans(F.col("text"), segmentation.regex_detector(["EMAIL"]))
     return d.select("doc_id", redaction.splice_spans(F.col("text"), spans).alias("redacted_text"))
 
@@ -488,7 +488,7 @@ SELECT d.doc_id, CAST(COALESCE(h.n, 0) AS BIGINT) AS name_hits FROM documents d
 def pii_name_gazetteer(spark, sf_dir):
     """NAME mentions found by joining token uni/bi-grams to a gazetteer (broadcast:
     the name list is a fixed, small dimension)."""
-    d = read_table(spark, sf_dir, "documents")
+    d = read_documents(spark, sf_dir, ["doc_id", "text"])
     names = spark.createDataFrame([(n,) for n in GAZETTEER], "name string")
     hits = redaction.gazetteer_spans(d, names, "text", "doc_id")
     per = hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docweave import constants as C
-from docweave.operators import rag, retrieval
+from docweave.operators import embedding, rag, retrieval
 from docweave.plans import common
 from docweave.plans import sqltext as S
 from docweave.plans.catalog import query
@@ -17,8 +17,8 @@ MIN_SCORE = 0.0
 
 def _retrieve(spark, sf_dir, lang: str | None = None):
     """Questions, top-k hits with metadata (J1 + J7), optionally filtered by language."""
-    index = common.chunk_index(spark, sf_dir)
-    rows = common.chunk_rows(spark, sf_dir)
+    rows = common.chunk_rows_checkpointed(spark, sf_dir)
+    index = embedding.embed(rows, "text_chunk", "vector", common.TEXT_DIM)
     if lang is not None:
         # metadata filter applied before the search; the scan/projection prunes the rest
         index = index.where(F.col("lang") == lang)

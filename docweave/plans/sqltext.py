@@ -7,7 +7,7 @@ from docweave.functions import pii as P
 from docweave.functions import text as T
 from docweave.sources.tables import SOURCE_DOCUMENTS_SQL
 
-TOKEN_RE = T.TOKEN_PATTERN
+TOKEN_RE = T.RE2_TOKEN_PATTERN
 SIZE = C.CHUNK_SIZE_TOKENS
 STEP = C.CHUNK_SIZE_TOKENS - C.CHUNK_OVERLAP_TOKENS
 
@@ -19,7 +19,7 @@ def q(s: str) -> str:
 
 def strip_sql(expr: str) -> str:
     """Python ``str.strip()`` in DuckDB."""
-    return f"regexp_replace({expr}, {q(T.STRIP_PATTERN)}, '', 'g')"
+    return f"regexp_replace({expr}, {q(T.RE2_STRIP_PATTERN)}, '', 'g')"
 
 
 def tokens_sql(expr: str) -> str:

@@ -19,12 +19,38 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, probe_col: str, min_fill: float = 0.5) -> DataFrame:
+    """Spread rows over the cluster before CPU-heavy row-local work, only if needed.
+
+    A parquet row group is the unit of a scan split, so a file written as one big row
+    group is read by one task no matter how many cores exist. A cheap probe (one pruned
+    column, partition ids only) counts the non-empty scan partitions; when fewer than
+    ``min_fill`` of the default parallelism are busy the rows are round-robin
+    repartitioned, otherwise the frame is returned untouched (no shuffle), which is the
+    normal case for well-formed inputs at scale.
+    """
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    busy = df.select(probe_col).groupBy(F.spark_partition_id()).count().count()
+    if busy >= max(1, int(target * min_fill)):
+        return df
+    return df.repartition(target * 2)
+
+
+def read_documents(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
+    """``documents`` (optionally projected), spread for the text-heavy operators."""
+    d = read_table(spark, sf_dir, "documents")
+    if columns:
+        d = d.select(*columns)
+    return spread(d, "doc_id")
+
+
 def source_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as uploaded text objects: ``doc_id, bucket, source_key, lang, source, text``.
 
     The object key is ``uploads/<source>/<doc_id>.txt`` and the bucket a constant.
     """
-    d = read_table(spark, sf_dir, "documents")
+    d = read_documents(spark, sf_dir, ["doc_id", "lang", "source", "text"])
     return d.select(
         "doc_id",
         F.lit(C.DEFAULT_BUCKET).alias("bucket"),
