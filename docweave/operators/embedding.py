@@ -62,7 +62,9 @@ def _vectors_udf(dim: int):
     @F.pandas_udf(TY.ArrayType(TY.DoubleType()))
     def vectors(codes: pd.Series) -> pd.Series:
         return _codes_to_vectors(codes, dim)
-    return vectors
+    # Marked non-deterministic only so the optimizer never copies the call into a pushed
+    # filter (e.g. the `size(v) > 0` it infers for explode): the model runs once per row.
+    return vectors.asNondeterministic()
 
 
 def hash_embed(text: Column, dim: int = C.EMBED_DIMENSIONS) -> Column:
@@ -85,14 +87,15 @@ def embed(df: DataFrame, text_col: str, out_col: str = "vector", dim: int = C.EM
     def model_udf(texts: pd.Series) -> pd.Series:
         return model_fn(texts)
 
-    return df.withColumn(out_col, model_udf(F.col(text_col)))
+    return df.withColumn(out_col, model_udf.asNondeterministic()(F.col(text_col)))
 
 
 def sparse_weights(df: DataFrame, vec_col: str = "vector", keep: list[str] | None = None) -> DataFrame:
     """Long form of dense vectors: ``keep + (bucket, weight)`` for non-zero coordinates,
     weight rounded to 6 digits."""
     keep = keep or [c for c in df.columns if c != vec_col]
-    return (df.select(*keep, F.posexplode(vec_col).alias("bucket", "w"))
+    # the outer form carries no inferred `size(v) > 0` filter; zero/NULL weights drop here
+    return (df.select(*keep, F.posexplode_outer(vec_col).alias("bucket", "w"))
               .where(F.col("w") != 0)
               .select(*keep, F.col("bucket").cast("bigint").alias("bucket"),
                       F.round("w", 6).alias("weight")))

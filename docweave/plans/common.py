@@ -23,9 +23,10 @@ def chunk_key(source_document, chunk_id):
     return F.sha2(F.concat(source_document, F.lit(":"), chunk_id.cast("string")), 256)
 
 
-def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Redacted chunks of every document with index metadata (no vector yet)."""
-    red = redaction.redact_documents(source_documents(spark, sf_dir))
+def chunk_rows(spark: SparkSession, sf_dir: str, where=None) -> DataFrame:
+    """Redacted chunks of every document (optionally only those matching ``where``, a
+    filter on document columns pushed into the scan) with index metadata, no vector."""
+    red = redaction.redact_documents(source_documents(spark, sf_dir, where))
     ch = chunking.chunk_documents(red, "redacted_text",
                                   keep=["doc_id", "bucket", "source_key", "lang", "source",
                                         "pii_masked_flag"])
@@ -36,11 +37,11 @@ def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         T.processed_key("source_key").alias("processed_key"))
 
 
-def chunk_rows_checkpointed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chunk_rows_checkpointed(spark: SparkSession, sf_dir: str, where=None) -> DataFrame:
     """:func:`chunk_rows` materialised once (reliable checkpoint in the shared checkpoint
     folder) for plans that read the chunks twice -- vectors for the search, text and
     metadata for the hits -- instead of redacting and cutting the corpus twice."""
-    return chunk_rows(spark, sf_dir).checkpoint(eager=True)
+    return chunk_rows(spark, sf_dir, where).checkpoint(eager=True)
 
 
 def chunk_index(spark: SparkSession, sf_dir: str, dim: int = TEXT_DIM) -> DataFrame:

@@ -17,11 +17,10 @@ MIN_SCORE = 0.0
 
 def _retrieve(spark, sf_dir, lang: str | None = None):
     """Questions, top-k hits with metadata (J1 + J7), optionally filtered by language."""
-    rows = common.chunk_rows_checkpointed(spark, sf_dir)
+    # a metadata filter (J11) is applied at the documents scan, before any text work
+    rows = common.chunk_rows_checkpointed(spark, sf_dir,
+                                          None if lang is None else F.col("lang") == lang)
     index = embedding.embed(rows, "text_chunk", "vector", common.TEXT_DIM)
-    if lang is not None:
-        # metadata filter applied before the search; the scan/projection prunes the rest
-        index = index.where(F.col("lang") == lang)
     qs = common.questions(spark, sf_dir)
     hits = retrieval.knn_search(qs.select("query_id", "query_vector"),
                                 index.select("chunk_key", "vector"), C.TOP_K)

@@ -37,20 +37,24 @@ def spread(df: DataFrame, probe_col: str, min_fill: float = 0.5) -> DataFrame:
     return df.repartition(target * 2)
 
 
-def read_documents(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
-    """``documents`` (optionally projected), spread for the text-heavy operators."""
+def read_documents(spark: SparkSession, sf_dir: str, columns: list[str] | None = None,
+                   where=None) -> DataFrame:
+    """``documents`` (optionally filtered -- pushed into the parquet scan -- and projected),
+    spread for the text-heavy operators."""
     d = read_table(spark, sf_dir, "documents")
+    if where is not None:
+        d = d.where(where)
     if columns:
         d = d.select(*columns)
     return spread(d, "doc_id")
 
 
-def source_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def source_documents(spark: SparkSession, sf_dir: str, where=None) -> DataFrame:
     """Documents as uploaded text objects: ``doc_id, bucket, source_key, lang, source, text``.
 
     The object key is ``uploads/<source>/<doc_id>.txt`` and the bucket a constant.
     """
-    d = read_documents(spark, sf_dir, ["doc_id", "lang", "source", "text"])
+    d = read_documents(spark, sf_dir, ["doc_id", "lang", "source", "text"], where)
     return d.select(
         "doc_id",
         F.lit(C.DEFAULT_BUCKET).alias("bucket"),
