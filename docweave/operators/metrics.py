@@ -189,9 +189,26 @@ def rate_windows(log: DataFrame, ts_col: str, length: str, slide: str | None, li
                     (F.col("requests") > limit).alias("over_limit"))
 
 
-def sessions(log: DataFrame, key_col: str, ts_col: str, gap: str = "30 minutes") -> DataFrame:
-    """Sessions of activity per key (a new session after ``gap`` of silence)."""
-    s = F.session_window(_event_time(log, ts_col), gap)
-    g = log.groupBy(key_col, s.alias("s")).agg(F.count(F.lit(1)).cast("bigint").alias("requests"))
-    return g.select(key_col, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"),
-                    "requests")
+def sessions(log: DataFrame, key_col: str, ts_col: str, gap: str = "30 minutes",
+             bucket_seconds: int = 86_400) -> DataFrame:
+    """Sessions of activity per key (a new session after ``gap`` of silence).
+
+    Two phases so that a hot key is not sessionized in one task: (1) sessions inside
+    each (key, time bucket) group -- a hot key spreads over its buckets; (2) the
+    compacted session intervals are merged across bucket borders with a dynamic-gap
+    ``session_window`` (interval ``[first, last + gap]``; overlapping intervals merge,
+    which is exactly Spark's event-level merge rule). Result equals a single
+    ``session_window(ts, gap)`` aggregation.
+    """
+    t = _event_time(log, ts_col)
+    ev = log.select(key_col, t.alias("_ts"))
+    bucket = F.floor(F.unix_seconds("_ts") / F.lit(bucket_seconds))
+    s1 = ev.groupBy(key_col, bucket.alias("_b"), F.session_window("_ts", gap).alias("_s")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    s1 = s1.select(key_col, F.col("_s.start").alias("_start"), F.col("_s.end").alias("_end"), "_n")
+    span_us = F.unix_micros("_end") - F.unix_micros("_start")
+    span = F.make_interval(secs=(span_us.cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)"))
+    s2 = s1.groupBy(key_col, F.session_window("_start", span).alias("s")) \
+           .agg(F.sum("_n").cast("bigint").alias("requests"))
+    return s2.select(key_col, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"),
+                     "requests")

@@ -102,16 +102,23 @@ def knn_search(queries: DataFrame, index: DataFrame, k: int = C.TOP_K, *,
                query_id: str = "query_id", query_vec: str = "query_vector",
                index_id: str = "chunk_key", index_vec: str = "vector",
                exclude_self: bool = False, method: str = "auto",
-               max_broadcast_queries: int = 20_000, index_tile_rows: int = 50_000,
-               query_tile_rows: int = 4_096) -> DataFrame:
+               max_broadcast_queries: int = 20_000, max_broadcast_bytes: int = 128 << 20,
+               index_tile_rows: int = 50_000, query_tile_rows: int = 4_096) -> DataFrame:
     """Exact top-k neighbours per query.
 
-    Returns ``query_id, rank (1..k), <index_id>, score``.
+    Returns ``query_id, rank (1..k), <index_id>, score``. With ``method="auto"`` the
+    query matrix is broadcast only when its row count and its size in bytes
+    (rows x dim x 8) are both checked to be within bounds; otherwise the tiled plan runs.
     """
     q, ix, schema = _prep(queries, index, query_id, query_vec, index_id, index_vec)
     if method == "auto":
-        method = "broadcast" if q.limit(max_broadcast_queries + 1).count() <= max_broadcast_queries \
-            else "tiled"
+        n = q.limit(max_broadcast_queries + 1).count()
+        method = "tiled"
+        if n <= max_broadcast_queries:
+            first = q.select(F.size("_qv").alias("d")).first()
+            dim = first["d"] if first else 0
+            if n * dim * 8 <= max_broadcast_bytes:
+                method = "broadcast"
     if method == "broadcast":
         cand = _broadcast_candidates(q, ix, k, index_id, exclude_self, schema)
     elif method == "tiled":

@@ -98,4 +98,8 @@ def session_stream(stream: DataFrame, key_col: str, ts_col: str, gap: str = "30
                    delay: str = "1 hour") -> DataFrame:
     """R6 streaming: per-key sessions, emitted when the watermark passes the session end."""
     s = stream.withColumn(ts_col, F.col(ts_col).cast("timestamp")).withWatermark(ts_col, delay)
-    return metrics.sessions(s, key_col, ts_col, gap)
+    # streaming state merges sessions incrementally; one session_window aggregation
+    g = s.groupBy(key_col, F.session_window(ts_col, gap).alias("s")).agg(
+        F.count(F.lit(1)).cast("bigint").alias("requests"))
+    return g.select(key_col, F.col("s.start").alias("session_start"),
+                    F.col("s.end").alias("session_end"), "requests")
