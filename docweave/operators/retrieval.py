@@ -8,8 +8,8 @@ Plan shape (no cross join, never all pairs materialised):
 * **broadcast path** -- when the query set is at most ``max_broadcast_queries`` rows
   (checked with a count first), the query matrix is broadcast and the index is scanned
   where it lies with ``mapInPandas``: every Arrow batch of index rows is multiplied with
-  the query matrix in numpy and only the batch-local top-k per query leaves the task.
-  The index is never shuffled.
+  the query matrix in numpy, candidates are merged across the task's batches, and only
+  the task-local top-k per query leaves the task. The index is never shuffled.
 * **tiled path** -- beyond that bound, index rows are hashed into ``IB`` tiles of at most
   ``index_tile_rows`` and queries into ``QB`` blocks of at most ``query_tile_rows``; a
   ``cogroup`` on ``(tile, block)`` computes each tile/block product in one task with
@@ -139,17 +139,29 @@ def _broadcast_candidates(q, ix, k, index_id, exclude_self, schema):
 
     def fn(batches):
         bq, bQ = bc.value
+        best = None
         for b in batches:
             if len(b) == 0:
                 continue
             res = _block_topk(bq, bQ, b[index_id].to_numpy(), _matrix(b["_iv"].tolist()), k,
                               exclude_self)
-            if res is not None:
-                yield pd.DataFrame({"query_id": res[0], index_id: res[1], "s_int": res[2]})
+            if res is None:
+                continue
+            cand = pd.DataFrame({"query_id": res[0], index_id: res[1], "s_int": res[2]})
+            best = cand if best is None else _keep_topk(pd.concat([best, cand]), k, index_id)
+        if best is not None:
+            yield best          # at most k rows per query leave the task
 
     return ix.where(F.size("_iv") == dim).mapInPandas(fn, schema)
 
 
+def _keep_topk(cand: pd.DataFrame, k: int, index_id: str) -> pd.DataFrame:
+    """Top-k per query of a candidate frame by (score desc, id asc)."""
+    cand = cand.sort_values(["query_id", "s_int", index_id], ascending=[True, False, True],
+                            kind="mergesort")
+    return cand.groupby("query_id", sort=False).head(k)
+
+
 def _tiled_candidates(q, ix, k, index_id, exclude_self, schema, index_tile_rows, query_tile_rows):
     n_index = ix.count()
     n_q = q.count()
