@@ -206,11 +206,18 @@ def train_ivf(index: DataFrame, n_cells: int, index_vec: str = "vector", seed: i
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    from pyspark import StorageLevel
     feats = index.select(array_to_vector(F.col(index_vec)).alias("_f")) \
                  .where(F.col("_f").isNotNull())
+    # k-means makes one pass per iteration: keep its input materialised during the fit
+    # (memory, spilling to disk; recomputed from lineage if an executor is lost)
+    feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
     km = KMeans(k=n_cells, distanceMeasure="cosine", seed=seed, maxIter=max_iter,
                 featuresCol="_f", predictionCol="cell")
-    model = km.fit(feats)
+    try:
+        model = km.fit(feats)
+    finally:
+        feats.unpersist()
     cents = np.array(model.clusterCenters(), dtype=np.float64)
     norms = np.linalg.norm(cents, axis=1, keepdims=True)
     cents = cents / np.where(norms == 0, 1, norms)

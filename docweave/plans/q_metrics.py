@@ -43,14 +43,15 @@ def stage_long(spark, sf_dir):
     return samples(spark, sf_dir).where("ok").select("stage", "ms")
 
 
-PCT_SQL = ", ".join(f"quantile_cont(ms, {p}) AS {n}" for n, p in M.PCTS.items())
+PCT_SQL = ", ".join(f"round(quantile_cont(ms, {p}), 6) AS {n}" for n, p in M.PCTS.items())
 
 
 @query("percentiles", oracle=f"""WITH {SAMPLES_SQL}
 SELECT stage, {PCT_SQL} FROM samples WHERE ok GROUP BY stage""")
 def percentiles(spark, sf_dir):
-    """Exact interpolated p50/p90/p99 per stage (distributed, sort based)."""
-    return M.exact_percentiles(stage_long(spark, sf_dir), ["stage"], "ms")
+    """Exact interpolated p50/p90/p99 per stage (distributed, sort based), 6 digits."""
+    p = M.exact_percentiles(stage_long(spark, sf_dir), ["stage"], "ms")
+    return p.select("stage", *[F.round(n, 6).alias(n) for n in M.PCTS])
 
 
 SUMMARY_SQL = f"""summary AS (
