@@ -302,3 +302,35 @@ def abuse_sessions(spark, sf_dir):
     fmt = "yyyy-MM-dd HH:mm:ss.SSSSSS"
     return r.select("user_id", F.date_format("session_start", fmt).alias("session_start"),
                     F.date_format("session_end", fmt).alias("session_end"), "requests")
+
+
+def access_log_lines(e):
+    """Gateway access-log records (11 string fields) reconstructed from the request log."""
+    return e.select(
+        F.col("event_id").cast("string").alias("requestId"),
+        F.concat(F.lit("10.0."), F.pmod("user_id", F.lit(256)).cast("string"), F.lit(".1")).alias("ip"),
+        F.lit("-").alias("caller"), F.lit("-").alias("user"),
+        F.date_format(F.col("ts").cast("timestamp"), "dd/MMM/yyyy:HH:mm:ss Z").alias("requestTime"),
+        F.lit("POST").alias("httpMethod"), F.lit("/query").alias("resourcePath"),
+        F.when(F.col("event_type") == "error", "500").otherwise("200").alias("status"),
+        F.lit("HTTP/1.1").alias("protocol"), F.col("value").cast("string").alias("responseLength"),
+        F.concat(F.lit("key-"), F.col("user_id").cast("string")).alias("apiKeyId"))
+
+
+@query("access_log_daily", oracle="""
+SELECT strftime(CAST(date_trunc('second', ts) AS DATE), '%Y-%m-%d') AS day,
+       CASE WHEN event_type = 'error' THEN '500' ELSE '200' END AS status,
+       CAST(count(*) AS BIGINT) AS requests, CAST(count(DISTINCT user_id) AS BIGINT) AS api_keys
+FROM events GROUP BY ALL""")
+def access_log_daily(spark, sf_dir):
+    """Access log written as JSON lines, read back with the declared 11-field schema,
+    request time parsed; requests and distinct API keys per day and status."""
+    import uuid
+
+    from docweave.session import scratch_path
+    path = scratch_path(spark, f"access-log-{uuid.uuid4().hex}")
+    access_log_lines(read_table(spark, sf_dir, "events")).write.json(path)
+    log = ev.read_access_log(spark, path)
+    return log.groupBy(F.date_format("request_ts", "yyyy-MM-dd").alias("day"), "status").agg(
+        F.count(F.lit(1)).cast("bigint").alias("requests"),
+        F.countDistinct("apiKeyId").cast("bigint").alias("api_keys"))

@@ -127,3 +127,17 @@ def embedding_dim_guard(spark, sf_dir):
     g = embedding.dimension_guard(e, "vector", 64)
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     return g.select("vec_id", "embed_status", F.round(norm, 4).alias("norm"))
+
+
+@query("hash_embed_dense", oracle=f"""
+WITH {common.chunk_rows_sql()},
+{common.weights_sql('chunk_rows', 'chunk_key', 'text_chunk', 'cw')}
+SELECT chunk_key, {common.TEXT_DIM} AS dim, CAST(count(*) AS BIGINT) AS nonzero,
+       round(sqrt(sum(weight * weight)), 6) AS norm FROM cw GROUP BY chunk_key""")
+def hash_embed_dense(spark, sf_dir):
+    """T3 dense form: every chunk vector has the declared width and unit norm."""
+    idx = common.chunk_index(spark, sf_dir).select("chunk_key", "vector").where(F.col("vector").isNotNull())
+    return idx.select("chunk_key", F.size("vector").alias("dim"),
+                      F.size(F.filter("vector", lambda x: x != 0)).cast("bigint").alias("nonzero"),
+                      F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)), 6)
+                       .alias("norm"))
