@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docweave import constants as C
 from docweave.functions import text as T
 from docweave.operators import chunking, embedding, redaction
+from docweave.operators.ingest import chunk_key
 from docweave.plans import sqltext as S
 from docweave.sources.tables import read_table, source_documents
 
@@ -18,11 +19,6 @@ TEXT_DIM = C.EMBED_DIMENSIONS
 INDEX_TS = "2024-01-01 00:00:00"      # fixed index timestamp: checked outputs avoid wall clock
 
 
-def chunk_key(source_document, chunk_id):
-    """Deterministic index key: sha2(source_document || ':' || chunk_id)."""
-    return F.sha2(F.concat(source_document, F.lit(":"), chunk_id.cast("string")), 256)
-
-
 def chunk_rows(spark: SparkSession, sf_dir: str, where=None) -> DataFrame:
     """Redacted chunks of every document (optionally only those matching ``where``, a
     filter on document columns pushed into the scan) with index metadata, no vector."""

@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from docweave import constants as C
+from docweave.functions import pii as P
 from docweave.functions import text as T
 from docweave.operators import (deadletters, ingest, redaction, routing, segmentation)
 from docweave.plans import common
@@ -446,7 +447,7 @@ def byte_segments(spark, sf_dir):
 
 
 @query("pii_redact_spans", oracle=f"""
-SELECT doc_id, regexp_replace(text, {q(dict(__import__('docweave.functions.pii', fromlist=['P']).PII_PATTERNS)['EMAIL'])},
+SELECT doc_id, regexp_replace(text, {q(dict(P.PII_PATTERNS)['EMAIL'])},
                               '[REDACTED_EMAIL]', 'g') AS redacted_text FROM documents""")
 def pii_redact_spans(spark, sf_dir):
     """P9 + U1: detector spans (default regex detector, e-mail type) spliced right to left
