@@ -69,3 +69,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A location for intermediate tables under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def recommended_conf(input_bytes: int, total_cores: int, partition_bytes: int = 128 << 20) -> dict:
+    """Settings sized for a job reading ``input_bytes`` on ``total_cores`` cores.
+
+    Shuffle partitions start at about one per ``partition_bytes`` of input (never fewer
+    than two per core) and AQE coalesces the small ones at run time and splits skewed
+    ones in joins; scan splits stay at ``partition_bytes``.
+    """
+    parts = max(2 * total_cores, -(-input_bytes // partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    }
