@@ -75,10 +75,11 @@ def recommended_conf(input_bytes: int, total_cores: int, partition_bytes: int =
     """Settings sized for a job reading ``input_bytes`` on ``total_cores`` cores.
 
     Shuffle partitions start at about one per ``partition_bytes`` of input (never fewer
-    than two per core) and AQE coalesces the small ones at run time and splits skewed
+    than two and never more than twenty per core) and AQE coalesces the small ones at run time and splits skewed
     ones in joins; scan splits stay at ``partition_bytes``.
     """
-    parts = max(2 * total_cores, -(-input_bytes // partition_bytes))
+    # map-status size grows with maps x reducers: cap at 20 waves of the cluster
+    parts = min(max(2 * total_cores, -(-input_bytes // partition_bytes)), 20 * total_cores)
     return {
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.files.maxPartitionBytes": str(partition_bytes),
