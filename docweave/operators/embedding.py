@@ -28,13 +28,18 @@ _SUB_BATCH = 2048
 
 
 def token_codes(text: Column, dim: int) -> Column:
-    """ARRAY<INT>: ``bucket * 2 + (1 if sign is negative else 0)`` per token."""
-    def code(t: Column) -> Column:
-        h = F.md5(t)
+    """ARRAY<INT>: ``bucket * 2 + (1 if sign is negative else 0)`` per token.
+
+    Each token is hashed once (lambda bodies get no common-subexpression elimination, so
+    the digest is its own pass); an odd 9th hex digit means a negative sign.
+    """
+    digests = F.transform(T.tokens(F.lower(text)), lambda t: F.md5(t))
+
+    def code(h: Column) -> Column:
         bucket = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), F.lit(dim))
-        neg = F.pmod(F.conv(F.substring(h, 9, 1), 16, 10).cast("int"), F.lit(2))
+        neg = (F.instr(F.lit("13579bdf"), F.substring(h, 9, 1)) > 0).cast("int")
         return (bucket * 2 + neg).cast("int")
-    return F.transform(T.tokens(F.lower(text)), code)
+    return F.transform(digests, code)
 
 
 def _codes_to_vectors(codes: pd.Series, dim: int) -> pd.Series:
