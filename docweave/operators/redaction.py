@@ -30,17 +30,22 @@ def redact_documents(df: DataFrame, text_col: str = "text", out_col: str = "reda
     Adds ``n_credit_card, n_ssn, n_phone, n_email`` (BIGINT), ``pii_entity_counts``
     (MAP<STRING,INT>, labels with a non-zero count only), ``pii_masked_flag`` and
     ``out_col``. Each label is counted on the text as it is just before that label is
-    replaced; the replacement is skipped when the count is 0. Each step is its own
-    projection so every regex runs once per row.
+    replaced; the replacement is skipped when the count is 0, and a pattern is not run at
+    all when its cheap necessary condition (four consecutive digits / an '@') fails on
+    the original text. Each step is its own projection so every regex runs once per row.
     """
     cols = [c for c in df.columns if keep_original or c != text_col]
     cur = "_redact_0"
-    out = df.select(*cols, F.col(text_col).alias(cur))
+    out = df.select(*cols, F.col(text_col).alias(cur),
+                    P.guard("CREDIT_CARD", F.col(text_col)).alias("_g_digits"),
+                    P.guard("EMAIL", F.col(text_col)).alias("_g_at"))
     count_cols = []
     for i, (label, pattern) in enumerate(P.PII_PATTERNS, start=1):
         cnt = P.count_column(label)
         nxt = f"_redact_{i}"
-        out = out.withColumn(cnt, F.regexp_count(F.col(cur), F.lit(pattern)).cast("bigint"))
+        g = F.col("_g_digits") if label in P.DIGIT_LABELS else F.col("_g_at")
+        out = out.withColumn(cnt, F.when(g, F.regexp_count(F.col(cur), F.lit(pattern)))
+                             .otherwise(F.lit(0)).cast("bigint"))
         out = out.select(
             *[c for c in out.columns if c != cur],
             F.when(F.col(cnt) > 0, F.regexp_replace(F.col(cur), pattern, P.marker(label)))
@@ -52,7 +57,7 @@ def redact_documents(df: DataFrame, text_col: str = "text", out_col: str = "reda
         entries += [F.lit(label), F.col(cnt).cast("int")]
     counts_map = F.map_filter(F.create_map(*entries), lambda k, v: v > 0)
     flag = F.greatest(*[F.col(c) for _, c in count_cols]) > 0
-    return out.select(*[c for c in out.columns if c != cur],
+    return out.select(*[c for c in out.columns if c not in (cur, "_g_digits", "_g_at")],
                       counts_map.alias("pii_entity_counts"),
                       flag.alias("pii_masked_flag"),
                       F.col(cur).alias(out_col))
