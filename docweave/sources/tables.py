@@ -31,14 +31,22 @@ def spread(df: DataFrame, probe_col: str, min_fill: float = 0.5) -> DataFrame:
     """
     spark = df.sparkSession
     target = spark.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= target:
+    files = tuple(sorted(df.inputFiles()))
+    if len(files) >= target:
         return df               # at least one file (hence one split) per core: no probe
-    busy = df.select(probe_col).groupBy(F.spark_partition_id()).count().count()
+    key = (spark.sparkContext.applicationId, files)
+    busy = _PROBED.get(key)
+    if busy is None:            # the layout of a file set does not change within a session
+        busy = df.select(probe_col).groupBy(F.spark_partition_id()).count().count()
+        _PROBED[key] = busy
     if busy >= max(1, int(target * min_fill)):
         return df
     return df.repartition(target * 2)
 
 
+_PROBED: dict = {}
+
+
 def read_documents(spark: SparkSession, sf_dir: str, columns: list[str] | None = None,
                    where=None) -> DataFrame:
     """``documents`` (optionally filtered -- pushed into the parquet scan -- and projected),
