@@ -115,9 +115,11 @@ def knn_search(queries: DataFrame, index: DataFrame, k: int = C.TOP_K, *,
         n = q.limit(max_broadcast_queries + 1).count()
         method = "tiled"
         if n <= max_broadcast_queries:
-            first = q.select(F.size("_qv").alias("d")).first()
-            dim = first["d"] if first else 0
-            if n * dim * 8 <= max_broadcast_bytes:
+            # a full (bounded) aggregate rather than first(): it also checks one width
+            lo, hi = q.agg(F.min(F.size("_qv")), F.max(F.size("_qv"))).first()
+            if lo != hi:
+                raise ValueError(f"query vectors have mixed widths {lo}..{hi}")
+            if n * (hi or 0) * 8 <= max_broadcast_bytes:
                 method = "broadcast"
     if method == "broadcast":
         cand = _broadcast_candidates(q, ix, k, index_id, exclude_self, schema)
