@@ -289,3 +289,55 @@ def recall_at_k(approx: DataFrame, exact: DataFrame, index_id: str) -> DataFrame
     j = e.join(a, ["query_id", index_id], "left")
     return j.groupBy("query_id").agg(
         (F.count("_a") / F.count("_e")).alias("recall"))
+
+
+# ---------------------------------------------------------------- J3 stored IVF index
+
+def build_ivf_index(index: DataFrame, path: str, n_cells: int, *, index_id: str = "chunk_key",
+                    index_vec: str = "vector", cell_tile_rows: int = 50_000, seed: int = 7) -> None:
+    """Train cells and write the index partitioned by cell (``{path}/cells/cell=<c>``),
+    with a salt column splitting cells above ``cell_tile_rows`` rows, plus the centroids
+    (``{path}/centroids``, one row per cell)."""
+    spark = index.sparkSession
+    ix = index.select(F.col(index_id), F.col(index_vec).alias("_iv")).where(F.col("_iv").isNotNull())
+    cents, _ = train_ivf(ix.withColumnRenamed("_iv", "vector"), n_cells, "vector", seed)
+    itype = ix.schema[index_id].dataType.simpleString()
+    cells = _nearest_cells(ix, index_id, "_iv", cents, 1, f"`{index_id}` {itype}, _iv array<double>, cell int")
+    salts = cells.groupBy("cell").agg(
+        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(cell_tile_rows))).cast("int").alias("n_salts"))
+    out = (cells.join(F.broadcast(salts), "cell")          # <= n_cells rows: bounded
+                .withColumn("_salt", F.pmod(F.xxhash64(index_id), F.col("n_salts")).cast("int")))
+    out.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
+    spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(cents)],
+                          "cell int, centroid array<double>").write.mode("overwrite").parquet(f"{path}/centroids")
+
+
+def search_ivf_index(queries: DataFrame, path: str, k: int = C.TOP_K, nprobe: int = 4, *,
+                     query_id: str = "query_id", query_vec: str = "query_vector",
+                     index_id: str = "chunk_key", exclude_self: bool = False) -> DataFrame:
+    """J3 search over a stored IVF index: only the probed cells' files are read.
+
+    The probed cell set has at most ``n_cells`` values, so it is collected and applied as
+    a partition filter on the ``cell`` column (file-level pruning); queries are replicated
+    to their probed cells and to every salt of those cells; per (cell, salt) one
+    ``cogroup`` task ranks locally, then a ``row_number() <= k`` window ranks globally.
+    """
+    spark = queries.sparkSession
+    crow = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()   # n_cells rows
+    cents = np.array([r.centroid for r in crow], dtype=np.float64)
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("_qv")) \
+               .where(F.col("_qv").isNotNull())
+    qtype = q.schema["query_id"].dataType.simpleString()
+    q_cells = _nearest_cells(q, "query_id", "_qv", cents, nprobe,
+                             f"query_id {qtype}, _qv array<double>, cell int")
+    probed = sorted({r.cell for r in q_cells.select("cell").distinct().collect()})
+    ix = spark.read.parquet(f"{path}/cells").where(F.col("cell").isin(probed))
+    itype = ix.schema[index_id].dataType.simpleString()
+    schema = f"query_id {qtype}, `{index_id}` {itype}, s_int bigint"
+    salts = F.broadcast(ix.select("cell", "n_salts").distinct())            # <= n_cells rows
+    qt = (q_cells.join(salts, "cell")
+                 .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1)))
+                 .drop("n_salts"))
+    it = ix.select(index_id, "_iv", "cell", "_salt")
+    cand = _cogroup_candidates(it, qt, ["cell", "_salt"], k, index_id, exclude_self, schema)
+    return _final_rank(cand, k, index_id)
