@@ -129,6 +129,14 @@ def read_index_latest(spark: SparkSession, base: str) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "batch_id")
 
 
+def compact_index(spark: SparkSession, stream_base: str, index_base: str,
+                  dim: int = C.EMBED_DIMENSIONS) -> str:
+    """Fold the streamed micro-batches (latest row per key) into a versioned index with
+    one row per ``chunk_key`` (upsert), e.g. on a schedule; returns the new version."""
+    latest = read_index_latest(spark, stream_base)
+    return write_index(latest, index_base, "upsert", dim)
+
+
 # ------------------------------------------------------------------ K4 / K5 / K6
 
 def append_dead_letters(dlq: DataFrame, path: str) -> None:

@@ -31,6 +31,8 @@ def test_stream_ingest_equals_batch_and_restart_is_noop(spark, tmpdir_path):
     q2 = jobs.start_ingest_stream(spark, root, out, f"{out}/_ck", dim=32)
     q2.awaitTermination()
     assert sinks.read_index_latest(spark, f"{out}/index").count() == streamed.count()
+    sinks.compact_index(spark, f"{out}/index", f"{out}/compacted", dim=32)
+    assert key(sinks.read_index(spark, f"{out}/compacted")) == key(batch)
 
 
 def test_stream_dedup(spark, tmpdir_path):
