@@ -11,7 +11,8 @@ Plan shape (no cross join, never all pairs materialised):
   the query matrix in numpy, candidates are merged across the task's batches, and only
   the task-local top-k per query leaves the task. The index is never shuffled.
 * **tiled path** -- beyond that bound, index rows are hashed into ``IB`` tiles of at most
-  ``index_tile_rows`` and queries into ``QB`` blocks of at most ``query_tile_rows``; a
+  ``index_tile_rows`` and queries into ``QB`` blocks of at most ``query_tile_rows`` (both
+  also capped so a tile's vectors stay within ``TILE_BYTES``); a
   ``cogroup`` on ``(tile, block)`` computes each tile/block product in one task with
   bounded memory (a block-matrix product), again emitting only local top-k.
 
@@ -164,9 +165,19 @@ def _keep_topk(cand: pd.DataFrame, k: int, index_id: str) -> pd.DataFrame:
     return cand.groupby("query_id", sort=False).head(k)
 
 
+TILE_BYTES = 64 << 20     # per-group vector bytes handed to one Python worker
+
+
+def _rows_for(dim: int, rows: int, tile_bytes: int = TILE_BYTES) -> int:
+    """Cap a tile's row count so that its vectors stay within ``tile_bytes``."""
+    return max(1, min(rows, tile_bytes // max(1, dim * 8)))
+
+
 def _tiled_candidates(q, ix, k, index_id, exclude_self, schema, index_tile_rows, query_tile_rows):
     n_index = ix.count()
-    n_q = q.count()
+    n_q, dim = q.agg(F.count(F.lit(1)), F.max(F.size("_qv"))).first()
+    index_tile_rows = _rows_for(dim or 1, index_tile_rows)
+    query_tile_rows = _rows_for(dim or 1, query_tile_rows)
     ib = max(1, math.ceil(n_index / index_tile_rows))
     qb = max(1, math.ceil(n_q / query_tile_rows))
     it = (ix.withColumn("_ib", F.pmod(F.xxhash64(index_id), F.lit(ib)))
@@ -263,6 +274,7 @@ def knn_ivf(queries: DataFrame, index: DataFrame, cents: np.ndarray, k: int = C.
     q, ix, schema = _prep(queries, index, query_id, query_vec, index_id, index_vec)
     itype = ix.schema[index_id].dataType.simpleString()
     qtype = q.schema["query_id"].dataType.simpleString()
+    cell_tile_rows = _rows_for(cents.shape[1], cell_tile_rows)
     ix_cells = _nearest_cells(ix, index_id, "_iv", cents, 1,
                               f"`{index_id}` {itype}, _iv array<double>, cell int")
     q_cells = _nearest_cells(q, "query_id", "_qv", cents, nprobe,
@@ -301,6 +313,7 @@ def build_ivf_index(index: DataFrame, path: str, n_cells: int, *, index_id: str
     spark = index.sparkSession
     ix = index.select(F.col(index_id), F.col(index_vec).alias("_iv")).where(F.col("_iv").isNotNull())
     cents, _ = train_ivf(ix.withColumnRenamed("_iv", "vector"), n_cells, "vector", seed)
+    cell_tile_rows = _rows_for(cents.shape[1], cell_tile_rows)
     itype = ix.schema[index_id].dataType.simpleString()
     cells = _nearest_cells(ix, index_id, "_iv", cents, 1, f"`{index_id}` {itype}, _iv array<double>, cell int")
     salts = cells.groupBy("cell").agg(
