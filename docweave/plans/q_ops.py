@@ -495,3 +495,14 @@ def pii_name_gazetteer(spark, sf_dir):
     per = hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     return d.select("doc_id").join(per, "doc_id", "left").select(
         "doc_id", F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("name_hits"))
+
+
+@query("decode_text", oracle="""
+SELECT page_id, md5(html) AS text_md5, CAST(length(html) AS BIGINT) AS n_chars FROM pages""")
+def decode_text(spark, sf_dir):
+    """Page bodies as stored bytes (UTF-8) decoded leniently back to text; valid
+    UTF-8 round-trips exactly (invalid bytes would become U+FFFD)."""
+    p = read_table(spark, sf_dir, "pages")
+    raw = p.select("page_id", F.encode("html", "UTF-8").alias("content"))
+    txt = raw.select("page_id", T.decode_utf8("content").alias("text"))
+    return txt.select("page_id", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("n_chars"))
