@@ -88,3 +88,13 @@ def test_gazetteer_unigrams_and_bigrams(spark):
     names = spark.createDataFrame([("Alice",), ("John Smith",), ("Smith",)], "name string")
     hits = redaction.gazetteer_spans(df, names).orderBy("token_index", "name").collect()
     assert [(h.doc_id, h.name) for h in hits] == [(1, "John Smith"), (1, "Smith"), (1, "Alice")]
+
+
+def test_detector_on_byte_segments_returns_text_offsets(spark):
+    text = ("é" * 30 + " mail a@b.io ") * 6
+    df = spark.createDataFrame([(text,)], "t string")
+    whole = segmentation.detect_spans(F.col("t"), segmentation.regex_detector(["EMAIL"]))
+    seg = segmentation.detect_spans(F.col("t"), segmentation.regex_detector(["EMAIL"]), max_bytes=64)
+    row = df.select(whole.alias("a"), seg.alias("b")).first()
+    assert [tuple(s) for s in row.a] == [tuple(s) for s in row.b]
+    assert all(text[s.begin:s.end] == "a@b.io" for s in row.b)
