@@ -39,7 +39,9 @@ def exact_percentiles(df: DataFrame, group_cols: list[str], value_col: str,
     """
     g = [F.col(c) for c in group_cols]
     vals = df.select(*g, F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    ordered = vals.orderBy(*g, "_v")           # range partitioning + sort
+    # range partitioning + sort; the seeded tie-breaker lets the range partitioner split a
+    # run of one repeated value too (order among equal values changes no order statistic)
+    ordered = vals.withColumn("_tie", F.rand(17)).orderBy(*g, "_v", "_tie").drop("_tie")
     ranked = ordered.select(*g, "_v", F.spark_partition_id().alias("_pid"),
                             F.monotonically_increasing_id().alias("_mid"))
     if checkpoint:
