@@ -21,19 +21,27 @@ from docweave import schemas
 
 def write_processed_documents(docs: DataFrame, path: str, fmt: str = "json") -> None:
     """K1: one nested record per source document, chunks in ``chunk_id`` order,
-    partitioned by bucket. Overwrites only the partitions present (per source bucket)."""
+    partitioned by bucket. Appends: a reprocessed source gets a newer record and readers
+    keep the latest per source (:func:`read_processed_documents`), so one run never
+    replaces other sources' records (no whole-partition overwrite)."""
     out = docs.withColumn("chunks", F.array_sort("chunks"))
-    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("source_bucket").format(fmt).save(path))
+    out.write.mode("append").partitionBy("source_bucket").format(fmt).save(path)
 
 
-def read_processed_documents(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """S3: read processed documents back with the declared schema (no inference)."""
+def read_processed_documents(spark: SparkSession, path: str, fmt: str = "json",
+                             latest: bool = True) -> DataFrame:
+    """S3: read processed documents back with the declared schema (no inference); with
+    ``latest`` only the newest record per source document (by ``processed_at``)."""
     from pyspark.sql import types as TY
-    schema = TY.StructType(schemas.PROCESSED_DOCUMENT.fields
-                           + [TY.StructField("processed_key", TY.StringType())])
+    schema = TY.StructType([f for f in schemas.PROCESSED_DOCUMENT.fields if f.name != "source_bucket"]
+                           + [TY.StructField("processed_key", TY.StringType()),
+                              TY.StructField("source_bucket", TY.StringType())])
     r = spark.read.schema(schema)
-    return r.format(fmt).load(path) if fmt != "json" else r.json(path)
+    df = r.format(fmt).load(path) if fmt != "json" else r.json(path)
+    if not latest:
+        return df
+    w = Window.partitionBy("source_document").orderBy(F.col("processed_at").desc_nulls_last())
+    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
 # ------------------------------------------------------------------ K2 / K3

@@ -75,3 +75,15 @@ def test_reconcile_flags_missing_chunks(spark):
     idx = spark.createDataFrame([("d1", 3), ("d2", 1)], "source_document string, indexed_count int")
     got = {r.source_document: r.reconcile_status for r in ingest.reconcile(man, idx).collect()}
     assert got == {"d1": "OK", "d2": "MISSING"}
+
+
+def test_processed_documents_rewrite_keeps_other_sources(spark, tmpdir_path):
+    def run(keys, ts):
+        df = spark.createDataFrame([("b", k, f"text of {k} at {ts}") for k in keys],
+                                   "bucket string, source_key string, text string")
+        return ingest.processed_documents(ingest.process_objects(df, processed_at=ts))
+    path = f"{tmpdir_path}/processed"
+    sinks.write_processed_documents(run(["a.txt", "b.txt"], "2024-01-01 00:00:00"), path)
+    sinks.write_processed_documents(run(["b.txt"], "2024-01-02 00:00:00"), path)
+    got = {r.source_document: r.chunks[0].text_chunk for r in sinks.read_processed_documents(spark, path).collect()}
+    assert got == {"a.txt": "text of a.txt at 2024-01-01 00:00:00", "b.txt": "text of b.txt at 2024-01-02 00:00:00"}
