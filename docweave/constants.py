@@ -31,7 +31,6 @@ DETECTOR_MAX_BYTES = 90_000
 # --- retrieval / generation ---
 TOP_K = 3
 EMBED_DIMENSIONS = 1024
-ALLOWED_EMBED_DIMENSIONS = (1024, 512, 256)
 MAX_TOKENS = 1024
 TEMPERATURE = 0.2
 EMBED_MODEL_ID = "hash-embed-v1"

@@ -16,7 +16,6 @@ from docweave.sources.tables import read_table, source_documents
 # Dimension used by the registered queries (the supplied `embeddings` table is 64-d;
 # text vectors use the default hashing width).
 TEXT_DIM = C.EMBED_DIMENSIONS
-INDEX_TS = "2024-01-01 00:00:00"      # fixed index timestamp: checked outputs avoid wall clock
 
 
 def chunk_rows(spark: SparkSession, sf_dir: str, where=None) -> DataFrame:

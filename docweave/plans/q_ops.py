@@ -219,11 +219,8 @@ def chunks_explode_roundtrip(spark, sf_dir):
     exploded to one row per chunk."""
     path = scratch_path(spark, f"processed-{uuid.uuid4().hex}")
     sinks.write_processed_documents(ingest.processed_documents(processed(spark, sf_dir)), path)
-    back = sinks.read_processed_documents(spark, path)
-    rows = back.select("source_document", F.explode("chunks").alias("c"))
-    return rows.select("source_document", F.col("c.chunk_id").alias("chunk_id"),
-                       F.col("c.token_count").alias("token_count"),
-                       F.col("c.text_chunk").alias("text_chunk"))
+    rows = ingest.explode_processed(sinks.read_processed_documents(spark, path))
+    return rows.select("source_document", "chunk_id", "token_count", "text_chunk")
 
 
 def _embedded(spark, sf_dir):

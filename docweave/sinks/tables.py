@@ -148,9 +148,10 @@ def compact_index(spark: SparkSession, stream_base: str, index_base: str,
 # ------------------------------------------------------------------ K4 / K5 / K6
 
 def append_dead_letters(dlq: DataFrame, path: str) -> None:
-    """K4: append dead letters partitioned by failure date."""
-    dlq.withColumn("failed_date", F.to_date("failed_at")).write.mode("append") \
-       .partitionBy("failed_date").parquet(path)
+    """K4: append dead letters (declared schema) partitioned by failure date."""
+    rows = dlq.select(*[F.col(f.name).cast(f.dataType) for f in schemas.DEAD_LETTER.fields])
+    rows.withColumn("failed_date", F.to_date("failed_at")).write.mode("append") \
+        .partitionBy("failed_date").parquet(path)
 
 
 def answer_json(records: DataFrame) -> DataFrame:

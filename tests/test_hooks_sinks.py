@@ -96,3 +96,29 @@ def test_streaming_sessions_and_dashboard_match_batch(spark, tmpdir_path):
     q2 = d.writeStream.format("memory").queryName("dash_t").outputMode("append").trigger(availableNow=True).start()
     q2.awaitTermination()
     assert spark.sql("select count(*) from dash_t").first()[0] >= 1
+
+
+def test_dead_letters_written_with_declared_schema(spark, tmpdir_path):
+    from docweave.operators import deadletters
+    failed = spark.createDataFrame([("a.md", "ValueError", "Unsupported object key extension: a.md")],
+                                   "source_key string, error_type string, error_message string")
+    dlq = deadletters.to_dead_letters(failed, "ingest", F.to_timestamp(F.lit("2024-01-05 10:00:00")))
+    sinks.append_dead_letters(dlq, f"{tmpdir_path}/dlq")
+    back = spark.read.parquet(f"{tmpdir_path}/dlq").first()
+    assert back.stage == "ingest" and back.attempt == 1 and json.loads(back.payload) == {"source_key": "a.md"}
+    assert str(back.failed_date) == "2024-01-05"
+
+
+def test_span_label_counts(spark):
+    from docweave.operators import redaction
+    df = spark.createDataFrame([([("EMAIL", 0, 3), ("EMAIL", 5, 8), ("CREDIT_DEBIT_NUMBER", 10, 20),
+                                  ("ADDRESS", 30, 40), ("NAME", 1, 2)],)],
+                               "s array<struct<type:string,begin:int,end:int>>")
+    got = df.select(redaction.span_label_counts(F.col("s")).alias("m")).first().m
+    assert got == {"EMAIL": 2, "CREDIT_CARD": 1}
+
+
+def test_recommended_conf_bounds():
+    from docweave.session import recommended_conf
+    assert recommended_conf(10**9, 8)["spark.sql.shuffle.partitions"] == "16"
+    assert recommended_conf(100 * 2**40, 8000)["spark.sql.shuffle.partitions"] == "160000"
