@@ -58,11 +58,20 @@ def stream_latency_dashboard(spark, sf_dir):
     return _run_to_parquet(d, spark, "dashboard")
 
 
-@query("stream_quota_daily")
+@query("stream_quota_daily", oracle="""
+WITH wm AS (SELECT max(ts) - INTERVAL 1 HOUR AS w FROM events)
+SELECT user_id, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS day_start,
+       CAST(count(*) AS BIGINT) AS requests, count(*) > 5000 AS over_quota
+FROM events, wm
+GROUP BY user_id, date_trunc('day', ts), wm.w
+HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= wm.w""")
 def stream_quota_daily(spark, sf_dir):
-    """R4 (streaming): daily request counts per key, emitted for closed days."""
+    """R4 (streaming): daily request counts per key in append mode with a 1-hour
+    watermark: exactly the days closed by the final watermark are emitted."""
     d = jobs.quota_stream(_events_stream(spark, sf_dir), "user_id", "ts", "1 hour")
-    return _run_to_parquet(d, spark, "quota")
+    out = _run_to_parquet(d, spark, "quota")
+    return out.select("user_id", F.date_format("day_start", "yyyy-MM-dd HH:mm:ss").alias("day_start"),
+                      "requests", "over_quota")
 
 
 def _object_files(spark, sf_dir):
