@@ -8,15 +8,15 @@ from docweave import constants as C
 from docweave.operators import embedding, retrieval
 from docweave.plans import common
 from docweave.plans.catalog import query
-from docweave.sources.tables import read_table
+from docweave.sources.tables import read_table, spread
 
 EMB_K = C.TOP_K
 IVF_CELLS = 8
 
 
 def _embeddings(spark, sf_dir):
-    return read_table(spark, sf_dir, "embeddings").select(
-        "vec_id", "label", F.col("embedding").cast("array<double>").alias("vector"))
+    e = spread(read_table(spark, sf_dir, "embeddings"), "vec_id")
+    return e.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vector"))
 
 
 def _self_queries(e):
