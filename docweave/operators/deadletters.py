@@ -40,3 +40,30 @@ def replay(dlq: DataFrame, max_attempts: int = C.MAX_ATTEMPTS) -> DataFrame:
     return dlq.select("*", nxt.alias("next_attempt"),
                       F.when(nxt <= max_attempts, F.lit("RETRY")).otherwise(F.lit("GIVE_UP"))
                        .alias("replay_action"))
+
+
+def replay_ingest(dlq: DataFrame, objects: DataFrame, process, max_attempts: int = C.MAX_ATTEMPTS):
+    """R8 for ingestion: re-run failed objects through the same pipeline.
+
+    ``dlq`` holds ingest dead letters (payload JSON with ``source_key``); ``objects`` is
+    the current object listing (``source_key`` + object columns); ``process`` is the
+    batch function (e.g. ``ingest.process_objects``). Returns ``(processed, dead)``: the
+    processed rows of the retried objects and the new dead letters -- still failing
+    objects with ``attempt + 1``, or ``GIVE_UP`` once ``max_attempts`` is reached.
+    Equi-join on the key; no per-object driver loop.
+    """
+    from docweave.operators import routing
+    todo = dlq.where(F.col("stage") == "ingest").select(
+        F.get_json_object("payload", "$.source_key").alias("source_key"), "attempt")
+    retry = todo.where(F.col("attempt") < max_attempts)
+    gave_up = todo.where(F.col("attempt") >= max_attempts)
+    processed = process(objects.join(retry.select("source_key").distinct(), "source_key", "left_semi"))
+    failed = processed.where(routing.route_of(F.col("status")) == "DLQ").join(retry, "source_key")
+    again = to_dead_letters(failed, "ingest", payload_cols=["status", "bucket", "source_key"],
+                            attempt=F.col("attempt") + 1)
+    final = gave_up.select(F.current_timestamp().alias("failed_at"), F.lit("ingest").alias("stage"),
+                           F.lit("GIVE_UP").alias("error_type"),
+                           F.lit(f"gave up after {max_attempts} attempts").alias("error_message"),
+                           F.col("attempt").cast("int").alias("attempt"),
+                           F.to_json(F.struct("source_key")).alias("payload"))
+    return processed, again.unionByName(final)

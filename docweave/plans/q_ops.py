@@ -503,3 +503,18 @@ def decode_text(spark, sf_dir):
     raw = p.select("page_id", F.encode("html", "UTF-8").alias("content"))
     txt = raw.select("page_id", T.decode_utf8("content").alias("text"))
     return txt.select("page_id", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query("dlq_replay_ingest", oracle=f"""WITH {LISTING_SQL}
+SELECT source_key, error_type, 2 AS attempt FROM manifest WHERE status = 'FAILED'""")
+def dlq_replay_ingest(spark, sf_dir):
+    """R8 (ingestion): this run's ingest dead letters replayed through the same pipeline
+    against the listing; objects failing again return with attempt 2."""
+    man = ingest.ingest_manifest(processed(spark, sf_dir)).where(
+        routing.route_of(F.col("status")) == "DLQ")
+    dlq = deadletters.to_dead_letters(man, "ingest", F.to_timestamp(F.lit(RUN_TS)),
+                                      ["status", "bucket", "source_key"])
+    _, dead = deadletters.replay_ingest(
+        dlq, listing(spark, sf_dir), lambda o: ingest.process_objects(o, processed_at=RUN_TS))
+    return dead.select(F.get_json_object("payload", "$.source_key").alias("source_key"),
+                       "error_type", "attempt")

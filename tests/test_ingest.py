@@ -1,5 +1,6 @@
 """Object scan, routing, manifests, index sink and dead letters on a temporary bucket."""
 
+import json
 import os
 
 from pyspark.sql import functions as F
@@ -87,3 +88,17 @@ def test_processed_documents_rewrite_keeps_other_sources(spark, tmpdir_path):
     sinks.write_processed_documents(run(["b.txt"], "2024-01-02 00:00:00"), path)
     got = {r.source_document: r.chunks[0].text_chunk for r in sinks.read_processed_documents(spark, path).collect()}
     assert got == {"a.txt": "text of a.txt at 2024-01-01 00:00:00", "b.txt": "text of b.txt at 2024-01-02 00:00:00"}
+
+
+def test_dead_letter_replay_retries_and_gives_up(spark):
+    from docweave.operators import deadletters
+    objs = spark.createDataFrame([("b", "ok.txt", "now fixed text"), ("b", "still.txt", "  "),
+                                  ("b", "old.txt", "  ")], "bucket string, source_key string, text string")
+    dlq = spark.createDataFrame([
+        ("ingest", '{"source_key": "ok.txt"}', 1), ("ingest", '{"source_key": "still.txt"}', 2),
+        ("ingest", '{"source_key": "old.txt"}', 3)], "stage string, payload string, attempt int")
+    processed, dead = deadletters.replay_ingest(dlq, objs, ingest.process_objects)
+    assert {r.source_key: r.status for r in processed.collect()} == {"ok.txt": "SUCCESS", "still.txt": "FAILED"}
+    got = {r.payload: (r.error_type, r.attempt) for r in dead.collect()}
+    assert got[json.dumps({"status": "FAILED", "bucket": "b", "source_key": "still.txt"}).replace(" ", "")] == ("ValueError", 3)
+    assert got['{"source_key":"old.txt"}'] == ("GIVE_UP", 3)
