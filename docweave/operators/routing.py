@@ -52,8 +52,9 @@ def route_of(status: Column) -> Column:
 def vectorize_gate(manifest: DataFrame) -> DataFrame:
     """only SUCCESS rows with at least one chunk go to the embedder; the rest get the
     error the vectorizer would raise."""
-    ok = (F.col("status") == SUCCESS) & (F.coalesce(F.col("chunk_count"), F.lit(0)) > 0)
-    err = (F.when(F.col("status") != SUCCESS,
+    is_success = F.coalesce(F.col("status") == SUCCESS, F.lit(False))   # NULL status is not
+    ok = is_success & (F.coalesce(F.col("chunk_count"), F.lit(0)) > 0)
+    err = (F.when(~is_success,
                   F.concat(F.lit("Expected SUCCESS payload, got status="),
                            F.coalesce(F.col("status"), F.lit("None"))))
            .when(~ok, F.lit("No chunks found in processed payload")))
