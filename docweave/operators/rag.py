@@ -29,9 +29,16 @@ RESPONSE_SCHEMA = TY.StructType([
 HIT_META = ["source_document", "chunk_id", "pii_masked_flag", "text_chunk"]
 
 
-def attach_sources(hits: DataFrame, index: DataFrame, key: str = "chunk_key") -> DataFrame:
-    """Join the k hits per question back to chunk text and metadata by key."""
+def attach_sources(hits: DataFrame, index: DataFrame, key: str = "chunk_key",
+                   broadcast_hits: bool = False) -> DataFrame:
+    """Join the k hits per question back to chunk text and metadata by key.
+
+    With ``broadcast_hits`` (the caller has bounded the question count, so the hit list
+    holds at most questions x k rows) the index is scanned in place and filtered by the
+    broadcast hit list instead of being shuffled."""
     meta = index.select(key, *HIT_META)
+    if broadcast_hits:
+        return meta.join(F.broadcast(hits), key)
     return hits.join(meta, key, "left")
 
 

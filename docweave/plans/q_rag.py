@@ -26,7 +26,7 @@ def _retrieve(spark, sf_dir, lang: str | None = None):
                                 index.select("chunk_key", "vector"), C.TOP_K)
     # hits hold at most (#questions x k) rows and the question set passed the broadcast
     # bound inside knn_search, so the hit list is the broadcast side of this join.
-    meta = rows.select("chunk_key", *rag.HIT_META).join(F.broadcast(hits), "chunk_key")
+    meta = rag.attach_sources(hits, rows, broadcast_hits=True)
     return qs.select("query_id", "question"), meta
 
 
