@@ -126,7 +126,7 @@ def parse_model_response(df: DataFrame, col: str = "response_json") -> DataFrame
     r = F.from_json(F.col(col), RESPONSE_SCHEMA)
     blocks = F.filter(F.coalesce(r["content"], F.array().cast(RESPONSE_SCHEMA["content"].dataType)),
                       lambda b: (b["type"] == "text") & (F.coalesce(b["text"], F.lit("")) != ""))
-    answer = F.trim(F.array_join(F.transform(blocks, lambda b: b["text"]), "\n"))
+    answer = T.strip(F.array_join(F.transform(blocks, lambda b: b["text"]), "\n"))
     return (df.withColumn("_r", r)
               .withColumn("answer", F.when(answer != "", answer))
               .withColumn("input_tokens", F.coalesce(F.col("_r.usage.input_tokens"), F.lit(0)).cast("int"))
@@ -137,8 +137,8 @@ def parse_model_response(df: DataFrame, col: str = "response_json") -> DataFrame
 
 
 def is_refusal(answer: Column) -> Column:
-    """The answer is the fixed refusal sentence (after trimming)."""
-    return F.coalesce(F.trim(answer) == F.lit(C.REFUSAL_SENTENCE), F.lit(False))
+    """The answer is the fixed refusal sentence (after stripping whitespace)."""
+    return F.coalesce(T.strip(answer) == F.lit(C.REFUSAL_SENTENCE), F.lit(False))
 
 
 def answer_records(df: DataFrame) -> DataFrame:

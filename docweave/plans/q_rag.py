@@ -116,7 +116,7 @@ def citation_counts(spark, sf_dir):
 @query("batch_rag", oracle=f"""WITH {_index_sql()}, {CTX_SQL}
 SELECT query_id, CASE WHEN answer IS NULL THEN 500 ELSE 200 END AS status_code, answer,
        retrieved_count, input_tokens, output_tokens,
-       COALESCE(trim(answer) = {q(C.REFUSAL_SENTENCE)}, false) AS refused FROM final""")
+       COALESCE({S.strip_sql('answer')} = {q(C.REFUSAL_SENTENCE)}, false) AS refused FROM final""")
 def batch_rag(spark, sf_dir):
     """Questions -> vectors -> top-k -> context -> prompt -> generator -> parsed answer."""
     a = _answers(spark, sf_dir)
@@ -138,8 +138,8 @@ def answer_records(spark, sf_dir):
 
 @query("refusal_rate", oracle=f"""WITH {_index_sql()}, {CTX_SQL}
 SELECT CAST(count(*) AS BIGINT) AS questions,
-       CAST(count(*) FILTER (WHERE trim(answer) = {q(C.REFUSAL_SENTENCE)}) AS BIGINT) AS refusals,
-       round(count(*) FILTER (WHERE trim(answer) = {q(C.REFUSAL_SENTENCE)}) / count(*), 6) AS refusal_rate
+       CAST(count(*) FILTER (WHERE {S.strip_sql('answer')} = {q(C.REFUSAL_SENTENCE)}) AS BIGINT) AS refusals,
+       round(count(*) FILTER (WHERE {S.strip_sql('answer')} = {q(C.REFUSAL_SENTENCE)}) / count(*), 6) AS refusal_rate
 FROM final""")
 def refusal_rate(spark, sf_dir):
     """Share of answers that are the refusal sentence."""

@@ -60,3 +60,12 @@ def test_model_responses(spark):
     assert got[2].answer is None and got[2].status_code == 500 and got[2].output_tokens == 0
     from pyspark.sql import functions as F
     assert rag.parse_model_response(df).where(rag.is_refusal(F.col("answer"))).count() == 1
+
+
+def test_response_flattening_strips_all_whitespace(spark):
+    body = json.dumps({"content": [{"type": "text", "text": "\n I do not have access to that information.　"}]})
+    df = spark.createDataFrame([(1, body)], "id long, response_json string")
+    r = rag.parse_model_response(df).first()
+    assert r.answer == "I do not have access to that information."
+    from pyspark.sql import functions as F
+    assert rag.parse_model_response(df).where(rag.is_refusal(F.col("answer"))).count() == 1
