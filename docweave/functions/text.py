@@ -127,7 +127,7 @@ def default_content_type(content_type: Column | str, extension: Column | str) ->
     """Given content type when non-blank, else by extension."""
     ct = F.col(content_type) if isinstance(content_type, str) else content_type
     ext = F.col(extension) if isinstance(extension, str) else extension
-    given = F.nullif(F.trim(ct), F.lit(""))
+    given = F.nullif(strip(ct), F.lit(""))
     return F.coalesce(given, F.when(ext == ".pdf", F.lit("application/pdf"))
                       .otherwise(F.lit("text/plain")))
 
