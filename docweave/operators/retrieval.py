@@ -210,7 +210,7 @@ def _cogroup_candidates(it, qt, keys, k, index_id, exclude_self, schema):
 # ---------------------------------------------------------------- J3 IVF
 
 def train_ivf(index: DataFrame, n_cells: int, index_vec: str = "vector", seed: int = 7,
-              max_iter: int = 20):
+              max_iter: int = 10):
     """Cluster the index with cosine k-means; returns (unit centroids, model).
 
     Training is distributed (``pyspark.ml.KMeans``); only the ``n_cells x dim`` centroid
