@@ -2,8 +2,9 @@
 K4 dead letters, K5 benchmark report, K6 answer records.
 
 No table format (Delta/Iceberg) is assumed. The upsert writes a complete new version
-directory and then points ``_CURRENT`` at it, so readers never see a half-written index
-and a failed job leaves the previous version intact (single writer per index).
+directory and then adds a pointer file naming it (``_pointers/<millis>-<id>``, made
+visible by a rename), so readers never see a half-written index, never find the pointer
+missing, and a failed job leaves the previous version current (single writer per index).
 """
 
 from __future__ import annotations
@@ -52,12 +53,21 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
+def _pointer_dir(base: str) -> str:
+    return base.rstrip("/") + "/_pointers"
+
+
 def _read_pointer(spark: SparkSession, base: str) -> str | None:
+    """Newest version named in ``_pointers/`` (names sort by creation time)."""
     fs, _, jvm = _fs(spark, base)
-    ptr = jvm.org.apache.hadoop.fs.Path(base.rstrip("/") + "/_CURRENT")
-    if not fs.exists(ptr):
+    pdir = jvm.org.apache.hadoop.fs.Path(_pointer_dir(base))
+    if not fs.exists(pdir):
+        return None
+    names = sorted(st.getPath().getName() for st in fs.listStatus(pdir)
+                   if not st.getPath().getName().startswith("."))
+    if not names:
         return None
-    stream = fs.open(ptr)
+    stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{_pointer_dir(base)}/{names[-1]}"))
     try:
         reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
         return reader.readLine()
@@ -66,17 +76,19 @@ def _read_pointer(spark: SparkSession, base: str) -> str | None:
 
 
 def _write_pointer(spark: SparkSession, base: str, version: str) -> None:
+    """Publish ``version``: write a hidden temp file, then rename it to a new pointer name.
+    Pointers are only ever added, so a reader always finds a complete, committed version."""
+    import time
     fs, _, jvm = _fs(spark, base)
-    tmp = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/_CURRENT.{uuid.uuid4().hex}")
+    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(_pointer_dir(base)))
+    tmp = jvm.org.apache.hadoop.fs.Path(f"{_pointer_dir(base)}/.tmp-{uuid.uuid4().hex}")
     out = fs.create(tmp, True)
     try:
         out.write(bytearray(version.encode("utf-8")))
     finally:
         out.close()
-    dst = jvm.org.apache.hadoop.fs.Path(base.rstrip("/") + "/_CURRENT")
-    if fs.exists(dst):
-        fs.delete(dst, False)
-    fs.rename(tmp, dst)
+    name = f"{int(time.time() * 1000):015d}-{uuid.uuid4().hex}"
+    fs.rename(tmp, jvm.org.apache.hadoop.fs.Path(f"{_pointer_dir(base)}/{name}"))
 
 
 def ensure_index(spark: SparkSession, base: str, dim: int = C.EMBED_DIMENSIONS) -> str:
