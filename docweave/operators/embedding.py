@@ -63,6 +63,36 @@ def _codes_to_vectors(codes: pd.Series, dim: int) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+def _codes_to_sparse(codes: pd.Series, dim: int) -> pd.DataFrame:
+    """Like :func:`_codes_to_vectors` but keeps only non-zero coordinates: two aligned
+    arrays per row (``buckets`` ascending, ``weights``); NULL for an empty vector."""
+    dense = _codes_to_vectors(codes, dim)
+    buckets, weights = [], []
+    for v in dense:
+        if v is None:
+            buckets.append(None)
+            weights.append(None)
+        else:
+            nz = np.flatnonzero(v)
+            buckets.append(nz.astype(np.int32))
+            weights.append(v[nz])
+    return pd.DataFrame({"buckets": buckets, "weights": weights})
+
+
+SPARSE_TYPE = TY.StructType([TY.StructField("buckets", TY.ArrayType(TY.IntegerType())),
+                             TY.StructField("weights", TY.ArrayType(TY.DoubleType()))])
+
+
+def hash_embed_sparse(text: Column, dim: int = C.EMBED_DIMENSIONS) -> Column:
+    """T3 in sparse form: STRUCT<buckets ARRAY<INT>, weights ARRAY<DOUBLE>> of the non-zero
+    coordinates (about a quarter of a 1,024-d vector for a 500-word chunk), so long-form
+    outputs do not ship and explode dense vectors."""
+    @F.pandas_udf(SPARSE_TYPE)
+    def sparse(codes: pd.Series) -> pd.DataFrame:
+        return _codes_to_sparse(codes, dim)
+    return sparse.asNondeterministic()(token_codes(text, dim))
+
+
 def _vectors_udf(dim: int):
     @F.pandas_udf(TY.ArrayType(TY.DoubleType()))
     def vectors(codes: pd.Series) -> pd.Series:

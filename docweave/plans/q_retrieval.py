@@ -119,9 +119,14 @@ WITH {common.chunk_rows_sql()},
 {common.weights_sql('chunk_rows', 'chunk_key', 'text_chunk', 'cw')}
 SELECT chunk_key, CAST(bucket AS BIGINT) AS bucket, round(weight, 6) AS weight FROM cw""")
 def hash_embed(spark, sf_dir):
-    """Hashing-embedder vector of every indexed chunk, in sparse long form."""
-    idx = common.chunk_index(spark, sf_dir).select("chunk_key", "vector")
-    return embedding.sparse_weights(idx, "vector", ["chunk_key"])
+    """Hashing-embedder vector of every indexed chunk, in sparse long form (the UDF
+    returns only non-zero coordinates)."""
+    rows = common.chunk_rows(spark, sf_dir).select(
+        "chunk_key", embedding.hash_embed_sparse(F.col("text_chunk"), common.TEXT_DIM).alias("sv"))
+    pairs = F.arrays_zip(F.col("sv.buckets").alias("bucket"), F.col("sv.weights").alias("weight"))
+    return rows.select("chunk_key", F.inline_outer(pairs)).where(F.col("weight").isNotNull()) \
+               .select("chunk_key", F.col("bucket").cast("bigint").alias("bucket"),
+                       F.round("weight", 6).alias("weight"))
 
 
 @query("embedding_dim_guard", oracle="""

@@ -122,3 +122,16 @@ def test_recommended_conf_bounds():
     from docweave.session import recommended_conf
     assert recommended_conf(10**9, 8)["spark.sql.shuffle.partitions"] == "16"
     assert recommended_conf(100 * 2**40, 8000)["spark.sql.shuffle.partitions"] == "160000"
+
+
+def test_sparse_embedding_equals_dense_nonzeros(spark):
+    df = spark.createDataFrame([("alpha beta beta gamma",), ("",), ("x y z x",)], "t string")
+    rows = df.select(embedding.hash_embed(F.col("t"), 64).alias("d"),
+                     embedding.hash_embed_sparse(F.col("t"), 64).alias("s")).collect()
+    for r in rows:
+        if r.d is None:
+            assert r.s is None
+            continue
+        nz = [(i, w) for i, w in enumerate(r.d) if w != 0]
+        assert list(zip(r.s.buckets, r.s.weights)) == nz
+        assert abs(sum(w * w for w in r.d) - 1) < 1e-9
