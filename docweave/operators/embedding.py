@@ -65,7 +65,7 @@ def _codes_to_vectors(codes: pd.Series, dim: int) -> pd.Series:
 
 def _codes_to_sparse(codes: pd.Series, dim: int) -> pd.DataFrame:
     """Like :func:`_codes_to_vectors` but keeps only non-zero coordinates: two aligned
-    arrays per row (``buckets`` ascending, ``weights``); NULL for an empty vector."""
+    arrays per row (``buckets`` ascending, ``weights``); NULL arrays for an empty vector."""
     dense = _codes_to_vectors(codes, dim)
     buckets, weights = [], []
     for v in dense:
