@@ -107,9 +107,10 @@ def latency_summary(long: DataFrame, stage_col: str = "stage", ms_col: str = "ms
                 F.round("_mean", 2).alias("mean_ms")] + \
                [F.round(name, 2).alias(f"{name}_ms") for name in PCTS] + [F.round("_max", 2).alias("max_ms")]
     if stages:
-        # the stage list is a fixed, tiny literal: broadcasting it is bounded by construction
+        # stage list (a fixed literal) left-joined to per-stage stats: both sides hold one
+        # row per stage, so the planner/AQE picks the join; no hint needed
         names = long.sparkSession.createDataFrame([(s,) for s in stages], f"{stage_col} string")
-        stats = F.broadcast(names).join(stats, stage_col, "left")
+        stats = names.join(stats, stage_col, "left")
     return stats.select(*out_cols)
 
 
