@@ -42,10 +42,14 @@ def token_codes(text: Column, dim: int) -> Column:
     return F.transform(digests, code)
 
 
-def _codes_to_vectors(codes: pd.Series, dim: int) -> pd.Series:
-    out: list = [None] * len(codes)
-    arrs = codes.tolist()
-    for lo in range(0, len(arrs), _SUB_BATCH):
+def codes_matrix(codes, dim: int):
+    """Dense unit vectors for a batch of code arrays: ``(valid_mask, matrix)`` where the
+    matrix holds one row per valid (non-zero) input row."""
+    arrs = list(codes)
+    n = len(arrs)
+    valid = np.zeros(n, dtype=bool)
+    blocks = []
+    for lo in range(0, n, _SUB_BATCH):
         part = arrs[lo:lo + _SUB_BATCH]
         lens = np.fromiter((0 if a is None else len(a) for a in part), dtype=np.int64,
                            count=len(part))
@@ -57,12 +61,31 @@ def _codes_to_vectors(codes: pd.Series, dim: int) -> pd.Series:
         counts = counts.reshape(len(part), dim, 2)
         w = (counts[:, :, 0] - counts[:, :, 1]).astype(np.float64)
         norms = np.sqrt((w * w).sum(axis=1))
-        for i in range(len(part)):
-            if norms[i] > 0:
-                out[lo + i] = w[i] / norms[i]
+        ok = norms > 0
+        valid[lo:lo + len(part)] = ok
+        blocks.append(w[ok] / norms[ok][:, None])
+    matrix = np.concatenate(blocks) if blocks else np.zeros((0, dim))
+    return valid, matrix
+
+
+def _codes_to_vectors(codes: pd.Series, dim: int) -> pd.Series:
+    valid, matrix = codes_matrix(codes, dim)
+    out: list = [None] * len(codes)
+    for i, row in zip(np.flatnonzero(valid), matrix):
+        out[i] = row
     return pd.Series(out, dtype=object)
 
 
+def hashed_batch_embedder(dim: int):
+    """Per-batch embedder for :func:`retrieval.knn_search` (``index_vec_fn``): turns a
+    batch's token-code arrays into ``(kept ids, unit-vector matrix)`` inside the search
+    task, so dense vectors never cross the JVM/Python boundary."""
+    def fn(ids: np.ndarray, codes: pd.Series):
+        valid, matrix = codes_matrix(codes, dim)
+        return ids[valid], matrix
+    return fn
+
+
 def _codes_to_sparse(codes: pd.Series, dim: int) -> pd.DataFrame:
     """Like :func:`_codes_to_vectors` but keeps only non-zero coordinates: two aligned
     arrays per row (``buckets`` ascending, ``weights``); NULL arrays for an empty vector."""

@@ -80,6 +80,12 @@ def _block_topk(qids: np.ndarray, Q: np.ndarray, ids: np.ndarray, V: np.ndarray,
     return np.concatenate(out_q), np.concatenate(out_i), np.concatenate(out_s)
 
 
+def _index_matrix(ids: np.ndarray, col: pd.Series, vec_fn):
+    if vec_fn is None:
+        return ids, _matrix(col.tolist())
+    return vec_fn(ids, col)
+
+
 def _final_rank(cand: DataFrame, k: int, id_name: str) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.col("s_int").desc(), F.col(id_name).asc())
     return (cand.withColumn("rank", F.row_number().over(w))
@@ -104,12 +110,17 @@ def knn_search(queries: DataFrame, index: DataFrame, k: int = C.TOP_K, *,
                index_id: str = "chunk_key", index_vec: str = "vector",
                exclude_self: bool = False, method: str = "auto",
                max_broadcast_queries: int = 20_000, max_broadcast_bytes: int = 128 << 20,
-               index_tile_rows: int = 50_000, query_tile_rows: int = 4_096) -> DataFrame:
+               index_tile_rows: int = 50_000, query_tile_rows: int = 4_096,
+               index_vec_fn=None) -> DataFrame:
     """Exact top-k neighbours per query.
 
     Returns ``query_id, rank (1..k), <index_id>, score``. With ``method="auto"`` the
     query matrix is broadcast only when its row count and its size in bytes
     (rows x dim x 8) are both checked to be within bounds; otherwise the tiled plan runs.
+
+    ``index_vec_fn(ids, column_batch) -> (kept_ids, matrix)`` embeds the index column
+    inside the search task (e.g. :func:`embedding.hashed_batch_embedder` over token codes),
+    so index vectors are built where they are used and never shipped.
     """
     q, ix, schema = _prep(queries, index, query_id, query_vec, index_id, index_vec)
     if method == "auto":
@@ -123,16 +134,16 @@ def knn_search(queries: DataFrame, index: DataFrame, k: int = C.TOP_K, *,
             if n * (hi or 0) * 8 <= max_broadcast_bytes:
                 method = "broadcast"
     if method == "broadcast":
-        cand = _broadcast_candidates(q, ix, k, index_id, exclude_self, schema)
+        cand = _broadcast_candidates(q, ix, k, index_id, exclude_self, schema, index_vec_fn)
     elif method == "tiled":
         cand = _tiled_candidates(q, ix, k, index_id, exclude_self, schema,
-                                 index_tile_rows, query_tile_rows)
+                                 index_tile_rows, query_tile_rows, index_vec_fn)
     else:
         raise ValueError(method)
     return _final_rank(cand, k, index_id)
 
 
-def _broadcast_candidates(q, ix, k, index_id, exclude_self, schema):
+def _broadcast_candidates(q, ix, k, index_id, exclude_self, schema, vec_fn=None):
     spark = q.sparkSession
     pdf = q.toPandas()          # bounded: caller checked the row count
     qids = pdf["query_id"].to_numpy()
@@ -146,8 +157,10 @@ def _broadcast_candidates(q, ix, k, index_id, exclude_self, schema):
         for b in batches:
             if len(b) == 0:
                 continue
-            res = _block_topk(bq, bQ, b[index_id].to_numpy(), _matrix(b["_iv"].tolist()), k,
-                              exclude_self)
+            ids, V = _index_matrix(b[index_id].to_numpy(), b["_iv"], vec_fn)
+            if len(ids) == 0 or V.shape[1] != bQ.shape[1]:
+                continue
+            res = _block_topk(bq, bQ, ids, V, k, exclude_self)
             if res is None:
                 continue
             cand = pd.DataFrame({"query_id": res[0], index_id: res[1], "s_int": res[2]})
@@ -155,7 +168,8 @@ def _broadcast_candidates(q, ix, k, index_id, exclude_self, schema):
         if best is not None:
             yield best          # at most k rows per query leave the task
 
-    return ix.where(F.size("_iv") == dim).mapInPandas(fn, schema)
+    src = ix if vec_fn is not None else ix.where(F.size("_iv") == dim)
+    return src.mapInPandas(fn, schema)
 
 
 def _keep_topk(cand: pd.DataFrame, k: int, index_id: str) -> pd.DataFrame:
@@ -173,7 +187,8 @@ def _rows_for(dim: int, rows: int, tile_bytes: int = TILE_BYTES) -> int:
     return max(1, min(rows, tile_bytes // max(1, dim * 8)))
 
 
-def _tiled_candidates(q, ix, k, index_id, exclude_self, schema, index_tile_rows, query_tile_rows):
+def _tiled_candidates(q, ix, k, index_id, exclude_self, schema, index_tile_rows, query_tile_rows,
+                      vec_fn=None):
     n_index = ix.count()
     n_q, dim = q.agg(F.count(F.lit(1)), F.max(F.size("_qv"))).first()
     index_tile_rows = _rows_for(dim or 1, index_tile_rows)
@@ -184,10 +199,10 @@ def _tiled_candidates(q, ix, k, index_id, exclude_self, schema, index_tile_rows,
             .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
     qt = (q.withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(qb)))
            .withColumn("_ib", F.explode(F.sequence(F.lit(0), F.lit(ib - 1)))))
-    return _cogroup_candidates(it, qt, ["_ib", "_qb"], k, index_id, exclude_self, schema)
+    return _cogroup_candidates(it, qt, ["_ib", "_qb"], k, index_id, exclude_self, schema, vec_fn)
 
 
-def _cogroup_candidates(it, qt, keys, k, index_id, exclude_self, schema):
+def _cogroup_candidates(it, qt, keys, k, index_id, exclude_self, schema, vec_fn=None):
     def fn(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": pd.Series([], dtype=object),
                               index_id: pd.Series([], dtype=object),
@@ -195,11 +210,10 @@ def _cogroup_candidates(it, qt, keys, k, index_id, exclude_self, schema):
         if len(left) == 0 or len(right) == 0:
             return empty
         Q = _matrix(right["_qv"].tolist())
-        V = _matrix(left["_iv"].tolist())
-        if V.shape[1] != Q.shape[1]:
+        ids, V = _index_matrix(left[index_id].to_numpy(), left["_iv"], vec_fn)
+        if len(ids) == 0 or V.shape[1] != Q.shape[1]:
             return empty
-        res = _block_topk(right["query_id"].to_numpy(), Q, left[index_id].to_numpy(), V, k,
-                          exclude_self)
+        res = _block_topk(right["query_id"].to_numpy(), Q, ids, V, k, exclude_self)
         if res is None:
             return empty
         return pd.DataFrame({"query_id": res[0], index_id: res[1], "s_int": res[2]})

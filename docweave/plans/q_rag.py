@@ -20,10 +20,13 @@ def _retrieve(spark, sf_dir, lang: str | None = None):
     # a metadata filter (J11) is applied at the documents scan, before any text work
     rows = common.chunk_rows_checkpointed(spark, sf_dir,
                                           None if lang is None else F.col("lang") == lang)
-    index = embedding.embed(rows, "text_chunk", "vector", common.TEXT_DIM)
+    # the index side ships token codes; vectors are built inside the search task
+    codes = rows.select("chunk_key", embedding.token_codes(F.col("text_chunk"), common.TEXT_DIM)
+                        .alias("codes"))
     qs = common.questions(spark, sf_dir)
-    hits = retrieval.knn_search(qs.select("query_id", "query_vector"),
-                                index.select("chunk_key", "vector"), C.TOP_K)
+    hits = retrieval.knn_search(qs.select("query_id", "query_vector"), codes, C.TOP_K,
+                                index_vec="codes",
+                                index_vec_fn=embedding.hashed_batch_embedder(common.TEXT_DIM))
     # hits hold at most (#questions x k) rows and the question set passed the broadcast
     # bound inside knn_search, so the hit list is the broadcast side of this join.
     meta = rag.attach_sources(hits, rows, broadcast_hits=True)
