@@ -119,12 +119,13 @@ def span_label_counts(spans: Column, labels: dict[str, str] | None = None) -> Co
 
 
 def gazetteer_spans(df: DataFrame, names: DataFrame, text_col: str = "text",
-                    id_col: str = "doc_id") -> DataFrame:
+                    id_col: str = "doc_id", max_broadcast_names: int = 1_000_000) -> DataFrame:
     """NAME detection by joining token uni- and bi-grams to a name list.
 
     ``names`` has one column ``name`` (one or two words, matched case-sensitively on
     whole tokens). Returns ``(id_col, name, token_index, ngram)`` hits. The name list is a
-    small dimension; it is broadcast only after its size is checked by the caller.
+    small dimension: it is broadcast when its row count is within ``max_broadcast_names``
+    (checked here), otherwise the planner joins it by shuffle.
     """
     toks = df.select(id_col, T.tokens(text_col).alias("_tok"))
     pairs = F.zip_with(F.col("_tok"),
@@ -138,8 +139,10 @@ def gazetteer_spans(df: DataFrame, names: DataFrame, text_col: str = "text",
     bi = grams.where(F.col("g.w2").isNotNull()).select(
         id_col, "token_index", F.concat_ws(" ", F.col("g.w1"), w2).alias("ngram"),
         F.lit(2).alias("ngram_len"))
-    hits = uni.unionByName(bi).join(F.broadcast(names.select(F.col("name").alias("ngram"))),
-                                    on="ngram", how="inner")
+    dim = names.select(F.col("name").alias("ngram")).distinct()
+    if names.limit(max_broadcast_names + 1).count() <= max_broadcast_names:
+        dim = F.broadcast(dim)
+    hits = uni.unionByName(bi).join(dim, on="ngram", how="inner")
     return hits.select(id_col, F.col("ngram").alias("name"), "token_index", "ngram_len")
 
 

@@ -27,9 +27,11 @@ def _retrieve(spark, sf_dir, lang: str | None = None):
     hits = retrieval.knn_search(qs.select("query_id", "query_vector"), codes, C.TOP_K,
                                 index_vec="codes",
                                 index_vec_fn=embedding.hashed_batch_embedder(common.TEXT_DIM))
-    # hits hold at most (#questions x k) rows and the question set passed the broadcast
-    # bound inside knn_search, so the hit list is the broadcast side of this join.
-    meta = rag.attach_sources(hits, rows, broadcast_hits=True)
+    # the hit list holds at most (#questions x k) rows: broadcast it only when the
+    # question count is checked to be within the same bound the search uses
+    bound = 20_000
+    small = qs.select("query_id").limit(bound + 1).count() <= bound
+    meta = rag.attach_sources(hits, rows, broadcast_hits=small)
     return qs.select("query_id", "question"), meta
 
 
