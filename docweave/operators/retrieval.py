@@ -123,16 +123,18 @@ def knn_search(queries: DataFrame, index: DataFrame, k: int = C.TOP_K, *,
     so index vectors are built where they are used and never shipped.
     """
     q, ix, schema = _prep(queries, index, query_id, query_vec, index_id, index_vec)
-    if method == "auto":
+    if method in ("auto", "broadcast"):
         n = q.limit(max_broadcast_queries + 1).count()
-        method = "tiled"
+        fits = False
         if n <= max_broadcast_queries:
             # a full (bounded) aggregate rather than first(): it also checks one width
             lo, hi = q.agg(F.min(F.size("_qv")), F.max(F.size("_qv"))).first()
             if lo != hi:
                 raise ValueError(f"query vectors have mixed widths {lo}..{hi}")
-            if n * (hi or 0) * 8 <= max_broadcast_bytes:
-                method = "broadcast"
+            fits = n * (hi or 0) * 8 <= max_broadcast_bytes
+        if method == "broadcast" and not fits:
+            raise ValueError("query set exceeds the broadcast bound; use method='tiled' or 'auto'")
+        method = "broadcast" if fits else "tiled"
     if method == "broadcast":
         cand = _broadcast_candidates(q, ix, k, index_id, exclude_self, schema, index_vec_fn)
     elif method == "tiled":
