@@ -5,8 +5,9 @@ rank by ``round(score, 6)`` descending, then neighbour id ascending.
 
 Plan shape (no cross join, never all pairs materialised):
 
-* **broadcast path** -- when the query set is at most ``max_broadcast_queries`` rows
-  (checked with a count first), the query matrix is broadcast and the index is scanned
+* **broadcast path** -- when the query set is at most ``max_broadcast_queries`` rows and
+  ``max_broadcast_bytes`` (both checked first), the query matrix is broadcast and the
+  index is scanned
   where it lies with ``mapInPandas``: every Arrow batch of index rows is multiplied with
   the query matrix in numpy, candidates are merged across the task's batches, and only
   the task-local top-k per query leaves the task. The index is never shuffled.
@@ -17,8 +18,10 @@ Plan shape (no cross join, never all pairs materialised):
   bounded memory (a block-matrix product), again emitting only local top-k.
 
 Either way the final ranking is a ``row_number() <= k`` window per query over at most
-``k`` candidates per producing batch/tile, which Catalyst turns into a partial
-(pre-shuffle) plus final ``WindowGroupLimit``.
+``k`` candidates per producing task/tile, which Catalyst turns into a partial
+(pre-shuffle) plus final ``WindowGroupLimit``. An optional ``index_vec_fn`` builds the
+index vectors inside the search task from whatever the index column holds (e.g. token
+codes for the hashing embedder).
 """
 
 from __future__ import annotations
