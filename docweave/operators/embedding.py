@@ -76,6 +76,18 @@ def _codes_to_vectors(codes: pd.Series, dim: int) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+def hash_embed_status(text: Column, dim: int = C.EMBED_DIMENSIONS) -> Column:
+    """F10 for the hashing embedder without materialising vectors: ``OK`` when the text's
+    vector exists (non-zero bucket sums), else ``MISSING``; one byte per row crosses
+    Arrow instead of a dense vector."""
+    @F.pandas_udf(TY.BooleanType())
+    def nonzero(codes: pd.Series) -> pd.Series:
+        valid, _ = codes_matrix(codes, dim)
+        return pd.Series(valid)
+    ok = nonzero.asNondeterministic()(token_codes(text, dim))
+    return F.when(ok, F.lit("OK")).otherwise(F.lit("MISSING"))
+
+
 def hashed_batch_embedder(dim: int):
     """Per-batch embedder for :func:`retrieval.knn_search` (``index_vec_fn``): turns a
     batch's token-code arrays into ``(kept ids, unit-vector matrix)`` inside the search

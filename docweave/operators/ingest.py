@@ -96,9 +96,15 @@ def explode_processed(docs: DataFrame) -> DataFrame:
         F.col("c.end_token").alias("end_token"))
 
 
-def embed_chunks(chunks: DataFrame, dim: int = C.EMBED_DIMENSIONS, model_fn=None) -> DataFrame:
-    """F4 + T3 + F10: skip blank chunks, embed the rest, flag wrong/missing vectors."""
+def embed_chunks(chunks: DataFrame, dim: int = C.EMBED_DIMENSIONS, model_fn=None,
+                 status_only: bool = False) -> DataFrame:
+    """F4 + T3 + F10: skip blank chunks, embed the rest, flag wrong/missing vectors.
+
+    ``status_only`` (hashing embedder only) adds just ``embed_status`` -- enough for the
+    index manifest -- without building the vectors."""
     live = chunks.where(F.col("token_count") > 0)
+    if status_only and model_fn is None:
+        return live.withColumn("embed_status", embedding.hash_embed_status(F.col("text_chunk"), dim))
     emb = embedding.embed(live, "text_chunk", "vector", dim, model_fn)
     return embedding.dimension_guard(emb, "vector", dim)
 

@@ -223,9 +223,9 @@ def chunks_explode_roundtrip(spark, sf_dir):
     return rows.select("source_document", "chunk_id", "token_count", "text_chunk")
 
 
-def _embedded(spark, sf_dir):
+def _embedded(spark, sf_dir, status_only: bool = False):
     rows = ingest.chunk_rows(processed(spark, sf_dir))
-    return ingest.embed_chunks(rows, common.TEXT_DIM)
+    return ingest.embed_chunks(rows, common.TEXT_DIM, status_only=status_only)
 
 
 @query("index_manifest", oracle=f"""WITH {common.chunk_rows_sql()},
@@ -241,7 +241,7 @@ SELECT CASE WHEN count(*) FILTER (WHERE ok) = 0 THEN 'FAILED'
 FROM j GROUP BY source_document, processed_key""")
 def index_manifest(spark, sf_dir):
     """A5 (+PARTIAL): indexed / failed chunk counts per processed document."""
-    m = ingest.index_manifest(_embedded(spark, sf_dir), common.TEXT_DIM)
+    m = ingest.index_manifest(_embedded(spark, sf_dir, status_only=True), common.TEXT_DIM)
     return m.select("status", "source_document", "processed_key", "indexed_count", "failed_count",
                     "embed_dimensions")
 
@@ -253,8 +253,8 @@ def index_reconcile(spark, sf_dir):
     """Chunks written by ingestion vs chunks indexed, per source document."""
     p = processed(spark, sf_dir)
     man = ingest.ingest_manifest(p)
-    idx = ingest.index_manifest(ingest.embed_chunks(ingest.chunk_rows(p), common.TEXT_DIM),
-                                common.TEXT_DIM)
+    idx = ingest.index_manifest(ingest.embed_chunks(ingest.chunk_rows(p), common.TEXT_DIM,
+                                                    status_only=True), common.TEXT_DIM)
     return ingest.reconcile(man, idx)
 
 

@@ -135,3 +135,10 @@ def test_sparse_embedding_equals_dense_nonzeros(spark):
         nz = [(i, w) for i, w in enumerate(r.d) if w != 0]
         assert list(zip(r.s.buckets, r.s.weights)) == nz
         assert abs(sum(w * w for w in r.d) - 1) < 1e-9
+
+
+def test_status_only_embedding_matches_vectors(spark):
+    df = spark.createDataFrame([("alpha beta",), ("x",), ("",), ("a a",)], "t string")
+    r = df.select(embedding.hash_embed(F.col("t"), 8).alias("v"),
+                  embedding.hash_embed_status(F.col("t"), 8).alias("s")).collect()
+    assert [x.s for x in r] == ["OK" if x.v is not None else "MISSING" for x in r]
