@@ -49,3 +49,15 @@ def test_repeated_value_is_split_across_ranges(spark):
         assert max(r["count"] for r in parts) < 4000            # the run of 7.0 is split
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_two_phase_sessions_equal_single_session_window(spark):
+    ts = ["2024-01-01 23:40:00", "2024-01-01 23:55:00", "2024-01-02 00:20:00", "2024-01-02 00:49:59",
+          "2024-01-02 01:30:00", "2024-01-02 23:59:59", "2024-01-03 00:29:58", "2024-01-05 12:00:00"]
+    rows = [(1, t) for t in ts] + [(2, "2024-01-01 23:59:00"), (2, "2024-01-02 00:28:59")]
+    df = spark.createDataFrame(rows, "k long, ts string").select("k", F.to_timestamp("ts").alias("ts"))
+    two = M.sessions(df, "k", "ts", "30 minutes")
+    one = df.groupBy("k", F.session_window("ts", "30 minutes").alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    a = sorted((r.k, r.session_start, r.session_end, r.requests) for r in two.collect())
+    b = sorted((r.k, r.s.start, r.s.end, r.n) for r in one.collect())
+    assert a == b and len(a) == 5
