@@ -14,3 +14,19 @@ def test_registry_consistency():
     assert set(oracles) <= set(qs)
     assert len(qs) >= 70
     assert all(not n.startswith("op") and "pipeline" not in n for n in qs)
+
+
+def test_package_is_shipped_to_python_workers(spark):
+    import os
+    import zipfile
+
+    from docweave.session import ship_package
+    ship_package(spark)
+    assert getattr(spark.sparkContext, "_docweave_shipped", False)
+    files = spark.sparkContext._jsc.sc().listFiles()
+    zips = [f for f in spark.sparkContext._jvm.scala.collection.JavaConverters.seqAsJavaList(files)
+            if str(f).endswith("docweave.zip")]
+    assert zips
+    path = str(zips[0]).replace("file:", "")
+    names = zipfile.ZipFile(path).namelist() if os.path.exists(path) else []
+    assert not names or "docweave/operators/retrieval.py" in names
