@@ -70,3 +70,29 @@ def test_sliding_rate_windows(spark):
         .select(F.to_timestamp("ts").alias("ts"))
     got = {str(r.window_start): r.requests for r in metrics.rate_windows(df, "ts", "3 hours", "1 hour", 2).collect()}
     assert got["2024-01-01 00:00:00"] == 3 and got["2023-12-31 22:00:00"] == 2
+
+
+def test_blank_chunks_are_not_embedded(spark):
+    chunks = spark.createDataFrame([("k1", "alpha beta", 2), ("k2", "", 0)],
+                                   "chunk_key string, text_chunk string, token_count int")
+    got = {r.chunk_key: r.embed_status for r in ingest.embed_chunks(chunks, 16).collect()}
+    assert got == {"k1": "OK"}
+
+
+def test_prompt_text_and_request(spark):
+    import json
+
+    from docweave.operators import rag
+    df = spark.createDataFrame([("ctx here", "why?")], "context string, question string")
+    r = rag.build_prompt(df).first()
+    assert r.system_prompt == C.SYSTEM_PROMPT_PREFIX + "ctx here"
+    req = json.loads(r.request_json)
+    assert req["max_tokens"] == 1024 and req["temperature"] == 0.2
+    assert req["messages"] == [{"role": "user", "content": [{"type": "text", "text": "why?"}]}]
+
+
+def test_language_filter_reaches_the_scan(spark):
+    from docweave.sources.tables import source_documents
+    df = source_documents(spark, "/root/testdata/sf0.001", F.col("lang") == "en")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in plan
