@@ -96,3 +96,15 @@ def test_language_filter_reaches_the_scan(spark):
     df = source_documents(spark, "/root/testdata/sf0.001", F.col("lang") == "en")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in plan
+
+
+def test_context_block_numbering_fallback_and_no_hits(spark):
+    from docweave.operators import rag
+    qs = spark.createDataFrame([(1, "q1"), (2, "q2")], "query_id long, question string")
+    hits = spark.createDataFrame([(1, 2, 0.5, "", 3, False, "second"), (1, 1, 0.9, "doc-a", 0, True, "first")],
+                                 "query_id long, rank int, score double, source_document string, chunk_id int, "
+                                 "pii_masked_flag boolean, text_chunk string")
+    got = {r.query_id: r for r in rag.format_context(qs, hits).collect()}
+    assert got[1].context == "[1] (source: doc-a)\nfirst\n\n[2] (source: unknown)\nsecond"
+    assert got[1].retrieved_count == 2 and got[1].sources[0].source_document == "doc-a"
+    assert got[2].context == C.NO_CONTEXT_TEXT and got[2].retrieved_count == 0
