@@ -108,3 +108,10 @@ def test_context_block_numbering_fallback_and_no_hits(spark):
     assert got[1].context == "[1] (source: doc-a)\nfirst\n\n[2] (source: unknown)\nsecond"
     assert got[1].retrieved_count == 2 and got[1].sources[0].source_document == "doc-a"
     assert got[2].context == C.NO_CONTEXT_TEXT and got[2].retrieved_count == 0
+
+
+def test_citation_counts(spark):
+    from docweave.operators import rag
+    hits = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (2, "b")], "query_id long, source_document string")
+    got = {r.source_document: (r.citations, r.questions) for r in rag.citation_counts(hits).collect()}
+    assert got == {"a": (3, 2), "b": (1, 1)}
