@@ -130,7 +130,7 @@ def _oracle() -> str:
     return f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 a AS (SELECT doc_id, t, regexp_extract_all(t, '{space}+') AS w,
-             list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '{space}')) AS l FROM t),
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{space}')) AS l FROM t),
 tri AS (SELECT doc_id, i, w[i] AS a, w[i+1] AS b, w[i+2] AS c
         FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM a WHERE len(w) >= 3)),
 rep AS (SELECT doc_id, i FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, a, b, c) > 1),
@@ -142,7 +142,7 @@ m AS (SELECT a.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word
         coalesce(n_repeat_words, 0) AS n_repeat_words,
         length(t) - length(translate(t, '{UPPER}', '')) AS n_upper, len(l) AS n_lines,
         len(list_distinct(w)) AS n_distinct,
-        len(list_filter(w, x -> x IN ({stops}))) AS n_stop
+        len(list_filter(w, lambda x: x IN ({stops}))) AS n_stop
       FROM a LEFT JOIN cov USING (doc_id)),
 r AS (SELECT *, coalesce(word_chars / nullif(n_words, 0), 0) AS mean_word_length,
         coalesce(n_symbols / nullif(n_words, 0), 0) AS symbol_ratio,
