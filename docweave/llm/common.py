@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.session import ensure_checkpoint_dir, ship_package
+from docweave.session import ensure_checkpoint_dir, scratch_path, ship_package
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -29,6 +31,15 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
         *(columns or DOCUMENT_COLUMNS))
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared checkpoint folder and read back: lineage is cut
+    and wide intermediate rows cost less than in a checkpoint. The folder is the cluster's to
+    empty once the job has ended."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, UPPER, LOWER)

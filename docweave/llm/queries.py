@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm import byte_bpe, exact_dedup, lang_id, quality_rules, simhash
+from docweave.llm import byte_bpe, exact_dedup, lang_id, mixing, quality_rules, simhash
 from docweave.llm.common import documents
 
 BPE_FILE = "byte_bpe_50k.tiktoken"
@@ -23,6 +23,11 @@ def op6_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.language_id(documents(spark, sf_dir, "doc_id", "text", "lang"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return mixing.mix(documents(spark, sf_dir, "doc_id", "text"), labels)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -32,7 +37,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_simhash, op6_lang_id,
+QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_simhash, op6_lang_id, op7_mixing,
                                    op8_quality_rules, op10_byte_bpe)}
 ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE_SQL,
            "op8_quality_rules": quality_rules.ORACLE_SQL}
