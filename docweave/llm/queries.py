@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docweave.llm import byte_bpe, exact_dedup, lang_id, mixing, quality_rules, simhash
+from docweave.llm import (byte_bpe, exact_dedup, lang_id, mixing, quality_rules, simhash,
+                          substring_dedup)
 from docweave.llm.common import documents
 
 BPE_FILE = "byte_bpe_50k.tiktoken"
@@ -32,12 +34,19 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.substring_dedup(documents(spark, sf_dir, "doc_id", "text"))
+    return found.select("doc_id", "n_sentences", "n_removed", "removed",
+                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(documents(spark, sf_dir, "doc_id", "text"),
                                public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
 
 
 QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_simhash, op6_lang_id, op7_mixing,
-                                   op8_quality_rules, op10_byte_bpe)}
+                                   op8_quality_rules, op9_substring_dedup,
+                                   op10_byte_bpe)}
 ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE_SQL,
            "op8_quality_rules": quality_rules.ORACLE_SQL}
