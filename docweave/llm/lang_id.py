@@ -33,7 +33,7 @@ MAX_WORDS = 30_000
 MAX_GRAMS = 10_000
 GRAM_SIZES = (4, 3, 2, 1)
 MAX_LANGUAGES = 64
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 250_000
 
 
 def held_out(id_col: str) -> Column:
@@ -54,7 +54,7 @@ def bounded_sample(rows: DataFrame, id_col: str, fit_rows: int, seed: int = 17)
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         lang_col: str = "lang", fit_rows: int = FIT_ROWS, max_words: int = MAX_WORDS,
         max_grams: int = MAX_GRAMS) -> dict:
-    """``{"langs": [...], "words": {word: counts}, "grams": {gram: counts}, ...}``."""
+    """The bounded model (see :func:`pack`) of a sample of the rows that are not held out."""
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull()
                       & F.col(text_col).isNotNull())
     rows = bounded_sample(rows, id_col, fit_rows)
@@ -93,62 +93,76 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by_size: dict[int, dict] = {}
     for part, v in table(grams).items():
         by_size.setdefault(len(part), {})[part] = v
-    return {"langs": langs, "words": logs(table(words)),
-            "grams": {k: logs(v) for k, v in by_size.items()}, "key": uuid.uuid4().hex}
+    return pack(langs, logs(table(words)), {k: logs(v) for k, v in by_size.items()})
+
+
+def pack(langs: list[str], words: dict, grams: dict[int, dict]) -> dict:
+    """The model as one matrix of log frequencies and tables of its rows; row 0 is zero."""
+    vectors = [np.zeros(len(langs))]
+
+    def rows(table: dict) -> dict[str, int]:
+        first = len(vectors)
+        vectors.extend(table.values())
+        return {part: first + i for i, part in enumerate(table)}
+
+    return {"langs": langs, "words": rows(words), "grams": {k: rows(t) for k, t in grams.items()},
+            "matrix": np.array(vectors).reshape(len(vectors), len(langs)), "key": uuid.uuid4().hex}
 
 
 class Scorer:
-    """Scores texts by a fitted model; word scores are remembered, in bounded number."""
+    """Scores texts by a fitted model; scores of unseen words are remembered, in bounded
+    number, as further rows of the model's matrix."""
 
     find = staticmethod(re.compile(r"[^\W\d_]+").findall)
 
     def __init__(self, model: dict, memo: int = MEMO_ENTRIES):
         self.langs, self.words, self.grams = model["langs"], model["words"], model["grams"]
-        self.memo, self.at = memo, {}
-        self.rows = np.zeros((1024, max(1, len(self.langs))))
-
-    def score(self, word: str) -> np.ndarray:
-        """Log frequencies of a known word, else the mean of its longest known n-grams."""
-        got = self.words.get(word)
-        if got is not None:
-            return got
+        self.known = len(model["matrix"])
+        self.rows = np.concatenate([model["matrix"], np.zeros((memo, len(self.langs)))])
+        self.forget()
+
+    def forget(self) -> None:
+        self.at, self.used = dict(self.words), self.known
+
+    def back_off(self, word: str) -> np.ndarray:
+        """Mean log frequencies of the longest n-grams of which any is known."""
         marked = f"^{word}$"
         for k in GRAM_SIZES:
             table = self.grams.get(k, {})
-            known = [table[g] for i in range(len(marked) - k + 1)
-                     if (g := marked[i:i + k]) in table]
-            if known:
-                return np.mean(known, axis=0)
-        return np.zeros(len(self.langs))
+            found = [table[g] for i in range(len(marked) - k + 1) if (g := marked[i:i + k]) in table]
+            if found:
+                return self.rows[found].mean(axis=0)
+        return self.rows[0]
 
     def learn(self, token: str) -> int:
-        """Row of a token's score; 0, a row of zeros, if it has no letter."""
+        """Row of an unseen word's score; -1 if it has no letter."""
         word = token if token.isalpha() else "".join(c for c in token if c.isalpha())
-        i = 0
-        if word:
-            i = self.used
-            if i == len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[i] = self.score(word)
-            self.used += 1
-        self.at[token] = i
-        return i
-
-    used = 1
+        row = self.words.get(word, -1)
+        if word and row < 0:
+            if self.used == len(self.rows):
+                return -2                       # no room: scored by itself
+            row, self.used = self.used, self.used + 1
+            self.rows[row] = self.back_off(word)
+        self.at[token] = row
+        return row
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.langs:
             return UNDETERMINED, 0.0
-        if self.used > self.memo:
-            self.at, self.used = {}, 1
+        if self.used > self.known + (len(self.rows) - self.known) // 2:
+            self.forget()
         tokens = self.find(text.lower())
         ids = [*map(self.at.get, tokens)]
+        total = np.zeros(len(self.langs))
         if None in ids:
             known, learn = self.at.get, self.learn
             ids = [i if (i := known(t)) is not None else learn(t) for t in tokens]
-        if not any(ids):
+            for i, t in zip(ids, tokens):
+                if i == -2:
+                    total += self.back_off("".join(c for c in t if c.isalpha()))
+        if all(i == -1 for i in ids):
             return UNDETERMINED, 0.0
-        total = self.rows[ids].sum(axis=0)
+        total += self.rows[[i for i in ids if i >= 0]].sum(axis=0)
         best = int(np.argmax(total))
         return self.langs[best], 1.0 / float(np.exp(np.minimum(total - total[best], 0)).sum())
 

@@ -48,8 +48,12 @@ def test_held_out_rows_and_other_columns_do_not_matter(make_docs):
 
 def test_back_off_order():
     import numpy as np
-    model = {"langs": ["a", "b"], "words": {"abc": np.array([0.0, -1.0])}, "key": "k",
-             "grams": {4: {"^abd": np.array([-9.0, 0.0])}, 1: {"d": np.array([0.0, -9.0])}}}
+    model = lang_id.pack(["a", "b"], {"abc": np.array([0.0, -1.0])}, {
+        4: {"^abd": np.array([-9.0, 0.0])}, 1: {"d": np.array([0.0, -9.0])}})
+    for memo in (0, 1, 100):            # a full memory changes nothing
+        s = lang_id.Scorer(model, memo)
+        assert s.predict("abc")[0] == "a" and s.predict("abd")[0] == "b" and s.predict("d")[0] == "a"
+        assert s.predict("abd abd d x1") == s.predict("d x1 abd abd")
     s = lang_id.Scorer(model)
     assert s.predict("abc")[0] == "a" and s.predict("abd")[0] == "b" and s.predict("d")[0] == "a"
     assert s.predict("q") == ("a", 0.5) and s.predict("1")[0] == "und"
