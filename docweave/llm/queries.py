@@ -6,17 +6,35 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import (byte_bpe, exact_dedup, lang_id, mixing, quality_rules, simhash,
-                          substring_dedup)
+from docweave.llm import (byte_bpe, exact_dedup, lang_id, license_scan, mixing, quality_rules,
+                          simhash, substring_dedup, token_counts, token_order)
 from docweave.llm.common import documents
 
 BPE_FILE = "byte_bpe_50k.tiktoken"
+PIECE_FILE = "piece_bpe_32k.model"
+
+
+def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_order.training_order(documents(spark, sf_dir, "doc_id", "text"),
+                                       public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
+    return found.select("slot", "shard", "doc_id", "seq_no", "n_tokens",
+                        F.sha2("ids", 256).alias("ids_sha256"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir, "doc_id", "text"),
+                                     public_tokenizers.path(PIECE_FILE))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(documents(spark, sf_dir, "doc_id", "text"),
+                                     license_scan.default_templates(spark))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -45,8 +63,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_simhash, op6_lang_id, op7_mixing,
-                                   op8_quality_rules, op9_substring_dedup,
-                                   op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (
+    op1_training_order, op2_token_counts, op3_exact_dedup, op4_license_scan, op5_simhash,
+    op6_lang_id, op7_mixing, op8_quality_rules, op9_substring_dedup, op10_byte_bpe)}
 ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE_SQL,
            "op8_quality_rules": quality_rules.ORACLE_SQL}
