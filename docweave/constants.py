@@ -88,3 +88,11 @@ FAILURE_SAMPLE_ROWS = 5
 FAILURE_SAMPLE_CHARS = 160
 FILENAME_STEM_MAX = 80
 LATENCY_STAGES = ["embedding", "retrieval", "llm", "total"]
+
+# Reasons why an index row is refused.
+MISSING_VECTOR = "missing vector"
+WRONG_WIDTH = "unexpected vector width "
+
+# Error texts of the question API.
+QUERY_FAILED = "RAG query failed"
+MISSING_QUESTION = "Missing required field: question"

@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 
 from docweave import constants as C
 
+GIVE_UP = "GIVE_UP"
+NOT_LISTED = "NOT_LISTED"
+#: Fields of an ingest manifest row, kept whole as a dead letter's payload.
+RECORD = ("status", "bucket", "source_key", "processed_key", "chunk_count", "pii_masked_flag",
+          "pii_entity_counts", "reason", "error_type", "error_message")
+
 
 def to_dead_letters(failed: DataFrame, stage: str, failed_at: Column | None = None,
                     payload_cols: list[str] | None = None, attempt: Column | None = None) -> DataFrame:
     """K4: whole failing record serialised as JSON with stage, error and time."""
-    cols = payload_cols or [c for c in failed.columns if c not in ("error_type", "error_message")]
+    cols = payload_cols or failed.columns
     return failed.select(
         (failed_at if failed_at is not None else F.current_timestamp()).alias("failed_at"),
         F.lit(stage).alias("stage"),
@@ -48,22 +54,35 @@ def replay_ingest(dlq: DataFrame, objects: DataFrame, process, max_attempts: int
     ``dlq`` holds ingest dead letters (payload JSON with ``source_key``); ``objects`` is
     the current object listing (``source_key`` + object columns); ``process`` is the
     batch function (e.g. ``ingest.process_objects``). Returns ``(processed, dead)``: the
-    processed rows of the retried objects and the new dead letters -- still failing
-    objects with ``attempt + 1``, or ``GIVE_UP`` once ``max_attempts`` is reached.
-    Equi-join on the key; no per-object driver loop.
+    processed rows of the retried objects and the new dead letters. Each (bucket, key) is
+    replayed once, from its highest attempt: still failing objects return with ``attempt +
+    1``, objects that are no longer listed as ``NOT_LISTED``, and ``GIVE_UP`` ends a history
+    at ``max_attempts``; an object given up before is left alone. Equi-joins on the key.
     """
     from docweave.operators import routing
-    todo = dlq.where(F.col("stage") == "ingest").select(
-        F.get_json_object("payload", "$.source_key").alias("source_key"), "attempt")
+    key = ["bucket", "source_key"]
+    todo = (dlq.where(F.col("stage") == "ingest").select(
+        F.coalesce(F.get_json_object("payload", "$.bucket"), F.lit(C.DEFAULT_BUCKET)).alias("bucket"),
+        F.get_json_object("payload", "$.source_key").alias("source_key"), "attempt",
+        (F.col("error_type") == GIVE_UP).alias("over"))
+        .groupBy(*key).agg(F.max("attempt").alias("attempt"), F.max("over").alias("over"))
+        .where(~F.coalesce(F.col("over"), F.lit(False))))
     retry = todo.where(F.col("attempt") < max_attempts)
     gave_up = todo.where(F.col("attempt") >= max_attempts)
-    processed = process(objects.join(retry.select("source_key").distinct(), "source_key", "left_semi"))
-    failed = processed.where(routing.route_of(F.col("status")) == "DLQ").join(retry, "source_key")
-    again = to_dead_letters(failed, "ingest", payload_cols=["status", "bucket", "source_key"],
+    listed = objects.join(retry, key, "left_semi")
+    missing = retry.join(objects.select(*key), key, "left_anti")
+    processed = process(listed)
+    failed = processed.where(routing.route_of(F.col("status")) == "DLQ").join(retry, key)
+    again = to_dead_letters(failed.select(*[c for c in failed.columns if c[0] != "_"]), "ingest",
+                            payload_cols=[c for c in RECORD if c in failed.columns],
                             attempt=F.col("attempt") + 1)
-    final = gave_up.select(F.current_timestamp().alias("failed_at"), F.lit("ingest").alias("stage"),
-                           F.lit("GIVE_UP").alias("error_type"),
-                           F.lit(f"gave up after {max_attempts} attempts").alias("error_message"),
-                           F.col("attempt").cast("int").alias("attempt"),
-                           F.to_json(F.struct("source_key")).alias("payload"))
-    return processed, again.unionByName(final)
+
+    def outcome(rows: DataFrame, kind: str, message: str, attempt: Column) -> DataFrame:
+        return rows.select(F.current_timestamp().alias("failed_at"), F.lit("ingest").alias("stage"),
+                           F.lit(kind).alias("error_type"), F.lit(message).alias("error_message"),
+                           attempt.cast("int").alias("attempt"),
+                           F.to_json(F.struct(*key)).alias("payload"))
+
+    return processed, (again.unionByName(outcome(
+        gave_up, GIVE_UP, f"gave up after {max_attempts} attempts", F.col("attempt")))
+        .unionByName(outcome(missing, NOT_LISTED, "object is not listed any more", F.col("attempt") + 1)))

@@ -16,9 +16,11 @@ from docweave.functions import text as T
 from docweave.operators import chunking, embedding, redaction, routing
 
 
-def chunk_key(source_document, chunk_id):
-    """Deterministic index key (fixes duplicate indexing on re-runs)."""
-    return F.sha2(F.concat(source_document, F.lit(":"), chunk_id.cast("string")), 256)
+def chunk_key(source_bucket, source_document, chunk_id):
+    """Deterministic index key (fixes duplicate indexing on re-runs); objects of one key in
+    two buckets have different keys."""
+    return F.sha2(F.concat(source_bucket, F.lit(":"), source_document, F.lit(":"),
+                           chunk_id.cast("string")), 256)
 
 
 def process_objects(objects: DataFrame, size: int = C.CHUNK_SIZE_TOKENS,
@@ -81,7 +83,7 @@ def chunk_rows(processed: DataFrame, size: int = C.CHUNK_SIZE_TOKENS,
     ch = chunking.chunk_documents(ok, "_tokens", size, overlap, pre_tokenized=True,
                                   keep=["source_document", "source_bucket", "pii_masked_flag",
                                         "processed_key"])
-    return ch.select(chunk_key(F.col("source_document"), F.col("chunk_id")).alias("chunk_key"), "*")
+    return ch.select(chunk_key(F.col("source_bucket"), F.col("source_document"), F.col("chunk_id")).alias("chunk_key"), "*")
 
 
 def explode_processed(docs: DataFrame) -> DataFrame:
@@ -89,7 +91,7 @@ def explode_processed(docs: DataFrame) -> DataFrame:
     e = docs.select("source_document", "source_bucket", "pii_masked_flag",
                     "processed_key", F.explode("chunks").alias("c"))
     return e.select(
-        chunk_key(F.col("source_document"), F.col("c.chunk_id")).alias("chunk_key"),
+        chunk_key(F.col("source_bucket"), F.col("source_document"), F.col("c.chunk_id")).alias("chunk_key"),
         "source_document", "source_bucket", "pii_masked_flag", "processed_key",
         F.col("c.chunk_id").alias("chunk_id"), F.col("c.text_chunk").alias("text_chunk"),
         F.col("c.token_count").alias("token_count"), F.col("c.start_token").alias("start_token"),
@@ -125,12 +127,13 @@ def index_manifest(embedded: DataFrame, dim: int = C.EMBED_DIMENSIONS,
                     F.lit(dim).alias("embed_dimensions"), "pii_masked_flag")
 
 
-def index_rows(embedded: DataFrame, timestamp: str | None = None) -> DataFrame:
-    """K2 payload: vector index rows (vector stored as ARRAY<FLOAT>), OK vectors only."""
+def index_rows(embedded: DataFrame, timestamp: str | None = None, only_ok: bool = True) -> DataFrame:
+    """K2 payload: vector index rows (vector stored as ARRAY<FLOAT>), OK vectors only unless
+    the sink is to report the others."""
     ts = F.to_timestamp(F.lit(timestamp)) if timestamp else F.current_timestamp()
-    return embedded.where(F.col("embed_status") == "OK").select(
+    return (embedded.where(F.col("embed_status") == "OK") if only_ok else embedded).select(
         "chunk_key", F.col("vector").cast("array<float>").alias("vector"), "text_chunk",
-        "source_document", ts.alias("timestamp"), "pii_masked_flag",
+        "source_bucket", "source_document", ts.alias("timestamp"), "pii_masked_flag",
         F.col("chunk_id").cast("int").alias("chunk_id"), "processed_key")
 
 

@@ -33,12 +33,13 @@ def attach_sources(hits: DataFrame, index: DataFrame, key: str = "chunk_key",
                    broadcast_hits: bool = False) -> DataFrame:
     """Join the k hits per question back to chunk text and metadata by key.
 
-    With ``broadcast_hits`` (the caller has bounded the question count, so the hit list
-    holds at most questions x k rows) the index is scanned in place and filtered by the
-    broadcast hit list instead of being shuffled."""
+    A hit whose key is not in the index stays, with null metadata. With ``broadcast_hits``
+    (the caller has bounded the question count, so the hit list holds at most questions x k
+    rows) the index is first filtered in place by the broadcast hit keys, so only the hits'
+    rows meet the join; the result is the same."""
     meta = index.select(key, *HIT_META)
     if broadcast_hits:
-        return meta.join(F.broadcast(hits), key)
+        meta = meta.join(F.broadcast(hits.select(key).distinct()), key, "left_semi")
     return hits.join(meta, key, "left")
 
 

@@ -108,33 +108,50 @@ def _prep(queries: DataFrame, index: DataFrame, query_id: str, query_vec: str,
     return q, ix, schema
 
 
+def split_by_width(index: DataFrame, dim: int, index_vec: str = "vector") -> tuple[DataFrame, DataFrame]:
+    """Rows whose vector has ``dim`` elements, and the others with ``error_type`` and
+    ``error_message`` for :func:`deadletters.to_dead_letters`."""
+    fits = F.coalesce(F.size(index_vec) == dim, F.lit(False))
+    message = F.when(F.col(index_vec).isNull(), F.lit(C.MISSING_VECTOR)).otherwise(
+        F.concat(F.lit(C.WRONG_WIDTH), F.size(index_vec).cast("string")))
+    bad = index.where(~fits).withColumn("error_type", F.lit("ValueError")).withColumn("error_message", message)
+    return index.where(fits), bad
+
+
 def knn_search(queries: DataFrame, index: DataFrame, k: int = C.TOP_K, *,
                query_id: str = "query_id", query_vec: str = "query_vector",
                index_id: str = "chunk_key", index_vec: str = "vector",
                exclude_self: bool = False, method: str = "auto",
                max_broadcast_queries: int = 20_000, max_broadcast_bytes: int = 128 << 20,
                index_tile_rows: int = 50_000, query_tile_rows: int = 4_096,
-               index_vec_fn=None) -> DataFrame:
+               index_vec_fn=None, bad_width: str = "raise") -> DataFrame:
     """Exact top-k neighbours per query.
 
     Returns ``query_id, rank (1..k), <index_id>, score``. With ``method="auto"`` the
     query matrix is broadcast only when its row count and its size in bytes
     (rows x dim x 8) are both checked to be within bounds; otherwise the tiled plan runs.
 
+    Rows without a vector take no part. An index vector whose width is not the queries' is an
+    error on either path, or left out on either path with ``bad_width="skip"``;
+    :func:`split_by_width` gives such rows for the dead letters.
+
     ``index_vec_fn(ids, column_batch) -> (kept_ids, matrix)`` embeds the index column
     inside the search task (e.g. :func:`embedding.hashed_batch_embedder` over token codes),
     so index vectors are built where they are used and never shipped.
     """
+    if bad_width not in ("raise", "skip"):
+        raise ValueError(bad_width)
     q, ix, schema = _prep(queries, index, query_id, query_vec, index_id, index_vec)
+    n, lo, hi = q.agg(F.count(F.lit(1)), F.min(F.size("_qv")), F.max(F.size("_qv"))).first()
+    if lo != hi:
+        raise ValueError(f"query vectors have mixed widths {lo}..{hi}")
+    if index_vec_fn is None and hi is not None:     # the same rule whatever path is taken
+        fits = F.size("_iv") == hi
+        ix = ix.where(fits) if bad_width == "skip" else ix.withColumn("_iv", F.when(
+            fits, F.col("_iv")).otherwise(F.raise_error(F.concat(
+                F.lit(f"index vector is not of width {hi}: "), F.col(index_id).cast("string")))))
     if method in ("auto", "broadcast"):
-        n = q.limit(max_broadcast_queries + 1).count()
-        fits = False
-        if n <= max_broadcast_queries:
-            # a full (bounded) aggregate rather than first(): it also checks one width
-            lo, hi = q.agg(F.min(F.size("_qv")), F.max(F.size("_qv"))).first()
-            if lo != hi:
-                raise ValueError(f"query vectors have mixed widths {lo}..{hi}")
-            fits = n * (hi or 0) * 8 <= max_broadcast_bytes
+        fits = n <= max_broadcast_queries and n * (hi or 0) * 8 <= max_broadcast_bytes
         if method == "broadcast" and not fits:
             raise ValueError("query set exceeds the broadcast bound; use method='tiled' or 'auto'")
         method = "broadcast" if fits else "tiled"
@@ -154,7 +171,6 @@ def _broadcast_candidates(q, ix, k, index_id, exclude_self, schema, vec_fn=None)
     qids = pdf["query_id"].to_numpy()
     Q = _matrix(pdf["_qv"].tolist())
     bc = spark.sparkContext.broadcast((qids, Q))
-    dim = Q.shape[1] if len(qids) else 0
 
     def fn(batches):
         bq, bQ = bc.value
@@ -163,7 +179,7 @@ def _broadcast_candidates(q, ix, k, index_id, exclude_self, schema, vec_fn=None)
             if len(b) == 0:
                 continue
             ids, V = _index_matrix(b[index_id].to_numpy(), b["_iv"], vec_fn)
-            if len(ids) == 0 or V.shape[1] != bQ.shape[1]:
+            if len(ids) == 0 or len(bq) == 0:
                 continue
             res = _block_topk(bq, bQ, ids, V, k, exclude_self)
             if res is None:
@@ -173,8 +189,7 @@ def _broadcast_candidates(q, ix, k, index_id, exclude_self, schema, vec_fn=None)
         if best is not None:
             yield best          # at most k rows per query leave the task
 
-    src = ix if vec_fn is not None else ix.where(F.size("_iv") == dim)
-    return src.mapInPandas(fn, schema)
+    return ix.mapInPandas(fn, schema)
 
 
 def _keep_topk(cand: pd.DataFrame, k: int, index_id: str) -> pd.DataFrame:
@@ -216,7 +231,7 @@ def _cogroup_candidates(it, qt, keys, k, index_id, exclude_self, schema, vec_fn=
             return empty
         Q = _matrix(right["_qv"].tolist())
         ids, V = _index_matrix(left[index_id].to_numpy(), left["_iv"], vec_fn)
-        if len(ids) == 0 or V.shape[1] != Q.shape[1]:
+        if len(ids) == 0:
             return empty
         res = _block_topk(right["query_id"].to_numpy(), Q, ids, V, k, exclude_self)
         if res is None:

@@ -26,7 +26,7 @@ def chunk_rows(spark: SparkSession, sf_dir: str, where=None) -> DataFrame:
                                   keep=["doc_id", "bucket", "source_key", "lang", "source",
                                         "pii_masked_flag"])
     return ch.select(
-        chunk_key(F.col("source_key"), F.col("chunk_id")).alias("chunk_key"),
+        chunk_key(F.col("bucket"), F.col("source_key"), F.col("chunk_id")).alias("chunk_key"),
         "doc_id", "lang", "source", F.col("source_key").alias("source_document"),
         "chunk_id", "token_count", "text_chunk", "pii_masked_flag",
         T.processed_key("source_key").alias("processed_key"))
@@ -58,7 +58,7 @@ def chunk_rows_sql() -> str:
     return f"""{S.SRC_DOCS_CTE}, {S.redaction_ctes()},
 {S.chunk_ctes('redacted', 'redacted_text', 'doc_id, bucket, source_key, lang, source, pii_masked_flag')},
 chunk_rows AS (
-  SELECT sha256(source_key || ':' || CAST(chunk_id AS VARCHAR)) AS chunk_key, doc_id, lang, source,
+  SELECT sha256(bucket || ':' || source_key || ':' || CAST(chunk_id AS VARCHAR)) AS chunk_key, doc_id, lang, source,
          source_key AS source_document, chunk_id, token_count, text_chunk, pii_masked_flag,
          'processed/' || regexp_replace(replace(source_key, '/', '_'), '(?i)\\.(pdf|txt)$', '') || '/chunks.json'
            AS processed_key

@@ -268,19 +268,22 @@ def incremental_new_objects(spark, sf_dir):
     return ingest.new_objects(listing(spark, sf_dir), prev).select("source_key")
 
 
-def _index_two_runs(spark, sf_dir, mode):
+def _index_two_runs(spark, sf_dir, second=None, latest=True):
+    """Every document indexed, then (what ``second`` keeps of) it again a day later."""
     base = scratch_path(spark, f"index-{uuid.uuid4().hex}")
-    emb = _embedded(spark, sf_dir)
-    sinks.write_index(ingest.index_rows(emb, "2024-02-01 00:00:00"), base, mode, common.TEXT_DIM)
-    sinks.write_index(ingest.index_rows(emb, "2024-02-02 00:00:00"), base, mode, common.TEXT_DIM)
-    return sinks.read_index(spark, base)
+    rows = ingest.index_rows(_embedded(spark, sf_dir), "2024-02-01 00:00:00")
+    sinks.write_index(rows, base, common.TEXT_DIM)
+    # the second run embeds nothing anew: it stores what the first one did at another time
+    again = sinks.read_index(spark, base).withColumn("timestamp", F.to_timestamp(F.lit("2024-02-02 00:00:00")))
+    sinks.write_index(again if second is None else again.where(second), base, common.TEXT_DIM)
+    return sinks.read_index(spark, base, latest)
 
 
 @query("index_upsert", oracle=f"""WITH {common.chunk_rows_sql()}
 SELECT chunk_key, source_document, chunk_id, '2024-02-02 00:00:00' AS ts FROM chunk_rows""")
 def index_upsert(spark, sf_dir):
-    """K2 upsert: the same chunks indexed twice keep one (the latest) row per chunk key."""
-    idx = _index_two_runs(spark, sf_dir, "upsert")
+    """K2 upsert: documents indexed twice keep their newest generation."""
+    idx = _index_two_runs(spark, sf_dir)
     return idx.select("chunk_key", "source_document", "chunk_id",
                       F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
@@ -289,12 +292,50 @@ def index_upsert(spark, sf_dir):
 SELECT chunk_key, source_document, chunk_id, '2024-02-01 00:00:00' AS ts FROM chunk_rows
 UNION ALL SELECT chunk_key, source_document, chunk_id, '2024-02-02 00:00:00' FROM chunk_rows""")
 def index_append(spark, sf_dir):
-    """K2 append (reference behaviour): indexing twice duplicates every chunk."""
-    idx = _index_two_runs(spark, sf_dir, "append")
+    """K2 append (reference behaviour): all generations of a document."""
+    idx = _index_two_runs(spark, sf_dir, latest=False)
     return idx.select("chunk_key", "source_document", "chunk_id",
                       F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 
+@query("index_shrink", oracle=f"""WITH {common.chunk_rows_sql()}
+SELECT chunk_key, source_document, chunk_id,
+       CASE WHEN doc_id % 2 = 0 THEN '2024-02-02 00:00:00' ELSE '2024-02-01 00:00:00' END AS ts
+FROM chunk_rows WHERE doc_id % 2 = 1 OR chunk_id = 0""")
+def index_shrink(spark, sf_dir):
+    """K2: documents of even id come back with their first chunk only; their other chunks
+    are no longer in the index."""
+    doc_id = F.regexp_extract("source_document", r"/(\d+)\.txt$", 1).cast("bigint")
+    idx = _index_two_runs(spark, sf_dir, (doc_id % 2 == 0) & (F.col("chunk_id") == 0))
+    return idx.select("chunk_key", "source_document", "chunk_id",
+                      F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+@query("index_rejects", oracle="""
+SELECT vec_id, CASE WHEN vec_id % 11 = 0 THEN 'missing vector'
+                    WHEN vec_id % 7 = 0 THEN 'unexpected vector width ' || CAST(len(embedding) - 1 AS VARCHAR)
+                    ELSE 'stored' END AS outcome FROM embeddings""")
+def index_rejects(spark, sf_dir):
+    """Vectors cut short (every 7th) or absent (every 11th) are not stored and come
+    back as dead letters; what is stored is read from the written index."""
+    e = read_table(spark, sf_dir, "embeddings")
+    dim = e.agg(F.max(F.size("embedding"))).first()[0]
+    vector = (F.when(F.col("vec_id") % 11 == 0, F.lit(None))
+              .when(F.col("vec_id") % 7 == 0, F.slice("embedding", 1, dim - 1)).otherwise(F.col("embedding")))
+    key = F.col("vec_id").cast("string")
+    rows = e.select(key.alias("chunk_key"), vector.cast("array<float>").alias("vector"), F.lit("").alias("text_chunk"),
+                    F.lit(C.DEFAULT_BUCKET).alias("source_bucket"), key.alias("source_document"),
+                    F.to_timestamp(F.lit(RUN_TS)).alias("timestamp"), F.lit(False).alias("pii_masked_flag"),
+                    F.lit(0).alias("chunk_id"), F.lit("").alias("processed_key"))
+    base = scratch_path(spark, f"index-{uuid.uuid4().hex}")
+    dead = deadletters.to_dead_letters(sinks.write_index(rows, base, dim).drop("vector"), "index")
+    stored = sinks.read_index(spark, base).select(F.col("chunk_key").cast("bigint").alias("vec_id"),
+                                                  F.lit("stored").alias("outcome"))
+    return stored.unionByName(dead.select(
+        F.get_json_object("payload", "$.chunk_key").cast("bigint").alias("vec_id"),
+        F.col("error_message").alias("outcome")))
+
+
 @query("dead_letter_rows", oracle=f"""WITH {LISTING_SQL}
 SELECT '{RUN_TS}' AS failed_at, 'ingest' AS stage, error_type, error_message, 1 AS attempt,
        source_key AS payload_key FROM manifest WHERE status NOT IN ('SUCCESS', 'SKIPPED')""")
@@ -302,8 +343,7 @@ def dead_letter_rows(spark, sf_dir):
     """K4: failed ingestion rows as dead letters (whole row as JSON payload)."""
     man = ingest.ingest_manifest(processed(spark, sf_dir)).where(
         routing.route_of(F.col("status")) == "DLQ")
-    d = deadletters.to_dead_letters(man, "ingest", F.to_timestamp(F.lit(RUN_TS)),
-                                    ["status", "bucket", "source_key", "reason"])
+    d = deadletters.to_dead_letters(man, "ingest", F.to_timestamp(F.lit(RUN_TS)))
     return d.select(F.date_format("failed_at", "yyyy-MM-dd HH:mm:ss").alias("failed_at"), "stage",
                     "error_type", "error_message", "attempt",
                     F.get_json_object("payload", "$.source_key").alias("payload_key"))
@@ -512,9 +552,30 @@ def dlq_replay_ingest(spark, sf_dir):
     against the listing; objects failing again return with attempt 2."""
     man = ingest.ingest_manifest(processed(spark, sf_dir)).where(
         routing.route_of(F.col("status")) == "DLQ")
-    dlq = deadletters.to_dead_letters(man, "ingest", F.to_timestamp(F.lit(RUN_TS)),
-                                      ["status", "bucket", "source_key"])
+    dlq = deadletters.to_dead_letters(man, "ingest", F.to_timestamp(F.lit(RUN_TS)))
     _, dead = deadletters.replay_ingest(
         dlq, listing(spark, sf_dir), lambda o: ingest.process_objects(o, processed_at=RUN_TS))
     return dead.select(F.get_json_object("payload", "$.source_key").alias("source_key"),
                        "error_type", "attempt")
+
+
+@query("dlq_replay_history", oracle=f"""WITH {LISTING_SQL},
+failed AS (SELECT source_key, length(source_key) % 4 AS k FROM manifest WHERE status = 'FAILED')
+SELECT source_key, CASE k WHEN 2 THEN 'GIVE_UP' WHEN 3 THEN 'NOT_LISTED' ELSE 'ValueError' END AS error_type,
+       CAST(CASE k WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 3 ELSE 2 END AS INTEGER) AS attempt
+FROM failed""")
+def dlq_replay_history(spark, sf_dir):
+    """R8 over an append-only queue: objects with one, two and three attempts on record and
+    objects no longer listed; one outcome each, from the highest attempt."""
+    man = ingest.ingest_manifest(processed(spark, sf_dir)).where(F.col("status") == "FAILED")
+    man = man.withColumn("k", F.length("source_key") % 4)
+    history = man.withColumn("attempt", F.explode(F.when(F.col("k") == 1, F.array(F.lit(1), F.lit(2)))
+                             .when(F.col("k") == 2, F.array(F.lit(1), F.lit(2), F.lit(3)))
+                             .otherwise(F.array(F.lit(1)))))
+    dlq = deadletters.to_dead_letters(history, "ingest", F.to_timestamp(F.lit(RUN_TS)),
+                                      attempt=F.col("attempt"))
+    listed = listing(spark, sf_dir).join(man.where("k = 3").select("source_key"), "source_key", "left_anti")
+    _, dead = deadletters.replay_ingest(
+        dlq, listed, lambda o: ingest.process_objects(o, processed_at=RUN_TS))
+    return dead.select(F.get_json_object("payload", "$.source_key").alias("source_key"),
+                       "error_type", "attempt")

@@ -93,7 +93,7 @@ def stream_ingest(spark, sf_dir):
                                  max_files_per_trigger=400)
     q.awaitTermination()
     from docweave.sinks import tables as sinks
-    idx = sinks.read_index_latest(spark, f"{out}/index")
+    idx = sinks.read_index(spark, f"{out}/index")
     doc_id = F.regexp_extract("source_document", r"doc_id=(\d+)/", 1).cast("bigint")
     return idx.select(doc_id.alias("doc_id"), "chunk_id",
                       F.size(F.split("text_chunk", " ")).alias("token_count"), "text_chunk")

@@ -1,39 +1,35 @@
-"""Sinks: K1 processed documents, K2/K3 vector index (append / upsert, versioned),
-K4 dead letters, K5 benchmark report, K6 answer records.
-
-No table format (Delta/Iceberg) is assumed. The upsert writes a complete new version
-directory and then adds a pointer file naming it (``_pointers/<millis>-<id>``, made
-visible by a rename), so readers never see a half-written index, never find the pointer
-missing, and a failed job leaves the previous version current (single writer per index).
-"""
+"""Sinks: K1 processed documents, K2/K3 vector index (appended, merged on read),
+K4 dead letters, K5 benchmark report, K6 answer records. Plain Parquet and JSON folders."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as TY
 
 from docweave import constants as C
 from docweave import schemas
+from docweave.operators.retrieval import split_by_width
 
 
 # ------------------------------------------------------------------ K1
 
-def write_processed_documents(docs: DataFrame, path: str, fmt: str = "json") -> None:
+def write_processed_documents(docs: DataFrame, path: str, fmt: str = "json",
+                              mode: str = "append") -> None:
     """K1: one nested record per source document, chunks in ``chunk_id`` order,
     partitioned by bucket. Appends: a reprocessed source gets a newer record and readers
     keep the latest per source (:func:`read_processed_documents`), so one run never
     replaces other sources' records (no whole-partition overwrite)."""
     out = docs.withColumn("chunks", F.array_sort("chunks"))
-    out.write.mode("append").partitionBy("source_bucket").format(fmt).save(path)
+    out.write.mode(mode).partitionBy("source_bucket").format(fmt).save(path)
 
 
 def read_processed_documents(spark: SparkSession, path: str, fmt: str = "json",
                              latest: bool = True) -> DataFrame:
     """S3: read processed documents back with the declared schema (no inference); with
     ``latest`` only the newest record per source document (by ``processed_at``)."""
-    from pyspark.sql import types as TY
     schema = TY.StructType([f for f in schemas.PROCESSED_DOCUMENT.fields if f.name != "source_bucket"]
                            + [TY.StructField("processed_key", TY.StringType()),
                               TY.StructField("source_bucket", TY.StringType())])
@@ -41,120 +37,56 @@ def read_processed_documents(spark: SparkSession, path: str, fmt: str = "json",
     df = r.format(fmt).load(path) if fmt != "json" else r.json(path)
     if not latest:
         return df
-    w = Window.partitionBy("source_document").orderBy(F.col("processed_at").desc_nulls_last())
+    w = Window.partitionBy("source_bucket", "source_document").orderBy(
+        F.col("processed_at").desc_nulls_last(), F.col("chunk_count").desc(), F.xxhash64("chunks"))
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
 # ------------------------------------------------------------------ K2 / K3
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
-
-
-def _pointer_dir(base: str) -> str:
-    return base.rstrip("/") + "/_pointers"
-
-
-def _read_pointer(spark: SparkSession, base: str) -> str | None:
-    """Newest version named in ``_pointers/`` (names sort by creation time)."""
-    fs, _, jvm = _fs(spark, base)
-    pdir = jvm.org.apache.hadoop.fs.Path(_pointer_dir(base))
-    if not fs.exists(pdir):
-        return None
-    names = sorted(st.getPath().getName() for st in fs.listStatus(pdir)
-                   if not st.getPath().getName().startswith("."))
-    if not names:
-        return None
-    stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{_pointer_dir(base)}/{names[-1]}"))
-    try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        return reader.readLine()
-    finally:
-        stream.close()
-
-
-def _write_pointer(spark: SparkSession, base: str, version: str) -> None:
-    """Publish ``version``: write a hidden temp file, then rename it to a new pointer name.
-    Pointers are only ever added, so a reader always finds a complete, committed version."""
-    import time
-    fs, _, jvm = _fs(spark, base)
-    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(_pointer_dir(base)))
-    tmp = jvm.org.apache.hadoop.fs.Path(f"{_pointer_dir(base)}/.tmp-{uuid.uuid4().hex}")
-    out = fs.create(tmp, True)
-    try:
-        out.write(bytearray(version.encode("utf-8")))
-    finally:
-        out.close()
-    name = f"{int(time.time() * 1000):015d}-{uuid.uuid4().hex}"
-    fs.rename(tmp, jvm.org.apache.hadoop.fs.Path(f"{_pointer_dir(base)}/{name}"))
-
-
-def ensure_index(spark: SparkSession, base: str, dim: int = C.EMBED_DIMENSIONS) -> str:
-    """K3: create an empty index version with the declared schema if none exists."""
-    current = _read_pointer(spark, base)
-    if current:
-        return current
-    version = f"v-{uuid.uuid4().hex}"
-    spark.createDataFrame([], schemas.INDEX_ROW).write.mode("ignore").parquet(f"{base}/{version}")
-    _write_pointer(spark, base, version)
-    return version
-
-
-def read_index(spark: SparkSession, base: str) -> DataFrame:
-    current = _read_pointer(spark, base)
-    if not current:
-        return spark.createDataFrame([], schemas.INDEX_ROW)
-    return spark.read.schema(schemas.INDEX_ROW).parquet(f"{base}/{current}")
-
-
-def write_index(rows: DataFrame, base: str, mode: str = "upsert",
-                dim: int = C.EMBED_DIMENSIONS) -> str:
-    """K2: write index rows; ``append`` keeps duplicates (reference behaviour), ``upsert``
-    keeps the latest row per ``chunk_key``. Vectors of the wrong size are refused."""
-    spark = rows.sparkSession
-    ensure_index(spark, base, dim)
-    rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in schemas.INDEX_ROW.fields])
-    rows = rows.where(F.size("vector") == dim)
-    current = read_index(spark, base)
-    merged = current.unionByName(rows)
-    if mode == "upsert":
-        # shuffle on chunk_key only; one key has at most a few versions
-        w = Window.partitionBy("chunk_key").orderBy(F.col("timestamp").desc_nulls_last())
-        merged = merged.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-    elif mode != "append":
-        raise ValueError(mode)
-    version = f"v-{uuid.uuid4().hex}"
-    merged.write.mode("errorifexists").parquet(f"{base}/{version}")
-    _write_pointer(spark, base, version)
-    return version
-
-
-def append_index_batch(rows: DataFrame, base: str, batch_id: int,
-                       dim: int = C.EMBED_DIMENSIONS) -> None:
-    """K2 for streams: write one micro-batch's rows under ``batch_id=<n>`` (overwrite, so
-    a replayed batch replaces itself). Cost is proportional to the batch, not the index;
-    :func:`read_index_latest` resolves repeated keys and :func:`write_index` compacts."""
-    rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in schemas.INDEX_ROW.fields])
-    rows.where(F.size("vector") == dim).write.mode("overwrite") \
-        .parquet(f"{base.rstrip('/')}/batches/batch_id={int(batch_id)}")
-
-
-def read_index_latest(spark: SparkSession, base: str) -> DataFrame:
-    """Merge on read: latest row per ``chunk_key`` over all appended batches."""
-    df = spark.read.parquet(f"{base.rstrip('/')}/batches")
-    w = Window.partitionBy("chunk_key").orderBy(F.col("timestamp").desc_nulls_last(),
-                                                F.col("batch_id").desc())
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "batch_id")
-
-
-def compact_index(spark: SparkSession, stream_base: str, index_base: str,
-                  dim: int = C.EMBED_DIMENSIONS) -> str:
-    """Fold the streamed micro-batches (latest row per key) into a versioned index with
-    one row per ``chunk_key`` (upsert), e.g. on a schedule; returns the new version."""
-    latest = read_index_latest(spark, stream_base)
-    return write_index(latest, index_base, "upsert", dim)
+def ensure_index(spark: SparkSession, base: str) -> None:
+    """K3: an empty index at ``base`` unless there is one."""
+    empty = spark.createDataFrame([], schemas.INDEX_ROW).withColumn("write_id", F.lit(""))
+    empty.write.mode("ignore").partitionBy("write_id").parquet(base)
+
+
+def write_index(rows: DataFrame, base: str, dim: int = C.EMBED_DIMENSIONS,
+                batch_id: int | None = None) -> DataFrame:
+    """K2: append index rows; the cost is that of the rows, never of the index.
+
+    Rows without a vector of ``dim`` elements are not stored: they are returned with
+    ``error_type`` and ``error_message`` for the dead letters. A micro-batch passes its
+    ``batch_id`` so that a replay replaces its own rows."""
+    good, bad = split_by_width(rows, dim)
+    good = good.select(*[F.col(f.name).cast(f.dataType) for f in schemas.INDEX_ROW.fields])
+    write_id = f"w{uuid.uuid4().hex}" if batch_id is None else f"b{int(batch_id):015d}"
+    good.write.mode("overwrite").parquet(f"{base.rstrip('/')}/write_id={write_id}")
+    return bad
+
+
+def read_index(spark: SparkSession, base: str, latest: bool = True) -> DataFrame:
+    """Index rows; with ``latest`` only those of each document's newest generation.
+
+    A generation is what one write stored for one (bucket, document), so chunks that a
+    shorter or newly redacted version no longer has are gone. Superseded generations are
+    found from three narrow columns and taken out by an anti-join; vectors are not shuffled
+    while that list is small enough to broadcast, which the planner decides by its size."""
+    ensure_index(spark, base)
+    fields = [*schemas.INDEX_ROW.fields, TY.StructField("write_id", TY.StringType())]
+    df = spark.read.schema(TY.StructType(fields)).parquet(base)
+    if not latest:
+        return df.drop("write_id")
+    doc, made = ["source_bucket", "source_document"], F.struct("timestamp", "write_id")
+    made_by = df.select(*doc, "timestamp", "write_id").distinct()
+    newest = made_by.groupBy(*doc).agg(F.max(made).alias("newest"))
+    old = made_by.join(newest, doc).where(made < F.col("newest")).select(*doc, "timestamp", "write_id")
+    return df.join(old, [*doc, "timestamp", "write_id"], "left_anti").drop("write_id")
+
+
+def compact_index(spark: SparkSession, base: str, out: str) -> None:
+    """Write the newest generations of the index at ``base`` as a new index at ``out``."""
+    rows = read_index(spark, base)
+    rows.write.mode("errorifexists").parquet(f"{out.rstrip('/')}/write_id=w{uuid.uuid4().hex}")
 
 
 # ------------------------------------------------------------------ K4 / K5 / K6
@@ -167,11 +99,20 @@ def append_dead_letters(dlq: DataFrame, path: str) -> None:
 
 
 def answer_json(records: DataFrame) -> DataFrame:
-    """K6: ``status_code`` and the JSON body per answer record (error body for non-200)."""
-    body = F.when(F.col("status_code") == 200,
-                  F.to_json(F.struct("answer", "sources", "retrieved_count", "model_id",
-                                     "embed_model_id", "usage", "latency_ms"))) \
-            .otherwise(F.to_json(F.struct(F.lit("RAG query failed").alias("error"))))
+    """K6: ``status_code`` and the JSON body per answer record. A 400 says what the request
+    lacks; a 500 names the error's type and message."""
+    def given(name: str, default: Column) -> Column:
+        return F.coalesce(F.col(name), default) if name in records.columns else default
+
+    failed = F.struct(F.lit(C.QUERY_FAILED).alias("error"),
+                      given("error_type", F.lit("Exception")).alias("error_type"),
+                      given("error_message", F.lit("")).alias("error_message"))
+    body = (F.when(F.col("status_code") == 200,
+                   F.to_json(F.struct("answer", "sources", "retrieved_count", "model_id",
+                                      "embed_model_id", "usage", "latency_ms")))
+            .when(F.col("status_code") == 400,
+                  F.to_json(F.struct(given("error_message", F.lit(C.MISSING_QUESTION)).alias("error"))))
+            .otherwise(F.to_json(failed)))
     return records.select("query_id", "status_code", body.alias("body"))
 
 

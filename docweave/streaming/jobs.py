@@ -2,7 +2,7 @@
 
 The streaming jobs call the very same DataFrame functions as the batch jobs. Outputs
 are idempotent per micro-batch: a batch writes into ``.../batch_id=<n>`` with overwrite
-(index rows included; readers take the latest row per ``chunk_key``), so a batch replayed
+(index rows included; readers take the newest generation of each document), so a batch replayed
 after a failure (same id, same input, from the checkpoint) replaces its own output
 instead of adding to it, and each batch costs in proportion to its own size.
 """
@@ -46,14 +46,17 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str, dim: int = C.EMBED_D
     processed = ingest.process_objects(objs).persist()
     try:
         sinks.write_processed_documents(ingest.processed_documents(processed),
-                                        f"{out}/processed/batch_id={batch_id}")
+                                        f"{out}/processed/batch_id={batch_id}", mode="overwrite")
         man = ingest.ingest_manifest(processed)
         man.write.mode("overwrite").parquet(f"{out}/manifest/batch_id={batch_id}")
         failed = man.where(routing.route_of(F.col("status")) == "DLQ")
-        deadletters.to_dead_letters(failed, "ingest", payload_cols=["status", "bucket", "source_key"]) \
-            .write.mode("overwrite").parquet(f"{out}/dead_letters/batch_id={batch_id}")
         emb = ingest.embed_chunks(ingest.chunk_rows(processed), dim, model_fn)
-        sinks.append_index_batch(ingest.index_rows(emb), f"{out}/index", batch_id, dim)
+        bad = sinks.write_index(ingest.index_rows(emb, only_ok=False), f"{out}/index", dim, batch_id)
+        dead = deadletters.to_dead_letters(failed, "ingest").unionByName(
+            deadletters.to_dead_letters(bad.drop("vector"), "index"))
+        dead.write.mode("overwrite").parquet(f"{out}/dead_letters/batch_id={batch_id}")
+        ingest.index_manifest(emb, dim).write.mode("overwrite").parquet(
+            f"{out}/index_manifest/batch_id={batch_id}")
     finally:
         processed.unpersist()
 

@@ -33,9 +33,9 @@ def test_generator_hook_feeds_response_parser(spark):
 
 
 def test_ensure_index_is_idempotent(spark, tmpdir_path):
-    v1 = sinks.ensure_index(spark, f"{tmpdir_path}/ix", 8)
-    v2 = sinks.ensure_index(spark, f"{tmpdir_path}/ix", 8)
-    assert v1 == v2 and sinks.read_index(spark, f"{tmpdir_path}/ix").count() == 0
+    sinks.ensure_index(spark, f"{tmpdir_path}/ix")
+    sinks.ensure_index(spark, f"{tmpdir_path}/ix")
+    assert sinks.read_index(spark, f"{tmpdir_path}/ix").count() == 0
 
 
 def test_report_and_answer_json(spark, tmpdir_path):
@@ -54,7 +54,10 @@ def test_report_and_answer_json(spark, tmpdir_path):
         "usage struct<input_tokens:int,output_tokens:int>, "
         "latency_ms struct<embedding:double,retrieval:double,llm:double,total:double>")
     bodies = {r.query_id: json.loads(r.body) for r in sinks.answer_json(rec).collect()}
-    assert bodies[1]["answer"] == "ans" and bodies[2] == {"error": "RAG query failed"}
+    assert bodies[1]["answer"] == "ans" and bodies[2]["error"] == "RAG query failed"
+    assert set(bodies[2]) == {"error", "error_type", "error_message"}
+    bad = rec.where("query_id = 2").withColumn("status_code", F.lit(400))
+    assert json.loads(sinks.answer_json(bad).first().body) == {"error": "Missing required field: question"}
 
 
 def test_access_log_reader(spark, tmpdir_path):
@@ -105,7 +108,8 @@ def test_dead_letters_written_with_declared_schema(spark, tmpdir_path):
     dlq = deadletters.to_dead_letters(failed, "ingest", F.to_timestamp(F.lit("2024-01-05 10:00:00")))
     sinks.append_dead_letters(dlq, f"{tmpdir_path}/dlq")
     back = spark.read.parquet(f"{tmpdir_path}/dlq").first()
-    assert back.stage == "ingest" and back.attempt == 1 and json.loads(back.payload) == {"source_key": "a.md"}
+    assert back.stage == "ingest" and back.attempt == 1 and json.loads(back.payload) == {
+        "source_key": "a.md", "error_type": "ValueError", "error_message": "Unsupported object key extension: a.md"}
     assert str(back.failed_date) == "2024-01-05"
 
 

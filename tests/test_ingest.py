@@ -54,19 +54,28 @@ def test_index_upsert_is_idempotent_and_append_duplicates(spark, tmpdir_path):
     rows1, man = index_rows(spark, "2024-01-01 00:00:00")
     n = rows1.count()
     assert man.first().status == "SUCCESS" and man.first().indexed_count == n
-    up, ap = f"{tmpdir_path}/up", f"{tmpdir_path}/ap"
+    ix = f"{tmpdir_path}/ix"
     for ts in ("2024-01-01 00:00:00", "2024-01-02 00:00:00"):
         rows, _ = index_rows(spark, ts)
-        sinks.write_index(rows, up, "upsert", 16)
-        sinks.write_index(rows, ap, "append", 16)
-    assert sinks.read_index(spark, up).count() == n
-    assert sinks.read_index(spark, up).agg(F.max("timestamp")).first()[0].day == 2
-    assert sinks.read_index(spark, ap).count() == 2 * n
+        assert sinks.write_index(rows, ix, 16).count() == 0
+    latest = sinks.read_index(spark, ix)
+    assert latest.count() == n and latest.agg(F.min("timestamp")).first()[0].day == 2
+    assert sinks.read_index(spark, ix, latest=False).count() == 2 * n
+    rows, _ = index_rows(spark, "2024-01-02 00:00:00")          # an equal time: one write wins
+    sinks.write_index(rows, ix, 16)
+    assert sinks.read_index(spark, ix).count() == n
+    shorter = rows.where("chunk_id = 0").withColumn("timestamp", F.to_timestamp(F.lit("2024-01-03 00:00:00")))
+    sinks.write_index(shorter, ix, 16)                          # stale chunks are gone
+    assert {r.chunk_id for r in sinks.read_index(spark, ix).collect()} == {0}
+    other = shorter.withColumn("source_bucket", F.lit("elsewhere"))
+    sinks.write_index(other, ix, 16)                            # a bucket of its own
+    assert sinks.read_index(spark, ix).count() == 2 * shorter.count()
 
 
 def test_index_refuses_wrong_dimension(spark, tmpdir_path):
     rows, _ = index_rows(spark, "2024-01-01 00:00:00")
-    sinks.write_index(rows, f"{tmpdir_path}/ix", "upsert", dim=32)
+    bad = sinks.write_index(rows, f"{tmpdir_path}/ix", dim=32)
+    assert {r.error_message for r in bad.collect()} == {"unexpected vector width 16"}
     assert sinks.read_index(spark, f"{tmpdir_path}/ix").count() == 0
 
 
@@ -95,10 +104,13 @@ def test_dead_letter_replay_retries_and_gives_up(spark):
     objs = spark.createDataFrame([("b", "ok.txt", "now fixed text"), ("b", "still.txt", "  "),
                                   ("b", "old.txt", "  ")], "bucket string, source_key string, text string")
     dlq = spark.createDataFrame([
-        ("ingest", '{"source_key": "ok.txt"}', 1), ("ingest", '{"source_key": "still.txt"}', 2),
-        ("ingest", '{"source_key": "old.txt"}', 3)], "stage string, payload string, attempt int")
+        ("ingest", '{"bucket": "b", "source_key": "%s"}' % k, a, "E") for k, a in (
+            ("ok.txt", 1), ("still.txt", 1), ("still.txt", 2), ("old.txt", 1), ("old.txt", 2),
+            ("old.txt", 3), ("gone.txt", 1), ("over.txt", 3))]
+        + [("ingest", '{"bucket": "b", "source_key": "over.txt"}', 3, "GIVE_UP")],
+        "stage string, payload string, attempt int, error_type string")
     processed, dead = deadletters.replay_ingest(dlq, objs, ingest.process_objects)
     assert {r.source_key: r.status for r in processed.collect()} == {"ok.txt": "SUCCESS", "still.txt": "FAILED"}
-    got = {r.payload: (r.error_type, r.attempt) for r in dead.collect()}
-    assert got[json.dumps({"status": "FAILED", "bucket": "b", "source_key": "still.txt"}).replace(" ", "")] == ("ValueError", 3)
-    assert got['{"source_key":"old.txt"}'] == ("GIVE_UP", 3)
+    got = {json.loads(r.payload)["source_key"]: (r.error_type, r.attempt) for r in dead.collect()}
+    assert dead.count() == 3 and got == {
+        "still.txt": ("ValueError", 3), "old.txt": ("GIVE_UP", 3), "gone.txt": ("NOT_LISTED", 2)}

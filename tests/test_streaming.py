@@ -22,7 +22,7 @@ def test_stream_ingest_equals_batch_and_restart_is_noop(spark, tmpdir_path):
     write(root, "uploads/blank.txt", "  ")
     q = jobs.start_ingest_stream(spark, root, out, f"{out}/_ck", dim=32, max_files_per_trigger=3)
     q.awaitTermination()
-    streamed = sinks.read_index_latest(spark, f"{out}/index")
+    streamed = sinks.read_index(spark, f"{out}/index")
     batch = ingest.chunk_rows(ingest.process_objects(decode_objects(scan_objects(spark, root))))
     key = lambda df: sorted((r.chunk_key, r.text_chunk) for r in df.select("chunk_key", "text_chunk").collect())
     assert key(streamed) == key(batch)
@@ -30,8 +30,9 @@ def test_stream_ingest_equals_batch_and_restart_is_noop(spark, tmpdir_path):
     assert dlq.count() == 1
     q2 = jobs.start_ingest_stream(spark, root, out, f"{out}/_ck", dim=32)
     q2.awaitTermination()
-    assert sinks.read_index_latest(spark, f"{out}/index").count() == streamed.count()
-    sinks.compact_index(spark, f"{out}/index", f"{out}/compacted", dim=32)
+    assert sinks.read_index(spark, f"{out}/index").count() == streamed.count()
+    sinks.compact_index(spark, f"{out}/index", f"{out}/compacted")
+    assert spark.read.parquet(f"{out}/index_manifest").count() == 6
     assert key(sinks.read_index(spark, f"{out}/compacted")) == key(batch)
 
 
