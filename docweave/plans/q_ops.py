@@ -336,6 +336,13 @@ def index_rejects(spark, sf_dir):
         F.col("error_message").alias("outcome")))
 
 
+def _stored(spark, letters):
+    """Dead letters written through the sink and read back, as a replay finds them."""
+    path = scratch_path(spark, f"dead-letters-{uuid.uuid4().hex}")
+    sinks.append_dead_letters(letters, path)
+    return spark.read.parquet(path)
+
+
 @query("dead_letter_rows", oracle=f"""WITH {LISTING_SQL}
 SELECT '{RUN_TS}' AS failed_at, 'ingest' AS stage, error_type, error_message, 1 AS attempt,
        source_key AS payload_key FROM manifest WHERE status NOT IN ('SUCCESS', 'SKIPPED')""")
@@ -343,7 +350,7 @@ def dead_letter_rows(spark, sf_dir):
     """K4: failed ingestion rows as dead letters (whole row as JSON payload)."""
     man = ingest.ingest_manifest(processed(spark, sf_dir)).where(
         routing.route_of(F.col("status")) == "DLQ")
-    d = deadletters.to_dead_letters(man, "ingest", F.to_timestamp(F.lit(RUN_TS)))
+    d = _stored(spark, deadletters.to_dead_letters(man, "ingest", F.to_timestamp(F.lit(RUN_TS))))
     return d.select(F.date_format("failed_at", "yyyy-MM-dd HH:mm:ss").alias("failed_at"), "stage",
                     "error_type", "error_message", "attempt",
                     F.get_json_object("payload", "$.source_key").alias("payload_key"))
@@ -552,10 +559,10 @@ def dlq_replay_ingest(spark, sf_dir):
     against the listing; objects failing again return with attempt 2."""
     man = ingest.ingest_manifest(processed(spark, sf_dir)).where(
         routing.route_of(F.col("status")) == "DLQ")
-    dlq = deadletters.to_dead_letters(man, "ingest", F.to_timestamp(F.lit(RUN_TS)))
+    dlq = _stored(spark, deadletters.to_dead_letters(man, "ingest", F.to_timestamp(F.lit(RUN_TS))))
     _, dead = deadletters.replay_ingest(
         dlq, listing(spark, sf_dir), lambda o: ingest.process_objects(o, processed_at=RUN_TS))
-    return dead.select(F.get_json_object("payload", "$.source_key").alias("source_key"),
+    return _stored(spark, dead).select(F.get_json_object("payload", "$.source_key").alias("source_key"),
                        "error_type", "attempt")
 
 
@@ -572,10 +579,10 @@ def dlq_replay_history(spark, sf_dir):
     history = man.withColumn("attempt", F.explode(F.when(F.col("k") == 1, F.array(F.lit(1), F.lit(2)))
                              .when(F.col("k") == 2, F.array(F.lit(1), F.lit(2), F.lit(3)))
                              .otherwise(F.array(F.lit(1)))))
-    dlq = deadletters.to_dead_letters(history, "ingest", F.to_timestamp(F.lit(RUN_TS)),
-                                      attempt=F.col("attempt"))
-    listed = listing(spark, sf_dir).join(man.where("k = 3").select("source_key"), "source_key", "left_anti")
+    dlq = _stored(spark, deadletters.to_dead_letters(history, "ingest", F.to_timestamp(F.lit(RUN_TS)),
+                                                     attempt=F.col("attempt")))
+    listed = listing(spark, sf_dir).where(F.length("source_key") % 4 != 3)
     _, dead = deadletters.replay_ingest(
         dlq, listed, lambda o: ingest.process_objects(o, processed_at=RUN_TS))
-    return dead.select(F.get_json_object("payload", "$.source_key").alias("source_key"),
+    return _stored(spark, dead).select(F.get_json_object("payload", "$.source_key").alias("source_key"),
                        "error_type", "attempt")
