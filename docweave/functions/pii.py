@@ -47,22 +47,6 @@ def count_column(label: str) -> str:
     return f"n_{label.lower()}"
 
 
-def redaction_steps(text: Column) -> list[tuple[str, Column, Column]]:
-    """Return, per label in order, (label, count expr, text-after expr).
-
-    Each count is taken on the text as it is just before that label's replacement, so a
-    marker written by an earlier step can never be matched by a later one.
-    """
-    steps = []
-    current = text
-    for label, pattern in PII_PATTERNS:
-        cnt = F.regexp_count(current, F.lit(pattern))
-        replaced = F.regexp_replace(current, pattern, marker(label))
-        steps.append((label, cnt, replaced))
-        current = replaced
-    return steps
-
-
 def residual_count(text: Column, label: str) -> Column:
     """Matches of one label's pattern left in already-redacted text."""
     pattern = dict(PII_PATTERNS)[label]

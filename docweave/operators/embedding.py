@@ -160,17 +160,6 @@ def embed(df: DataFrame, text_col: str, out_col: str = "vector", dim: int = C.EM
     return df.withColumn(out_col, model_udf.asNondeterministic()(F.col(text_col)))
 
 
-def sparse_weights(df: DataFrame, vec_col: str = "vector", keep: list[str] | None = None) -> DataFrame:
-    """Long form of dense vectors: ``keep + (bucket, weight)`` for non-zero coordinates,
-    weight rounded to 6 digits."""
-    keep = keep or [c for c in df.columns if c != vec_col]
-    # the outer form carries no inferred `size(v) > 0` filter; zero/NULL weights drop here
-    return (df.select(*keep, F.posexplode_outer(vec_col).alias("bucket", "w"))
-              .where(F.col("w") != 0)
-              .select(*keep, F.col("bucket").cast("bigint").alias("bucket"),
-                      F.round("w", 6).alias("weight")))
-
-
 def dimension_guard(df: DataFrame, vec_col: str, dim: int) -> DataFrame:
     """``embed_status`` = OK when the vector exists and has ``dim`` entries, else
     MISSING / BAD_DIM; rows are kept so the caller can route bad ones to dead letters."""

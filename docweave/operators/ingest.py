@@ -25,20 +25,43 @@ def chunk_key(source_bucket, source_document, chunk_id):
 
 def process_objects(objects: DataFrame, size: int = C.CHUNK_SIZE_TOKENS,
                     overlap: int = C.CHUNK_OVERLAP_TOKENS,
-                    processed_at: str | None = None) -> DataFrame:
+                    processed_at: str | None = None, names: list[str] | None = None,
+                    detector=None) -> DataFrame:
     """Route, redact and tokenize every object; one row per object.
 
     Input: ``bucket, source_key, text`` (+ optional ``extract_error``). Output adds
     ``status, reason, error_type, error_message, processed_key, pii counts``, the redacted
     token array ``_tokens`` (empty unless SUCCESS) and ``chunk_count``. Chunks are cut
     from ``_tokens`` by :func:`processed_documents` (nested) or :func:`chunk_rows` (flat).
+
+    ``names`` (a bounded list) and ``detector`` (a column expression of the text giving
+    detector spans, e.g. :func:`segmentation.detect`'s result) are masked before the
+    patterns run and the text is cut; their labels count like the patterns' own.
     """
     step = chunking.validate_chunk_params(size, overlap)
     routed = routing.route_objects(objects)
     ok = F.col("status") == routing.SUCCESS
     # non-SUCCESS rows carry no text into the regex work
     routed = routed.withColumn("text", F.when(ok, F.col("text")))
+    extra = []
+    if detector is not None:
+        spans = F.coalesce(detector(F.col("text")), F.array().cast(redaction.SPANS_TYPE))
+        routed = (routed.withColumn("_spans", spans)
+                  .withColumn("_span_counts", redaction.span_label_counts(F.col("_spans")))
+                  .withColumn("text", redaction.splice_spans(F.col("text"), F.col("_spans"))).drop("_spans"))
+        extra.append(F.col("_span_counts"))
+    if names:
+        routed = redaction.mask_names(routed, names)
+        extra.append(F.when(F.col("n_name") > 0, F.create_map(F.lit("NAME"), F.col("n_name").cast("int")))
+                     .otherwise(F.create_map().cast("map<string,int>")))
     red = redaction.redact_documents(routed, "text", "redacted_text")
+    for more in extra:
+        both = F.map_concat(F.map_filter("pii_entity_counts", lambda k, v: ~F.map_contains_key(more, k)),
+                            F.map_zip_with(more, F.map_filter("pii_entity_counts", lambda k, v: F.map_contains_key(more, k)),
+                                           lambda k, a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))))
+        red = red.withColumn("pii_entity_counts", both)
+    if extra:
+        red = red.withColumn("pii_masked_flag", F.col("pii_masked_flag") | (F.size("pii_entity_counts") > 0))
     ts = F.to_timestamp(F.lit(processed_at)) if processed_at else F.current_timestamp()
     red = red.withColumn("_tokens", F.when(ok, T.tokens(F.col("redacted_text")))
                          .otherwise(F.array().cast("array<string>")))

@@ -30,7 +30,7 @@ def stage_of(event_type: Column) -> Column:
 
 
 def exact_percentiles(df: DataFrame, group_cols: list[str], value_col: str,
-                      pcts: dict[str, float] = PCTS, checkpoint: bool = True,
+                      pcts: dict[str, float] = PCTS,
                       max_broadcast_ranks: int = 200_000) -> DataFrame:
     """``group_cols`` + one column per percentile name (DOUBLE), NULL-free input.
 
@@ -44,8 +44,7 @@ def exact_percentiles(df: DataFrame, group_cols: list[str], value_col: str,
     ordered = vals.withColumn("_tie", F.rand(17)).orderBy(*g, "_v", "_tie").drop("_tie")
     ranked = ordered.select(*g, "_v", F.spark_partition_id().alias("_pid"),
                             F.monotonically_increasing_id().alias("_mid"))
-    if checkpoint:
-        ranked = ranked.checkpoint(eager=True)
+    ranked = ranked.checkpoint()        # partition ids and offsets must not be made twice
     ranked = ranked.withColumn("_off", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
     # per (group, partition): row count and offset of the group's first row there
     parts = ranked.groupBy(*group_cols, "_pid").agg(F.count(F.lit(1)).alias("_cnt"),

@@ -7,6 +7,8 @@ those use partial (map-side) aggregation so a hot source or language never ships
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
@@ -15,6 +17,8 @@ from docweave import constants as C
 from docweave.functions import pii as P
 from docweave.functions import text as T
 
+MAX_NAMES = 2_000
+
 SPAN_TYPE = TY.StructType([
     TY.StructField("type", TY.StringType()),
     TY.StructField("begin", TY.IntegerType()),
@@ -63,6 +67,25 @@ def redact_documents(df: DataFrame, text_col: str = "text", out_col: str = "reda
                       F.col(cur).alias(out_col))
 
 
+def mask_names(df: DataFrame, names: list[str], text_col: str = "text") -> DataFrame:
+    """NAME masking by a bounded list of names, in the row: ``text_col`` with every listed
+    name that stands by itself replaced by its marker, and the number as ``n_name``.
+
+    The list becomes one alternation, longest name first, so it must stay within
+    ``MAX_NAMES``; :func:`gazetteer_spans` joins larger lists."""
+    if len(names) > MAX_NAMES:
+        raise ValueError(f"{len(names)} names; at most {MAX_NAMES} fit one pattern")
+    if not names:
+        return df.withColumn("n_name", F.lit(0).cast("bigint"))
+    any_of = "|".join(re.escape(n) for n in sorted(set(names), key=lambda n: (-len(n), n)))
+    pattern = rf"(?<![\p{{L}}\p{{N}}])(?:{any_of})(?![\p{{L}}\p{{N}}])"
+    out = df.withColumn("n_name", F.coalesce(F.regexp_count(F.col(text_col), F.lit(pattern)),
+                                             F.lit(0)).cast("bigint"))
+    return out.withColumn(text_col, F.when(
+        F.col("n_name") > 0, F.regexp_replace(F.col(text_col), pattern, P.marker("NAME")))
+        .otherwise(F.col(text_col)))
+
+
 def resolve_overlaps(spans: Column) -> Column:
     """X4 fix: keep a non-overlapping subset of spans.
 

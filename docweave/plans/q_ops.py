@@ -586,3 +586,17 @@ def dlq_replay_history(spark, sf_dir):
         dlq, listed, lambda o: ingest.process_objects(o, processed_at=RUN_TS))
     return _stored(spark, dead).select(F.get_json_object("payload", "$.source_key").alias("source_key"),
                        "error_type", "attempt")
+
+
+NAMES = ("Thnt", "Ertion", "Onthat", "Ndesat", "Reble")     # words of the documents
+
+
+@query("ingest_names", oracle=f"""WITH n AS (
+  SELECT doc_id, len(regexp_extract_all(text, '\\b(?:{'|'.join(NAMES)})\\b')) AS n_name,
+         regexp_replace(text, '\\b(?:{'|'.join(NAMES)})\\b', '[REDACTED_NAME]', 'g') AS t FROM documents)
+SELECT doc_id, CAST(n_name AS BIGINT) AS n_name, n_name > 0 AS masked, md5(t) AS text_md5 FROM n""")
+def ingest_names(spark, sf_dir):
+    """J6 -> P9 in ingestion: listed names masked in the row before the patterns run."""
+    d = read_documents(spark, sf_dir, ["doc_id", "text"])
+    out = redaction.mask_names(d, list(NAMES))
+    return out.select("doc_id", "n_name", (F.col("n_name") > 0).alias("masked"), F.md5("text").alias("text_md5"))

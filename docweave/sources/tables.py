@@ -31,12 +31,9 @@ def spread(df: DataFrame, probe_col: str, min_fill: float = 0.5) -> DataFrame:
     """
     spark = df.sparkSession
     target = spark.sparkContext.defaultParallelism
-    files = tuple(sorted(df.inputFiles()))
-    if len(files) >= target:
-        return df               # at least one file (hence one split) per core: no probe
-    key = (spark.sparkContext.applicationId, files)
+    key = (spark.sparkContext.applicationId, df.semanticHash())
     busy = _PROBED.get(key)
-    if busy is None:            # the layout of a file set does not change within a session
+    if busy is None:            # the layout of a scan does not change within a session
         busy = df.select(probe_col).groupBy(F.spark_partition_id()).count().count()
         _PROBED[key] = busy
     if busy >= max(1, int(target * min_fill)):

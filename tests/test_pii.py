@@ -98,3 +98,43 @@ def test_detector_on_byte_segments_returns_text_offsets(spark):
     row = df.select(whole.alias("a"), seg.alias("b")).first()
     assert [tuple(s) for s in row.a] == [tuple(s) for s in row.b]
     assert all(text[s.begin:s.end] == "a@b.io" for s in row.b)
+
+
+def test_names_and_detector_spans_are_masked_before_chunking(spark):
+    from docweave.operators import ingest
+    df = spark.createDataFrame([("b", "a.txt", "Ann Lee met Ann, not Anne. a@b.com"), ("b", "c.txt", "nobody")],
+                               "bucket string, source_key string, text string")
+    out = {r.source_key: r for r in ingest.process_objects(df, names=["Ann", "Ann Lee"]).collect()}
+    assert " ".join(out["a.txt"]["_tokens"]) == "[REDACTED_NAME] met [REDACTED_NAME], not Anne. [REDACTED_EMAIL]"
+    assert out["a.txt"].pii_entity_counts == {"NAME": 2, "EMAIL": 1}
+    assert out["c.txt"].pii_entity_counts == {} and out["c.txt"].pii_masked_flag is False
+    span = F.array(F.struct(F.lit("NAME").alias("type"), F.lit(0).alias("begin"), F.lit(3).alias("end")))
+    one = ingest.process_objects(df.where("source_key = 'a.txt'"), detector=lambda t: span).first()
+    assert one["_tokens"][0] == "[REDACTED_NAME]" and one.pii_entity_counts == {"NAME": 1, "EMAIL": 1}
+
+
+def test_both_knn_paths_treat_widths_alike(spark):
+    import pytest
+    from docweave.operators import retrieval
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id long, query_vector array<double>")
+    ix = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0]), ("d", None)],
+                               "chunk_key string, vector array<double>")
+    got = [sorted(map(tuple, retrieval.knn_search(q, ix, 2, method=m, bad_width="skip").collect()))
+           for m in ("broadcast", "tiled")]
+    assert got[0] == got[1] and len(got[0]) == 4
+    for m in ("broadcast", "tiled"):
+        with pytest.raises(Exception, match="not of width 2"):
+            retrieval.knn_search(q, ix, 2, method=m).collect()
+    good, bad = retrieval.split_by_width(ix, 2)
+    assert good.count() == 2 and {r.error_message for r in bad.collect()} == {
+        "missing vector", "unexpected vector width 1"}
+
+
+def test_sources_attach_alike_with_and_without_broadcast(spark):
+    from docweave.operators import rag
+    hits = spark.createDataFrame([(1, 1, "a", 0.5), (1, 2, "gone", 0.4)],
+                                 "query_id long, rank int, chunk_key string, score double")
+    ix = spark.createDataFrame([("a", "s", 0, False, "t")], "chunk_key string, source_document string, "
+                               "chunk_id int, pii_masked_flag boolean, text_chunk string")
+    got = [sorted(map(str, rag.attach_sources(hits, ix, broadcast_hits=b).collect())) for b in (True, False)]
+    assert got[0] == got[1] and len(got[0]) == 2
