@@ -69,7 +69,11 @@ def latency_summary(spark, sf_dir):
     return M.latency_summary(stage_long(spark, sf_dir))
 
 
-@query("latency_summary_approx")
+# while a group has fewer values than the sketch's accuracy its percentiles are observed values
+APPROX_SQL = SUMMARY_SQL.replace("quantile_cont", "quantile_disc")
+
+
+@query("latency_summary_approx", oracle=f"WITH {SAMPLES_SQL}, {APPROX_SQL} SELECT * FROM summary")
 def latency_summary_approx(spark, sf_dir):
     """The same table with percentile_approx (bounded-memory sketch) for huge logs."""
     return M.latency_summary(stage_long(spark, sf_dir), approx=True)
