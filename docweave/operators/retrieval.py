@@ -271,6 +271,21 @@ def train_ivf(index: DataFrame, n_cells: int, index_vec: str = "vector", seed: i
     return cents, model
 
 
+def label_centroids(index: DataFrame, label: str, index_vec: str = "vector",
+                    max_cells: int = 1_024, digits: int = 6) -> np.ndarray:
+    """Unit mean vector per label, in label order, rounded: deterministic cells for an index
+    whose rows are labelled. At most ``max_cells`` rows reach the driver."""
+    means = (index.select(F.col(label).alias("l"), F.posexplode(index_vec).alias("i", "x"))
+             .groupBy("l", "i").agg(F.avg(F.col("x").cast("double")).alias("a"))
+             .groupBy("l").agg(F.sort_array(F.collect_list(F.struct("i", "a"))).alias("m"))
+             .orderBy("l").limit(max_cells + 1).collect())
+    if len(means) > max_cells:
+        raise ValueError(f"more than {max_cells} labels")
+    cents = np.array([[p.a for p in r.m] for r in means], dtype=np.float64)
+    norms = np.linalg.norm(cents, axis=1, keepdims=True)
+    return np.round(cents / np.where(norms == 0, 1, norms), digits)
+
+
 def _nearest_cells(df: DataFrame, id_col: str, vec_col: str, cents: np.ndarray, nprobe: int,
                    out_schema: str) -> DataFrame:
     """``(id, vec, cell)`` for the ``nprobe`` most similar centroids (ties: lower cell id)."""
@@ -340,13 +355,16 @@ def recall_at_k(approx: DataFrame, exact: DataFrame, index_id: str) -> DataFrame
 # ---------------------------------------------------------------- J3 stored IVF index
 
 def build_ivf_index(index: DataFrame, path: str, n_cells: int, *, index_id: str = "chunk_key",
-                    index_vec: str = "vector", cell_tile_rows: int = 50_000, seed: int = 7) -> None:
-    """Train cells and write the index partitioned by cell (``{path}/cells/cell=<c>``),
+                    index_vec: str = "vector", cell_tile_rows: int = 50_000, seed: int = 7,
+                    centroids: np.ndarray | None = None) -> None:
+    """Train cells (or take the given ``centroids``) and write the index partitioned by cell (``{path}/cells/cell=<c>``),
     with a salt column splitting cells above ``cell_tile_rows`` rows, plus the centroids
     (``{path}/centroids``, one row per cell)."""
     spark = index.sparkSession
     ix = index.select(F.col(index_id), F.col(index_vec).alias("_iv")).where(F.col("_iv").isNotNull())
-    cents, _ = train_ivf(ix.withColumnRenamed("_iv", "vector"), n_cells, "vector", seed)
+    cents = centroids
+    if cents is None:
+        cents, _ = train_ivf(ix.withColumnRenamed("_iv", "vector"), n_cells, "vector", seed)
     cell_tile_rows = _rows_for(cents.shape[1], cell_tile_rows)
     itype = ix.schema[index_id].dataType.simpleString()
     cells = _nearest_cells(ix, index_id, "_iv", cents, 1, f"`{index_id}` {itype}, _iv array<double>, cell int")

@@ -53,8 +53,7 @@ def knn_exact_tiled(spark, sf_dir):
     the plan used when the query set is beyond the broadcast bound."""
     e = _embeddings(spark, sf_dir)
     hits = retrieval.knn_search(_self_queries(e), e.select("vec_id", "vector"), EMB_K,
-                                index_id="vec_id", exclude_self=True, method="tiled",
-                                index_tile_rows=128, query_tile_rows=128)
+                                index_id="vec_id", exclude_self=True, method="tiled")
     return hits.select("query_id", "rank", F.col("vec_id").alias("neighbor_id"), "score")
 
 
@@ -65,8 +64,7 @@ def _ivf(spark, sf_dir, nprobe):
     from docweave.session import scratch_path
     e = _embeddings(spark, sf_dir)
     path = scratch_path(spark, f"ivf-{uuid.uuid4().hex}")
-    retrieval.build_ivf_index(e.select("vec_id", "vector"), path, IVF_CELLS, index_id="vec_id",
-                              cell_tile_rows=64)
+    retrieval.build_ivf_index(e.select("vec_id", "vector"), path, IVF_CELLS, index_id="vec_id")
     hits = retrieval.search_ivf_index(_self_queries(e), path, EMB_K, nprobe, index_id="vec_id",
                                       exclude_self=True)
     return hits.select("query_id", "rank", F.col("vec_id").alias("neighbor_id"), "score")
@@ -75,23 +73,56 @@ def _ivf(spark, sf_dir, nprobe):
 @query("knn_ivf_full_probe", oracle=KNN_EMB_SQL)
 def knn_ivf_full_probe(spark, sf_dir):
     """J3 with every cell probed on the stored, cell-partitioned index: must equal the
-    exact search (cells salted above 64 rows)."""
+    exact search."""
     return _ivf(spark, sf_dir, IVF_CELLS)
 
 
-@query("knn_ivf")
+IVF_LABEL_SQL = f"""
+mean AS (SELECT label, i, avg(x) AS a FROM (
+  SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)
+  GROUP BY label, i),
+cent AS (SELECT label AS cell, list(round(a / n, 6) ORDER BY i) AS c
+         FROM (SELECT *, sqrt(sum(a * a) OVER (PARTITION BY label)) AS n FROM mean) GROUP BY label),
+near AS (SELECT vec_id, cell, row_number() OVER (PARTITION BY vec_id ORDER BY
+           round(list_dot_product(CAST(embedding AS DOUBLE[]), c), 6) DESC, cell) AS r FROM embeddings, cent),
+cand AS (SELECT q.vec_id AS query_id, i.vec_id AS neighbor_id,
+           round(list_dot_product(CAST(eq.embedding AS DOUBLE[]), CAST(ei.embedding AS DOUBLE[])), 6) AS score
+         FROM near q JOIN near i ON q.cell = i.cell AND q.r <= 2 AND i.r = 1 AND q.vec_id <> i.vec_id
+         JOIN embeddings eq ON eq.vec_id = q.vec_id JOIN embeddings ei ON ei.vec_id = i.vec_id),
+ivf AS (SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbor_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbor_id) AS rank FROM cand)
+  WHERE rank <= {EMB_K})"""
+
+
+def _ivf_labels(spark, sf_dir):
+    """The index cut into one cell per label (deterministic centroids), two cells probed."""
+    import uuid
+
+    from docweave.session import scratch_path
+    e = _embeddings(spark, sf_dir)
+    path = scratch_path(spark, f"ivf-{uuid.uuid4().hex}")
+    cents = retrieval.label_centroids(e, "label")
+    retrieval.build_ivf_index(e.select("vec_id", "vector"), path, len(cents), index_id="vec_id",
+                              centroids=cents)
+    hits = retrieval.search_ivf_index(_self_queries(e), path, EMB_K, 2, index_id="vec_id", exclude_self=True)
+    return hits.select("query_id", "rank", F.col("vec_id").alias("neighbor_id"), "score")
+
+
+@query("knn_ivf", oracle=f"WITH {IVF_LABEL_SQL} SELECT * FROM ivf")
 def knn_ivf(spark, sf_dir):
-    """Approximate search probing 2 of 8 cosine k-means cells; only the probed cells'
-    files are read."""
-    return _ivf(spark, sf_dir, 2)
+    """Approximate search probing 2 of the stored index's cells, one per label; only the
+    probed cells' files are read."""
+    return _ivf_labels(spark, sf_dir)
 
 
-@query("knn_recall")
+@query("knn_recall", oracle=f"""WITH {IVF_LABEL_SQL},
+e AS ({KNN_EMB_SQL})
+SELECT e.query_id, count(ivf.neighbor_id) / count(*) AS recall
+FROM e LEFT JOIN ivf ON ivf.query_id = e.query_id AND ivf.neighbor_id = e.neighbor_id GROUP BY e.query_id""")
 def knn_recall(spark, sf_dir):
     """recall@3 of the 2-probe IVF search against the exact search, per query."""
     exact = _knn_emb(spark, sf_dir, "auto")
-    approx = _ivf(spark, sf_dir, 2)
-    return retrieval.recall_at_k(approx, exact, "neighbor_id")
+    return retrieval.recall_at_k(_ivf_labels(spark, sf_dir), exact, "neighbor_id")
 
 
 @query("knn_label_agreement", oracle=f"""
