@@ -96,3 +96,4 @@ WRONG_WIDTH = "unexpected vector width "
 # Error texts of the question API.
 QUERY_FAILED = "RAG query failed"
 MISSING_QUESTION = "Missing required field: question"
+EMPTY_ANSWER = "Model returned no text"

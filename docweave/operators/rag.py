@@ -142,13 +142,16 @@ def is_refusal(answer: Column) -> Column:
     return F.coalesce(T.strip(answer) == F.lit(C.REFUSAL_SENTENCE), F.lit(False))
 
 
-def answer_records(df: DataFrame) -> DataFrame:
-    """K6 body: answer record per question (latency is a batch metric, left NULL)."""
+def answer_records(df: DataFrame, errors: bool = False) -> DataFrame:
+    """K6 body: answer record per question (latency is a batch metric, left NULL); with
+    ``errors`` also ``error_type`` and ``error_message`` for the bodies of failed ones."""
     lat = F.struct(*[F.lit(None).cast("double").alias(s) for s in C.LATENCY_STAGES])
     return df.select(
         "query_id", "status_code", "answer", "sources", "retrieved_count",
         F.lit(C.GEN_MODEL_ID).alias("model_id"), F.lit(C.EMBED_MODEL_ID).alias("embed_model_id"),
-        F.struct("input_tokens", "output_tokens").alias("usage"), lat.alias("latency_ms"))
+        F.struct("input_tokens", "output_tokens").alias("usage"), lat.alias("latency_ms"),
+        *([F.col("error_type"), F.when(F.col("error_type").isNotNull(), F.lit(C.EMPTY_ANSWER))
+           .alias("error_message")] if errors else []))
 
 
 def citation_counts(hits: DataFrame) -> DataFrame:

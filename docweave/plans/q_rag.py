@@ -15,15 +15,16 @@ NL = "chr(10)"
 MIN_SCORE = 0.0
 
 
-def _retrieve(spark, sf_dir, lang: str | None = None):
-    """Questions, top-k hits with metadata (J1 + J7), optionally filtered by language."""
+def _retrieve(spark, sf_dir, lang: str | None = None, qs=None):
+    """Questions (default: every benchmark text), top-k hits with metadata (J1 + J7),
+    optionally filtered by language (J11)."""
     # a metadata filter (J11) is applied at the documents scan, before any text work
     rows = common.chunk_rows_checkpointed(spark, sf_dir,
                                           None if lang is None else F.col("lang") == lang)
     # the index side ships token codes; vectors are built inside the search task
     codes = rows.select("chunk_key", embedding.token_codes(F.col("text_chunk"), common.TEXT_DIM)
                         .alias("codes"))
-    qs = common.questions(spark, sf_dir)
+    qs = common.questions(spark, sf_dir) if qs is None else qs
     hits = retrieval.knn_search(qs.select("query_id", "query_vector"), codes, C.TOP_K,
                                 index_vec="codes",
                                 index_vec_fn=embedding.hashed_batch_embedder(common.TEXT_DIM))
@@ -35,8 +36,8 @@ def _retrieve(spark, sf_dir, lang: str | None = None):
     return qs.select("query_id", "question"), meta
 
 
-def _answers(spark, sf_dir):
-    qs, hits = _retrieve(spark, sf_dir)
+def _answers(spark, sf_dir, qs=None):
+    qs, hits = _retrieve(spark, sf_dir, qs=qs)
     ctx = rag.format_context(qs, hits)
     prompted = rag.build_prompt(ctx)
     gen = rag.extractive_generate(prompted, MIN_SCORE)
@@ -141,6 +142,43 @@ def answer_records(spark, sf_dir):
                       F.col("usage.output_tokens").alias("output_tokens"))
 
 
+@query("rag_responses", oracle=f"""WITH {_index_sql()}, {CTX_SQL}
+SELECT b.item_id AS request_id,
+       CASE b.item_id % 5 WHEN 1 THEN 400 WHEN 2 THEN 500 ELSE CASE WHEN f.answer IS NULL THEN 500 ELSE 200 END END AS status_code,
+       CASE WHEN b.item_id % 5 NOT IN (1, 2) THEN f.answer END AS answer,
+       CASE WHEN b.item_id % 5 = 1 THEN {q(C.MISSING_QUESTION)}
+            WHEN b.item_id % 5 = 2 OR f.answer IS NULL THEN {q(C.QUERY_FAILED)} END AS error,
+       CASE WHEN b.item_id % 5 = 2 OR (b.item_id % 5 <> 1 AND f.answer IS NULL) THEN 'ValueError' END AS error_type
+FROM benchmark b LEFT JOIN final f ON f.query_id = b.item_id""")
+def rag_responses(spark, sf_dir):
+    """E2 from envelope to JSON body (S4, F8, K6): every benchmark text is a request, some
+    without a question (400) and some whose body is no object (500), every third in base64."""
+    from docweave.sinks import tables as sinks
+    from docweave.sources import events as ev
+    from docweave.sources.tables import read_table
+    k = F.col("item_id") % 5
+    body = (F.when(k == 1, F.lit('{"question": "  "}')).when(k == 2, F.lit("[1, 2]"))
+            .otherwise(F.to_json(F.struct(F.col("text").alias("question")))))
+    coded = F.col("item_id") % 3 == 0
+    requests = read_table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("request_id"), coded.alias("is_base64"),
+        F.when(coded, F.base64(F.encode(body, "UTF-8"))).otherwise(body).alias("body"))
+    parsed = ev.parse_question_requests(requests)
+    asked = parsed.where("status_code = 200").select(F.col("request_id").alias("query_id"), "question")
+    answered = _answers(spark, sf_dir, embedding.embed(asked, "question", "query_vector", common.TEXT_DIM))
+    failed = parsed.where("status_code <> 200").select(
+        F.col("request_id").alias("query_id"), "status_code", F.col("error").alias("error_message"),
+        F.when(F.col("status_code") == 500, F.lit("ValueError")).alias("error_type"))
+    records = rag.answer_records(answered, errors=True).unionByName(failed, allowMissingColumns=True)
+    out = sinks.answer_json(records)
+
+    def field(name):
+        return F.get_json_object("body", f"$.{name}").alias(name)
+
+    return out.select(F.col("query_id").alias("request_id"), "status_code", field("answer"),
+                      field("error"), field("error_type"))
+
+
 @query("refusal_rate", oracle=f"""WITH {_index_sql()}, {CTX_SQL}
 SELECT CAST(count(*) AS BIGINT) AS questions,
        CAST(count(*) FILTER (WHERE {S.strip_sql('answer')} = {q(C.REFUSAL_SENTENCE)}) AS BIGINT) AS refusals,
