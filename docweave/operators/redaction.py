@@ -110,7 +110,7 @@ def resolve_overlaps(spans: Column) -> Column:
 
 
 def splice_spans(text: Column, spans: Column, labels: dict[str, str] | None = None) -> Column:
-    """Replace each span by ``[REDACTED_<LABEL>]``, right to left.
+    """Replace each span by ``[REDACTED_<LABEL>]``; the pieces are built once and joined.
 
     Offsets are code points, end-exclusive. Types outside ``labels`` (default: the five
     accepted detector types) are ignored; overlapping spans are resolved first.
@@ -118,15 +118,20 @@ def splice_spans(text: Column, spans: Column, labels: dict[str, str] | None = No
     labels = labels or C.PII_TYPE_LABELS
     label_map = F.create_map(*[x for k, v in labels.items() for x in (F.lit(k), F.lit(v))])
     accepted = F.filter(spans, lambda s: label_map[s["type"]].isNotNull())
-    kept = resolve_overlaps(accepted)
-    right_to_left = F.reverse(kept)
-    return F.aggregate(
-        right_to_left, text,
-        lambda acc, s: F.concat(
-            F.substring(acc, F.lit(1), s["begin"]),
-            F.lit(C.REDACTION_MARKER_PREFIX), label_map[s["type"]],
-            F.lit(C.REDACTION_MARKER_SUFFIX),
-            F.substring(acc, s["end"] + 1, F.lit(2147483647))))
+
+    def pieces(kept: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(kept, i - 1)["end"], F.lit(0))
+            return F.concat(F.substring(text, before + 1, s["begin"] - before),
+                            F.lit(C.REDACTION_MARKER_PREFIX), label_map[s["type"]],
+                            F.lit(C.REDACTION_MARKER_SUFFIX))
+
+        rest = F.coalesce(F.get(kept, F.size(kept) - 1)["end"], F.lit(0))
+        return F.concat(F.transform(kept, piece),
+                        F.array(F.substring(text, rest + 1, F.lit(2147483647))))
+
+    once = F.transform(F.array(resolve_overlaps(accepted)), pieces)     # spans evaluated once
+    return F.array_join(F.element_at(once, 1), "")
 
 
 def span_label_counts(spans: Column, labels: dict[str, str] | None = None) -> Column:
