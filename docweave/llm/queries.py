@@ -53,9 +53,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substring_dedup.substring_dedup(documents(spark, sf_dir, "doc_id", "text"))
-    return found.select("doc_id", "n_sentences", "n_removed", "removed",
-                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return substring_dedup.removed_spans(documents(spark, sf_dir, "doc_id", "text")).select(
+        "doc_id", "n_removed", "removed")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,10 @@ a long passage of one or two sentences is found. Every span is hashed and the ha
 joined over the whole corpus: of the places a span occurs at, the first by (id, sentence)
 stays, and the sentences covered by any other are removed.
 
-The join moves hashes, not text. Hashes are counted with map-side combination; only those
-that repeat are joined back, through a join that adaptive execution can split where very
-many documents share a span. A document's removed sentences are applied to its own row.
+The join moves hashes and character offsets, never text. Hashes are counted with map-side
+combination; only those that repeat are joined back, through a join that adaptive execution
+can split where very many documents share a span. :func:`removed_spans` gives what each
+document loses; :func:`apply_removals` cuts it out of the texts where these are wanted.
 
 Defined results: null and empty texts have no sentences and stay as they are; rows that
 repeat an id and a text count as one place and lose the same sentences; a null id comes
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import staged
+from docweave.llm.common import fresh, staged
 
 RUN = 3
 MIN_WORDS = 12
@@ -43,17 +44,18 @@ def sentences(text: str) -> list[str]:
 
 def spans(text: str, run: int = RUN, min_words: int = MIN_WORDS,
           long_words: int = LONG_WORDS) -> tuple[list[int], list[int], list[int]]:
-    """``(first sentences, numbers of sentences, hashes)`` of the spans of a text."""
-    keys, words = [], [0]
+    """``(starts, ends, hashes)`` of the spans of a text; offsets are code points."""
+    keys, words, at = [], [0], [0]
     for s in sentences(text):
         parts = s.split()
         keys.append(" ".join(parts).encode())
         words.append(words[-1] + len(parts))
-    first, size, hashes = [], [], []
+        at.append(at[-1] + len(s))
+    start, end, hashes = [], [], []
 
     def add(i: int, j: int) -> None:
         h = hashlib.blake2b(b"\n".join(keys[i:j]), digest_size=8).digest()
-        first.append(i), size.append(j - i), hashes.append(int.from_bytes(h, "little", signed=True))
+        start.append(at[i]), end.append(at[j]), hashes.append(int.from_bytes(h, "little", signed=True))
 
     n, j = len(keys), 0
     for i in range(n):
@@ -67,11 +69,11 @@ def spans(text: str, run: int = RUN, min_words: int = MIN_WORDS,
                 j += 1
             if j <= n:
                 add(i, j)
-    return first, size, hashes
+    return start, end, hashes
 
 
 def span_rows(docs: DataFrame, run: int, min_words: int, long_words: int) -> DataFrame:
-    """``id, th, first, size, hash`` of every span of ``docs(id, th, t)``."""
+    """``id, th, start, end, hash`` of every span of ``docs(id, th, t)``."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             take, cols = [], ([], [], [])
@@ -84,60 +86,69 @@ def span_rows(docs: DataFrame, run: int, min_words: int, long_words: int) -> Dat
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(at), b.column(1).take(at), pa.array(cols[0], pa.int32()),
                  pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64())],
-                ["id", "th", "first", "size", "hash"])
+                ["id", "th", "start", "end", "hash"])
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.select("id", "th", "t").mapInArrow(
-        work, f"id {kind}, th long, first int, size int, hash long")
+        work, f"id {kind}, th long, start int, end int, hash long")
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of spans as sorted lists of disjoint spans."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    for b in batches:
+        out = []
+        for some in b.column(2).to_pylist():
+            merged: list[dict] = []
+            for s in sorted(some, key=lambda s: s["start"]):
+                if merged and s["start"] <= merged[-1]["end"]:
+                    merged[-1]["end"] = max(merged[-1]["end"], s["end"])
+                else:
+                    merged.append(dict(s))
+            out.append(merged)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, kind)],
+                                         ["id", "th", "removed"])
 
 
 def removals(docs: DataFrame, run: int, min_words: int, long_words: int) -> DataFrame:
-    """``id, th, drop`` (numbers of the sentences to remove) of documents that lose some."""
+    """``id, th, removed`` (disjoint spans) of the documents that lose some."""
     found = staged(span_rows(docs, run, min_words, long_words), "spans")
     repeated = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
     shared = staged(found.join(repeated, "hash", "left_semi")
-                    .select("hash", F.struct("id", "th", "first").alias("at"), "size"), "shared")
+                    .select("hash", F.struct("id", "th", "start").alias("at"), "end"), "shared")
     keep = shared.groupBy("hash").agg(F.min("at").alias("keep"))
     later = shared.join(keep, "hash").where(~F.col("at").eqNullSafe(F.col("keep")))
-    covered = later.select("at.id", "at.th", F.explode(F.sequence(
-        F.col("at.first"), F.col("at.first") + F.col("size") - 1)).alias("s"))
-    return covered.groupBy("id", "th").agg(F.collect_set("s").alias("drop"))
+    lists = later.groupBy("at.id", "at.th").agg(
+        F.collect_set(F.struct(F.col("at.start").alias("start"), "end")).alias("spans"))
+    kind = lists.schema["id"].dataType.simpleString()
+    return lists.mapInArrow(_merge, f"id {kind}, th long, removed array<struct<start:int,end:int>>")
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    run: int = RUN, min_words: int = MIN_WORDS,
-                    long_words: int = LONG_WORDS) -> DataFrame:
-    """``doc_id, n_sentences, n_removed, removed`` (character spans ``start, end``) and
-    ``text`` (what is left) per document."""
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN,
+                  min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
+    """``doc_id, text_hash, n_removed`` (characters) and ``removed`` (disjoint character spans
+    ``start, end``) per document; none lost: an empty list."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"),
                        F.col(text_col).alias("t"))
     drops = removals(rows, run, min_words, long_words).select(
-        F.col("id").alias("did"), F.col("th").alias("dth"), "drop")
-    joined = rows.join(drops, rows["id"].eqNullSafe(drops["did"]) & (rows["th"] == drops["dth"]),
-                       "left").select("id", "t", "drop")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, gone, cut, left = [], [], [], []
-            for t, d in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                parts, d = sentences(t) if t else [], set(d or ())
-                n.append(len(parts)), gone.append(len(d))
-                left.append(t if not d else "".join(p for i, p in enumerate(parts) if i not in d))
-                at, out = 0, []
-                for i, p in enumerate(parts):
-                    if i in d:
-                        if out and out[-1]["end"] == at:
-                            out[-1]["end"] = at + len(p)
-                        else:
-                            out.append({"start": at, "end": at + len(p)})
-                    at += len(p)
-                cut.append(out)
-            span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int32()), pa.array(gone, pa.int32()),
-                 pa.array(cut, pa.list_(span)), pa.array(left, pa.string())],
-                ["doc_id", "n_sentences", "n_removed", "removed", "text"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return joined.mapInArrow(work, f"doc_id {kind}, n_sentences int, n_removed int, "
-                                   "removed array<struct<start:int,end:int>>, text string")
+        F.col("id").alias("did"), F.col("th").alias("dth"), "removed")
+    rows = rows.select("id", "th")
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    return rows.join(drops, rows["id"].eqNullSafe(drops["did"]) & (rows["th"] == drops["dth"]), "left").select(
+        F.col("id").alias("doc_id"), F.col("th").alias("text_hash"),
+        F.aggregate(F.coalesce("removed", none), F.lit(0), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
+        F.coalesce("removed", none).alias("removed"))
+
+
+def apply_removals(docs: DataFrame, found: DataFrame, id_col: str = "doc_id",
+                   text_col: str = "text") -> DataFrame:
+    """``docs`` with the spans of ``found`` cut out of their texts. Texts are shuffled once;
+    the spans of rows that lose nothing are left out of the join."""
+    h, i, r = (fresh(docs, c) for c in ("_llm_hash", "_llm_id", "_llm_removed"))
+    cuts = found.where("n_removed > 0").select(
+        F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.col("removed").alias(r)).distinct()
+    joined = docs.join(cuts, docs[id_col].eqNullSafe(cuts[i]) & (F.xxhash64(docs[text_col]) == cuts[h]), "left")
+    ends = F.concat(F.transform(F.col(r), lambda s: s["start"]), F.array(F.char_length(text_col)))
+    begins = F.concat(F.array(F.lit(0)), F.transform(F.col(r), lambda s: s["end"]))
+    left = F.array_join(F.zip_with(begins, ends, lambda a, b: F.substring(F.col(text_col), a + 1, b - a)), "")
+    return joined.withColumn(text_col, F.when(F.col(r).isNull(), F.col(text_col)).otherwise(left)).select(*docs.columns)

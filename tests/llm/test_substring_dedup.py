@@ -6,18 +6,18 @@ from docweave.llm import substring_dedup as sd
 
 
 def brute(rows):
-    """Sentence numbers removed per (id, text), by looking at every span of the corpus."""
+    """Character offsets removed per (id, text), by looking at every span of the corpus."""
     places = {}
     for i, t in set(rows):
-        for f, n, h in zip(*sd.spans(t)) if t else ():
-            key = tuple(" ".join(x.split()) for x in sd.sentences(t)[f:f + n])
-            places.setdefault(key, []).append(((i, t), f, n))
+        for a, b, h in zip(*sd.spans(t)) if t else ():
+            key = tuple(" ".join(x.split()) for x in sd.sentences(t[a:b]))
+            places.setdefault(key, []).append(((i, t), a, b))
     out = {}
     for at in places.values():
-        ids = sorted({(i, f) for (i, _), f, _ in at})
-        for (i, t), f, n in at:
-            if (i, f) != ids[0]:
-                out.setdefault((i, t), set()).update(range(f, f + n))
+        first = min((i, a) for (i, _), a, _ in at)
+        for (i, t), a, b in at:
+            if (i, a) != first:
+                out.setdefault((i, t), set()).update(range(a, b))
     return out
 
 
@@ -41,39 +41,47 @@ def make(n=60, seed=4):
 def test_spans_and_sentences():
     for t in ("", " ", "a", "A b. C d! E?\n\n f\n", "\n\nx.  y.", "a.b c.d"):
         assert "".join(sd.sentences(t)) == t
-    first, size, _ = sd.spans("One two. Three four. Five six. Seven eight.", 3, 5, 99)
-    assert list(zip(first, size)) == [(0, 3), (1, 3)]
-    first, size, _ = sd.spans("A! B! C! D! E! F!", 3, 5, 99)          # short ones run on
-    assert list(zip(first, size)) == [(0, 5), (1, 5)]
-    first, size, _ = sd.spans("w " * 60, 3, 12, 50)
-    assert list(zip(first, size)) == [(0, 1)]
+    start, end, _ = sd.spans("One two. Three four. Five six. Seven eight.", 3, 5, 99)
+    assert list(zip(start, end)) == [(0, 31), (9, 43)]
+    start, end, _ = sd.spans("A! B! C! D! E! F!", 3, 5, 99)          # short ones run on
+    assert list(zip(start, end)) == [(0, 15), (3, 17)]
+    start, end, _ = sd.spans("w " * 60, 3, 12, 50)
+    assert list(zip(start, end)) == [(0, 120)]
 
 
 def test_against_brute_force(make_docs):
     rows, passages = make()
     want = brute(rows)
     docs = make_docs(rows).withColumn("hash", F.lit(1)).withColumn("t", F.lit("x"))
-    out = {r.doc_id: r for r in sd.substring_dedup(docs).collect()}
-    assert len(out) == len(rows) and want
+    found = sd.removed_spans(docs)
+    out = {r.doc_id: r for r in found.collect()}
+    left = sd.apply_removals(docs, found)
+    assert left.columns == docs.columns
+    left = {r.doc_id: r.text for r in left.collect()}
+    assert len(out) == len(left) == len(rows) and want
     for i, t in rows:
-        parts, gone = sd.sentences(t), want.get((i, t), set())
-        assert out[i].n_removed == len(gone) and out[i].n_sentences == len(parts)
-        assert out[i].text == "".join(p for k, p in enumerate(parts) if k not in gone)
-        cut = "".join(t[s.start:s.end] for s in out[i].removed)
-        assert cut == "".join(p for k, p in enumerate(parts) if k in gone)
+        gone = want.get((i, t), set())
+        assert out[i].n_removed == len(gone)
+        assert [c for s in out[i].removed for c in range(s.start, s.end)] == sorted(gone)
+        assert left[i] == "".join(c for k, c in enumerate(t) if k not in gone)
     for p in passages:                       # a passage stays where it comes first only
-        assert sum(p in r.text for r in out.values()) == 1
+        assert sum(p in t for t in left.values()) == 1
 
 
 def test_edge_cases(make_docs):
     same = "Aa bb cc dd ee. Ff gg hh ii jj. Kk ll mm nn oo."
     rows = [(1, None), (2, ""), (3, " \n"), (4, same), (4, same), (5, same), (None, same),
             (6, "x. " * 20000)]
-    out = sd.substring_dedup(make_docs(rows)).collect()
+    docs = make_docs(rows)
+    found = sd.removed_spans(docs)
+    out = found.collect()
     assert len(out) == len(rows)
     by = {}
     for r in out:
         by.setdefault(r.doc_id, []).append(r)
-    assert by[None][0].n_removed == 0 and by[4][0].n_removed == 3 and by[5][0].text == ""
-    assert by[4][0] == by[4][1] and by[1][0].text is None and by[2][0].text == ""
-    assert sd.substring_dedup(make_docs([])).count() == 0
+    assert by[None][0].n_removed == 0 and by[4][0].n_removed == by[5][0].n_removed == len(same)
+    assert by[4][0] == by[4][1] and by[1][0].removed == by[2][0].removed == []
+    left = sd.apply_removals(docs, found).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in left if r.doc_id != 6) == sorted(
+        str(x) for x in [(1, None), (2, ""), (3, " \n"), (4, ""), (4, ""), (5, ""), (None, same)])
+    assert sd.removed_spans(make_docs([])).count() == 0
