@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm.byte_bpe import load_ranks
+from docweave.llm.common import let
 from docweave.session import scratch_path
 
 SEQ_LEN = 256
@@ -179,10 +180,14 @@ def read_slots(spark: SparkSession, shards: Shards, start: int = 0, stop: int |
     per, stride = shards.rows_per_shard, shards.stride
     files = (spark.read.format("binaryFile").load(shards.path)
              .where(F.col("shard").between(start // per, (stop - 1) // per)))
-    n = F.floor(F.length("content") / stride).cast("int")
-    rows = files.select("shard", F.posexplode(F.transform(
-        F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("content"), i * stride + 1, F.lit(stride)))
-    ).alias("row", "record"))
+
+    def cut(content):
+        last = F.floor(F.length(content) / stride).cast("int") - 1
+        return F.transform(F.sequence(F.lit(0), last),
+                           lambda i: F.substring(content, i * stride + 1, F.lit(stride)))
+
+    # bound once: a column reference would copy the whole file for every record
+    rows = files.select("shard", F.posexplode(let(F.col("content"), cut)).alias("row", "record"))
 
     def number(first: int, size: int, base: int = 10):
         return F.conv(F.hex(F.substring("record", first, size)), 16, base).cast("long")
