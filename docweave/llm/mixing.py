@@ -1,8 +1,8 @@
 """Mixing sources to target weights by soft membership, in DataFrame functions only.
 
 1. A classifier learns domains from a table of labelled ids (a bounded sample of its rows,
-   broadcast). Naive Bayes over presence and absence of at most ``max_words`` words, those whose
-   document frequencies differ most between domains, and over binned shape ratios. Every
+   broadcast). Naive Bayes over presence and absence of at most ``max_words`` words, those by
+   which a domain stands out most from the rest, and over binned shape ratios. Every
    document gets posteriors p[d, k].
 2. Document rates r[d] >= 0 minimise ``sum_k (S_k - t_k)^2 / T_k``: S_k = sum_d r[d] n[d] p[d, k]
    are the expected domain token totals, t_k their targets and T_k the totals at rate one.
@@ -38,7 +38,8 @@ TARGETS = {"clean": 0.96, "low": 0.03, "toxic": 0.01}
 FIT_ROWS = 20_000
 MAX_WORDS = 256
 MIN_DOCS = 5             # documents of the sample a word must be in
-MIN_Z = 6.0              # standard errors by which its share must differ between domains
+MIN_Z = 6.0              # standard errors by which its share in a domain must exceed the rest's
+MIN_LIFT = 5.0           # and times: words that a domain merely has fewer of tell nothing
 ROUNDS = 60
 TOLERANCE = 1e-4         # largest miss of a domain, as a share of all target tokens
 STEPS_PER_CHECKPOINT = 10
@@ -101,12 +102,13 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
     sizes = [*by_domain(rows).first()]
     total = max(1, sum(sizes))
 
-    def spread(i: int) -> Column:           # how far domain i's share is from the others'
+    def spread(i: int) -> Column:           # how far domain i's share is above the others'
         inside, rest = max(1, sizes[i]), max(1, total - sizes[i])
         k = reduce(lambda a, b: a + b, [F.col(f"n{j}") for j in range(len(domains))])
         p = (k + 1) / (total + 2)
-        gap = F.abs(F.col(f"n{i}") / inside - (k - F.col(f"n{i}")) / rest)
-        return gap / F.sqrt(p * (1 - p) * (1 / inside + 1 / rest))
+        here, there = F.col(f"n{i}") / inside, (k - F.col(f"n{i}")) / rest
+        z = (here - there) / F.sqrt(p * (1 - p) * (1 / inside + 1 / rest))
+        return F.when(here >= MIN_LIFT * there, z).otherwise(F.lit(0.0))
 
     counts = by_domain(rows.select("domain", F.explode("parts").alias("part")), "part")
     enough = reduce(lambda a, b: a + b, [F.col(f"n{j}") for j in range(len(domains))]) >= MIN_DOCS
