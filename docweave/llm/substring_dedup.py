@@ -8,8 +8,9 @@ joined over the whole corpus: of the places a span occurs at, the first by (id,
 stays, and the sentences covered by any other are removed.
 
 The join moves hashes and character offsets, never text. Hashes are counted with map-side
-combination; only those that repeat are joined back, through a join that adaptive execution
-can split where very many documents share a span. :func:`removed_spans` gives what each
+combination and only those that repeat are joined back. The few that hold more than
+``HOT_SHARE`` of all places (at most its inverse) are aggregated map-side and broadcast, so a
+span that very many documents share is never gathered in one task. :func:`removed_spans` gives what each
 document loses; :func:`apply_removals` cuts it out of the texts where these are wanted.
 
 Defined results: null and empty texts have no sentences and stay as they are; rows that
@@ -32,6 +33,7 @@ from docweave.llm.common import fresh, staged
 RUN = 3
 MIN_WORDS = 12
 LONG_WORDS = 50
+HOT_SHARE = 0.001        # spans that hold this share of all places are joined by broadcast
 
 _END = re.compile(r"[.!?]\s+|\n\s*")
 
@@ -112,12 +114,18 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removals(docs: DataFrame, run: int, min_words: int, long_words: int) -> DataFrame:
     """``id, th, removed`` (disjoint spans) of the documents that lose some."""
-    found = staged(span_rows(docs, run, min_words, long_words), "spans")
-    repeated = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    shared = staged(found.join(repeated, "hash", "left_semi")
-                    .select("hash", F.struct("id", "th", "start").alias("at"), "end"), "shared")
+    found = staged(span_rows(docs, run, min_words, long_words), "spans").select(
+        "hash", F.struct("id", "th", "start").alias("at"), "end")
+    repeated = staged(found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "hashes")
+    least = max(2, int(found.count() * HOT_SHARE))
+    hot = repeated.where(F.col("n") >= least).select("hash").checkpoint()      # at most 1 / HOT_SHARE rows
+    hot_rows = found.join(F.broadcast(hot), "hash", "left_semi")
+    hot_keep = hot_rows.groupBy("hash").agg(F.min("at").alias("keep"))
+    shared = staged(found.join(F.broadcast(hot), "hash", "left_anti")
+                    .join(repeated.where(F.col("n") < least).select("hash"), "hash", "left_semi"), "shared")
     keep = shared.groupBy("hash").agg(F.min("at").alias("keep"))
-    later = shared.join(keep, "hash").where(~F.col("at").eqNullSafe(F.col("keep")))
+    later = (hot_rows.join(F.broadcast(hot_keep), "hash").unionByName(shared.join(keep, "hash"))
+             .where(~F.col("at").eqNullSafe(F.col("keep"))))
     lists = later.groupBy("at.id", "at.th").agg(
         F.collect_set(F.struct(F.col("at.start").alias("start"), "end")).alias("spans"))
     kind = lists.schema["id"].dataType.simpleString()

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from docweave.llm import substring_dedup as sd
@@ -49,7 +50,9 @@ def test_spans_and_sentences():
     assert list(zip(start, end)) == [(0, 120)]
 
 
-def test_against_brute_force(make_docs):
+@pytest.mark.parametrize("hot_share", [0.001, 0.02, 1.0])
+def test_against_brute_force(make_docs, monkeypatch, hot_share):
+    monkeypatch.setattr(sd, "HOT_SHARE", hot_share)
     rows, passages = make()
     want = brute(rows)
     docs = make_docs(rows).withColumn("hash", F.lit(1)).withColumn("t", F.lit("x"))
