@@ -1,4 +1,6 @@
+import math
 import random
+import warnings
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,3 +94,32 @@ def test_edge_cases(spark, make_docs):
     assert mixing.mix(make_docs(rows), odd).count() == len(rows)
     assert mixing.mix(make_docs([]), none).count() == 0
     assert mixing.mixed(make_docs([]), none).count() == 0
+
+
+def soft(spark, n=4000, shares=(0.76, 0.13, 0.11), seed=5):
+    """Well separated but soft posteriors, no document near certain."""
+    rng = random.Random(seed)
+    data = []
+    for i in range(n):
+        k = rng.choices(range(3), shares)[0]
+        e = [math.exp(rng.gauss(0, 1.5) + 4.0 * (j == k)) for j in range(3)]
+        data.append((i, rng.randint(20, 400), *[x / sum(e) for x in e]))
+    return spark.createDataFrame(data, "id long, n_tokens long, p_clean double, p_low double, p_toxic double")
+
+
+def test_soft_posteriors_meet_the_targets_without_a_round_count(spark):
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", mixing.MissedTargets)
+        out = mixing.fit_rates(soft(spark), mixing.TARGETS).collect()
+    total = sum(r.n_tokens for r in out)
+    for d, w in mixing.TARGETS.items():
+        assert sum(r.rate * r.n_tokens * r[f"p_{d}"] for r in out) == pytest.approx(w * total, abs=1.1e-4 * total)
+    assert all(r.rate >= 0 for r in out)
+
+
+def test_missed_targets_and_unfinished_fits_are_reported(spark):
+    df = soft(spark, 500)
+    with pytest.warns(mixing.MissedTargets, match="clean"):
+        mixing.fit_rates(df, mixing.TARGETS, max_rate=1.0)
+    with pytest.raises(RuntimeError, match="not fitted"):
+        mixing.fit_rates(df, mixing.TARGETS, rounds=2)
