@@ -3,7 +3,8 @@
 A text is cut into sentences: after ``.``, ``!`` or ``?`` and white space, and at line ends.
 A span is a run of at least ``run`` consecutive sentences, as many as reach ``min_words``
 words; a run of fewer sentences with at least ``long_words`` words is a span too, so that
-a long passage of one or two sentences is found. Every span is hashed and the hashes are
+a long passage of one sentence is found. What a passage shares of the sentences it begins and
+ends in is not removed, nor a passage without ``run`` whole sentences. Every span is hashed and the hashes are
 joined over the whole corpus: of the places a span occurs at, the first by (id, sentence)
 stays, and the sentences covered by any other are removed.
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from docweave.llm.common import fresh, staged
 
-RUN = 3
+RUN = 2
 MIN_WORDS = 12
 LONG_WORDS = 50
 HOT_SHARE = 0.001        # spans that hold this share of all places are joined by broadcast

@@ -88,3 +88,29 @@ def test_edge_cases(make_docs):
     assert sorted(str((r.doc_id, r.text)) for r in left if r.doc_id != 6) == sorted(
         str(x) for x in [(1, None), (2, ""), (3, " \n"), (4, ""), (4, ""), (5, ""), (None, same)])
     assert sd.removed_spans(make_docs([])).count() == 0
+
+
+def test_passages_planted_by_words_lose_their_whole_sentences(make_docs):
+    rng = random.Random(11)
+
+    def word():
+        return "".join(rng.choices("abcdefghij", k=5))
+
+    def sent(n):
+        return " ".join(word() for _ in range(n)).capitalize() + "."
+
+    rows, inner = [], []
+    for k in range(12):              # cut inside sentences: only two of the four are whole
+        ends = [sent(20), sent(20)]
+        inner.append(" ".join(sent(rng.randint(6, 20)) for _ in range(2)))
+        words = " ".join([ends[0], inner[-1], ends[1]]).split()
+        passage = " ".join(words[9:len(words) - 9])
+        for i in (2 * k, 2 * k + 1):
+            before, after = " ".join([sent(8), word(), word()]), " ".join([word(), word(), sent(8)])
+            rows.append((i, f"{before} {passage} {after}"))
+    docs = make_docs(rows)
+    left = {r.doc_id: r.text for r in sd.apply_removals(docs, sd.removed_spans(docs)).collect()}
+    texts = dict(rows)
+    for k, p in enumerate(inner):
+        assert left[2 * k] == texts[2 * k] and p in left[2 * k]
+        assert left[2 * k + 1] == texts[2 * k + 1].replace(p + " ", "")
