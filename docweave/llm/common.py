@@ -67,6 +67,11 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+def row_key(id_: Column, digest: Column) -> Column:
+    """Key of a row by its text's digest and its id; a null id leaves the digest alone."""
+    return F.concat_ws("|", digest, id_.cast("string"))
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame, key: Column, kept_key: str) -> DataFrame:
     """Rows of ``docs`` whose ``key`` is in ``kept[kept_key]``, one row per key.
 

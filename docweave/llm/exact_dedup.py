@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import ascii_lower, fresh, keep_rows, text_or_empty
+from docweave.llm.common import ascii_lower, fresh, keep_rows, row_key, text_or_empty
 
 SUPPORT = 0.001
 
@@ -62,11 +62,8 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept = exact_dedup(docs, id_col, text_col, support).where("kept")
     name = fresh(docs, "_llm_keep")
 
-    def key(id_: Column, sha: Column) -> Column:
-        return F.concat_ws("|", sha, id_.cast("string"))
-
-    kept = kept.select(key(F.col("doc_id"), F.col("text_sha256")).alias(name))
-    return keep_rows(docs, kept, key(F.col(id_col), text_digest(text_col)), name)
+    kept = kept.select(row_key(F.col("doc_id"), F.col("text_sha256")).alias(name))
+    return keep_rows(docs, kept, row_key(F.col(id_col), text_digest(text_col)), name)
 
 
 ORACLE_SQL = """

@@ -256,29 +256,32 @@ def copies_of(id_col: str, rate: str, seed: int = 7) -> Column:
     return F.floor(F.col(rate) + unit).cast("long")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None,
-        id_col: str = "doc_id", text_col: str = "text", max_rate: float | None = None,
-        **limits) -> DataFrame:
-    """``doc_id, n_tokens, p_<domain>..., rate, copies`` per document."""
-    targets = dict(targets or TARGETS)
+def _mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str, text_col: str,
+         key: Column, max_rate: float | None, **limits) -> DataFrame:
+    """:func:`mix` with ``key`` in place of the id; it decides the copies."""
     labelled = labels.select(F.col("doc_id").alias("id"), label_domain().alias("domain"))
     model = fit_domains(docs, labelled, id_col, text_col, tuple(targets), **limits)
-    rows = fit_rates(posteriors(docs, model, id_col, text_col, tuple(targets)), targets,
+    keyed = docs.select(key.alias("id"), F.col(text_col).alias("text"))
+    rows = fit_rates(posteriors(keyed, model, "id", "text", tuple(targets)), targets,
                      max_rate=max_rate)
     return rows.select(F.col("id").alias("doc_id"), "n_tokens", *[f"p_{d}" for d in targets],
                        "rate", copies_of("id", "rate").alias("copies"))
 
 
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None,
+        id_col: str = "doc_id", text_col: str = "text", max_rate: float | None = None,
+        **limits) -> DataFrame:
+    """``doc_id, n_tokens, p_<domain>..., rate, copies`` per document."""
+    return _mix(docs, labels, dict(targets or TARGETS), id_col, text_col, F.col(id_col),
+                max_rate, **limits)
+
+
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None,
           id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """``docs`` without those that the mix gives no copy, each at most once (rates of at most
-    one), columns unchanged."""
-    from docweave.llm.common import fresh, keep_rows
+    one), columns unchanged. Ids may be null or repeat: a row is told by its id and text."""
+    from docweave.llm.common import fresh, keep_rows, row_key
     name = fresh(docs, "_llm_keep")
-    found = mix(docs, labels, targets, id_col, text_col, max_rate=1.0, **limits)
-
-    def key(c: str) -> Column:
-        return F.coalesce(F.col(c).cast("string"), F.lit(""))
-
-    return keep_rows(docs, found.where("copies > 0").select(key("doc_id").alias(name)),
-                     key(id_col), name)
+    key = row_key(F.col(id_col), F.sha2(F.col(text_col), 256))
+    found = _mix(docs, labels, dict(targets or TARGETS), id_col, text_col, key, 1.0, **limits)
+    return keep_rows(docs, found.where("copies > 0").select(F.col("doc_id").alias(name)), key, name)

@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import keep_rows, fresh
+from docweave.llm.common import fresh, keep_rows, row_key
 from docweave.llm.components import components
+from docweave.llm.exact_dedup import text_digest
 
 SHINGLE = 4
 MAX_DISTANCE = 4
@@ -306,11 +307,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component (its smallest id), columns unchanged."""
-    found = near_dedup(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    """``docs`` with one document of each component (its smallest id, then its smallest text
+    digest; null ids last), columns unchanged. Ids may be null or repeat: a row is told by its
+    id and text, so only members of one component are dropped for each other."""
+    rows = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"),
+                                text_digest(text_col).alias("sha")).alias("key"), text_col)
+    found = near_dedup(rows, "key", text_col).where(F.col("doc_id") == F.col("component_id"))
     name = fresh(docs, "_llm_keep")
-
-    def key(c: str) -> Column:
-        return F.coalesce(F.col(c).cast("string"), F.lit(""))
-
-    return keep_rows(docs, found.select(key("doc_id").alias(name)), key(id_col), name)
+    return keep_rows(docs, found.select(row_key(F.col("doc_id.id"), F.col("doc_id.sha")).alias(name)),
+                     row_key(F.col(id_col), text_digest(text_col)), name)
