@@ -179,11 +179,13 @@ def posteriors(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: s
 
 def fit_rates(rows: DataFrame, targets: dict[str, float], budget: float | None = None,
               max_rate: float | None = None, rounds: int = ROUNDS,
-              tolerance: float = TOLERANCE) -> DataFrame:
+              tolerance: float = TOLERANCE, whole: str | None = None) -> DataFrame:
     """``rows(n_tokens, p_<domain>...)`` with the fitted ``rate``.
 
     ``budget``: all target tokens (default: the tokens there are). ``max_rate``: an upper
-    bound of every rate, projected on like the lower one. Raises if the fit is not done after
+    bound of every rate, projected on like the lower one. ``whole``: a domain that is not to be
+    thinned; the budget is raised until its target is at least its total, and under ``max_rate``
+    the other domains' targets are at most what they can give. Raises if the fit is not done after
     ``rounds`` aggregations; warns with :class:`MissedTargets` if the targets are out of reach."""
     names = [f"p_{d}" for d in targets]
     size, share = len(names), sum(targets.values())
@@ -217,7 +219,11 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], budget: float | None =
     now, slopes, dual, moved = sums(at)
     weight = np.maximum(now, 1.0)
     budget = float(now.sum()) if budget is None else budget
+    if whole is not None and targets[whole] > 0:
+        budget = max(budget, float(now[names.index(f"p_{whole}")]) * share / targets[whole])
     want = budget * np.array([*targets.values()]) / share
+    if whole is not None and max_rate is not None:      # a domain there is too little of is just kept
+        want = np.where(np.array([*targets]) == whole, want, np.minimum(want, weight * max_rate))
 
     def met() -> bool:
         return not budget or float(np.abs(now - want).max()) <= tolerance * budget
@@ -257,13 +263,13 @@ def copies_of(id_col: str, rate: str, seed: int = 7) -> Column:
 
 
 def _mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str, text_col: str,
-         key: Column, max_rate: float | None, **limits) -> DataFrame:
+         key: Column, max_rate: float | None, whole: str | None = None, **limits) -> DataFrame:
     """:func:`mix` with ``key`` in place of the id; it decides the copies."""
     labelled = labels.select(F.col("doc_id").alias("id"), label_domain().alias("domain"))
     model = fit_domains(docs, labelled, id_col, text_col, tuple(targets), **limits)
     keyed = docs.select(key.alias("id"), F.col(text_col).alias("text"))
     rows = fit_rates(posteriors(keyed, model, "id", "text", tuple(targets)), targets,
-                     max_rate=max_rate)
+                     max_rate=max_rate, whole=whole)
     return rows.select(F.col("id").alias("doc_id"), "n_tokens", *[f"p_{d}" for d in targets],
                        "rate", copies_of("id", "rate").alias("copies"))
 
@@ -277,11 +283,15 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None,
-          id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
+          id_col: str = "doc_id", text_col: str = "text", whole: str | None = "clean",
+          **limits) -> DataFrame:
     """``docs`` without those that the mix gives no copy, each at most once (rates of at most
-    one), columns unchanged. Ids may be null or repeat: a row is told by its id and text."""
+    one), columns unchanged. The budget is at least what takes all of the domain ``whole`` (if
+    it has a target), so that only the others are thinned to reach the targets. Ids may be null or repeat: a row is told by its id and text."""
     from docweave.llm.common import fresh, keep_rows, row_key
     name = fresh(docs, "_llm_keep")
     key = row_key(F.col(id_col), F.sha2(F.col(text_col), 256))
-    found = _mix(docs, labels, dict(targets or TARGETS), id_col, text_col, key, 1.0, **limits)
+    targets = dict(targets or TARGETS)
+    found = _mix(docs, labels, targets, id_col, text_col, key, 1.0,
+                 whole if whole in targets else None, **limits)
     return keep_rows(docs, found.where("copies > 0").select(F.col("doc_id").alias(name)), key, name)

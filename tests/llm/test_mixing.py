@@ -123,3 +123,30 @@ def test_missed_targets_and_unfinished_fits_are_reported(spark):
         mixing.fit_rates(df, mixing.TARGETS, max_rate=1.0)
     with pytest.raises(RuntimeError, match="not fitted"):
         mixing.fit_rates(df, mixing.TARGETS, rounds=2)
+
+
+@pytest.mark.parametrize("shares", [(0.99, 0.005, 0.005), (0.97, 0.0, 0.03)])
+def test_stage_keeps_all_of_a_clean_input(spark, make_docs, shares):
+    rng = random.Random(9)
+    rows, labels, kind = corpus(6000, 9)
+    few = {k: [i for i, x in kind.items() if x == k] for k in mixing.DOMAINS}
+    ids = {i for k, x in zip(mixing.DOMAINS, shares) for i in rng.sample(few[k], int(4000 * x))}
+    rows, labels = [r for r in rows if r[0] in ids], [r for r in labels if r[0] in ids]
+    kind = {i: k for i, k in kind.items() if i in ids}
+    kept = {r.doc_id for r in mixing.mixed(make_docs(rows), spark.createDataFrame(labels, LABELS)).collect()}
+    clean = {i for i, k in kind.items() if k == "clean"}
+    assert len(clean) > 0.96 * len(rows) and clean <= kept
+    toxic = {i for i, k in kind.items() if k == "toxic"}
+    if shares[2] > 0.01:                  # the others still go
+        assert 0 < len(toxic & kept) < 0.6 * len(toxic)
+    else:
+        assert len(kept) == len(rows)
+
+
+def test_soft_clean_input_keeps_its_rates(spark):
+    df = soft(spark, 4000, (1.0, 0.0, 0.0)).withColumns({
+        "p_low": F.col("p_low") * 0.02, "p_toxic": F.col("p_toxic") * 0.02}).withColumn(
+        "p_clean", 1 - F.col("p_low") - F.col("p_toxic"))
+    thinned = mixing.fit_rates(df, mixing.TARGETS, max_rate=1.0).agg(F.avg("rate")).first()[0]
+    whole = mixing.fit_rates(df, mixing.TARGETS, max_rate=1.0, whole="clean").agg(F.min("rate")).first()[0]
+    assert thinned < 0.99 and whole == 1.0
