@@ -83,3 +83,34 @@ def keep_rows(docs: DataFrame, kept: DataFrame, key: Column, kept_key: str) -> D
         kept.select(F.col(kept_key).alias(k)).distinct(), k, "left_semi")
     w = Window.partitionBy(k).orderBy(F.lit(1))
     return joined.withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).select(*docs.columns)
+
+
+#: Keys that :func:`split_heavy` calls heavy number at most this many, whatever the data.
+HEAVY_KEYS = 100_000
+
+
+def split_heavy(table: DataFrame, weight: str, heavy_keys: int = HEAVY_KEYS) -> tuple:
+    """``(heavy, rest)`` of a table of distinct keys with positive ``weight`` (the number of
+    rows that have the key).
+
+    Heavy keys hold ``1/heavy_keys`` of all weight or more, so there are at most
+    ``heavy_keys`` of them: they can be broadcast at any size of the data, and no key of the
+    rest is hot. The table is read twice, so it should be checkpointed or staged."""
+    total = table.agg(F.sum(weight).alias("t")).first().t or 0
+    is_heavy = F.col(weight) * F.lit(heavy_keys) >= F.lit(total)
+    return table.where(is_heavy), table.where(~is_heavy)
+
+
+def join_split(rows: DataFrame, table: DataFrame, keys: list[str], weight: str,
+               how: str = "inner", heavy_keys: int = HEAVY_KEYS) -> DataFrame:
+    """``rows`` joined (``inner`` or ``left``) to their key's row in ``table``: rows of heavy
+    keys stay where they are, only the rest is shuffled, and there no key is hot."""
+    heavy, rest = split_heavy(table, weight, heavy_keys)
+    hot = rows.join(F.broadcast(heavy), keys)
+    cold = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(rest, keys, how)
+    return hot.unionByName(cold)
+
+
+def two_hashes(*columns: Column) -> tuple[Column, Column]:
+    """128 hash bits of the columns as two longs: XXH64 under two seeds."""
+    return F.xxhash64(*columns), F.xxhash64(F.lit(7), *columns)
