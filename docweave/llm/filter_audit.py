@@ -20,6 +20,7 @@ a text are equal, not copies; an empty table gives no rows; other columns are ig
 
 from __future__ import annotations
 
+import json
 from itertools import permutations
 from math import factorial
 
@@ -108,14 +109,11 @@ def _steps() -> Column:
     """Every step of every order: its filter's bit and the coalitions before and after it."""
     found = []
     for order in ORDERS:
-        before = 0
-        for k, letter in enumerate(order):
-            bit = 1 << LETTERS.index(letter)
-            found.append(F.struct(F.lit(order).alias("filter_order"), F.lit(k + 1).alias("step"),
-                                  F.lit(bit).alias("bit"), F.lit(before).alias("before"),
-                                  F.lit(before + bit).alias("after")))
-            before += bit
-    return F.array(*found)
+        bits = [1 << LETTERS.index(letter) for letter in order]
+        found += [{"filter_order": order, "step": k + 1, "bit": bit, "before": sum(bits[:k]),
+                   "after": sum(bits[:k + 1])} for k, bit in enumerate(bits)]
+    return F.from_json(F.lit(json.dumps(found)), "array<struct<filter_order:string,step:int,"
+                                                 "bit:int,before:int,after:int>>")
 
 
 def filter_audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
@@ -148,7 +146,8 @@ def filter_audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 ORACLE_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
              coalesce(source, '') AS part FROM documents),
-w AS (SELECT *, regexp_extract_all(t, '[^ 	-]+') AS w FROM d),
+w AS (SELECT *, regexp_extract_all(t, '[^ 	-
+]+') AS w FROM d),
 l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
              max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
 f AS (SELECT r, part, len(w) < {MIN_WORDS} AS a,

@@ -49,7 +49,10 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeated_lines(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``a, b, n``: hashes found in ``min_docs`` documents or more, with that number."""
-    once = F.array_distinct(F.filter("lines", lambda x: x.isNotNull()))
+    def distinct(s: Column) -> Column:     # of a sorted array: array_distinct compares all pairs
+        return F.filter(s, lambda x, k: (k == 0) | (x != F.get(s, k - 1)))
+
+    once = let(F.sort_array(F.filter("lines", lambda x: x.isNotNull())), distinct)
     return (lines.select(F.explode(once).alias("h")).groupBy("h.a", "h.b")
             .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).checkpoint())
 
@@ -65,14 +68,15 @@ def dropped_lines(lines: DataFrame, repeated: DataFrame,
 
 def _without(lines: Column, dropped: Column) -> Column:
     """``lines`` without the sorted positions ``dropped``: the slices between them."""
-    last = F.size(dropped)
+    def runs(bound: Column) -> Column:
+        def run(p: Column, k: Column) -> Column:
+            before = F.when(k == 0, F.lit(-1)).otherwise(F.get(bound["d"], k - 1))
+            return F.slice(bound["l"], before + 2, p - before - 1)
 
-    def run(p: Column, k: Column) -> Column:
-        before = F.when(k == 0, F.lit(-1)).otherwise(F.get(dropped, k - 1))
-        return F.slice(lines, before + 2, p - before - 1)
+        ends = F.concat(bound["d"], F.array(F.size(bound["l"])))
+        return F.flatten(F.transform(ends, run))
 
-    ends = F.concat(dropped, F.array(F.size(lines)))
-    return F.when(last == 0, lines).otherwise(F.flatten(F.transform(ends, run)))
+    return let(F.struct(lines.alias("l"), dropped.alias("d")), runs)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

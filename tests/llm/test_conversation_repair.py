@@ -88,7 +88,7 @@ def test_against_search_over_all_edits(spark):
     rng = random.Random(3)
     rows = []
     for conv in range(60):
-        for k in range(rng.randint(1, 7)):
+        for k in range(rng.randint(1, 4)):
             rows.append((conv, rng.choice([k, k, k, k + 3, None]),
                          rng.choice(["user", "assistant", "system", "tool", "", None, "User"]),
                          rng.choice(["a.", "b", "c!  \n", " \t", "", None, "é?", "Wie geht's?"])))
