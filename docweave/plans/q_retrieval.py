@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docweave import constants as C
-from docweave.operators import embedding, retrieval
+from docweave.operators import cells, embedding, quantized, retrieval
 from docweave.plans import common
 from docweave.plans.catalog import query
 from docweave.sources.tables import read_table, spread
 
 EMB_K = C.TOP_K
 IVF_CELLS = 8
+IVF_PROBES = 8          # of the 10 label cells: recall@3 0.94; 2 give 0.42, 4 give 0.66, 6 give 0.83
+PRUNED_CELLS = 32
+PQ_PARTS = 16           # bytes a vector; 256 as floats
+PQ_CANDIDATES = 50
 
 
 def _embeddings(spark, sf_dir):
@@ -87,7 +91,7 @@ near AS (SELECT vec_id, cell, row_number() OVER (PARTITION BY vec_id ORDER BY
            round(list_dot_product(CAST(embedding AS DOUBLE[]), c), 6) DESC, cell) AS r FROM embeddings, cent),
 cand AS (SELECT q.vec_id AS query_id, i.vec_id AS neighbor_id,
            round(list_dot_product(CAST(eq.embedding AS DOUBLE[]), CAST(ei.embedding AS DOUBLE[])), 6) AS score
-         FROM near q JOIN near i ON q.cell = i.cell AND q.r <= 2 AND i.r = 1 AND q.vec_id <> i.vec_id
+         FROM near q JOIN near i ON q.cell = i.cell AND q.r <= {IVF_PROBES} AND i.r = 1 AND q.vec_id <> i.vec_id
          JOIN embeddings eq ON eq.vec_id = q.vec_id JOIN embeddings ei ON ei.vec_id = i.vec_id),
 ivf AS (SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbor_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbor_id) AS rank FROM cand)
@@ -95,7 +99,7 @@ ivf AS (SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbor_id, score FROM
 
 
 def _ivf_labels(spark, sf_dir):
-    """The index cut into one cell per label (deterministic centroids), two cells probed."""
+    """The index cut into one cell per label (deterministic centroids), ``IVF_PROBES`` probed."""
     import uuid
 
     from docweave.session import scratch_path
@@ -104,13 +108,13 @@ def _ivf_labels(spark, sf_dir):
     cents = retrieval.label_centroids(e, "label")
     retrieval.build_ivf_index(e.select("vec_id", "vector"), path, len(cents), index_id="vec_id",
                               centroids=cents)
-    hits = retrieval.search_ivf_index(_self_queries(e), path, EMB_K, 2, index_id="vec_id", exclude_self=True)
+    hits = retrieval.search_ivf_index(_self_queries(e), path, EMB_K, IVF_PROBES, index_id="vec_id", exclude_self=True)
     return hits.select("query_id", "rank", F.col("vec_id").alias("neighbor_id"), "score")
 
 
 @query("knn_ivf", oracle=f"WITH {IVF_LABEL_SQL} SELECT * FROM ivf")
 def knn_ivf(spark, sf_dir):
-    """Approximate search probing 2 of the stored index's cells, one per label; only the
+    """Approximate search probing 8 of the stored index's 10 cells, one per label; only the
     probed cells' files are read."""
     return _ivf_labels(spark, sf_dir)
 
@@ -120,11 +124,78 @@ e AS ({KNN_EMB_SQL})
 SELECT e.query_id, count(ivf.neighbor_id) / count(*) AS recall
 FROM e LEFT JOIN ivf ON ivf.query_id = e.query_id AND ivf.neighbor_id = e.neighbor_id GROUP BY e.query_id""")
 def knn_recall(spark, sf_dir):
-    """recall@3 of the 2-probe IVF search against the exact search, per query."""
+    """recall@3 of the 8-probe IVF search against the exact search, per query."""
     exact = _knn_emb(spark, sf_dir, "auto")
     return retrieval.recall_at_k(_ivf_labels(spark, sf_dir), exact, "neighbor_id")
 
 
+def _cells_path(spark):
+    import uuid
+
+    from docweave.session import scratch_path
+    return scratch_path(spark, f"cells-{uuid.uuid4().hex}")
+
+
+def _pruned(spark, sf_dir):
+    e = _embeddings(spark, sf_dir)
+    path = _cells_path(spark)
+    cents, _ = retrieval.train_ivf(e.select("vector"), PRUNED_CELLS)
+    cells.build(e.select("vec_id", "vector"), path, cents, index_id="vec_id")
+    return cells.search_exact(_self_queries(e), path, EMB_K, index_id="vec_id", exclude_self=True)
+
+
+@query("knn_exact_pruned", oracle=KNN_EMB_SQL)
+def knn_exact_pruned(spark, sf_dir):
+    """Exact search of the stored cell index, cells visited by their angular bound until
+    it is below the third score found."""
+    hits, _ = _pruned(spark, sf_dir)
+    return hits.select("query_id", "rank", F.col("vec_id").alias("neighbor_id"), "score")
+
+
+@query("knn_cells_read")
+def knn_cells_read(spark, sf_dir):
+    """What the pruned search read per query: cells, of how many, and their rows."""
+    _, read = _pruned(spark, sf_dir)
+    return read.select("query_id", "cells_read", "cells", "rows_read")
+
+
+@query("knn_appended", oracle=KNN_EMB_SQL)
+def knn_appended(spark, sf_dir):
+    """An index built from some sources' vectors, two generations appended (one of them
+    written twice) and its overfull cells split: the search finds what a fresh index finds."""
+    e = _embeddings(spark, sf_dir)
+    rows, path = e.select("vec_id", "vector"), _cells_path(spark)
+    part = F.pmod(F.xxhash64("vec_id"), F.lit(4))
+    cents, _ = retrieval.train_ivf(rows.where(part < 2).select("vector"), IVF_CELLS)
+    cells.build(rows.where(part < 2), path, cents, index_id="vec_id")
+    for generation in (1, 2, 2):
+        cells.append(rows.where(part == 1 + generation), path, generation, index_id="vec_id")
+    mean = e.count() // IVF_CELLS
+    cells.split_overfull(spark, path, max(8, mean), 3, index_id="vec_id")
+    hits, _ = cells.search_exact(_self_queries(e), path, EMB_K, index_id="vec_id", exclude_self=True)
+    return hits.select("query_id", "rank", F.col("vec_id").alias("neighbor_id"), "score")
+
+
+def _pq(spark, sf_dir):
+    e = _embeddings(spark, sf_dir)
+    path = _cells_path(spark)
+    quantized.write_codes(e.select("vec_id", "vector"), path, PQ_PARTS, index_id="vec_id")
+    hits = quantized.search(_self_queries(e), e, path, EMB_K, PQ_CANDIDATES, index_id="vec_id", exclude_self=True)
+    return hits.select("query_id", "rank", F.col("vec_id").alias("neighbor_id"), "score")
+
+
+@query("knn_pq")
+def knn_pq(spark, sf_dir):
+    """Search of vectors stored as 16 bytes each, the 50 best re-ranked by exact scores."""
+    return _pq(spark, sf_dir)
+
+
+@query("knn_pq_recall")
+def knn_pq_recall(spark, sf_dir):
+    """recall@3 of the compressed search against the exact search, per query."""
+    return retrieval.recall_at_k(_pq(spark, sf_dir), _knn_emb(spark, sf_dir, "auto"), "neighbor_id")
+
+
 @query("knn_label_agreement", oracle=f"""
 WITH h AS ({KNN_EMB_SQL}),
 j AS (SELECT h.query_id, ql.label AS label, CASE WHEN nl.label = ql.label THEN 1.0 ELSE 0.0 END AS agree
