@@ -15,6 +15,7 @@ from docweave import constants as C
 from docweave.functions import pii as P
 from docweave.functions import text as T
 from docweave.operators import (deadletters, ingest, redaction, routing, segmentation)
+from docweave.operators import names as name_lists
 from docweave.plans import common
 from docweave.plans import sqltext as S
 from docweave.plans.catalog import query
@@ -490,15 +491,47 @@ def byte_segments(spark, sf_dir):
         F.aggregate("seg", F.lit(True), lambda a, x: a & (F.octet_length(x) <= limit)).alias("within_limit"))
 
 
-@query("pii_redact_spans", oracle=f"""
-SELECT doc_id, regexp_replace(text, {q(dict(P.PII_PATTERNS)['EMAIL'])},
-                              '[REDACTED_EMAIL]', 'g') AS redacted_text FROM documents""")
+# Senders' words in e-mail addresses stand in for a list of names: they occur in running text
+# and inside addresses, so that spans overlap.
+SENDER = r"([a-z]+)[.][0-9]+@"
+SPANS_SQL = f"""
+names AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{SENDER}', 1)) AS name FROM documents),
+found AS ({" UNION ALL ".join(
+    f"SELECT doc_id, '{label}' AS label, regexp_extract_all(text, '{pattern}') AS m, "
+    f"string_split_regex(text, '{pattern}') AS s FROM documents" for label, pattern in P.PII_PATTERNS)}
+  UNION ALL SELECT doc_id, 'NAME', regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+'),
+            string_split_regex(text, '[\\p{{L}}\\p{{N}}]+') FROM documents),
+each AS (SELECT doc_id, label, unnest(m) AS m, unnest(s[1:len(m)]) AS s, unnest(range(len(m))) AS i FROM found),
+placed AS (SELECT doc_id, label, m, sum(length(s) + length(m)) OVER (PARTITION BY doc_id, label ORDER BY i) AS e FROM each),
+spans AS (SELECT doc_id, list_sort(list({{'b': e - length(m), 'n': -e, 't': label}})) AS x FROM placed
+  WHERE label <> 'NAME' OR m IN (SELECT name FROM names) GROUP BY doc_id),
+spliced AS (SELECT doc_id, text, list_reduce(list_prepend({{'b': 0::HUGEINT, 'n': 0::HUGEINT, 't': '', 'k': 0::BIGINT}},
+    list_transform(x, lambda y: {{'b': y.b, 'n': y.n, 't': y.t, 'k': 0::BIGINT}})),
+    lambda a, y: CASE WHEN y.b >= -a.n THEN {{'b': y.b, 'n': y.n, 'k': a.k + 1,
+      't': concat(a.t, substring(text, (-a.n)::BIGINT + 1, (y.b + a.n)::BIGINT), '[REDACTED_', y.t, ']')}} ELSE a END) AS r,
+    len(x) AS n_spans FROM documents JOIN spans USING (doc_id))"""
+
+
+def _all_spans(d):
+    """Spans of the four patterns (windowed as for a size-limited detector) and of the names."""
+    names = d.select(F.explode(F.regexp_extract_all("text", F.lit(SENDER), F.lit(1))).alias("name")).distinct()
+    patterns = segmentation.detect_spans(F.col("text"), max_bytes=C.DETECTOR_MAX_BYTES)
+    return F.concat(patterns, name_lists.name_spans(F.col("text"), names))
+
+
+@query("pii_redact_spans", oracle=f"""WITH {SPANS_SQL}
+SELECT doc_id, CASE WHEN r IS NULL THEN d.text
+         ELSE concat(r.t, substring(d.text, (-r.n)::BIGINT + 1)) END AS redacted_text,
+       coalesce(n_spans, 0)::INTEGER AS spans_found, coalesce(r.k, 0)::INTEGER AS spans_kept
+FROM documents d LEFT JOIN spliced s USING (doc_id)""")
 def pii_redact_spans(spark, sf_dir):
-    """P9 + U1: detector spans (default regex detector, e-mail type) spliced right to left
-    by code-point offsets."""
+    """P9 + U1 + J6 + W3: spans of all four patterns and of a list of names, overlaps resolved
+    (earliest, then longest), spliced by code-point offsets."""
     d = read_documents(spark, sf_dir, ["doc_id", "text"])
-    spans = segmentation.detect_spans(F.col("text"), segmentation.regex_detector(["EMAIL"]))
-    return d.select("doc_id", redaction.splice_spans(F.col("text"), spans).alias("redacted_text"))
+    found = d.select("doc_id", "text", _all_spans(d).alias("spans"))
+    kept = redaction.resolve_overlaps(F.col("spans"))
+    return found.select("doc_id", redaction.splice_spans(F.col("text"), F.col("spans")).alias("redacted_text"),
+                        F.size("spans").alias("spans_found"), F.size(kept).alias("spans_kept"))
 
 
 @query("pii_type_filter", oracle="""
@@ -519,7 +552,7 @@ def pii_type_filter(spark, sf_dir):
 
 # FIXED VALUES: a small gazetteer for the NAME detector (one- and two-word names).
 GAZETTEER = ["Alice", "Bob", "Maria", "Jean", "Hans", "Carlos", "John Smith", "Anna Müller",
-             "Marie Curie", "José García"]
+             "Marie Curie", "José García", "Thnt", "Ertion", "Onthat"]
 
 
 @query("pii_name_gazetteer", oracle=f"""

@@ -28,6 +28,7 @@ def _retrieve(spark, sf_dir, lang: str | None = None, qs=None):
     hits = retrieval.knn_search(qs.select("query_id", "query_vector"), codes, C.TOP_K,
                                 index_vec="codes",
                                 index_vec_fn=embedding.hashed_batch_embedder(common.TEXT_DIM))
+    hits = hits.checkpoint()        # k rows a question, read on both sides of a join: searched once
     # the hit list holds at most (#questions x k) rows: broadcast it only when the
     # question count is checked to be within the same bound the search uses
     bound = 20_000

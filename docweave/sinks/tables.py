@@ -3,9 +3,11 @@ K4 dead letters, K5 benchmark report, K6 answer records. Plain Parquet and JSON
 
 from __future__ import annotations
 
+import time
 import uuid
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
@@ -29,7 +31,10 @@ def write_processed_documents(docs: DataFrame, path: str, fmt: str = "json",
 def read_processed_documents(spark: SparkSession, path: str, fmt: str = "json",
                              latest: bool = True) -> DataFrame:
     """S3: read processed documents back with the declared schema (no inference); with
-    ``latest`` only the newest record per source document (by ``processed_at``)."""
+    ``latest`` only the newest record per source document (by ``processed_at``, then chunk
+    count and a digest of the chunks). Older records are found from narrow columns and taken
+    out by an anti-join, so the nested chunks are neither sorted nor, while the list of older
+    records is small, shuffled. Only records stored twice alike are grouped, to keep one."""
     schema = TY.StructType([f for f in schemas.PROCESSED_DOCUMENT.fields if f.name != "source_bucket"]
                            + [TY.StructField("processed_key", TY.StringType()),
                               TY.StructField("source_bucket", TY.StringType())])
@@ -37,9 +42,23 @@ def read_processed_documents(spark: SparkSession, path: str, fmt: str = "json",
     df = r.format(fmt).load(path) if fmt != "json" else r.json(path)
     if not latest:
         return df
-    w = Window.partitionBy("source_bucket", "source_document").orderBy(
-        F.col("processed_at").desc_nulls_last(), F.col("chunk_count").desc(), F.xxhash64("chunks"))
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    source = ["source_bucket", "source_document"]
+    made = F.struct("processed_at", "chunk_count", F.xxhash64("chunks").alias("digest"))
+    rows = df.withColumn("made", made)
+    narrow = rows.select(*source, "made")
+    newest = narrow.groupBy(*source).agg(F.max("made").alias("newest"))
+    old = _matched(narrow, newest, source, "inner").where("made < newest").select(*source, "made").distinct()
+    rows = _matched(rows, old, [*source, "made"], "left_anti")
+    twice = narrow.groupBy(*source, "made").count().where("count > 1").select(*source).distinct()
+    once = _matched(rows, twice, source, "left_semi").dropDuplicates(source)
+    return _matched(rows, twice, source, "left_anti").unionByName(once).drop("made")
+
+
+def _matched(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join by keys in which nulls are equal; keys of ``right`` are not returned."""
+    named = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in keys))
+    return left.join(named, same, how).drop(*[f"_r_{c}" for c in keys])
 
 
 # ------------------------------------------------------------------ K2 / K3
@@ -51,15 +70,19 @@ def ensure_index(spark: SparkSession, base: str) -> None:
 
 
 def write_index(rows: DataFrame, base: str, dim: int = C.EMBED_DIMENSIONS,
-                batch_id: int | None = None) -> DataFrame:
+                batch_id: int | None = None, stream_id: str | None = None) -> DataFrame:
     """K2: append index rows; the cost is that of the rows, never of the index.
 
     Rows without a vector of ``dim`` elements are not stored: they are returned with
     ``error_type`` and ``error_message`` for the dead letters. A micro-batch passes its
-    ``batch_id`` so that a replay replaces its own rows."""
+    ``batch_id`` and its stream's lasting ``stream_id``, so that a replay replaces its own rows
+    and never those of another stream. Write ids rise with the batch, or with time."""
+    if (batch_id is None) != (stream_id is None):
+        raise ValueError("a micro-batch is named by its number and its stream")
     good, bad = split_by_width(rows, dim)
     good = good.select(*[F.col(f.name).cast(f.dataType) for f in schemas.INDEX_ROW.fields])
-    write_id = f"w{uuid.uuid4().hex}" if batch_id is None else f"b{int(batch_id):015d}"
+    write_id = (f"w{time.time_ns():020d}-{uuid.uuid4().hex}" if batch_id is None
+                else f"b{int(batch_id):015d}-{stream_id}")
     good.write.mode("overwrite").parquet(f"{base.rstrip('/')}/write_id={write_id}")
     return bad
 
@@ -86,7 +109,7 @@ def read_index(spark: SparkSession, base: str, latest: bool = True) -> DataFrame
 def compact_index(spark: SparkSession, base: str, out: str) -> None:
     """Write the newest generations of the index at ``base`` as a new index at ``out``."""
     rows = read_index(spark, base)
-    rows.write.mode("errorifexists").parquet(f"{out.rstrip('/')}/write_id=w{uuid.uuid4().hex}")
+    rows.write.mode("errorifexists").parquet(f"{out.rstrip('/')}/write_id=w{time.time_ns():020d}-{uuid.uuid4().hex}")
 
 
 # ------------------------------------------------------------------ K4 / K5 / K6

@@ -1,14 +1,18 @@
 """Structured Streaming forms of the pipeline: R1, R2, R3, R9 and streaming R4/R6.
 
 The streaming jobs call the very same DataFrame functions as the batch jobs. Outputs
-are idempotent per micro-batch: a batch writes into ``.../batch_id=<n>`` with overwrite
-(index rows included; readers take the newest generation of each document), so a batch replayed
-after a failure (same id, same input, from the checkpoint) replaces its own output
-instead of adding to it, and each batch costs in proportion to its own size.
+are idempotent per micro-batch: a batch writes into ``.../stream=<id>/batch_id=<n>`` with
+overwrite (index rows included; readers take the newest generation of each document), so a
+batch replayed after a failure (same id, same input, from the checkpoint) replaces its own
+output instead of adding to it, and each batch costs in proportion to its own size. The
+stream's id is the one that Spark keeps in the checkpoint: streams with checkpoints of their
+own can share the outputs, and a stream begun again with a new checkpoint adds to them.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,28 +39,36 @@ def object_stream(spark: SparkSession, root: str, glob: str = OBJECT_GLOB,
                      "modificationTime", "length", "content")
 
 
-def ingest_batch(batch: DataFrame, batch_id: int, out: str, dim: int = C.EMBED_DIMENSIONS,
-                 model_fn=None) -> None:
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the stream that runs from ``checkpoint``: it outlives restarts."""
+    line = spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0]
+    return json.loads(line)["id"]
+
+
+def ingest_batch(batch: DataFrame, batch_id: int, out: str, stream: str,
+                 dim: int = C.EMBED_DIMENSIONS, model_fn=None) -> None:
     """R2 micro-batch body: route, redact, chunk, embed, index; manifest and dead letters.
+    ``stream`` is the id of :func:`stream_id`.
 
     The processed frame is persisted for the duration of the batch because four outputs
     read it; it is released at the end.
     """
     objs = decode_objects(batch)
+    own = f"stream={stream}/batch_id={batch_id}"
     processed = ingest.process_objects(objs).persist()
     try:
         sinks.write_processed_documents(ingest.processed_documents(processed),
-                                        f"{out}/processed/batch_id={batch_id}", mode="overwrite")
+                                        f"{out}/processed/{own}", mode="overwrite")
         man = ingest.ingest_manifest(processed)
-        man.write.mode("overwrite").parquet(f"{out}/manifest/batch_id={batch_id}")
+        man.write.mode("overwrite").parquet(f"{out}/manifest/{own}")
         failed = man.where(routing.route_of(F.col("status")) == "DLQ")
         emb = ingest.embed_chunks(ingest.chunk_rows(processed), dim, model_fn)
-        bad = sinks.write_index(ingest.index_rows(emb, only_ok=False), f"{out}/index", dim, batch_id)
+        bad = sinks.write_index(ingest.index_rows(emb, only_ok=False), f"{out}/index", dim, batch_id, stream)
         dead = deadletters.to_dead_letters(failed, "ingest").unionByName(
             deadletters.to_dead_letters(bad.drop("vector"), "index"))
-        dead.write.mode("overwrite").parquet(f"{out}/dead_letters/batch_id={batch_id}")
+        dead.write.mode("overwrite").parquet(f"{out}/dead_letters/{own}")
         ingest.index_manifest(emb, dim).write.mode("overwrite").parquet(
-            f"{out}/index_manifest/batch_id={batch_id}")
+            f"{out}/index_manifest/{own}")
     finally:
         processed.unpersist()
 
@@ -67,7 +79,8 @@ def start_ingest_stream(spark: SparkSession, root: str, out: str, checkpoint: st
     """R2: streaming ingestion of objects under ``root`` into ``out``."""
     stream = object_stream(spark, root, max_files_per_trigger=max_files_per_trigger)
     w = (stream.writeStream.option("checkpointLocation", checkpoint)
-         .foreachBatch(lambda df, bid: ingest_batch(df, bid, out, dim)))
+         .foreachBatch(lambda df, bid: ingest_batch(
+             df, bid, out, stream_id(df.sparkSession, checkpoint), dim)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 

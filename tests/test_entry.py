@@ -29,3 +29,13 @@ def test_package_is_shipped_to_python_workers(spark):
     path = str(zips[0]).replace("file:", "")
     names = zipfile.ZipFile(path).namelist() if os.path.exists(path) else []
     assert not names or "docweave/operators/retrieval.py" in names
+
+
+def test_core_queries_remain_when_the_optional_part_cannot_be_imported():
+    import subprocess
+    import sys
+    code = ("import sys; sys.modules['{}'] = None; import __spark_entry__ as E; "
+            "q = E.queries(); assert 'knn_exact' in q and 'pipeline' not in q, len(q); "
+            "assert set(E.oracle_sql()) <= set(q)")
+    for gone in ("public_tokenizers", "corpus_pipeline", "docweave.llm"):
+        subprocess.run([sys.executable, "-c", code.format(gone)], check=True, cwd=E.__file__.rsplit("/", 1)[0])

@@ -94,7 +94,10 @@ def test_processed_documents_rewrite_keeps_other_sources(spark, tmpdir_path):
         return ingest.processed_documents(ingest.process_objects(df, processed_at=ts))
     path = f"{tmpdir_path}/processed"
     sinks.write_processed_documents(run(["a.txt", "b.txt"], "2024-01-01 00:00:00"), path)
-    sinks.write_processed_documents(run(["b.txt"], "2024-01-02 00:00:00"), path)
+    for _ in range(2):                                          # a record stored twice alike is one
+        sinks.write_processed_documents(run(["b.txt"], "2024-01-02 00:00:00"), path)
+    assert sinks.read_processed_documents(spark, path).count() == 2
+    assert sinks.read_processed_documents(spark, path, latest=False).count() == 4
     got = {r.source_document: r.chunks[0].text_chunk for r in sinks.read_processed_documents(spark, path).collect()}
     assert got == {"a.txt": "text of a.txt at 2024-01-01 00:00:00", "b.txt": "text of b.txt at 2024-01-02 00:00:00"}
 

@@ -45,3 +45,21 @@ def test_stream_dedup(spark, tmpdir_path):
     q = d.writeStream.format("memory").queryName("dedup_t").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select count(*) from dedup_t").first()[0] == 50
+
+
+def test_two_streams_share_an_index_and_neither_loses_rows(spark, tmpdir_path):
+    out = f"{tmpdir_path}/out"
+    for name in "ab":
+        write(f"{tmpdir_path}/{name}", f"uploads/{name}.txt", f"text of {name}")
+        write(f"{tmpdir_path}/{name}", f"uploads/{name}.bin.txt", "  ")
+        for _ in range(2):                       # a restart adds nothing
+            jobs.start_ingest_stream(spark, f"{tmpdir_path}/{name}", out, f"{out}/_ck_{name}",
+                                     dim=16).awaitTermination()
+    docs = sorted(r.source_document for r in sinks.read_index(spark, f"{out}/index").collect())
+    assert docs == ["uploads/a.txt", "uploads/b.txt"]
+    for table, rows in (("manifest", 4), ("dead_letters", 2), ("index_manifest", 2)):
+        assert spark.read.parquet(f"{out}/{table}").count() == rows
+    assert sinks.read_processed_documents(spark, f"{out}/processed").count() == 2
+    jobs.start_ingest_stream(spark, f"{tmpdir_path}/b", out, f"{out}/_ck_new", dim=16).awaitTermination()
+    assert sinks.read_index(spark, f"{out}/index").count() == 2      # the newest generation of each
+    assert spark.read.parquet(f"{out}/manifest").count() == 6
