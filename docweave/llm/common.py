@@ -67,6 +67,13 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+def sampled(rows: DataFrame, size: int, seed: int) -> DataFrame:
+    """About ``size`` of the rows (all if there are fewer), each drawn by itself by a seeded
+    number, so that equal rows and rows without an id are neither all taken nor all left."""
+    n = rows.count()
+    return rows if n <= size else rows.where(F.rand(seed) < size / n)
+
+
 def row_key(id_: Column, digest: Column) -> Column:
     """Key of a row by its text's digest and its id; a null id leaves the digest alone."""
     return F.concat_ws("|", digest, id_.cast("string"))

@@ -6,9 +6,9 @@ characters. Word scores add up; the language of the largest sum is predicted and
 share is the score.
 
 The model is fitted on a bounded sample of the labelled rows (``fit_rows`` in expectation,
-chosen by a hash of the id) and holds at most ``max_words`` words and ``max_grams`` n-grams
+each row drawn by itself) and holds at most ``max_words`` words and ``max_grams`` n-grams
 of each length per language, so it is broadcast at a size that does not grow with the
-corpus. Prediction is one pass over the whole texts in Arrow batches, without a shuffle.
+corpus; with many languages each has its share of ``MODEL_CELLS``. Prediction is one pass over the whole texts in Arrow batches, without a shuffle.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as is every
 text when there is nothing to learn from; ties go to the language first in the alphabet; a
@@ -27,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docweave.llm.common import fresh, sampled
+
 UNDETERMINED = "und"
 FIT_ROWS = 20_000
 MAX_WORDS = 30_000
 MAX_GRAMS = 10_000
 GRAM_SIZES = (4, 3, 2, 1)
-MAX_LANGUAGES = 64
+MODEL_CELLS = 30_000_000     # of the matrix (entries by languages), 240 MB; 20 languages fill it
 MEMO_ENTRIES = 250_000
 
 
@@ -43,12 +45,8 @@ def held_out(id_col: str) -> Column:
 
 
 def bounded_sample(rows: DataFrame, id_col: str, fit_rows: int, seed: int = 17) -> DataFrame:
-    """About ``fit_rows`` of the rows, chosen by a hash of the id (all if there are fewer)."""
-    n, scale = rows.count(), 1 << 30
-    if n <= fit_rows:
-        return rows
-    part = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(scale))
-    return rows.where(part < int(scale * fit_rows / n))
+    """About ``fit_rows`` of the rows. ``id_col`` takes no part: ids may be null or repeat."""
+    return sampled(rows, fit_rows, seed)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -75,10 +73,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return (df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
                 .select("lang", "part", "n").collect())
 
-    words, grams = most(counts, max_words), most(grams, max_grams, F.length("part"))
+    cells = (counts.select("lang").distinct().count() ** 2) * (max_words + len(GRAM_SIZES) * max_grams)
+    share = min(1.0, MODEL_CELLS / max(1, cells))
+    words = most(counts, max(1, int(share * max_words)))
+    grams = most(grams, max(1, int(share * max_grams)), F.length("part"))
     langs = sorted({r.lang for r in words})
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; at most {MAX_LANGUAGES} are supported")
 
     def table(found: list) -> dict[str, np.ndarray]:
         out: dict[str, np.ndarray] = {}
@@ -207,7 +206,6 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_identified(docs: DataFrame, min_score: float = 0.5, **limits) -> DataFrame:
     """``docs`` without those whose language cannot be told (``und``, or a score below
     ``min_score``), columns unchanged."""
-    from docweave.llm.common import fresh
     pred, score = fresh(docs, "_llm_pred"), fresh(docs, "_llm_score")
     found = identify(docs, fit(docs, **limits), pred=pred, score=score)
     return found.where((F.col(pred) != UNDETERMINED) & (F.col(score) >= min_score)).select(

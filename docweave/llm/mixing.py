@@ -4,18 +4,21 @@
    broadcast). Naive Bayes over presence and absence of at most ``max_words`` words, those by
    which a domain stands out most from the rest, and over binned shape ratios. Every
    document gets posteriors p[d, k].
-2. Document rates r[d] >= 0 minimise ``sum_k (S_k - t_k)^2 / T_k``: S_k = sum_d r[d] n[d] p[d, k]
-   are the expected domain token totals, t_k their targets and T_k the totals at rate one.
-   Of the rates that do, those nearest to one in the metric of the token counts n are
-   ``r = clip(1 + sum_k p[d, k] l_k)`` with K multipliers l, found as the limit of
-   ``min sum_k (S_k - t_k)^2 / T_k + eps sum_d n[d] (r[d] - 1)^2`` for falling eps. Its dual is
-   convex and piecewise quadratic in l: damped Newton steps on the active documents, each of
-   one aggregation (K sums and a K x K matrix) over a narrow checkpointed table. Steps end
-   when the targets are met or when eps hides less than ``HIDDEN`` of the least miss;
-   a miss is reported by a :class:`MissedTargets` warning, unfinished steps by an error.
-
-A rate becomes a whole number of copies by a hash of the id: its whole part, plus one with
-the probability of its fraction.
+2. Document rates r[d] >= 0 minimise ``sum_k (S_k - t_k)^2 / T_k`` by projected gradients:
+   S_k = sum_d r[d] n[d] p[d, k] are the expected domain token totals, t_k their targets and
+   T_k the totals at rate one. In the metric of the token counts n the gradient of r[d] is
+   ``sum_k p[d, k] y_k`` with y_k = (S_k - t_k) / T_k, and its slope is at most one, so steps
+   have length one: the gradients add up and the sum is projected,
+   ``r = clip(1 + sum_k p[d, k] l_k)`` with K accumulated multipliers l, Nesterov's momentum
+   and a restart where it points uphill. Starting from one and adding up leads to the rates
+   nearest to one among those that reach the targets. A round is one aggregation of K sums
+   over the distinct posteriors with their token totals, a narrow checkpointed table.
+   Rounds end when the targets are met, or when the projected gradient is too small to explain
+   more than ``HIDDEN`` of the miss; a miss is reported by a :class:`MissedTargets` warning,
+   unfinished rounds by an error.
+
+A rate becomes a whole number of copies by a hash of id and text: its whole part, plus one
+with the probability of its fraction.
 
 Domains of the default label rule: ``toxic``, ``low`` (quality 0) and ``clean``.
 
@@ -35,7 +38,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import UPPER, ascii_lower, let, text_or_empty, words_of
+from docweave.llm.common import UPPER, ascii_lower, let, sampled, text_or_empty, words_of
 from docweave.llm.quality_rules import SPACES, SYMBOLS
 
 DOMAINS = ("clean", "low", "toxic")
@@ -45,10 +48,9 @@ MAX_WORDS = 256
 MIN_DOCS = 5             # documents of the sample a word must be in
 MIN_Z = 6.0              # standard errors by which its share in a domain must exceed the rest's
 MIN_LIFT = 5.0           # and times: words that a domain merely has fewer of tell nothing
-ROUNDS = 500             # aggregations after which the fit fails; soft posteriors need 10 to 50
+ROUNDS = 500             # aggregations after which the fit fails; soft posteriors need 20 to 150
 TOLERANCE = 1e-4         # largest miss of a domain, as a share of all target tokens
-HIDDEN = 1e-5            # share of the least objective that the pull towards rate one may be
-LEAST_EPS = 1e-10
+HIDDEN = 1e-7            # share of the objective that the projected gradient may still explain
 
 
 class MissedTargets(UserWarning):
@@ -94,14 +96,10 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
                 max_words: int = MAX_WORDS) -> dict:
     """Naive Bayes tables from ``labelled(id, domain)``: ``{"prior": [...], "words": {word:
     log likelihoods}, "shape": {bin: log likelihoods}}``, at most ``max_words`` words."""
-    labelled = labelled.where(F.col("domain").isin(*domains) & F.col("id").isNotNull())
-    n, scale = labelled.count(), 1 << 30
-    if n > fit_rows:
-        part = F.pmod(F.xxhash64("id", F.lit(29)), F.lit(scale))
-        labelled = labelled.where(part < int(scale * fit_rows / n))
-    texts = docs.join(F.broadcast(labelled.select(F.col("id").alias("_llm_id"),
-                                                  F.col("domain").alias("_llm_domain"))),
-                      F.col(id_col) == F.col("_llm_id"))
+    labelled = sampled(labelled.where(F.col("domain").isin(*domains) & F.col("id").isNotNull()), fit_rows, 29)
+    labelled = labelled.select(F.col("id").alias("_llm_id"), F.col("domain").alias("_llm_domain")).checkpoint()
+    texts = docs.join(F.broadcast(labelled), F.col(id_col) == F.col("_llm_id"))
+    texts = sampled(texts, fit_rows, 31)                # ids may repeat in the documents too
     rows = (_features(texts.select(F.struct(id_col, "_llm_domain").alias("id"), text_col), "id", text_col)
             .select(F.col("id._llm_domain").alias("domain"), "parts", "shape").checkpoint())
 
@@ -188,35 +186,32 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], budget: float | None =
     the other domains' targets are at most what they can give. Raises if the fit is not done after
     ``rounds`` aggregations; warns with :class:`MissedTargets` if the targets are out of reach."""
     names = [f"p_{d}" for d in targets]
-    size, share = len(names), sum(targets.values())
-    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    share = sum(targets.values())
     rows = rows.checkpoint()
-    calls = 0
-
-    def rate_of(at: np.ndarray) -> tuple[Column, Column]:
-        raw = reduce(lambda a, b: a + b, [F.col(p) * F.lit(float(x)) for p, x in zip(names, at)], F.lit(1.0))
-        rate = F.greatest(F.lit(0.0), raw)
-        return raw, rate if max_rate is None else F.least(F.lit(float(max_rate)), rate)
-
-    def sums(at: np.ndarray):
-        """Totals, their derivatives by the multipliers, the dual's sum and the distance from one."""
-        nonlocal calls
-        calls += 1
-        raw, rate = rate_of(at)
-        n, free = F.col("n_tokens"), F.col("raw") == F.col("rate")
-        r = rows.select("n_tokens", *names, raw.alias("raw"), rate.alias("rate")).agg(
-            *[F.sum(F.col("rate") * n * F.col(p)) for p in names],
-            *[F.sum(F.when(free, n * F.col(names[i]) * F.col(names[j]))) for i, j in pairs],
-            F.sum(n * F.col("rate") * (F.col("raw") - F.col("rate") / 2)),
-            F.sum(n * (F.col("rate") - 1) * (F.col("rate") - 1))).first()
+    table = rows.groupBy(*names).agg(F.sum("n_tokens").alias("n")).checkpoint()
+
+    def dot(x: np.ndarray) -> Column:
+        return reduce(lambda a, b: a + b, [F.col(p) * F.lit(float(v)) for p, v in zip(names, x)])
+
+    def clip(raw: Column) -> Column:
+        raw = F.greatest(F.lit(0.0), raw)
+        return raw if max_rate is None else F.least(F.lit(float(max_rate)), raw)
+
+    def sums(at: np.ndarray, before: tuple | None) -> tuple[np.ndarray, float]:
+        """Totals at the multipliers ``at``, and the size of the projected gradient at the
+        point and gradient ``before``."""
+        rate = clip(F.lit(1.0) + dot(at))
+        left = F.lit(0.0)
+        if before:
+            old = clip(F.lit(1.0) + dot(before[0]))
+            left = old - clip(old - dot(before[1]))
+        r = table.agg(*[F.sum(rate * F.col("n") * F.col(p)) for p in names],
+                      F.sum(F.col("n") * left * left)).first()
         x = [float(v or 0.0) for v in r]
-        slopes = np.zeros((size, size))
-        for (i, j), v in zip(pairs, x[size:-2]):
-            slopes[i, j] = slopes[j, i] = v
-        return np.array(x[:size]), slopes, x[-2], x[-1]
+        return np.array(x[:-1]), x[-1]
 
-    at = np.zeros(size)
-    now, slopes, dual, moved = sums(at)
+    at = last = np.zeros(len(names))
+    now, _ = sums(at, None)
     weight = np.maximum(now, 1.0)
     budget = float(now.sum()) if budget is None else budget
     if whole is not None and targets[whole] > 0:
@@ -228,33 +223,26 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], budget: float | None =
     def met() -> bool:
         return not budget or float(np.abs(now - want).max()) <= tolerance * budget
 
-    eps = 1e-2
+    pace, calls = 1.0, 1
     while not met():
-        while True:
-            slack = now - want + eps * weight * at
-            least = max(1e-2 * tolerance, 1e-10, 1e-15 * np.abs(at).max())   # the last: rounding of the rates
-            if met() or np.abs(slack).max() <= least * budget:
-                break
-            step = np.linalg.solve(slopes + eps * np.diag(weight), -slack)
-            value, length = dual - want @ at + eps / 2 * (weight * at * at).sum(), 1.0
-            noise = 1e-12 * (abs(dual) + np.abs(want * at).sum())     # rounding of a sum of large terms
-            while True:
-                if calls >= rounds:
-                    raise RuntimeError(f"rates not fitted after {rounds} rounds: {now} of {want} tokens")
-                new = at + length * step
-                now, slopes, dual, moved = sums(new)
-                if (dual - want @ new + eps / 2 * (weight * new * new).sum()
-                        <= value + 1e-4 * length * (slack @ step) + noise):
-                    break
-                length /= 4
-            at = new
-        if met() or eps * moved <= HIDDEN * ((now - want) ** 2 / weight).sum() or eps <= LEAST_EPS:
+        if calls >= rounds:
+            raise RuntimeError(f"rates not fitted after {rounds} rounds: {now} of {want} tokens")
+        slope = (now - want) / weight
+        stepped = at - slope
+        if (now - want) @ (stepped - last) > 0:
+            pace = 1.0
+        ahead = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        new = stepped + (pace - 1) / ahead * (stepped - last)
+        objective = float(((now - want) ** 2 / weight).sum())
+        totals, left = sums(new, (at, slope))
+        calls += 1
+        if left <= HIDDEN * objective:                  # ``at`` is as near as rates can get
             break
-        eps /= 100
+        last, at, now, pace = stepped, new, totals, ahead
     if not met():
         said = ", ".join(f"{d} {s:.6g} of {t:.6g}" for d, s, t in zip(targets, now, want))
         warnings.warn(f"mixing targets out of reach, nearest expected tokens: {said}", MissedTargets, stacklevel=2)
-    return rows.withColumn("rate", rate_of(at)[1])
+    return rows.withColumn("rate", clip(F.lit(1.0) + dot(at)))
 
 
 def copies_of(id_col: str, rate: str, seed: int = 7) -> Column:
@@ -267,10 +255,12 @@ def _mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col:
     """:func:`mix` with ``key`` in place of the id; it decides the copies."""
     labelled = labels.select(F.col("doc_id").alias("id"), label_domain().alias("domain"))
     model = fit_domains(docs, labelled, id_col, text_col, tuple(targets), **limits)
-    keyed = docs.select(key.alias("id"), F.col(text_col).alias("text"))
+    digest = F.xxhash64(text_or_empty(text_col), F.lit(3))
+    keyed = docs.select(F.struct(key.alias("key"), digest.alias("digest")).alias("id"),
+                        F.col(text_col).alias("text"))
     rows = fit_rates(posteriors(keyed, model, "id", "text", tuple(targets)), targets,
                      max_rate=max_rate, whole=whole)
-    return rows.select(F.col("id").alias("doc_id"), "n_tokens", *[f"p_{d}" for d in targets],
+    return rows.select(F.col("id.key").alias("doc_id"), "n_tokens", *[f"p_{d}" for d in targets],
                        "rate", copies_of("id", "rate").alias("copies"))
 
 

@@ -1,11 +1,13 @@
 """SimHash near-dedup over a Gray-order hierarchical index.
 
 Fingerprints of whole texts are computed where the texts are read; from there on only
-distinct 64-bit fingerprints move. Two fingerprints within ``max_distance`` bits agree on
-at least ``KEEP_BLOCKS`` of ``BLOCKS`` bit blocks, so each is listed under every choice of
-``KEEP_BLOCKS`` blocks (15 keys of about 21 bits) and no link can be missed. The listed
-rows are range-partitioned and sorted by (key, Gray rank): a key with many fingerprints
-spans several tasks. Runs of at most ``LEAF`` neighbours form leaves. In a leaf the
+distinct 64-bit fingerprints move. Two fingerprints within d bits agree on at least k of
+d + k bit blocks, so each is listed under every choice of k blocks and no link can be missed.
+k is the least for which a key holds some thousand fingerprints (``MEMBERS``) on average: none
+(one index over all) for a few thousand, one of five blocks (5 keys of about 13 bits) up to
+10^8, two of six (15 keys of 21 bits) up to 4 * 10^10. The listed rows are range-partitioned and
+sorted by (key, Gray rank): a key with many fingerprints spans several tasks. Runs of at most
+``LEAF`` neighbours form leaves, and short whole keys share one. In a leaf the
 fingerprints, in Gray order, are factored into a hierarchy of nodes, each holding the bits
 all its members share beyond those of its parent; a search accumulates differing bits on
 the way down and prunes a whole group once they exceed the distance. Leaves of one key in
@@ -34,13 +36,12 @@ from docweave.llm.exact_dedup import text_digest
 
 SHINGLE = 4
 MAX_DISTANCE = 4
-BLOCKS = 6
-KEEP_BLOCKS = 2          # BLOCKS - MAX_DISTANCE blocks are always equal
+MEMBERS = 16_384      # fingerprints a key should hold at most, on average
 LEAF = 2048
+PACK = 64             # whole keys share a leaf until it holds so many
 FAN_OUT = 16
 CHUNK = 64
-SPARSE = 4
-FEW = 8               # groups of at most so many are compared directly
+SPARSE = 4            # links a member above which a leaf is searched breadth first
 SEED = 42
 
 
@@ -96,6 +97,15 @@ def key_masks(blocks: int, keep: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def kept_blocks(n: int, distance: int, members: int = MEMBERS) -> int:
+    """The least number k of equal blocks, of ``distance + k``, by which keys of n evenly spread
+    fingerprints hold at most ``members`` each."""
+    k = 0
+    while n / 2 ** (64 * k / (distance + k)) > members:
+        k += 1
+    return k
+
+
 def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x.view(np.uint64))       # of the absolute value, if signed
 
@@ -105,6 +115,7 @@ class GrayIndex:
     that differ so far."""
 
     def __init__(self, fps: np.ndarray):
+        self.pruned = self.compared = 0        # groups left out whole, members reached
         self.levels = []                       # from members up: (pattern, own bits)
         ones, zeros = fps.copy(), ~fps         # bits that are one, or zero, in all members
         shared = []
@@ -130,6 +141,10 @@ class GrayIndex:
             pattern, mask = self.levels[level]
             diff = diff + popcount((queries[q] ^ pattern[node]) & mask[node])
             near = diff <= distance
+            if level:
+                self.pruned += int(len(near) - near.sum())
+            else:
+                self.compared += len(near)
             q, node, diff = q[near], node[near], diff[near]
             if level and len(q):
                 below = len(self.levels[level - 1][0])
@@ -215,27 +230,32 @@ def _leaves(distance: int):
                 (np.diff(combo) != 0) | (np.diff(part) != 0)) + 1])
             size = np.diff(np.append(starts, len(fp)))
             last = len(starts) - 1
-            few = size <= FEW
-            few[0] = few[last] = False                     # these keys may go on elsewhere
-            row_few = np.repeat(few, size)
-            group = np.repeat(np.arange(len(starts)), size)
-            for lag in range(1, FEW):
-                i = np.flatnonzero(row_few[:-lag] & (group[:-lag] == group[lag:]))
-                i = i[popcount(fp[i] ^ fp[i + lag]) <= distance]
-                links.append((fp[i], fp[i + lag]))
-            for g in np.flatnonzero(~few).tolist():
+            packed = 0                                     # rows from here on are not yet in a leaf
+
+            def pack(end):
+                nonlocal packed
+                if end > packed:
+                    f = np.unique(fp[packed:end])
+                    leaf(None, f[np.argsort(gray_rank_np(f))], False, links, nodes)
+                packed = end
+
+            for g in range(len(starts)):
                 at, end = int(starts[g]), int(starts[g] + size[g])
                 key = int(combo[at]), int(part[at])
                 first = first or key
                 if g == last and not final:                # more rows of this key may follow
+                    pack(at)
                     while end - at >= LEAF:
                         leaf(key, fp[at:at + LEAF], True, links, nodes)
                         at, flushed = at + LEAF, key
                     held = [c[at:] for c in held]
-                else:
-                    emit = key in (first, flushed) or g == last or end - at > LEAF
+                elif key in (first, flushed) or g == last or end - at > LEAF:
+                    pack(at)
                     for i in range(at, end, LEAF):
-                        leaf(key, fp[i:min(i + LEAF, end)], emit, links, nodes)
+                        leaf(key, fp[i:min(i + LEAF, end)], True, links, nodes)
+                    packed = end
+                elif end - packed >= PACK:
+                    pack(end)
             return links, nodes
 
         for b in batches:
@@ -263,8 +283,10 @@ def _pairs(distance: int):
 
 
 def fingerprint_links(fps: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
-    """Distinct fingerprints ``fp`` -> links ``a, b`` that span their components."""
-    masks = key_masks(BLOCKS, BLOCKS - distance)
+    """Distinct fingerprints ``fp`` (a table or checkpoint) -> links ``a, b`` that span their
+    components."""
+    keep = kept_blocks(fps.count(), distance)
+    masks = key_masks(distance + keep, keep)
     listed = fps.select("fp", gray_rank(F.col("fp")).alias("gray"), F.explode(F.array(*[
         F.struct(F.lit(i).alias("combo"), F.col("fp").bitwiseAND(F.lit(m)).alias("part"))
         for i, m in enumerate(masks)])).alias("k"))
@@ -292,8 +314,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                shingle: int = SHINGLE, distance: int = MAX_DISTANCE) -> DataFrame:
     """``doc_id, fingerprint`` (16 hex digits) and ``component_id``, the smallest id that
     chains of links reach."""
-    if not 0 < distance < BLOCKS:
-        raise ValueError(f"distance must be from 1 to {BLOCKS - 1}")
+    if not 0 < distance < 64:
+        raise ValueError("distance must be from 1 to 63")
     rows = fingerprints(docs, id_col, text_col, shingle).checkpoint()
     nodes = rows.groupBy("fp").agg(F.min("id").alias("low")).checkpoint()
     roots = components(fingerprint_links(nodes.select("fp"), distance))

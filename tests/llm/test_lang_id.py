@@ -69,3 +69,21 @@ def test_sample_is_bounded(spark):
     rows = spark.range(30000).withColumnRenamed("id", "doc_id")
     assert lang_id.bounded_sample(rows, "doc_id", 40000).count() == 30000
     assert lang_id.bounded_sample(rows, "doc_id", 3000).count() == pytest.approx(3000, rel=0.15)
+
+
+def test_rows_without_ids_are_sampled_row_by_row(make_docs):
+    from docweave.llm.common import sampled
+    docs = make_docs([(None, f"wort {i % 9} und", "de") for i in range(25_000)])
+    for seed in range(4):
+        assert abs(sampled(docs, 3000, seed).count() - 3000) < 450
+    out = lang_id.language_id(docs, fit_rows=3000)
+    assert out.where("lang_pred = 'und'").count() == 0 and out.count() == 25_000
+
+
+def test_many_languages_share_the_model(make_docs, monkeypatch):
+    monkeypatch.setattr(lang_id, "MODEL_CELLS", 5_000)
+    rows = [(i, f"w{chr(97 + i % 26)}{chr(97 + i % 80 // 26)}x " * 5, f"l{i % 80:02d}") for i in range(800)]
+    model = lang_id.fit(make_docs(rows))
+    assert len(model["langs"]) == 80 and model["matrix"].size <= 5 * 5_000
+    out = lang_id.language_id(make_docs(rows))
+    assert out.where("lang_pred = 'und'").count() == 0

@@ -117,6 +117,17 @@ def test_soft_posteriors_meet_the_targets_without_a_round_count(spark):
     assert all(r.rate >= 0 for r in out)
 
 
+def test_rows_without_ids_draw_their_copies_one_by_one(spark, make_docs):
+    rows, labels, _ = corpus(300)
+    docs = make_docs([(None, t) for _, t in rows] + [(7, t) for _, t in rows])
+    out = mixing.mix(docs, spark.createDataFrame(labels, LABELS))
+    assert out.count() == 600 and out.where("doc_id is null").count() == 300
+    rates = spark.createDataFrame([(None, f"t{i}") for i in range(400)], "doc_id long, text string").select(
+        F.struct("doc_id", F.xxhash64("text").alias("digest")).alias("id"), F.lit(0.5).alias("rate"))
+    taken = rates.select(mixing.copies_of("id", "rate").alias("c")).agg(F.sum("c")).first()[0]
+    assert 140 < taken < 260
+
+
 def test_missed_targets_and_unfinished_fits_are_reported(spark):
     df = soft(spark, 500)
     with pytest.warns(mixing.MissedTargets, match="clean"):

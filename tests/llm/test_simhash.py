@@ -74,9 +74,26 @@ def test_gray_index_search_is_exact():
         assert set(zip(q.tolist(), t.tolist())) == want
 
 
+def test_upper_nodes_prune_whole_groups():
+    rng = random.Random(7)
+    f = np.unique(np.array(make_fps(rng, 3, 40, 16_000), np.int64))
+    f = f[np.argsort(simhash.gray_rank_np(f))]
+    index = simhash.GrayIndex(f)
+    assert len(index.levels) >= 3
+    index.search(f[:200], 4)
+    assert index.pruned > 200 and index.compared < 0.6 * 200 * len(f)
+
+
+def test_blocks_are_chosen_by_the_number_of_fingerprints():
+    assert [simhash.kept_blocks(n, 4) for n in (0, 10_000, 16_385, 10**8, 10**9, 10**11)] == [0, 0, 1, 1, 2, 3]
+
+
+@pytest.mark.parametrize("members", [16_384, 16, 1e-2])
 @pytest.mark.parametrize("leaf", [4, 16, 2048])
-def test_links_keep_components_at_any_leaf_size(spark, monkeypatch, leaf):
+def test_links_keep_components_at_any_leaf_size(spark, monkeypatch, leaf, members):
     monkeypatch.setattr(simhash, "LEAF", leaf)
+    monkeypatch.setattr(simhash, "MEMBERS", members)
+    monkeypatch.setattr(simhash.kept_blocks, "__defaults__", (members,))
     rng = random.Random(leaf)
     fps = sorted(set(make_fps(rng, 4, 60, 200)))
     df = spark.createDataFrame([(f,) for f in fps], "fp long").repartition(5)
