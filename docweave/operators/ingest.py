@@ -179,3 +179,40 @@ def reconcile(ingest_man: DataFrame, index_man: DataFrame) -> DataFrame:
                     (w - i).alias("missing"),
                     F.when(w == i, F.lit("OK")).when(i < w, F.lit("MISSING"))
                      .otherwise(F.lit("EXTRA")).alias("reconcile_status"))
+
+
+def chunk_digests(chunks: DataFrame) -> DataFrame:
+    """Order-free digest of each document's set of chunks: their number and the exclusive or of
+    128 hash bits of their keys. Combined before the shuffle, one row per document after it."""
+    key = F.col("chunk_key")
+    return chunks.groupBy("source_bucket", "source_document").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(key)).alias("a"),
+        F.bit_xor(F.xxhash64(F.lit(7), key)).alias("b"))
+
+
+def reconcile_chunks(written: DataFrame, indexed: DataFrame) -> DataFrame:
+    """J10 by chunk: ``source_bucket, source_document, chunk_id, difference`` (MISSING: written
+    but not indexed; EXTRA: the reverse; REPEATED: in the index more than once).
+
+    Both take ``chunk_key, source_bucket, source_document, chunk_id``. Documents are compared by
+    digest first; only those that differ are joined chunk by chunk."""
+    doc, keys = ["source_bucket", "source_document"], ["chunk_key", "source_bucket", "source_document", "chunk_id"]
+    a, b = chunk_digests(written).alias("a"), chunk_digests(indexed).alias("b")
+    same = F.col("a.source_bucket").eqNullSafe(F.col("b.source_bucket")) & F.col(
+        "a.source_document").eqNullSafe(F.col("b.source_document"))
+    alike = F.col("a.n").eqNullSafe(F.col("b.n")) & F.col("a.a").eqNullSafe(F.col("b.a")) & F.col(
+        "a.b").eqNullSafe(F.col("b.b"))
+    differ = a.join(b, same, "full_outer").where(~alike).select(
+        *[F.coalesce(f"a.{c}", f"b.{c}").alias(f"_{c}") for c in doc]).checkpoint()
+
+    def only(chunks: DataFrame, side: str) -> DataFrame:
+        on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in doc]
+        kept = chunks.select(*keys).join(differ, on[0] & on[1], "left_semi")
+        return kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("times")).withColumn("side", F.lit(side))
+
+    both = only(written, "w").unionByName(only(indexed, "i")).groupBy(*keys).agg(
+        F.max(F.when(F.col("side") == "w", F.col("times"))).alias("w"),
+        F.max(F.when(F.col("side") == "i", F.col("times"))).alias("i"))
+    difference = (F.when(F.col("i").isNull(), "MISSING").when(F.col("w").isNull(), "EXTRA")
+                  .when(F.col("i") > F.col("w"), "REPEATED"))
+    return both.select(*doc, "chunk_id", difference.alias("difference")).where("difference is not null")

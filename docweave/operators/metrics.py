@@ -139,6 +139,45 @@ def cost_table(totals: DataFrame, prices: list[tuple[str, float, float]] = C.PRI
                     *[c for c in totals.columns if c not in ("input_tokens", "output_tokens")])
 
 
+def report(samples: DataFrame, prices: list[tuple[str, float, float]] = C.PRICE_TABLE,
+           stages: list[str] = C.LATENCY_STAGES) -> DataFrame:
+    """The whole report as one nested row: ``summary`` (totals), ``latency`` (a map from
+    stage to its statistics, stages without samples included) and ``cost`` (a row per model).
+
+    The log is read for one aggregation by (ok, stage), of which totals, counts, means and
+    maxima are sums, and for the exact percentiles."""
+    base = samples.groupBy("ok", "stage").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("input_tokens").alias("i"), F.sum("output_tokens").alias("o"),
+        F.count("ms").alias("count"), F.sum("ms").alias("ms"), F.max("ms").alias("most"))
+    pct = exact_percentiles(samples.where("ok").select("stage", "ms"), ["stage"], "ms")
+    ok = F.col("ok")
+    cells = base.join(pct, [base["stage"].eqNullSafe(pct["stage"])][0], "left").drop(pct["stage"])
+    stats = F.struct(F.col("count"), F.round(F.col("ms") / F.col("count"), 2).alias("mean_ms"),
+                     *[F.round(p, 2).alias(f"{p}_ms") for p in PCTS], F.round("most", 2).alias("max_ms"))
+
+    def total(c: str) -> Column:
+        return F.coalesce(F.sum(F.when(ok, F.col(c))), F.lit(0)).cast("bigint")
+
+    one = cells.agg(
+        F.struct(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("requests"), total("n").alias("success"),
+                 F.coalesce(F.sum(F.when(~ok, F.col("n"))), F.lit(0)).cast("bigint").alias("failed"),
+                 total("i").alias("input_tokens"), total("o").alias("output_tokens")).alias("summary"),
+        F.map_from_entries(F.filter(F.collect_list(F.when(ok & F.col("stage").isin(stages), F.struct(
+            F.col("stage"), stats))), lambda x: x.isNotNull())).alias("found"))
+    none = F.struct(F.lit(0).cast("bigint").alias("count"), *[
+        F.lit(None).cast("double").alias(c) for c in ("mean_ms", *[f"{p}_ms" for p in PCTS], "max_ms")])
+    latency = F.create_map(*[x for s in stages for x in (F.lit(s), F.coalesce(
+        F.try_element_at("found", F.lit(s)), none))])
+
+    def price(model: str, in_price: float, out_price: float) -> Column:
+        i, o = (F.col(f"summary.{t}") / 1000.0 * F.lit(p) for t, p in (
+            ("input_tokens", in_price), ("output_tokens", out_price)))
+        return F.struct(F.lit(model).alias("model"), F.round(i, 6).alias("input_cost_usd"),
+                        F.round(o, 6).alias("output_cost_usd"), F.round(i + o, 6).alias("total_cost_usd"))
+
+    return one.select("summary", latency.alias("latency"), F.array(*[price(*p) for p in prices]).alias("cost"))
+
+
 def slo_report(summary: DataFrame, stage: str = "total",
                targets: list[tuple[str, float]] = C.SLO_TARGETS_MS) -> DataFrame:
     """Percentile of one stage against its target: Met / Missed."""

@@ -9,6 +9,8 @@ llm, signup = total) or ``error`` for a failed request, ``user_id`` the API key
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docweave import constants as C
@@ -188,26 +190,46 @@ def failure_sample(spark, sf_dir):
     return M.failure_sample(p, "request_id")
 
 
+REPORT_STATS = ("count", "mean_ms", "p50_ms", "p90_ms", "p99_ms", "max_ms")
+REPORT_COSTS = ("input_cost_usd", "output_cost_usd", "total_cost_usd")
+
+
 @query("bench_report", oracle=f"""WITH {SAMPLES_SQL}, {TOTALS_SQL}, {SUMMARY_SQL}, {COST_SQL}
-SELECT t.requests, t.success, t.failed, t.input_tokens, t.output_tokens,
-       s.p50_ms AS total_p50_ms, s.p90_ms AS total_p90_ms, s.p99_ms AS total_p99_ms,
-       (SELECT min(total_cost_usd) FROM cost) AS cost_min_usd,
-       (SELECT max(total_cost_usd) FROM cost) AS cost_max_usd
-FROM totals t, summary s WHERE s.stage = 'total'""")
+SELECT t.requests, t.success, t.failed, t.input_tokens, t.output_tokens, {", ".join(
+    f"(SELECT {c} FROM summary WHERE stage = {q(s)}) AS {s}_{c}" for s in C.LATENCY_STAGES for c in REPORT_STATS)},
+  {", ".join(f"(SELECT {c} FROM cost WHERE model = {q(m)}) AS m{i}_{c}"
+             for i, (m, _, _) in enumerate(C.PRICE_TABLE) for c in REPORT_COSTS)}
+FROM totals t""")
 def bench_report(spark, sf_dir):
-    """Summary, end-to-end latency and cost range as one report row."""
-    smp = samples(spark, sf_dir)
-    totals = M.request_totals(smp)
-    summ = M.latency_summary(smp.where("ok").select("stage", "ms")).where(F.col("stage") == "total")
-    cost = M.cost_table(totals).agg(F.min("total_cost_usd").alias("cost_min_usd"),
-                                    F.max("total_cost_usd").alias("cost_max_usd"))
-    # the latency and cost figures are scalar subqueries of the one-row totals frame
-    lat = summ.select(F.struct("p50_ms", "p90_ms", "p99_ms")).scalar()
-    cst = cost.select(F.struct("cost_min_usd", "cost_max_usd")).scalar()
-    return totals.select(
-        "*", lat["p50_ms"].alias("total_p50_ms"), lat["p90_ms"].alias("total_p90_ms"),
-        lat["p99_ms"].alias("total_p99_ms"), cst["cost_min_usd"].alias("cost_min_usd"),
-        cst["cost_max_usd"].alias("cost_max_usd"))
+    """The report record (totals, four latency stages, a cost row per model) written as
+    JSON by its sink, read back and laid out in columns."""
+    from docweave.session import scratch_path
+    from docweave.sinks import tables as sinks
+    path = scratch_path(spark, f"report-{uuid.uuid4().hex}")
+    made = M.report(samples(spark, sf_dir))
+    sinks.write_report(made, path)
+    r = spark.read.schema(made.schema).json(path)
+    return r.select(
+        "summary.*", *[F.col("latency")[s][c].alias(f"{s}_{c}") for s in C.LATENCY_STAGES for c in REPORT_STATS],
+        *[F.get("cost", F.lit(i))[c].alias(f"m{i}_{c}") for i in range(len(C.PRICE_TABLE)) for c in REPORT_COSTS])
+
+
+@query("stored_sketch_percentiles")
+def stored_sketch_percentiles(spark, sf_dir):
+    """Latency sketches kept per hour and stage, stored, and merged to days: percentiles
+    with the rank that each really has in the day's log (``<p>_rank``) and the bound of the
+    difference (``rank_error``)."""
+    from docweave.operators import sketches
+    from docweave.session import scratch_path
+    log = samples(spark, sf_dir).where("ok").select("stage", F.col("ts").cast("timestamp").alias("ts"), "ms")
+    path = scratch_path(spark, f"sketches-{uuid.uuid4().hex}")
+    sketches.write_sketches(sketches.sketch(log, ["stage"], "ts", "ms"), path)
+    day = F.date_format("slot_start", "yyyy-MM-dd").alias("day")
+    days = sketches.merged(sketches.read_sketches(spark, path), [day, "stage"])
+    values = log.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "stage", "ms")
+    ranks = values.join(days, ["day", "stage"]).groupBy("day", "stage").agg(*[
+        F.avg((F.col("ms") <= F.col(p)).cast("double")).alias(f"{p}_rank") for p in M.PCTS])
+    return days.join(ranks, ["day", "stage"]).withColumn("rank_error", F.lit(sketches.rank_error()))
 
 
 @query("workload_round_robin", oracle=f"""

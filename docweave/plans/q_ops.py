@@ -259,6 +259,31 @@ def index_reconcile(spark, sf_dir):
     return ingest.reconcile(man, idx)
 
 
+@query("index_reconcile_chunks", oracle=f"""WITH {common.chunk_rows_sql()}
+SELECT source_document, chunk_id, 'MISSING' AS difference FROM chunk_rows WHERE doc_id % 5 = 0 AND chunk_id % 3 = 0
+UNION ALL SELECT source_document, 990 + doc_id % 7, 'EXTRA' FROM chunk_rows WHERE doc_id % 4 = 1 AND chunk_id = 0
+UNION ALL SELECT source_document, chunk_id, 'REPEATED' FROM chunk_rows WHERE doc_id % 9 = 2 AND doc_id % 5 <> 0 AND chunk_id = 0""")
+def index_reconcile_chunks(spark, sf_dir):
+    """Chunks of the stored processed documents against the stored index, from which some
+    were left out, to which others were added, and in which some stand twice: all are named."""
+    base = scratch_path(spark, f"reconcile-{uuid.uuid4().hex}")
+    p = processed(spark, sf_dir)
+    sinks.write_processed_documents(ingest.processed_documents(p), f"{base}/processed")
+    doc_id = F.regexp_extract("source_document", r"/(\d+)\.txt$", 1).cast("bigint")
+    rows = ingest.chunk_rows(p).select("*", F.lit(0.5).alias("x")).withColumn("vector", F.array("x")) \
+        .withColumn("embed_status", F.lit("OK"))
+    rows = ingest.index_rows(rows, RUN_TS).withColumn("d", doc_id)
+    first = F.col("chunk_id") == 0
+    stored = rows.where(~((F.col("d") % 5 == 0) & (F.col("chunk_id") % 3 == 0))).unionByName(
+        rows.where(first & (F.col("d") % 4 == 1)).withColumn("chunk_id", (990 + F.col("d") % 7).cast("int"))
+        .withColumn("chunk_key", F.sha2(F.concat("chunk_key", F.lit("-old")), 256))).unionByName(
+        rows.where(first & (F.col("d") % 9 == 2) & (F.col("d") % 5 != 0)))
+    sinks.write_index(stored.drop("d"), f"{base}/index", 1)
+    written = ingest.explode_processed(sinks.read_processed_documents(spark, f"{base}/processed"))
+    return ingest.reconcile_chunks(written, sinks.read_index(spark, f"{base}/index")).select(
+        "source_document", "chunk_id", "difference")
+
+
 @query("incremental_new_objects", oracle=f"""WITH {LISTING_SQL}
 SELECT source_key FROM listing
 WHERE source_key NOT IN (SELECT source_key FROM src_docs)""")

@@ -143,27 +143,36 @@ def answer_records(spark, sf_dir):
                       F.col("usage.output_tokens").alias("output_tokens"))
 
 
-@query("rag_responses", oracle=f"""WITH {_index_sql()}, {CTX_SQL}
+def question_requests(spark, sf_dir):
+    """Every benchmark text as a request, some without a question and some whose body is no
+    object, every third in base64."""
+    from docweave.sources.tables import read_table
+    k = F.col("item_id") % 5
+    body = (F.when(k == 1, F.lit('{"question": "  "}')).when(k == 2, F.lit("[1, 2]"))
+            .otherwise(F.to_json(F.struct(F.col("text").alias("question")))))
+    coded = F.col("item_id") % 3 == 0
+    return read_table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("request_id"), coded.alias("is_base64"),
+        F.when(coded, F.base64(F.encode(body, "UTF-8"))).otherwise(body).alias("body"))
+
+
+RESPONSES_SQL = f"""WITH {_index_sql()}, {CTX_SQL}
 SELECT b.item_id AS request_id,
        CASE b.item_id % 5 WHEN 1 THEN 400 WHEN 2 THEN 500 ELSE CASE WHEN f.answer IS NULL THEN 500 ELSE 200 END END AS status_code,
        CASE WHEN b.item_id % 5 NOT IN (1, 2) THEN f.answer END AS answer,
        CASE WHEN b.item_id % 5 = 1 THEN {q(C.MISSING_QUESTION)}
             WHEN b.item_id % 5 = 2 OR f.answer IS NULL THEN {q(C.QUERY_FAILED)} END AS error,
        CASE WHEN b.item_id % 5 = 2 OR (b.item_id % 5 <> 1 AND f.answer IS NULL) THEN 'ValueError' END AS error_type
-FROM benchmark b LEFT JOIN final f ON f.query_id = b.item_id""")
+FROM benchmark b LEFT JOIN final f ON f.query_id = b.item_id"""
+
+
+@query("rag_responses", oracle=RESPONSES_SQL)
 def rag_responses(spark, sf_dir):
     """E2 from envelope to JSON body (S4, F8, K6): every benchmark text is a request, some
     without a question (400) and some whose body is no object (500), every third in base64."""
     from docweave.sinks import tables as sinks
     from docweave.sources import events as ev
-    from docweave.sources.tables import read_table
-    k = F.col("item_id") % 5
-    body = (F.when(k == 1, F.lit('{"question": "  "}')).when(k == 2, F.lit("[1, 2]"))
-            .otherwise(F.to_json(F.struct(F.col("text").alias("question")))))
-    coded = F.col("item_id") % 3 == 0
-    requests = read_table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("request_id"), coded.alias("is_base64"),
-        F.when(coded, F.base64(F.encode(body, "UTF-8"))).otherwise(body).alias("body"))
+    requests = question_requests(spark, sf_dir)
     parsed = ev.parse_question_requests(requests)
     asked = parsed.where("status_code = 200").select(F.col("request_id").alias("query_id"), "question")
     answered = _answers(spark, sf_dir, embedding.embed(asked, "question", "query_vector", common.TEXT_DIM))

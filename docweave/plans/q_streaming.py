@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from docweave.plans import common
 from docweave.plans.catalog import query
+from docweave.plans.q_rag import RESPONSES_SQL, question_requests
 from docweave.session import scratch_path
 from docweave.sources.tables import read_table
 from docweave.streaming import jobs
@@ -120,3 +121,73 @@ def stream_ingest(spark, sf_dir):
     doc_id = F.regexp_extract("source_document", r"doc_id=(\d+)/", 1).cast("bigint")
     return idx.select(doc_id.alias("doc_id"), "chunk_id",
                       F.size(F.split("text_chunk", " ")).alias("token_count"), "text_chunk")
+
+
+@query("stream_time_to_searchable", oracle="""
+SELECT 'uploads/' || source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS source_document,
+       CASE doc_id % 4 WHEN 0 THEN 20 WHEN 1 THEN 90 WHEN 2 THEN 45 END AS seconds,
+       CASE doc_id % 4 WHEN 0 THEN 'WITHIN' WHEN 1 THEN 'LATE' WHEN 2 THEN 'WITHIN' ELSE 'NEVER' END AS outcome
+FROM documents WHERE regexp_matches(coalesce(text, ''), '\\S')""")
+def stream_time_to_searchable(spark, sf_dir):
+    """The stored processed documents and index rows of four ingestion runs, read as two
+    streams and joined by interval; the run whose chunks were not indexed comes out as NEVER."""
+    from docweave import constants as C
+    from docweave.operators import ingest
+    from docweave.schemas import INDEX_ROW, PROCESSED_DOCUMENT
+    from docweave.sinks import tables as sinks
+    from docweave.sources.tables import source_documents
+    base = scratch_path(spark, f"searchable-{uuid.uuid4().hex}")
+    docs = source_documents(spark, sf_dir)
+    for run, (processed_at, indexed_at) in enumerate((
+            ("2024-02-01 00:00:00", "2024-02-01 00:00:20"), ("2024-02-01 06:00:00", "2024-02-01 06:01:30"),
+            ("2024-02-01 12:00:00", "2024-02-01 12:00:45"), ("2024-02-01 18:00:00", None))):
+        done = ingest.process_objects(docs.where(F.col("doc_id") % 4 == run).select("bucket", "source_key", "text"),
+                                      processed_at=processed_at)
+        sinks.write_processed_documents(ingest.processed_documents(done), f"{base}/processed", "parquet")
+        if indexed_at:
+            emb = ingest.embed_chunks(ingest.chunk_rows(done), 16)
+            sinks.write_index(ingest.index_rows(emb, indexed_at), f"{base}/index", 16)
+    # a later record on both sides lets the watermarks pass the last run
+    tick = spark.createDataFrame([("tick", "tick", "2024-02-03 00:00:00")], "b string, d string, t string").select(
+        F.col("b").alias("source_bucket"), F.col("d").alias("source_document"), F.to_timestamp("t").alias("t"))
+    tick.withColumnRenamed("t", "processed_at").write.mode("append").partitionBy("source_bucket").parquet(
+        f"{base}/processed")
+    tick.withColumnRenamed("t", "timestamp").write.parquet(f"{base}/index/write_id=tick")
+    processed = spark.readStream.schema(PROCESSED_DOCUMENT).parquet(f"{base}/processed")
+    indexed = spark.readStream.schema(INDEX_ROW).parquet(f"{base}/index")
+    found = _run_to_parquet(jobs.searchable_delays(processed, indexed), spark, "searchable-out")
+    outcome = (F.when(F.col("seconds").isNull(), "NEVER")
+               .when(F.col("seconds") <= C.TIME_TO_SEARCHABLE_TARGET_S, "WITHIN").otherwise("LATE"))
+    return found.where("source_document <> 'tick'").select(
+        "source_document", F.col("seconds").cast("int").alias("seconds"), outcome.alias("outcome"))
+
+
+def _rag_index(spark, sf_dir):
+    """The documents' chunks as a stored index."""
+    from docweave.operators import embedding, ingest
+    from docweave.sinks import tables as sinks
+    path = scratch_path(spark, f"rag-index-{uuid.uuid4().hex}")
+    rows = common.chunk_rows(spark, sf_dir).withColumn("source_bucket", F.lit("documents"))
+    emb = embedding.dimension_guard(embedding.embed(rows, "text_chunk", "vector", common.TEXT_DIM), "vector",
+                                    common.TEXT_DIM)
+    sinks.write_index(ingest.index_rows(emb, "2024-02-01 00:00:00"), path, common.TEXT_DIM)
+    return path
+
+
+@query("stream_rag_responses", oracle=RESPONSES_SQL)
+def stream_rag_responses(spark, sf_dir):
+    """The question requests as a file stream, answered per micro-batch from a stored
+    index; the stream is run again from its checkpoint, which adds nothing."""
+    base = scratch_path(spark, f"answers-{uuid.uuid4().hex}")
+    index = _rag_index(spark, sf_dir)
+    requests = question_requests(spark, sf_dir)
+    requests.repartition(2).write.parquet(f"{base}/requests")
+    for _ in range(2):
+        s = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/requests")
+        jobs.start_answer_stream(s, index, f"{base}/out", f"{base}/_checkpoint", common.TEXT_DIM).awaitTermination()
+    out = spark.read.schema("request_id bigint, status_code int, body string").json(f"{base}/out")
+
+    def field(name):
+        return F.get_json_object("body", f"$.{name}").alias(name)
+
+    return out.select("request_id", "status_code", field("answer"), field("error"), field("error_type"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave import constants as C
-from docweave.operators import deadletters, ingest, metrics, routing
+from docweave.operators import answering, deadletters, ingest, metrics, routing
 from docweave.sinks import tables as sinks
 from docweave.sources.objects import OBJECT_GLOB, decode_objects
 
@@ -119,3 +119,44 @@ def session_stream(stream: DataFrame, key_col: str, ts_col: str, gap: str = "30
         F.count(F.lit(1)).cast("bigint").alias("requests"))
     return g.select(key_col, F.col("s.start").alias("session_start"),
                     F.col("s.end").alias("session_end"), "requests")
+
+
+def searchable_delays(processed: DataFrame, indexed: DataFrame, within: str = "1 hour",
+                      delay: str = "10 minutes") -> DataFrame:
+    """A12 streaming: when each processed document became searchable.
+
+    ``processed(source_bucket, source_document, processed_at)`` meets ``indexed(source_bucket,
+    source_document, timestamp)`` in a stream-stream join bounded by ``within``; an index
+    generation counts once, however many chunks it has. Returns the document's columns with
+    ``indexed_at`` and ``seconds``. A document that no generation follows within the bound comes
+    out with nulls, once both streams' watermarks (``delay`` behind them) have passed it."""
+    p = processed.select("source_bucket", "source_document", F.col("processed_at").cast("timestamp")) \
+                 .withWatermark("processed_at", delay).alias("p")
+    i = (indexed.select("source_bucket", "source_document", F.col("timestamp").cast("timestamp").alias("indexed_at"))
+         .withWatermark("indexed_at", delay)
+         .dropDuplicatesWithinWatermark(["source_bucket", "source_document", "indexed_at"]).alias("i"))
+    bound = F.expr(f"i.indexed_at BETWEEN p.processed_at AND p.processed_at + INTERVAL {within}")
+    same = [F.col(f"p.{c}") == F.col(f"i.{c}") for c in ("source_bucket", "source_document")]
+    seconds = F.unix_seconds("i.indexed_at") - F.unix_seconds("p.processed_at")
+    return p.join(i, same[0] & same[1] & bound, "left_outer").select(
+        "p.source_bucket", "p.source_document", "p.processed_at", "i.indexed_at", seconds.alias("seconds"))
+
+
+def answer_batch(batch: DataFrame, batch_id: int, index_path: str, out: str, stream: str,
+                 dim: int = C.EMBED_DIMENSIONS, **options) -> None:
+    """E2 micro-batch body: the requests answered from the index as it is now."""
+    index = sinks.read_index(batch.sparkSession, index_path)
+    answering.answer_requests(batch, index, dim, **options).write.mode("overwrite").json(
+        f"{out}/stream={stream}/batch_id={batch_id}")
+
+
+def start_answer_stream(requests: DataFrame, index_path: str, out: str, checkpoint: str,
+                        dim: int = C.EMBED_DIMENSIONS, available_now: bool = True, **options):
+    """A stream of question requests answered from the stored index into ``out``. Each
+    micro-batch reads one snapshot of the index and replaces its own responses when replayed, so a
+    request is answered once."""
+    w = (requests.writeStream.option("checkpointLocation", checkpoint)
+         .foreachBatch(lambda df, bid: answer_batch(
+             df, bid, index_path, out, stream_id(df.sparkSession, checkpoint), dim, **options)))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
+    return w.start()
