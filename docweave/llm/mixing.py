@@ -49,6 +49,7 @@ MIN_DOCS = 5             # documents of the sample a word must be in
 MIN_Z = 6.0              # standard errors by which its share in a domain must exceed the rest's
 MIN_LIFT = 5.0           # and times: words that a domain merely has fewer of tell nothing
 ROUNDS = 500             # aggregations after which the fit fails; soft posteriors need 20 to 150
+ROWS_PER_TASK = 100_000  # distinct posteriors that a task of a round sums up
 TOLERANCE = 1e-4         # largest miss of a domain, as a share of all target tokens
 HIDDEN = 1e-7            # share of the objective that the projected gradient may still explain
 
@@ -189,6 +190,7 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], budget: float | None =
     share = sum(targets.values())
     rows = rows.checkpoint()
     table = rows.groupBy(*names).agg(F.sum("n_tokens").alias("n")).checkpoint()
+    table = table.coalesce(max(1, -(-table.count() // ROWS_PER_TASK)))      # every round runs these tasks
 
     def dot(x: np.ndarray) -> Column:
         return reduce(lambda a, b: a + b, [F.col(p) * F.lit(float(v)) for p, v in zip(names, x)])
