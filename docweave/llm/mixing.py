@@ -38,7 +38,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import UPPER, ascii_lower, let, sampled, text_or_empty, words_of
+from docweave.llm.common import ascii_lower, let, sampled, text_or_empty, words_of
 from docweave.llm.quality_rules import SPACES, SYMBOLS
 
 DOMAINS = ("clean", "low", "toxic")
@@ -66,16 +66,16 @@ def label_domain() -> Column:
 
 def _features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, n_tokens, parts`` (distinct lower-case letter runs) and ``shape`` (bin names)."""
-    def without(chars: str) -> Column:
-        return F.char_length("t") - F.char_length(F.translate("t", chars, ""))
+    def number(chars: str) -> Column:
+        return F.regexp_count("t", F.lit(f"[{chars}]"))
 
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t"))
     rows = rows.select("id", "t", F.split(ascii_lower(F.col("t")), r"[^\p{L}\p{N}]+").alias("all"),
                        F.size(words_of(F.col("t"))).cast("long").alias("n_tokens"))
     lines = F.split("t", "\n")
     rows = rows.select("id", "n_tokens", F.array_distinct("all").alias("parts"),
-                       F.size("all").alias("n"), without(SYMBOLS).alias("symbols"),
-                       without(UPPER).alias("upper"), without(SPACES).alias("spaces"),
+                       F.size("all").alias("n"), number(SYMBOLS).alias("symbols"),
+                       number("A-Z").alias("upper"), number(SPACES).alias("spaces"),
                        F.char_length("t").alias("chars"),
                        let(lines, lambda x: F.size(F.array_distinct(x)) / F.size(x)).alias("lines"))
 
