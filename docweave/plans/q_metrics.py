@@ -275,23 +275,23 @@ def time_to_searchable(spark, sf_dir):
         F.round(p["p99"], 2).alias("p99_s"), "within_target")
 
 
+#: Limits for a log of few requests a second and a day; the service's own are C.DAILY_QUOTA,
+#: C.RATE_LIMIT_PER_S and C.BURST_LIMIT.
+AUDIT_QUOTA, AUDIT_RATE, AUDIT_BURST = 4, 1, 1
+
+
 @query("quota_daily", oracle=f"""
 SELECT user_id, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS day_start,
-       CAST(count(*) AS BIGINT) AS requests, count(*) > {C.DAILY_QUOTA} AS over_quota
+       CAST(count(*) AS BIGINT) AS requests, count(*) > {AUDIT_QUOTA} AS over_quota
 FROM events GROUP BY user_id, date_trunc('day', ts)""")
 def quota_daily(spark, sf_dir):
-    """R4 (batch): requests per API key and day against the daily quota."""
+    """R4 (batch): requests per API key and day against a quota that the log does cross."""
     e = read_table(spark, sf_dir, "events")
-    r = M.quota_daily(e, "user_id", "ts")
+    r = M.quota_daily(e, "user_id", "ts", AUDIT_QUOTA)
     return r.select("user_id", F.date_format("day_start", "yyyy-MM-dd HH:mm:ss").alias("day_start"),
                     "requests", "over_quota")
 
 
-#: Limits for a log of few requests a second; the service's own are C.RATE_LIMIT_PER_S and
-#: C.BURST_LIMIT.
-AUDIT_RATE, AUDIT_BURST = 1, 1
-
-
 @query("rate_audit", oracle=f"""
 SELECT strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS window_start, CAST(count(*) AS BIGINT) AS requests,
        count(*) > {AUDIT_RATE} AS over_limit
@@ -316,7 +316,7 @@ def burst_audit(spark, sf_dir):
                     "requests", "over_limit")
 
 
-@query("abuse_sessions", oracle="""
+SESSIONS_SQL = """
 WITH o AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL
                   OR ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS brk
            FROM events),
@@ -324,7 +324,10 @@ s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED P
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start,
        strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS session_end,
        CAST(count(*) AS BIGINT) AS requests
-FROM s GROUP BY user_id, sid""")
+FROM s GROUP BY user_id, sid"""
+
+
+@query("abuse_sessions", oracle=SESSIONS_SQL)
 def abuse_sessions(spark, sf_dir):
     """R6 (batch): per-key sessions of questioning with a 30-minute inactivity gap."""
     r = M.sessions(read_table(spark, sf_dir, "events"), "user_id", "ts", "30 minutes")

@@ -139,10 +139,14 @@ def filter_recursion_guard(spark, sf_dir):
 
 
 @query("filter_empty_text", oracle=f"""
-SELECT doc_id, (text IS NULL OR NOT regexp_matches(text, {q(T.RE2_NON_BLANK_PATTERN)})) AS blank FROM documents""")
+SELECT doc_id, (doc_id % 5 < 2 OR text IS NULL OR NOT regexp_matches(text, {q(T.RE2_NON_BLANK_PATTERN)})) AS blank
+FROM documents""")
 def filter_empty_text(spark, sf_dir):
-    """documents whose text has no non-whitespace character."""
+    """documents whose text has no non-whitespace character; every fifth extraction gave
+    nothing and another fifth only white space."""
     d = read_documents(spark, sf_dir, ["doc_id", "text"])
+    d = d.withColumn("text", F.when(F.col("doc_id") % 5 == 0, "").when(
+        F.col("doc_id") % 5 == 1, " \u2003\n\x1c").otherwise(F.col("text")))
     return d.select("doc_id", T.is_blank("text").alias("blank"))
 
 
@@ -179,16 +183,18 @@ def sanitize_filename(spark, sf_dir):
 
 @query("object_key", oracle=f"""
 SELECT page_id, 'uploads/20240201T000000Z-' || left(sha256(CAST(page_id AS VARCHAR)), 8) || '-' || {_SAN} AS object_key,
-       CASE WHEN {_EXT} = '.pdf' THEN 'application/pdf' ELSE 'text/plain' END AS content_type
+       CASE WHEN page_id % 3 = 0 THEN 'text/html' WHEN {_EXT} = '.pdf' THEN 'application/pdf'
+            ELSE 'text/plain' END AS content_type
 FROM pages""")
 def object_key(spark, sf_dir):
-    """P6 + P7: upload key (stamp, 8 hex from the row id, safe name) and default type."""
+    """P6 + P7: upload key (stamp, 8 hex from the row id, safe name) and the content type, given
+    for every third page, blank for another and absent for the rest."""
     p = read_table(spark, sf_dir, "pages")
     safe = T.sanitize_filename("url")
+    given = F.when(F.col("page_id") % 3 == 0, " text/html ").when(F.col("page_id") % 3 == 1, "  ")
     return p.select("page_id",
                     T.object_key(safe, F.to_timestamp(F.lit(RUN_TS)), F.col("page_id")).alias("object_key"),
-                    T.default_content_type(F.lit(None).cast("string"), T.filename_extension("url"))
-                     .alias("content_type"))
+                    T.default_content_type(given, T.filename_extension("url")).alias("content_type"))
 
 
 @query("processed_documents", oracle=f"""WITH {common.chunk_rows_sql()}
@@ -224,6 +230,10 @@ def chunks_explode_roundtrip(spark, sf_dir):
     return rows.select("source_document", "chunk_id", "token_count", "text_chunk")
 
 
+def _doc_id():
+    return F.regexp_extract("source_document", r"/(\d+)\.txt$", 1).cast("bigint")
+
+
 def _embedded(spark, sf_dir, status_only: bool = False):
     rows = ingest.chunk_rows(processed(spark, sf_dir))
     return ingest.embed_chunks(rows, common.TEXT_DIM, status_only=status_only)
@@ -232,7 +242,7 @@ def _embedded(spark, sf_dir, status_only: bool = False):
 @query("index_manifest", oracle=f"""WITH {common.chunk_rows_sql()},
 {common.weights_sql('chunk_rows', 'chunk_key', 'text_chunk', 'cw')},
 j AS (SELECT c.source_document, c.processed_key, c.pii_masked_flag,
-             c.chunk_key IN (SELECT chunk_key FROM cw) AS ok FROM chunk_rows c)
+             c.chunk_key IN (SELECT chunk_key FROM cw) AND NOT (doc_id % 6 = 0 AND chunk_id = 0) AS ok FROM chunk_rows c)
 SELECT CASE WHEN count(*) FILTER (WHERE ok) = 0 THEN 'FAILED'
             WHEN count(*) FILTER (WHERE NOT ok) > 0 THEN 'PARTIAL' ELSE 'SUCCESS' END AS status,
        source_document, processed_key,
@@ -241,21 +251,29 @@ SELECT CASE WHEN count(*) FILTER (WHERE ok) = 0 THEN 'FAILED'
        {common.TEXT_DIM} AS embed_dimensions
 FROM j GROUP BY source_document, processed_key""")
 def index_manifest(spark, sf_dir):
-    """A5 (+PARTIAL): indexed / failed chunk counts per processed document."""
-    m = ingest.index_manifest(_embedded(spark, sf_dir, status_only=True), common.TEXT_DIM)
+    """A5 (+PARTIAL): indexed / failed chunk counts per processed document; the embedder gave
+    no usable vector for the first chunk of every sixth document."""
+    e = _embedded(spark, sf_dir, status_only=True)
+    e = e.withColumn("embed_status", F.when((_doc_id() % 6 == 0) & (F.col("chunk_id") == 0), "BAD_DIM")
+                     .otherwise(F.col("embed_status")))
+    m = ingest.index_manifest(e, common.TEXT_DIM)
     return m.select("status", "source_document", "processed_key", "indexed_count", "failed_count",
                     "embed_dimensions")
 
 
 @query("index_reconcile", oracle=f"""WITH {common.chunk_rows_sql()}
-SELECT source_document, CAST(count(*) AS INTEGER) AS chunks_written, CAST(count(*) AS INTEGER) AS chunks_indexed,
-       0 AS missing, 'OK' AS reconcile_status FROM chunk_rows GROUP BY source_document""")
+, g AS (SELECT source_document, CAST(count(*) AS INTEGER) AS chunks_written,
+  CAST(count(*) FILTER (NOT (doc_id % 5 = 0 AND chunk_id % 3 = 0)) AS INTEGER) AS chunks_indexed
+  FROM chunk_rows GROUP BY source_document)
+SELECT *, chunks_written - chunks_indexed AS missing,
+       CASE WHEN chunks_indexed < chunks_written THEN 'MISSING' ELSE 'OK' END AS reconcile_status FROM g""")
 def index_reconcile(spark, sf_dir):
-    """Chunks written by ingestion vs chunks indexed, per source document."""
+    """Chunks written by ingestion vs chunks indexed, per source document; some chunks
+    never reached the embedder."""
     p = processed(spark, sf_dir)
     man = ingest.ingest_manifest(p)
-    idx = ingest.index_manifest(ingest.embed_chunks(ingest.chunk_rows(p), common.TEXT_DIM,
-                                                    status_only=True), common.TEXT_DIM)
+    sent = ingest.chunk_rows(p).where(~((_doc_id() % 5 == 0) & (F.col("chunk_id") % 3 == 0)))
+    idx = ingest.index_manifest(ingest.embed_chunks(sent, common.TEXT_DIM, status_only=True), common.TEXT_DIM)
     return ingest.reconcile(man, idx)
 
 
@@ -440,7 +458,8 @@ EVENT_KEY_SQL = ("'uploads/u' || CAST(user_id AS VARCHAR) || '/' || event_type |
 
 
 def event_records(spark, sf_dir):
-    """Object-created records in the three shapes, built from the request log."""
+    """Object-created records in the three shapes, built from the request log; some name no
+    object and some are no JSON."""
     e = read_table(spark, sf_dir, "events")
     key = F.concat(F.lit("uploads/u"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_type"),
                    F.lit("+report%20"), F.col("event_id").cast("string"), F.lit(".txt"))
@@ -452,18 +471,24 @@ def event_records(spark, sf_dir):
     records = F.to_json(F.struct(F.array(F.struct(F.struct(
         F.struct(b.alias("name")).alias("bucket"), F.struct(key.alias("key")).alias("object"))
         .alias("s3"))).alias("Records")))
-    js = F.when(shape == 0, flat).when(shape == 1, detail).otherwise(records)
+    js = (F.when(F.col("event_id") % 17 == 3, '{"detail": {"bucket": {}}}')
+          .when(F.col("event_id") % 23 == 5, "{not json").when(shape == 0, flat).when(shape == 1, detail)
+          .otherwise(records))
     return e.select("event_id", js.alias("event_json"))
 
 
 @query("resolve_event_location", oracle=f"""
-SELECT event_id, '{C.DEFAULT_BUCKET}' AS bucket, url_decode(replace({EVENT_KEY_SQL}, '+', ' ')) AS key,
-       CASE event_id % 3 WHEN 0 THEN 'flat' WHEN 1 THEN 'detail' ELSE 'records' END AS event_shape,
-       'RESOLVED' AS resolve_status FROM events""")
+WITH e AS (SELECT *, event_id % 17 <> 3 AND event_id % 23 <> 5 AS ok FROM events)
+SELECT event_id, CASE WHEN ok THEN '{C.DEFAULT_BUCKET}' END AS bucket,
+       CASE WHEN ok THEN url_decode(replace({EVENT_KEY_SQL}, '+', ' ')) END AS key,
+       CASE WHEN ok THEN CASE event_id % 3 WHEN 0 THEN 'flat' WHEN 1 THEN 'detail' ELSE 'records' END END AS event_shape,
+       CASE WHEN ok THEN 'RESOLVED' ELSE 'FAILED' END AS resolve_status,
+       CASE WHEN event_id % 17 = 3 THEN 'Unable to resolve bucket/key from event'
+            WHEN event_id % 23 = 5 THEN 'invalid JSON' END AS resolve_error FROM e""")
 def resolve_event_location(spark, sf_dir):
     """S2 + P3: bucket and decoded key from flat, detail and Records event shapes."""
     r = ev.resolve_event_location(event_records(spark, sf_dir))
-    return r.select("event_id", "bucket", "key", "event_shape", "resolve_status")
+    return r.select("event_id", "bucket", "key", "event_shape", "resolve_status", "resolve_error")
 
 
 @query("parse_question_requests", oracle=f"""
@@ -600,12 +625,15 @@ def pii_name_gazetteer(spark, sf_dir):
 
 
 @query("decode_text", oracle="""
-SELECT page_id, md5(html) AS text_md5, CAST(length(html) AS BIGINT) AS n_chars FROM pages""")
+WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 1 THEN concat(html, chr(65533), 'b') ELSE html END AS t FROM pages)
+SELECT page_id, md5(t) AS text_md5, CAST(length(t) AS BIGINT) AS n_chars FROM p""")
 def decode_text(spark, sf_dir):
-    """Page bodies as stored bytes (UTF-8) decoded leniently back to text; valid
-    UTF-8 round-trips exactly (invalid bytes would become U+FFFD)."""
+    """Page bodies as stored bytes (UTF-8) decoded leniently back to text: valid
+    UTF-8 round-trips exactly, the invalid byte that every fourth page has becomes U+FFFD."""
     p = read_table(spark, sf_dir, "pages")
-    raw = p.select("page_id", F.encode("html", "UTF-8").alias("content"))
+    whole = F.encode("html", "UTF-8")
+    raw = p.select("page_id", F.when(F.col("page_id") % 4 == 1, F.concat(whole, F.unhex(F.lit("FF62"))))
+                   .otherwise(whole).alias("content"))
     txt = raw.select("page_id", T.decode_utf8("content").alias("text"))
     return txt.select("page_id", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("n_chars"))
 

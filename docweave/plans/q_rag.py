@@ -13,6 +13,7 @@ from docweave.plans.catalog import query
 q = S.q
 NL = "chr(10)"
 MIN_SCORE = 0.0
+SURE_SCORE = 0.5          # below it the stricter refusal report gives no answer
 
 
 def _retrieve(spark, sf_dir, lang: str | None = None, qs=None):
@@ -37,11 +38,11 @@ def _retrieve(spark, sf_dir, lang: str | None = None, qs=None):
     return qs.select("query_id", "question"), meta
 
 
-def _answers(spark, sf_dir, qs=None):
+def _answers(spark, sf_dir, qs=None, min_score=MIN_SCORE):
     qs, hits = _retrieve(spark, sf_dir, qs=qs)
     ctx = rag.format_context(qs, hits)
     prompted = rag.build_prompt(ctx)
-    gen = rag.extractive_generate(prompted, MIN_SCORE)
+    gen = rag.extractive_generate(prompted, min_score)
     return rag.parse_model_response(gen)
 
 
@@ -189,14 +190,15 @@ def rag_responses(spark, sf_dir):
                       field("error"), field("error_type"))
 
 
-@query("refusal_rate", oracle=f"""WITH {_index_sql()}, {CTX_SQL}
+@query("refusal_rate", oracle=f"""WITH {_index_sql()}, {CTX_SQL.replace(f"top_score > {MIN_SCORE}", f"top_score > {SURE_SCORE}")}
 SELECT CAST(count(*) AS BIGINT) AS questions,
        CAST(count(*) FILTER (WHERE {S.strip_sql('answer')} = {q(C.REFUSAL_SENTENCE)}) AS BIGINT) AS refusals,
        round(count(*) FILTER (WHERE {S.strip_sql('answer')} = {q(C.REFUSAL_SENTENCE)}) / count(*), 6) AS refusal_rate
 FROM final""")
 def refusal_rate(spark, sf_dir):
-    """Share of answers that are the refusal sentence."""
-    a = _answers(spark, sf_dir).withColumn("_ref", rag.is_refusal(F.col("answer")))
+    """Share of answers that are the refusal sentence, where a passage must score
+    ``SURE_SCORE`` to be an answer."""
+    a = _answers(spark, sf_dir, min_score=SURE_SCORE).withColumn("_ref", rag.is_refusal(F.col("answer")))
     return a.agg(F.count(F.lit(1)).cast("bigint").alias("questions"),
                  F.count_if("_ref").cast("bigint").alias("refusals"),
                  F.round(F.count_if("_ref") / F.count(F.lit(1)), 6).alias("refusal_rate"))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from docweave.plans import common
 from docweave.plans.catalog import query
+from docweave.plans.q_metrics import AUDIT_QUOTA, SESSIONS_SQL
 from docweave.plans.q_rag import RESPONSES_SQL, question_requests
 from docweave.session import scratch_path
 from docweave.sources.tables import read_table
@@ -86,18 +87,34 @@ def stream_latency_dashboard(spark, sf_dir):
     return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("stream_quota_daily", oracle="""
+@query("stream_quota_daily", oracle=f"""
 SELECT user_id, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS day_start,
-       CAST(count(*) AS BIGINT) AS requests, count(*) > 5000 AS over_quota
+       CAST(count(*) AS BIGINT) AS requests, count(*) > {AUDIT_QUOTA} AS over_quota
 FROM events GROUP BY user_id, date_trunc('day', ts)""")
 def stream_quota_daily(spark, sf_dir):
     """R4 (streaming): daily request counts per key, the days still open included."""
-    d = jobs.quota_stream(_events_stream(spark, sf_dir), "user_id", "ts", "1 hour")
+    d = jobs.quota_stream(_events_stream(spark, sf_dir), "user_id", "ts", "1 hour", AUDIT_QUOTA)
     out = _run_to_newest(d, spark, "quota", ["user_id", "day_start"])
     return out.select("user_id", F.date_format("day_start", "yyyy-MM-dd HH:mm:ss").alias("day_start"),
                       "requests", "over_quota")
 
 
+@query("stream_sessions", oracle=SESSIONS_SQL)
+def stream_sessions(spark, sf_dir):
+    """R6 (streaming): per-key sessions of the log, emitted as the watermark closes them; a
+    later record of no key lets it pass the last ones."""
+    base = scratch_path(spark, f"tick-{uuid.uuid4().hex}")
+    (read_table(spark, sf_dir, "events").agg((F.max("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"))
+     .withColumn("user_id", F.lit(None).cast("bigint")).write.parquet(base))
+    tick = spark.readStream.schema("ts timestamp_ntz, user_id bigint").parquet(base)
+    log = _events_stream(spark, sf_dir).select("ts", "user_id").unionByName(tick)
+    out = _run_to_parquet(jobs.session_stream(log, "user_id", "ts"), spark, "sessions")
+    fmt = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    return out.where("user_id is not null").select(
+        "user_id", F.date_format("session_start", fmt).alias("session_start"),
+        F.date_format("session_end", fmt).alias("session_end"), "requests")
+
+
 def _object_files(spark, sf_dir):
     """Write every document as one text object ``doc_id=<id>/part-*.txt`` (Spark text sink)."""
     base = scratch_path(spark, f"objects-{uuid.uuid4().hex}")
