@@ -27,19 +27,22 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm.common import let, text_or_empty
+from docweave.llm.license_texts import LICENSES
 
 SHINGLE = 5
 BIN_BITS = 6
 BINS = 1 << BIN_BITS
 MIN_CONTAINMENT = 0.8
 MAX_TEMPLATE_SHINGLES = 50_000
-TABLE_BITS = 16
+TABLE_BITS = 20          # some thousand bands set a bit of 10^6: few windows are listed by chance
 
-# Default templates: short public notices (fixed values).
+# Short public notices (fixed values); :mod:`license_texts` has texts and headers of licences.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -51,7 +54,8 @@ TEMPLATES = (
 
 
 def default_templates(spark: SparkSession) -> DataFrame:
-    rows = F.array(*[F.struct(F.lit(n).alias("license"), F.lit(t).alias("text")) for n, t in TEMPLATES])
+    rows = F.array(*[F.struct(F.lit(n).alias("license"), F.lit(t).alias("text"))
+                     for n, t in (*TEMPLATES, *LICENSES)])
     return spark.range(1).select(F.inline(rows))
 
 
@@ -140,9 +144,18 @@ def license_scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"),
                        shingles_of(words_of(text_or_empty(text_col))).alias("h"))
     h = F.col("h")
-    sizes = sorted({size_class(len(r.want)) for r in local} | {1})
-    rows = rows.select("doc_id", "row", F.explode(F.concat(*[
-        single(h) if size == 1 else sketched(windows_of(h, size)) for size in sizes])).alias("x"))
+    least: dict[int, int] = {1: 1}                      # shingles that a match of a class needs
+    for r in local:
+        size = size_class(len(r.want))
+        least[size] = min(least.get(size, size), math.ceil(min_containment * len(r.want)))
+
+    def of_class(size: int) -> Column:
+        """Listed windows of a class; none in a text too short to hold enough of a template."""
+        windows = F.when(F.size(h) >= least[size], windows_of(h, size)).otherwise(
+            F.array().cast("array<array<bigint>>"))
+        return single(h) if size == 1 else sketched(windows)
+
+    rows = rows.select("doc_id", "row", F.explode(F.concat(*map(of_class, sorted(least)))).alias("x"))
     pairs = known.select("license", "want", F.explode("bands").alias("band"))
     return (rows.select("doc_id", "row", "x.w", F.explode("x.bands").alias("band"))
             .join(F.broadcast(pairs), "band")

@@ -95,3 +95,25 @@ def test_edge_cases(spark, make_docs):
     big = [(5, "filler text " * 20000 + "Released under the MIT License.")]
     assert ls.license_scan(make_docs(big), ls.default_templates(spark)).first().license == "MIT"
     assert ls.license_scan(make_docs([]), ls.default_templates(spark)).count() == 0
+
+
+def test_licence_texts_and_headers_are_found_whole_and_edited(spark, make_docs):
+    from docweave.llm.license_texts import LICENSES
+    rng = random.Random(11)
+    rows, want = [], {}
+    for i, (name, text) in enumerate(LICENSES):
+        w = text.split()
+        w[rng.randrange(len(w))] = "changed"                # five shingles of a template at the most
+        around = [f"x{rng.randint(0, 999)}" for _ in range(rng.randint(0, 900))]
+        at = rng.randint(0, len(around))
+        rows += [(2 * i, text.lower().replace("\n", " ")), (2 * i + 1, "\n".join(around[:at] + w + around[at:]))]
+        want |= {2 * i: name, 2 * i + 1: name}
+    rows.append((999, " ".join(f"y{k}" for k in range(5000))))
+    out = ls.license_scan(make_docs(rows), ls.default_templates(spark)).collect()
+    got = {}
+    for r in out:
+        got.setdefault(r.doc_id, set()).add(r.license)
+    whole = set(brute([r for r in rows if r[0] != 999], [(n, t) for n, t in (*ls.TEMPLATES, *LICENSES)]))
+    assert {(i, n) for i, n in want.items()} <= whole
+    assert {(i, n) for i in got for n in got[i]} >= whole
+    assert 999 not in got
