@@ -13,6 +13,7 @@ from docweave.llm.common import documents, prepare
 
 BPE_FILE = "byte_bpe_50k.tiktoken"
 PIECE_FILE = "piece_bpe_32k.model"
+SPAN_WORDS = 25         # of a repeated span: half of the 50 words from which a passage counts
 
 
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +55,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.removed_spans(documents(spark, sf_dir, "doc_id", "text")).select(
-        "doc_id", "n_removed", "removed")
+    found = substring_dedup.removed_spans(documents(spark, sf_dir, "doc_id", "text"), min_words=SPAN_WORDS)
+    return found.select("doc_id", "n_removed", "removed")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

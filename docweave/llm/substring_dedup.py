@@ -1,10 +1,12 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences: after ``.``, ``!`` or ``?`` and white space, and at line ends.
-A span is a run of at least ``run`` consecutive sentences, as many as reach ``min_words``
-words; a run of fewer sentences with at least ``long_words`` words is a span too, so that
-a long passage of one sentence is found. What a passage shares of the sentences it begins and
-ends in is not removed, nor a passage without ``run`` whole sentences. Every span is hashed and the hashes are
+A text is cut into sentences, and these into their clauses: after ``.!?,;:`` and white space,
+and at line ends. A span is a run of at least ``run`` consecutive clauses, as many as reach
+``min_words`` words; a run of fewer with at least ``long_words`` words is a span too, so that
+a long passage of one clause is found. Clauses let a passage that begins and ends inside a
+sentence be reached but for its first and last piece; the number of words keeps phrases that
+unrelated texts share from being spans. Not removed are those two pieces, and a passage that
+has no span between them. Every span is hashed and the hashes are
 joined over the whole corpus: of the places a span occurs at, the first by (id, sentence)
 stays, and the sentences covered by any other are removed.
 
@@ -36,11 +38,11 @@ MIN_WORDS = 12
 LONG_WORDS = 50
 HOT_SHARE = 0.001        # spans that hold this share of all places are joined by broadcast
 
-_END = re.compile(r"[.!?]\s+|\n\s*")
+_END = re.compile(r"[.!?,;:]\s+|\n\s*")
 
 
 def sentences(text: str) -> list[str]:
-    """The sentences of a text, white space included: joined they give the text back."""
+    """The clauses of a text, white space included: joined they give the text back."""
     cuts = [0, *(m.end() for m in _END.finditer(text)), len(text)]
     return [text[a:b] for a, b in zip(cuts, cuts[1:]) if a < b]
 

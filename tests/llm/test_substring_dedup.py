@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +115,35 @@ def test_passages_planted_by_words_lose_their_whole_sentences(make_docs):
     for k, p in enumerate(inner):
         assert left[2 * k] == texts[2 * k] and p in left[2 * k]
         assert left[2 * k + 1] == texts[2 * k + 1].replace(p + " ", "")
+
+
+def test_passages_that_begin_and_end_inside_sentences(make_docs):
+    """Against passages planted word by word, not against the operator's own spans."""
+    rng = random.Random(21)
+
+    def prose(n):
+        return [f"{rng.choice('abcdefgh')}{rng.randint(0, 10**6)}" + (rng.choice([",", ".", ";"]) if rng.random() < 0.15 else "")
+                for _ in range(n)]
+    passages = [prose(80) for _ in range(12)]
+    rows, planted = [], {}
+    for i in range(120):
+        w, at = prose(150), rng.randint(0, 150)
+        if i % 4 == 0:
+            p = rng.randrange(12)
+            w[at:at] = passages[p]
+            planted[i] = (p, at)
+        rows.append((i, " ".join(w)))
+    first, gone, total = set(), 0, 0
+    found = {r.doc_id: r.removed for r in sd.removed_spans(make_docs(rows), min_words=25).collect()}
+    text = dict(rows)
+    for i in range(120):
+        words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text[i])]
+        taken = [k for k, (a, b) in enumerate(words) if any(s.start <= a and b <= s.end for s in found[i])]
+        if i not in planted or planted[i][0] not in first:
+            assert not taken                                   # clean documents and first copies
+            first |= {planted[i][0]} if i in planted else set()
+            continue
+        at = planted[i][1]
+        assert set(taken) <= set(range(at, at + 80))
+        gone, total = gone + len(taken), total + 80
+    assert total and gone / total > 0.8
