@@ -1,6 +1,15 @@
 """Corpus pipeline: documents through language ID, exact dedup, SimHash near-dedup, mixing
 to target weights and byte-level BPE. Each stage is written as Parquet and read again as the
-next one's documents."""
+next one's documents.
+
+Defined results: a null or empty text, or one without a letter, goes in the first stage, so later
+stages see texts only. Ids may be null or repeat: stages tell rows by id and text, and rows
+equal in both count as one document from exact dedup on. Of equal texts the row of the largest
+id stays (a null id only if all are null), of near ones that of the smallest, then of the
+smallest text digest. Languages tied in score go to the first in the alphabet. An empty table gives
+no rows at every stage. All stages but the last keep the documents' columns, whatever further
+ones there are and however they are named. A text must fit into a row; very long ones are
+read whole."""
 
 from __future__ import annotations
 
