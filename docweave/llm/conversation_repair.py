@@ -21,7 +21,7 @@ repaired conversation runs through its rows in one task, in order and a row at a
 because SHA-256 is defined that way; ``repair`` itself does not.
 
 Defined results: a null role or text is one space (a null id or turn too, where ``damage``
-draws by them); rows of a turn are ordered by role and text; a conversation of no rows has
+draws by them); rows of a turn are ordered by role and MD5 of the text; a conversation of no rows has
 zeros, an empty audit and the digest of the empty string; rows with a null conversation id are
 one conversation; rows that repeat role and text are duplicates; an empty table gives no
 rows; other columns are ignored. A text must fit into a row, and an audit into a string.
@@ -73,13 +73,15 @@ def damage(talks: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 
 def ordered(rows: DataFrame) -> DataFrame:
     """Rows with ``pos``, their place in the order by conversation and turn (nulls first).
-    Equal rows are told apart by a seeded number, so that they can be dealt to many tasks."""
-    keys = ["conv_id", "turn", "role", "text", "salt"]
-    rows = rows.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"),
-                       F.coalesce("text", F.lit(" ")).alias("text"), F.rand(12).alias("salt"))
+    Equal rows are told apart by a seeded number, so that they can be dealt to many tasks. Texts
+    are no sort keys: range bounds are drawn from a sample of the keys on the driver."""
+    keys = ["conv_id", "turn", "role", "digest", "salt"]
+    text = F.coalesce("text", F.lit(" "))
+    rows = rows.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), text.alias("text"),
+                       F.md5(text.cast("binary")).alias("digest"), F.rand(12).alias("salt"))
     placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(
         "pos", F.monotonically_increasing_id())
-    return staged(placed.drop("salt"), "conversations")
+    return staged(placed.drop("digest", "salt"), "conversations")
 
 
 def with_faults(rows: DataFrame) -> DataFrame:
@@ -338,7 +340,7 @@ h AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
 w AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
         CASE WHEN d = 1 THEN '' WHEN d = 2 THEN translate(text, '.!?', '') ELSE text END AS text
       FROM (SELECT *, unnest(CASE WHEN d = 3 THEN [0, 1] ELSE [0] END) FROM h WHERE d <> 0)),
-o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM w),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i FROM w),
 f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
         left(role, 1) AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
         regexp_matches(text, '[^\x20\x09-\x0D]') AS solid,

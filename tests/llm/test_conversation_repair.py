@@ -67,7 +67,7 @@ def brute(rows):
     damaged = brute_damage(rows)
     for conv in {r[0] for r in rows}:
         mine = sorted((r[1:] for r in damaged if r[0] == conv),
-                      key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+                      key=lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.md5(r[2].encode()).digest()))
         faults, cost, audit, out = brute_repair([r[1:] for r in mine])
         turns = [t for t, _, _ in mine if t is not None]
         roles = [r[:1] for _, r, _ in mine]
@@ -119,7 +119,7 @@ def test_long_conversation_over_many_blocks(spark, monkeypatch):
             for k in range(300)]
     talks = spark.createDataFrame(rows, SCHEMA)
     got = cr.audit(cr.damage(talks), talks).first()
-    damaged = sorted(brute_damage(rows), key=lambda r: (r[1], r[2], r[3]))
+    damaged = sorted(brute_damage(rows), key=lambda r: (r[1], r[2], hashlib.md5(r[3].encode()).digest()))
     code = []
     seen = set()
     for _, _, role, text in damaged:
