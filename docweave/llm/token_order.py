@@ -26,6 +26,7 @@ an empty table has no shards; other columns are ignored. Ids must be integers.
 from __future__ import annotations
 
 import uuid
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -41,7 +42,8 @@ from docweave.session import scratch_path
 
 SEQ_LEN = 256
 ROWS_PER_SHARD = 8192
-SHARDS_PER_TASK = 4
+SHARDS_PER_TASK = 4     # at least; more beyond WAVES range partitions per core of the cluster
+WAVES = 16
 FEISTEL_ROUNDS = 6
 HEAD = 14
 PAD = 0xFFFF
@@ -102,21 +104,34 @@ def _encoder(shared):
     return _MADE[key].encode_ordinary
 
 
-def _records(doc_id: int | None, ids: list[int], seq_len: int) -> np.ndarray:
-    """Records of a document (without the line feed) as rows of bytes."""
-    n = -(-len(ids) // seq_len)
-    tokens = np.full(n * seq_len, PAD, "<u2")
-    tokens[:len(ids)] = ids
-    out = np.empty((n, HEAD + 2 * seq_len), np.uint8)
-    out[:, :8] = np.frombuffer((-(1 << 63) if doc_id is None else doc_id).to_bytes(8, "big", signed=True), np.uint8)
-    out[:, 8:12] = np.arange(n, dtype=">u4").view(np.uint8).reshape(n, 4)
-    sizes = np.full(n, seq_len, ">u2")
-    sizes[-1] = len(ids) - (n - 1) * seq_len
-    out[:, 12:14] = sizes.view(np.uint8).reshape(n, 2)
-    out[:, 14:] = tokens.view(np.uint8).reshape(n, -1)
+def _records(doc_ids: list[int | None], ids: list[list[int]], seq_len: int) -> np.ndarray:
+    """Records of documents (without the line feed), one after the other, as rows of bytes."""
+    lengths = np.array([len(i) for i in ids], np.int64)
+    n = -(-lengths // seq_len)
+    total, last = int(n.sum()), np.cumsum(n) - 1
+    short = n * seq_len - lengths
+    tokens = array("H")
+    for i, gap in zip(ids, short.tolist()):
+        tokens.extend(array("H", i))
+        tokens.extend(array("H", [PAD]) * gap)
+    sizes = np.full(total, seq_len, ">u2")
+    sizes[last] = seq_len - short
+    out = np.empty((total, HEAD + 2 * seq_len), np.uint8)
+    docs = np.array([-(1 << 63) if i is None else i for i in doc_ids], ">i8")
+    out[:, :8] = np.repeat(docs, n).view(np.uint8).reshape(total, 8)
+    number = np.arange(total) - np.repeat(last + 1 - n, n)
+    out[:, 8:12] = number.astype(">u4").view(np.uint8).reshape(total, 4)
+    out[:, 12:14] = sizes.view(np.uint8).reshape(total, 2)
+    out[:, 14:] = np.asarray(tokens).astype("<u2", copy=False).view(np.uint8).reshape(total, -1)
     return out
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as an Arrow array, without a copy of each."""
+    at = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(at), pa.py_buffer(rows)])
+
+
 def write_shards(docs: DataFrame, path: str, vocabulary: str, pattern: str, seed: int = 1,
                  seq_len: int = SEQ_LEN, rows_per_shard: int = ROWS_PER_SHARD,
                  id_col: str = "doc_id", text_col: str = "text") -> Shards:
@@ -124,7 +139,8 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, pattern: str, seed
     ranks = load_ranks(vocabulary)
     if max(ranks.values(), default=0) >= PAD or not 0 < seq_len < 1 << 16:
         raise ValueError("token ids and sequence length must fit 16 bits")
-    shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern, f"{vocabulary}|{pattern}"))
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast((ranks, pattern, f"{vocabulary}|{pattern}"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,36 +150,37 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, pattern: str, seed
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()),
                                           pa.array([n], pa.int64())], ["part", "n"])
 
-    counted = {r.part: r.n for r in rows.mapInArrow(sizes, "part int, n long").collect()}
-    start, total = {}, 0
-    for part in sorted(counted):
-        start[part], total = total, total + counted[part]
+    counted = rows.mapInArrow(sizes, "part int, n long").toPandas()
+    starts = np.zeros(int(counted["part"].max()) + 2 if len(counted) else 1, np.int64)
+    starts[counted["part"].to_numpy() + 1] = counted["n"]
+    starts = np.cumsum(starts)
+    total = int(starts[-1])
     out = Shards(path, total, seq_len, rows_per_shard)
     if not total:
         return out
     order = Feistel(total, seed)
+    shared_starts = context.broadcast(starts)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = _encoder(shared), TaskContext.get().partitionId()
-        at = first = start.get(part, 0)
+        encode, part, starts = _encoder(shared), TaskContext.get().partitionId(), shared_starts.value
+        at, end = starts[part:part + 2] if part + 1 < len(starts) else (total, total)
         for b in batches:
-            made = [_records(i, ids, seq_len) for i, t in zip(*map(lambda c: c.to_pylist(), b.columns))
+            made = [(i, ids) for i, t in zip(*map(lambda c: c.to_pylist(), b.columns))
                     if t and (ids := encode(t))]
             if made:
-                made = np.concatenate(made)
+                made = _records(*zip(*made), seq_len)
                 slots = order(np.arange(at, at + len(made)))
                 at += len(made)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(slots), pa.array([r.tobytes() for r in made], pa.binary())],
-                    ["slot", "record"])
-        if at - first != counted.get(part, 0):
+                yield pa.RecordBatch.from_arrays([pa.array(slots), _binary(made)], ["slot", "record"])
+        if at != end:
             raise RuntimeError("the scan does not repeat: write the documents to a table first")
 
     shards = -(-total // rows_per_shard)
-    tasks = -(-shards // SHARDS_PER_TASK)
+    per_task = max(SHARDS_PER_TASK, -(-shards // (WAVES * context.defaultParallelism)))
+    tasks = -(-shards // per_task)
     shard = F.floor(F.col("slot") / rows_per_shard).cast("int")
     (rows.mapInArrow(place, "slot long, record binary").withColumn("shard", shard)
-     .repartitionById(tasks, F.floor(F.col("shard") / SHARDS_PER_TASK).cast("int"))
+     .repartitionById(tasks, F.floor(F.col("shard") / per_task).cast("int"))
      .sortWithinPartitions("shard", "slot")
      .select("shard", F.col("record").cast("string").alias("value"))
      .write.partitionBy("shard").text(path))

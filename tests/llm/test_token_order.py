@@ -24,6 +24,15 @@ def test_permutation(n):
         assert (a != b).mean() > 0.95 and abs(np.corrcoef(np.arange(n), a)[0, 1]) < 0.1
 
 
+def test_records():
+    got = to._records([7, None, -1], [[1, 2, 3, 4, 5], [9], [6, 7]], 2)
+    want = [(7, 0, [1, 2]), (7, 1, [3, 4]), (7, 2, [5]), (-(1 << 63), 0, [9]), (-1, 0, [6, 7])]
+    assert [bytes(r) for r in got] == [
+        i.to_bytes(8, "big", signed=True) + k.to_bytes(4, "big") + len(ids).to_bytes(2, "big")
+        + b"".join(x.to_bytes(2, "little") for x in ids + [0xFFFF] * (2 - len(ids))) for i, k, ids in want]
+    assert to._binary(got).to_pylist() == [bytes(r) for r in got]
+
+
 def test_shards_hold_every_sequence_once_at_its_slot(spark, make_docs):
     lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=load_ranks(FILE), special_tokens={})
     rows = [(i, " ".join(f"word{j}" for j in range(i % 37))) for i in range(200)]
@@ -51,3 +60,14 @@ def test_empty_tables(spark, make_docs):
     for rows in ([], [(1, None), (2, "")]):
         out = to.training_order(make_docs(rows), FILE, P.PATTERN)
         assert out.count() == 0 and out.columns[0] == "slot"
+
+
+def test_few_range_partitions_give_the_same_shards(spark, make_docs, monkeypatch):
+    docs = make_docs([(i, "some words " * (i % 40)) for i in range(150)]).checkpoint()
+    path = tempfile.mkdtemp(prefix="docweave-test-")
+    many = to.write_shards(docs, path + "/many", FILE, P.PATTERN, seq_len=8, rows_per_shard=2)
+    monkeypatch.setattr(to, "WAVES", 1)
+    few = to.write_shards(docs, path + "/few", FILE, P.PATTERN, seq_len=8, rows_per_shard=2)
+    assert many.n_sequences > 600
+    a, b = (to.read_slots(spark, s).orderBy("slot").collect() for s in (many, few))
+    assert a == b
