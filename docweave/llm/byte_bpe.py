@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 
 MAX_VOCABULARY = 1_000_000
 LEAF_BYTES = 6          # a half of at most so many bytes is merged directly
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 300_000  # of each of three dictionaries: about 200 MB a worker when all are full
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -148,17 +148,20 @@ class TreeBpe:
             return (r,)
         got = self.halves.get(data)
         if got is None:
-            if len(data) <= LEAF_BYTES:
-                got = self.merge(data)
-            else:
-                mid = len(data) // 2
-                got = self.join(self.piece(data[:mid]), self.piece(data[mid:]))
+            got = self.whole(data)
             if len(data) <= 64:
                 if len(self.halves) >= self.memo:
                     self.halves.clear()
                 self.halves[data] = got
         return got
 
+    def whole(self, data: bytes) -> tuple[int, ...]:
+        """Encoding of a piece that is no token; its halves are remembered, it is not."""
+        if len(data) <= LEAF_BYTES:
+            return self.merge(data)
+        mid = len(data) // 2
+        return self.join(self.piece(data[:mid]), self.piece(data[mid:]))
+
     def plain(self, text: str) -> bytes:
         ids = array("I")
         for p in self.pieces(text):
@@ -184,7 +187,9 @@ class TreeBpe:
         if not word:
             got = self.plain(" ")
         elif word.isalpha():
-            got = array("I", self.piece(b" " + word.encode())).tobytes()
+            data = b" " + word.encode()             # remembered as a word, so not as a piece too
+            r = self.ranks.get(data)
+            got = array("I", self.whole(data) if r is None else (r,)).tobytes()
         elif word[-1] in ".," and word[:-1].isalpha():      # two matches of the pattern
             got = (self.words.get(word[:-1]) or self.learn(word[:-1])) + self.plain(word[-1])
         else:

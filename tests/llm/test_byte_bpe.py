@@ -31,6 +31,20 @@ def test_random_texts_equal_the_library(both):
         assert bpe.decode(ids) == t.encode()
 
 
+def test_a_word_is_remembered_once_and_memory_is_bounded(both):
+    ranks = byte_bpe.load_ranks(FILE)
+    bpe, lib = byte_bpe.TreeBpe(ranks, P.PATTERN), both[1]
+    words = ["".join(random.Random(i).choices("bcdfghjklmnpqrstvwxz", k=12)) for i in range(50)]
+    text = "x " + " ".join(words)
+    assert np.frombuffer(bpe.encode(text), "<u4").tolist() == lib.encode_ordinary(text)
+    assert set(words) <= set(bpe.words)
+    assert not {f" {w}".encode() for w in words} & set(bpe.halves)      # only their halves
+    small = byte_bpe.TreeBpe(ranks, P.PATTERN, memo=20)
+    assert small.encode(text) == bpe.encode(text)
+    assert max(len(small.words), len(small.halves), len(small.pairs)) <= 20
+    assert byte_bpe.MEMO_ENTRIES <= 300_000             # three dictionaries, four workers an executor
+
+
 @pytest.mark.parametrize("n", [5, 49, 300, 3000])
 def test_long_pieces_need_the_tree(both, n):
     bpe, lib = both
