@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.session import ensure_checkpoint_dir, scratch_path, ship_package
+from docweave.session import bound_batches, ensure_checkpoint_dir, scratch_path, ship_package
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -21,8 +21,7 @@ def prepare(spark: SparkSession) -> None:
     ensure_checkpoint_dir(spark)
     ship_package(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    bound_batches(spark)
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

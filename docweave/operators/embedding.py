@@ -24,7 +24,7 @@ from pyspark.sql import types as TY
 from docweave import constants as C
 from docweave.functions import text as T
 
-_SUB_BATCH = 2048
+_SUB_BATCH = 256         # rows of counts held at once: 4 MB at 1,024 dimensions
 
 
 def token_codes(text: Column, dim: int) -> Column:

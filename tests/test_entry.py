@@ -39,3 +39,18 @@ def test_core_queries_remain_when_the_optional_part_cannot_be_imported():
             "assert set(E.oracle_sql()) <= set(q)")
     for gone in ("public_tokenizers", "corpus_pipeline", "docweave.llm"):
         subprocess.run([sys.executable, "-c", code.format(gone)], check=True, cwd=E.__file__.rsplit("/", 1)[0])
+
+
+def test_queries_run_with_bounded_arrow_batches(spark):
+    import __spark_entry__ as E
+    from pyspark.sql import functions as F
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.conf.set(names[0], "10000")       # Spark's own default, in a session that is given
+    E._prepare(spark)
+    assert int(spark.conf.get(names[0])) <= 1024 and int(spark.conf.get(names[1])) <= 4 << 20
+
+    @F.pandas_udf("long")
+    def size(s):
+        return s.map(lambda _: len(s))
+
+    assert spark.range(5000, numPartitions=1).select(size("id").alias("n")).agg(F.max("n")).first()[0] <= 1024
