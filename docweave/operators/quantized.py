@@ -23,19 +23,22 @@ from docweave.operators import retrieval as R
 CODES = 256
 FIT_ROWS = 20_000
 ITERATIONS = 12
+FIT_BLOCK = 4_096        # rows whose distances to all entries are held at once
 
 
 def _k_means(x: np.ndarray, n: int, seed: int) -> np.ndarray:
     """Entries of one sub-space; empty ones take the farthest points. Rows are in a fixed order."""
     rng = np.random.default_rng(seed)
     found = x[rng.choice(len(x), min(n, len(x)), replace=False)]
+    own, nearest = np.empty(len(x), np.int64), np.empty(len(x))
     for _ in range(ITERATIONS):
-        gap = (found ** 2).sum(1)[None, :] - 2 * x @ found.T
-        own = gap.argmin(1)
+        for lo in range(0, len(x), FIT_BLOCK):
+            gap = (found ** 2).sum(1)[None, :] - 2 * x[lo:lo + FIT_BLOCK] @ found.T
+            own[lo:lo + FIT_BLOCK], nearest[lo:lo + FIT_BLOCK] = gap.argmin(1), gap.min(1)
         size = np.bincount(own, minlength=len(found))
         total = np.zeros_like(found)
         np.add.at(total, own, x)
-        far = np.argsort(-gap[np.arange(len(x)), own], kind="stable")[:int((size == 0).sum())]
+        far = np.argsort(-nearest, kind="stable")[:int((size == 0).sum())]
         found = total / np.maximum(size, 1)[:, None]
         found[np.flatnonzero(size == 0)[:len(far)]] = x[far]
     return found
