@@ -19,6 +19,7 @@ from docweave.streaming import jobs
 
 STAGE_SQL = ("CASE event_type WHEN 'click' THEN 'embedding' WHEN 'view' THEN 'retrieval' "
              "WHEN 'purchase' THEN 'llm' WHEN 'signup' THEN 'total' END")
+STREAM_BATCH_BYTES = 64 << 20      # of objects in a micro-batch: the number of batches follows the bytes
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -119,6 +120,8 @@ def _object_files(spark, sf_dir):
     """Write every document as one text object ``doc_id=<id>/part-*.txt`` (Spark text sink)."""
     base = scratch_path(spark, f"objects-{uuid.uuid4().hex}")
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    # objects of one id are written by one task; all tasks of the cluster write
+    d = d.repartition(2 * spark.sparkContext.defaultParallelism, "doc_id")
     d.write.partitionBy("doc_id").text(f"{base}/uploads")
     return f"{base}/uploads"
 
@@ -131,7 +134,7 @@ def stream_ingest(spark, sf_dir):
     root = _object_files(spark, sf_dir)
     out = scratch_path(spark, f"stream-ingest-{uuid.uuid4().hex}")
     q = jobs.start_ingest_stream(spark, root, out, f"{out}/_checkpoint", dim=common.TEXT_DIM,
-                                 max_files_per_trigger=400)
+                                 max_bytes_per_trigger=STREAM_BATCH_BYTES)
     q.awaitTermination()
     from docweave.sinks import tables as sinks
     idx = sinks.read_index(spark, f"{out}/index")

@@ -23,14 +23,19 @@ from docweave.sources.objects import OBJECT_GLOB, decode_objects
 
 
 def object_stream(spark: SparkSession, root: str, glob: str = OBJECT_GLOB,
-                  max_files_per_trigger: int | None = None, bucket: str = C.DEFAULT_BUCKET) -> DataFrame:
+                  max_files_per_trigger: int | None = None, bucket: str = C.DEFAULT_BUCKET,
+                  max_bytes_per_trigger: int | None = None) -> DataFrame:
     """New objects under ``root`` as they arrive (each file once; an overwritten file
-    with the same path is not re-read -- use the batch J9 listing diff for that)."""
+    with the same path is not re-read -- use the batch J9 listing diff for that). A micro-batch
+    is bounded by a number of files or of bytes: with small objects a number of files makes
+    many batches, each with the cost of its writes."""
     r = (spark.readStream.format("binaryFile")
          .schema("path string, modificationTime timestamp, length long, content binary")
          .option("recursiveFileLookup", "true").option("pathGlobFilter", glob))
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    if max_bytes_per_trigger:
+        r = r.option("maxBytesPerTrigger", max_bytes_per_trigger)
     df = r.load(root)
     prefix = root.rstrip("/") + "/"
     rel = F.regexp_replace(F.col("path"), r"^file:", "")
@@ -75,9 +80,10 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str, stream: str,
 
 def start_ingest_stream(spark: SparkSession, root: str, out: str, checkpoint: str,
                         dim: int = C.EMBED_DIMENSIONS, available_now: bool = True,
-                        max_files_per_trigger: int | None = None):
+                        max_files_per_trigger: int | None = None, max_bytes_per_trigger: int | None = None):
     """R2: streaming ingestion of objects under ``root`` into ``out``."""
-    stream = object_stream(spark, root, max_files_per_trigger=max_files_per_trigger)
+    stream = object_stream(spark, root, max_files_per_trigger=max_files_per_trigger,
+                           max_bytes_per_trigger=max_bytes_per_trigger)
     w = (stream.writeStream.option("checkpointLocation", checkpoint)
          .foreachBatch(lambda df, bid: ingest_batch(
              df, bid, out, stream_id(df.sparkSession, checkpoint), dim)))

@@ -63,3 +63,25 @@ def test_two_streams_share_an_index_and_neither_loses_rows(spark, tmpdir_path):
     jobs.start_ingest_stream(spark, f"{tmpdir_path}/b", out, f"{out}/_ck_new", dim=16).awaitTermination()
     assert sinks.read_index(spark, f"{out}/index").count() == 2      # the newest generation of each
     assert spark.read.parquet(f"{out}/manifest").count() == 6
+
+
+def test_micro_batches_are_bounded_by_bytes_not_by_files(spark, tmpdir_path):
+    root, out = f"{tmpdir_path}/in", f"{tmpdir_path}/out"
+    for i in range(12):
+        write(root, f"uploads/d{i}.txt", f"w{i} " * 100)        # some 300 to 400 bytes each
+    jobs.start_ingest_stream(spark, root, out, f"{out}/_ck", dim=16,
+                             max_bytes_per_trigger=2000).awaitTermination()
+    batches = len([f for f in os.listdir(f"{out}/_ck/commits") if f.isdigit()])
+    assert 2 <= batches <= 4
+    assert sinks.read_index(spark, f"{out}/index").count() == 12
+
+
+def test_objects_of_one_id_are_one_file_and_written_by_many_tasks(spark, tmpdir_path):
+    from docweave.plans import q_streaming
+    rows = [(i % 40, f"t{i}") for i in range(80)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(
+        f"{tmpdir_path}/documents.parquet")
+    root = q_streaming._object_files(spark, tmpdir_path)
+    files = [os.path.join(d, f) for d, _, fs in os.walk(root) for f in fs if f.endswith(".txt")]
+    assert len(files) == 40 and len({os.path.basename(f).split("-")[1] for f in files}) > 1
+    assert all(len(open(f).read().split()) == 2 for f in files)
