@@ -292,11 +292,16 @@ def index_reconcile_chunks(spark, sf_dir):
         .withColumn("embed_status", F.lit("OK"))
     rows = ingest.index_rows(rows, RUN_TS).withColumn("d", doc_id)
     first = F.col("chunk_id") == 0
-    stored = rows.where(~((F.col("d") % 5 == 0) & (F.col("chunk_id") % 3 == 0))).unionByName(
-        rows.where(first & (F.col("d") % 4 == 1)).withColumn("chunk_id", (990 + F.col("d") % 7).cast("int"))
-        .withColumn("chunk_key", F.sha2(F.concat("chunk_key", F.lit("-old")), 256))).unionByName(
-        rows.where(first & (F.col("d") % 9 == 2) & (F.col("d") % 5 != 0)))
-    sinks.write_index(stored.drop("d"), f"{base}/index", 1)
+    # a chunk's rows in the index, none to three, come out of one pass over the documents
+    forms = F.filter(F.array(
+        F.when(~((F.col("d") % 5 == 0) & (F.col("chunk_id") % 3 == 0)), "kept"),
+        F.when(first & (F.col("d") % 4 == 1), "old"),
+        F.when(first & (F.col("d") % 9 == 2) & (F.col("d") % 5 != 0), "again")), lambda x: x.isNotNull())
+    old = F.col("form") == "old"
+    stored = rows.withColumn("form", F.explode(forms)).withColumn(
+        "chunk_id", F.when(old, (990 + F.col("d") % 7).cast("int")).otherwise(F.col("chunk_id"))).withColumn(
+        "chunk_key", F.when(old, F.sha2(F.concat("chunk_key", F.lit("-old")), 256)).otherwise(F.col("chunk_key")))
+    sinks.write_index(stored.drop("d", "form"), f"{base}/index", 1)
     written = ingest.explode_processed(sinks.read_processed_documents(spark, f"{base}/processed"))
     return ingest.reconcile_chunks(written, sinks.read_index(spark, f"{base}/index")).select(
         "source_document", "chunk_id", "difference")

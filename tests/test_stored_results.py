@@ -121,3 +121,30 @@ def test_streamed_answers_are_given_once(spark, tmpdir_path):
     assert {k: r.status_code for k, r in out.items()} == {1: 200, 2: 400, 3: 500, 4: 200}
     assert "paris" in out[1].body and "paris" not in out[4].body
     assert spark.read.json(f"{tmpdir_path}/out").count() == 4
+
+
+def test_index_rows_of_the_reconciliation_come_of_one_pass(spark, tmpdir_path, monkeypatch):
+    from docweave.plans import q_ops
+    rows = [(i, "w " * 600 * (i % 3), "en", "web") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(
+        f"{tmpdir_path}/documents.parquet")
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmpdir_path}/pages.parquet")
+    plans, inner = [], q_ops.sinks.write_index
+
+    def watched(rows, *rest):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return inner(rows, *rest)
+
+    monkeypatch.setattr(q_ops.sinks, "write_index", watched)
+    got = sorted((r.source_document, r.chunk_id, r.difference)
+                 for r in q_ops.index_reconcile_chunks(spark, tmpdir_path).collect())
+    want = []
+    for i, text, _, _ in rows:
+        n = len(text.split())
+        key, chunks = f"uploads/web/{i}.txt", 0 if not n else 1 + max(0, -(-(n - 500) // 450))
+        want += [(key, c, "MISSING") for c in range(chunks) if i % 5 == 0 and c % 3 == 0]
+        if chunks:
+            want += [(key, 990 + i % 7, "EXTRA")] * (i % 4 == 1)
+            want += [(key, 0, "REPEATED")] * (i % 9 == 2 and i % 5 != 0)
+    assert got == sorted(want)
+    assert plans[0].count("Generate explode") == 2          # chunks of a document, rows of a chunk
