@@ -81,7 +81,7 @@ def test_objects_of_one_id_are_one_file_and_written_by_many_tasks(spark, tmpdir_
     rows = [(i % 40, f"t{i}") for i in range(80)]
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(
         f"{tmpdir_path}/documents.parquet")
-    root = q_streaming._object_files(spark, tmpdir_path)
+    root = q_streaming._object_files(spark, tmpdir_path).removeprefix("file:")
     files = [os.path.join(d, f) for d, _, fs in os.walk(root) for f in fs if f.endswith(".txt")]
     assert len(files) == 40 and len({os.path.basename(f).split("-")[1] for f in files}) > 1
     assert all(len(open(f).read().split()) == 2 for f in files)
