@@ -4,8 +4,12 @@ contents as a DataFrame."""
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +24,7 @@ from docweave.streaming import jobs
 STAGE_SQL = ("CASE event_type WHEN 'click' THEN 'embedding' WHEN 'view' THEN 'retrieval' "
              "WHEN 'purchase' THEN 'llm' WHEN 'signup' THEN 'total' END")
 STREAM_BATCH_BYTES = 64 << 20      # of objects in a micro-batch: the number of batches follows the bytes
+DROP_SHUFFLE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -116,13 +121,48 @@ def stream_sessions(spark, sf_dir):
         F.date_format("session_end", fmt).alias("session_end"), "requests")
 
 
+def _object_writer(folder):
+    """Writes ``(doc_id, text)`` rows sorted by id, an object an id, under ``folder``: what the text
+    sink writes of them (a line each). A task that runs again writes its own objects again."""
+    def write(batches):
+        task = f"part-{TaskContext.get().partitionId():05d}"
+        os.makedirs(f"{folder}/{task}", exist_ok=True)
+        out, last, n = None, None, 0
+        try:
+            for b in batches:
+                for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    name = "__HIVE_DEFAULT_PARTITION__" if doc_id is None else doc_id
+                    if out is None or name != last:
+                        if out is not None:
+                            out.close()
+                        out, last, n = open(f"{folder}/{task}/{task}-doc_id={name}.txt", "wb"), name, n + 1
+                    out.write((text or "").encode("utf-8") + b"\n")
+        finally:
+            if out is not None:
+                out.close()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+    return write
+
+
 def _object_files(spark, sf_dir):
-    """Write every document as one text object ``doc_id=<id>/part-*.txt`` (Spark text sink)."""
+    """Write every document as one text object, its id in the name. Objects of one id are written
+    by one task; all tasks of the cluster write. A folder that the executors mount is written by
+    their Python workers: Hadoop's local files cost a process or two and a checksum file each.
+    Other stores are written by Spark's text sink, as ``doc_id=<id>/part-*.txt``."""
     base = scratch_path(spark, f"objects-{uuid.uuid4().hex}")
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    # objects of one id are written by one task; all tasks of the cluster write
     d = d.repartition(2 * spark.sparkContext.defaultParallelism, "doc_id")
-    d.write.partitionBy("doc_id").text(f"{base}/uploads")
+    mounted = re.fullmatch(r"file:(?://)?(/(?!/).*)", f"{base}/uploads")
+    if mounted:
+        given = spark.conf.get(DROP_SHUFFLE, None)
+        spark.conf.set(DROP_SHUFFLE, "true")        # the shuffled texts go when the objects are written
+        try:
+            (d.sortWithinPartitions("doc_id").mapInArrow(_object_writer(mounted[1]), "n bigint")
+             .agg(F.sum("n")).collect())
+        finally:
+            spark.conf.unset(DROP_SHUFFLE) if given is None else spark.conf.set(DROP_SHUFFLE, given)
+    else:
+        d.write.partitionBy("doc_id").text(f"{base}/uploads")
     return f"{base}/uploads"
 
 
@@ -134,11 +174,11 @@ def stream_ingest(spark, sf_dir):
     root = _object_files(spark, sf_dir)
     out = scratch_path(spark, f"stream-ingest-{uuid.uuid4().hex}")
     q = jobs.start_ingest_stream(spark, root, out, f"{out}/_checkpoint", dim=common.TEXT_DIM,
-                                 max_bytes_per_trigger=STREAM_BATCH_BYTES)
+                                 max_bytes_per_trigger=STREAM_BATCH_BYTES, clean_source="delete")
     q.awaitTermination()
     from docweave.sinks import tables as sinks
     idx = sinks.read_index(spark, f"{out}/index")
-    doc_id = F.regexp_extract("source_document", r"doc_id=(\d+)/", 1).cast("bigint")
+    doc_id = F.regexp_extract("source_document", r"doc_id=(\d+)[/.]", 1).cast("bigint")
     return idx.select(doc_id.alias("doc_id"), "chunk_id",
                       F.size(F.split("text_chunk", " ")).alias("token_count"), "text_chunk")
 

@@ -17,18 +17,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave import constants as C
-from docweave.operators import answering, deadletters, ingest, metrics, routing
+from docweave.operators import answering, deadletters, embedding, ingest, metrics, routing
 from docweave.sinks import tables as sinks
 from docweave.sources.objects import OBJECT_GLOB, decode_objects
 
+# Of the job that lists a micro-batch's objects once more: Spark gives it up to 10,000.
+LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+TASK_BYTES = 16 << 20       # of a micro-batch's objects in a task
+
 
 def object_stream(spark: SparkSession, root: str, glob: str = OBJECT_GLOB,
                   max_files_per_trigger: int | None = None, bucket: str = C.DEFAULT_BUCKET,
-                  max_bytes_per_trigger: int | None = None) -> DataFrame:
+                  max_bytes_per_trigger: int | None = None, clean_source: str | None = None) -> DataFrame:
     """New objects under ``root`` as they arrive (each file once; an overwritten file
     with the same path is not re-read -- use the batch J9 listing diff for that). A micro-batch
     is bounded by a number of files or of bytes: with small objects a number of files makes
-    many batches, each with the cost of its writes."""
+    many batches, each with the cost of its writes. ``clean_source="delete"`` deletes the objects
+    of a micro-batch once a later one has begun."""
     r = (spark.readStream.format("binaryFile")
          .schema("path string, modificationTime timestamp, length long, content binary")
          .option("recursiveFileLookup", "true").option("pathGlobFilter", glob))
@@ -36,6 +41,8 @@ def object_stream(spark: SparkSession, root: str, glob: str = OBJECT_GLOB,
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     if max_bytes_per_trigger:
         r = r.option("maxBytesPerTrigger", max_bytes_per_trigger)
+    if clean_source:
+        r = r.option("cleanSource", clean_source)
     df = r.load(root)
     prefix = root.rstrip("/") + "/"
     rel = F.regexp_replace(F.col("path"), r"^file:", "")
@@ -51,43 +58,52 @@ def stream_id(spark: SparkSession, checkpoint: str) -> str:
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, out: str, stream: str,
-                 dim: int = C.EMBED_DIMENSIONS, model_fn=None) -> None:
+                 dim: int = C.EMBED_DIMENSIONS, model_fn=None, tasks: int | None = None) -> None:
     """R2 micro-batch body: route, redact, chunk, embed, index; manifest and dead letters.
-    ``stream`` is the id of :func:`stream_id`.
+    ``stream`` is the id of :func:`stream_id`; ``tasks`` bounds the tasks, and so the files of each
+    output: a scan takes no more than some megabytes of *opened* files in a task, a few objects.
 
-    The processed frame is persisted for the duration of the batch because four outputs
-    read it; it is released at the end.
+    The processed frame and the index rows are persisted for the duration of the batch because
+    several outputs read them, and each chunk is embedded once; they are released at the end.
     """
-    objs = decode_objects(batch)
+    objs = decode_objects(batch.coalesce(tasks) if tasks else batch)
     own = f"stream={stream}/batch_id={batch_id}"
     processed = ingest.process_objects(objs).persist()
+    rows = ingest.index_rows(ingest.embed_chunks(ingest.chunk_rows(processed), dim, model_fn),
+                             only_ok=False).persist()
     try:
         sinks.write_processed_documents(ingest.processed_documents(processed),
                                         f"{out}/processed/{own}", mode="overwrite")
         man = ingest.ingest_manifest(processed)
         man.write.mode("overwrite").parquet(f"{out}/manifest/{own}")
         failed = man.where(routing.route_of(F.col("status")) == "DLQ")
-        emb = ingest.embed_chunks(ingest.chunk_rows(processed), dim, model_fn)
-        bad = sinks.write_index(ingest.index_rows(emb, only_ok=False), f"{out}/index", dim, batch_id, stream)
+        bad = sinks.write_index(rows, f"{out}/index", dim, batch_id, stream)
         dead = deadletters.to_dead_letters(failed, "ingest").unionByName(
             deadletters.to_dead_letters(bad.drop("vector"), "index"))
         dead.write.mode("overwrite").parquet(f"{out}/dead_letters/{own}")
-        ingest.index_manifest(emb, dim).write.mode("overwrite").parquet(
-            f"{out}/index_manifest/{own}")
+        ingest.index_manifest(embedding.dimension_guard(rows, "vector", dim), dim).write.mode(
+            "overwrite").parquet(f"{out}/index_manifest/{own}")
     finally:
+        rows.unpersist()
         processed.unpersist()
 
 
 def start_ingest_stream(spark: SparkSession, root: str, out: str, checkpoint: str,
                         dim: int = C.EMBED_DIMENSIONS, available_now: bool = True,
-                        max_files_per_trigger: int | None = None, max_bytes_per_trigger: int | None = None):
-    """R2: streaming ingestion of objects under ``root`` into ``out``."""
+                        max_files_per_trigger: int | None = None, max_bytes_per_trigger: int | None = None,
+                        clean_source: str | None = None):
+    """R2: streaming ingestion of objects under ``root`` into ``out``. Where micro-batches are
+    bounded in bytes, their tasks are in proportion."""
+    cores = spark.sparkContext.defaultParallelism
+    tasks = max(2 * cores, -(-max_bytes_per_trigger // TASK_BYTES)) if max_bytes_per_trigger else None
     stream = object_stream(spark, root, max_files_per_trigger=max_files_per_trigger,
-                           max_bytes_per_trigger=max_bytes_per_trigger)
+                           max_bytes_per_trigger=max_bytes_per_trigger, clean_source=clean_source)
     w = (stream.writeStream.option("checkpointLocation", checkpoint)
          .foreachBatch(lambda df, bid: ingest_batch(
-             df, bid, out, stream_id(df.sparkSession, checkpoint), dim)))
+             df, bid, out, stream_id(df.sparkSession, checkpoint), dim, tasks=tasks)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
+    if spark.conf.get(LISTING_TASKS, None) is None:
+        spark.conf.set(LISTING_TASKS, str(4 * cores))   # read by every micro-batch, so it stays
     return w.start()
 
 

@@ -85,3 +85,61 @@ def test_objects_of_one_id_are_one_file_and_written_by_many_tasks(spark, tmpdir_
     files = [os.path.join(d, f) for d, _, fs in os.walk(root) for f in fs if f.endswith(".txt")]
     assert len(files) == 40 and len({os.path.basename(f).split("-")[1] for f in files}) > 1
     assert all(len(open(f).read().split()) == 2 for f in files)
+
+
+def test_objects_are_plain_files_with_what_the_text_sink_writes(spark, tmpdir_path):
+    from docweave.plans import q_streaming
+    rows = [(1, "one\ntwo"), (2, "caf\u00e9"), (2, None), (3, None), (-4, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmpdir_path}/documents.parquet")
+    root = q_streaming._object_files(spark, tmpdir_path).removeprefix("file:")
+    files = [os.path.join(d, f) for d, _, fs in os.walk(root) for f in fs]
+    assert len(files) == 4 and all(f.endswith(".txt") for f in files)      # no checksum files
+    got = {f.rpartition("doc_id=")[2]: open(f, "rb").read() for f in files}
+    assert sorted(got.pop("2.txt").split(b"\n")) == [b"", b"", "caf\u00e9".encode()]
+    assert got == {"1.txt": b"one\ntwo\n", "3.txt": b"\n", "-4.txt": b"x\n"}
+
+
+def test_a_micro_batch_has_few_tasks_and_embeds_a_chunk_once(spark, tmpdir_path):
+    import glob
+
+    import pandas as pd
+
+    root, out = f"{tmpdir_path}/in", f"{tmpdir_path}/out"
+    for i in range(30):
+        write(root, f"uploads/d{i}.txt", f"text number {i}")
+    given = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")               # a task of the scan an object
+    spark.conf.unset(jobs.LISTING_TASKS)
+    try:
+        jobs.start_ingest_stream(spark, root, out, f"{out}/_ck", dim=16,
+                                 max_bytes_per_trigger=1 << 20).awaitTermination()
+        assert int(spark.conf.get(jobs.LISTING_TASKS)) == 4 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", given)
+    assert sinks.read_index(spark, f"{out}/index").count() == 30
+    assert len(glob.glob(f"{out}/index/write_id=b*/*.parquet")) <= 2 * spark.sparkContext.defaultParallelism
+
+    seen = f"{tmpdir_path}/seen"
+
+    def model(texts):
+        with open(seen, "a") as f:
+            f.writelines(f"{t}\n" for t in texts)
+        return pd.Series([[1.0] * 16 if "7" not in t else [1.0] for t in texts])
+
+    batch = spark.createDataFrame([("b", f"uploads/d{i}.txt", bytearray(f"text number {i}".encode()))
+                                   for i in range(9)], "bucket string, source_key string, content binary")
+    jobs.ingest_batch(batch, 0, f"{tmpdir_path}/more", "s", 16, model)
+    assert sorted(open(seen).read().splitlines()) == [f"text number {i}" for i in range(9)]
+    man = spark.read.parquet(f"{tmpdir_path}/more/index_manifest")
+    assert sorted(r.status for r in man.collect()) == ["FAILED"] + ["SUCCESS"] * 8
+    assert spark.read.parquet(f"{tmpdir_path}/more/dead_letters").where("stage = 'index'").count() == 1
+
+
+def test_ingested_objects_can_be_deleted(spark, tmpdir_path):
+    root, out = f"{tmpdir_path}/in", f"{tmpdir_path}/out"
+    for i in range(6):
+        write(root, f"uploads/d{i}.txt", f"w{i} " * 100)
+    jobs.start_ingest_stream(spark, root, out, f"{out}/_ck", dim=16, max_files_per_trigger=1,
+                             clean_source="delete").awaitTermination()
+    assert sinks.read_index(spark, f"{out}/index").count() == 6
+    assert len(os.listdir(f"{root}/uploads")) < 6
