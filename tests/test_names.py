@@ -81,3 +81,45 @@ def test_detect_spans_with_windows_in_spark(spark):
     r = df.select(segmentation.detect_spans(F.col("t"), max_bytes=200).alias("s")).collect()
     assert [(x.begin, x.end) for x in r[0].s] == [m.span() for m in re.finditer("joe@example.org", text)]
     assert r[1].s is None
+
+
+def test_detector_finds_what_the_patterns_find():
+    from docweave.functions import pii
+    rng, detect, n = random.Random(5), segmentation.regex_detector(), 0
+    parts = ["@x.co", "a.b@c.de", "@", "1x", ".", "-", "555-123-4567", "(212) ", "+1 ", "1234", "123-45-6789",
+             "4111 1111 1111 1111", "é", " ", "\n", "ab", "_", "\u0661\u0662\u0663\u0664"]
+    for _ in range(5000):
+        text = "".join(rng.choices(parts, k=rng.randint(0, 14)))
+        found = [(segmentation._LABEL_TO_TYPE[label], *m.span()) for label, p in pii.PII_PATTERNS
+                 for m in re.finditer(p, text)]
+        assert [(s["type"], s["begin"], s["end"]) for s in detect(text)] == found, text
+        n += len(found)
+    assert n > 5000
+
+
+def test_long_words_and_a_drawn_list_of_names_cost_in_proportion(spark, tmpdir_path):
+    import time
+
+    from docweave.plans import q_ops
+    long_word = "a" * 300_000 + "@"                     # tried from each letter it takes minutes
+    rows = [(1, long_word), (2, "to ann.12@x.io by ann, bob.1@"), (3, None), (4, "bob ann4@x.io")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmpdir_path}/documents.parquet")
+    began = time.time()
+    out = {r.doc_id: r for r in q_ops.pii_redact_spans(spark, tmpdir_path).collect()}
+    assert time.time() - began < 40
+    assert out[1].redacted_text == long_word and out[3].redacted_text is None
+    assert out[2].redacted_text == "to [REDACTED_EMAIL] by [REDACTED_NAME], [REDACTED_NAME].1@"
+    assert (out[2].spans_found, out[2].spans_kept) == (4, 3)
+    assert out[4].redacted_text == "[REDACTED_NAME] [REDACTED_EMAIL]"
+
+    read = f"{tmpdir_path}/read"
+
+    def drawn(batches):
+        for b in batches:
+            with open(read, "a") as f:
+                f.writelines("x\n" for _ in range(len(b)))
+            yield b
+
+    names = spark.createDataFrame([(f"n{i}",) for i in range(20)], "name string").mapInPandas(drawn, "name string")
+    assert sorted(sum(nm._parts(names, "name", 20), [])) == sorted(f"n{i}" for i in range(20))
+    assert len(open(read).readlines()) == 20            # the list's rows were made once
