@@ -23,6 +23,8 @@ from docweave.sources.objects import OBJECT_GLOB, decode_objects
 
 # Of the job that lists a micro-batch's objects once more: Spark gives it up to 10,000.
 LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+# Of the listings that the driver keeps (250 MB): no other batch asks for a micro-batch's objects.
+LISTINGS_KEPT = "spark.sql.hive.filesourcePartitionFileCacheSize"
 TASK_BYTES = 16 << 20       # of a micro-batch's objects in a task
 
 
@@ -102,8 +104,9 @@ def start_ingest_stream(spark: SparkSession, root: str, out: str, checkpoint: st
          .foreachBatch(lambda df, bid: ingest_batch(
              df, bid, out, stream_id(df.sparkSession, checkpoint), dim, tasks=tasks)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    if spark.conf.get(LISTING_TASKS, None) is None:
-        spark.conf.set(LISTING_TASKS, str(4 * cores))   # read by every micro-batch, so it stays
+    for key, value in ((LISTING_TASKS, 4 * cores), (LISTINGS_KEPT, 0)):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, str(value))     # read by every micro-batch, so it stays
     return w.start()
 
 

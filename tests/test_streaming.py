@@ -114,6 +114,7 @@ def test_a_micro_batch_has_few_tasks_and_embeds_a_chunk_once(spark, tmpdir_path)
         jobs.start_ingest_stream(spark, root, out, f"{out}/_ck", dim=16,
                                  max_bytes_per_trigger=1 << 20).awaitTermination()
         assert int(spark.conf.get(jobs.LISTING_TASKS)) == 4 * spark.sparkContext.defaultParallelism
+        assert spark.conf.get(jobs.LISTINGS_KEPT) == "0"
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", given)
     assert sinks.read_index(spark, f"{out}/index").count() == 30
